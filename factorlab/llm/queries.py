@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding
+from . import decontamination, language, mixing, quality, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontamination.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontamination.digest(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op5_language_id, op7_quality, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
