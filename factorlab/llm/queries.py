@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, language, mixing, quality, secrets, sharding
+from . import decontamination, fingerprint, language, mixing, quality, secrets, sharding, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 16)
 
@@ -43,8 +47,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op5_language_id, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op5_language_id, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE.format(docs="documents"), "op10_decontamination": decontamination.ORACLE.format(docs="documents")}
+    return {"op1_substring_dedup": substrings.ORACLE.format(docs="documents"), "op3_mixing": mixing.ORACLE.format(docs="documents"), "op10_decontamination": decontamination.ORACLE.format(docs="documents")}
