@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, language, mixing, quality, secrets, sharding, substrings
+from . import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op5_language_id, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
