@@ -91,3 +91,18 @@ def meet(parts: int) -> Callable[[pa.Table], pa.Table]:
 def common(hashes: DataFrame, parts: int) -> DataFrame:
     """(b, v): to each block the hashes that another block has sent as well."""
     return hashes.groupBy("bucket").applyInArrow(meet(parts), "b int, v binary")
+
+
+def tally(table: pa.Table) -> pa.Table:
+    """Over (hash, count) values of a bucket: to each block those of its hashes whose counts sum to 2 or more, with the sum."""
+    values = table.column("v").to_pylist()
+    h = np.frombuffer(b"".join(values), np.uint64).reshape(-1, 2)
+    block = np.repeat(table.column("b").to_numpy(), [len(v) // 16 for v in values])
+    _, _, which = unique(h[:, :1])
+    total = np.bincount(which, h[:, 1].astype(float)).astype(np.uint64) if len(h) else np.zeros(0, np.uint64)
+    keep = total[which] > 1
+    out, block = np.stack([h[:, 0], total[which]], 1)[keep], block[keep]
+    order = np.argsort(block, kind="stable")
+    ids, first = np.unique(block[order], return_index=True)
+    parts = np.split(out[order], first[1:]) if len(ids) else []
+    return pa.table({"b": pa.array(ids.astype(np.int32)), "v": pa.array([p.tobytes() for p in parts], pa.binary())})

@@ -62,21 +62,6 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def tally(table: pa.Table) -> pa.Table:
-    """Over (n-gram, count) values of a bucket: to each block those of its n-grams with a sum of 2 or more."""
-    values = table.column("v").to_pylist()
-    h = np.frombuffer(b"".join(values), np.uint64).reshape(-1, 2)
-    block = np.repeat(table.column("b").to_numpy(), [len(v) // 16 for v in values])
-    _, _, which = blocks.unique(h[:, :1])
-    total = np.bincount(which, h[:, 1].astype(float)).astype(np.uint64) if len(h) else np.zeros(0, np.uint64)
-    keep = total[which] > 1
-    out, block = np.stack([h[:, 0], total[which]], 1)[keep], block[keep]
-    order = np.argsort(block, kind="stable")
-    ids, first = np.unique(block[order], return_index=True)
-    parts = np.split(out[order], first[1:]) if len(ids) else []
-    return pa.table({"b": pa.array(ids.astype(np.int32)), "v": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-
 def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent: int) -> DataFrame:
     """(v, n, s): the vertices that share some n-gram of the prefix by hash order, with their sets. A vertex
     is taken from its home, the block that `homes` names."""
@@ -158,7 +143,7 @@ def ordered(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
                 cols[name].append(np.sort(own[f == k]).tobytes())
         return pa.table({"v": t.column("v").take(pa.array(rows)), "n": pa.array(n[rows].astype(np.int32)), **{k: pa.array(x, pa.binary()) for k, x in cols.items()}, "prefix": pa.array([h[first[r] : first[r] + min(p[r], m[r])].view(np.int64) for r in rows], pa.list_(pa.int64())), "central": pa.array(central[rows])})
 
-    counted = placed.groupBy("b").applyInArrow(send, blocks.SENT).groupBy("bucket").applyInArrow(tally, "b int, v binary")
+    counted = placed.groupBy("b").applyInArrow(send, blocks.SENT).groupBy("bucket").applyInArrow(blocks.tally, "b int, v binary")
     return placed.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(order, f"v long, n int, {', '.join(f'{k} binary' for k in names)}, prefix array<long>, central double")
 
 

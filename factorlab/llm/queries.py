@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings
+from . import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op6_suffix_dedup, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
