@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks, hashing, shared
 from .components import components
@@ -210,7 +211,7 @@ def linked(asked: pa.Table, members: pa.Table, percent: int) -> list[tuple[int,
 
 def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, v) with the vertex of each row (null if it has no n-gram), and (v, first,
-    component_id): the vertices with their smallest doc_id and that of their component."""
+    component_id, kept): the vertices with their smallest doc_id, that of their component and the vertex that has it."""
     rows, buckets = blocks.cut(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -248,10 +249,9 @@ def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_
             asked = named.join(mixed.select("gram", "top"), "gram").where(F.col("c") != F.col("top.c")).select("v", F.col("top.c").alias("c"))
         links = shared.written(links.union(touching(asked.distinct(), label, sets, percent)))
     found = components(links)
-    least = found.join(vertices, "v").groupBy("c").agg(F.min("first").alias("component_id"))
-    component = found.join(least, "c").select("v", "component_id")
-    vertices = vertices.join(component, "v", "left").select("v", "first", F.coalesce("component_id", "first").alias("component_id"))
-    return meta.drop("b"), shared.written(vertices)
+    named = vertices.join(found, "v", "left").select("v", "first", F.coalesce("c", "v").alias("c"))
+    least = named.groupBy("c").agg(F.min("first").alias("component_id"), F.min_by("v", F.struct(F.col("first").isNull(), "first", "v")).alias("kept"))
+    return meta.drop("b"), shared.written(named.join(least, "c").select("v", "first", "component_id", "kept"))
 
 
 def joined(docs: DataFrame, **options) -> DataFrame:
@@ -264,9 +264,32 @@ def joined(docs: DataFrame, **options) -> DataFrame:
     return rows.join(vertices.select("v", "component_id"), "v", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, of each component only the row with the smallest doc_id (of rows that repeat it, one by a hash)."""
-    key = options.get("doc_id", "doc_id")
-    groups = joined(docs, **options).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).where(~F.col("_id").eqNullSafe(F.col("_c"))).distinct()
-    rest = docs.join(groups, docs[f"`{key}`"].eqNullSafe(groups["_id"]), "left_anti")
-    return rest
+def keep_one(docs: DataFrame, *, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs, of each component only one row: that with the smallest doc_id. Rows without words all stay; of
+    rows that repeat both doc_id and set one stays."""
+    rows, vertices = classes(docs, ngram=ngram, doc_id=doc_id, text=text, **options)
+    told = rows.where(F.col("v").isNotNull()).join(vertices, "v")
+    stays = (F.col("v") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    gone = shared.written(told.where(~stays).select("v", "doc_id").distinct())
+    again = shared.written(told.where(stays).groupBy("v", "doc_id").count().where(F.col("count") > 1).select("v", "doc_id"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_v", T.LongType())])
+
+    def sign(batches):
+        for t in batches:
+            h, first = grams(t.column(text), ngram)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(signatures(h, first), mask=np.diff(first) == 0)], schema.names)
+
+    signed = docs.mapInArrow(sign, schema)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select("v", F.col("doc_id").alias("_id"))
+
+    def condition(other: DataFrame):
+        return (F.col("_v") == other["v"]) & F.col(f"`{doc_id}`").eqNullSafe(other["_id"])
+
+    out, repeats = named(gone), named(again)
+    kept = signed.join(shared.small(out, gone.count()), condition(out), "left_anti")
+    if not again.isEmpty():
+        some = F.broadcast(repeats) if again.count() <= shared.BROADCAST_ROWS else repeats
+        kept = kept.join(some, condition(repeats), "left_anti").union(kept.join(some, condition(repeats), "left_semi").dropDuplicates(["_v", doc_id]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

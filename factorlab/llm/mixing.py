@@ -7,7 +7,7 @@ with their source's threshold: no sort of rows, and a larger budget takes a supe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -34,6 +34,45 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     return s.select("key", "source_size", F.when(F.col("capped"), (2 * F.col("source_size")).cast("double")).otherwise(open_target).alias("target"))
 
 
+def described(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """docs with _key (its source, null last), _size (words) and _h, a hash of doc_id and text of LEVELS * BITS bits."""
+    i, t, s = (F.col(f"`{c}`") for c in (doc_id, text, source))
+    md5 = F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(t, F.lit(""))))
+    return docs.withColumns({
+        "_key": F.when(s.isNull(), "1").otherwise(F.concat(F.lit("0"), s)),
+        "_size": F.coalesce(F.regexp_count(t, F.lit(shared.WORD)), F.lit(0)).cast("long"),
+        "_h": F.shiftright(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long"), 32 - LEVELS * BITS),
+    })
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """Of rows(_key, _size, _h), per source: source_size, target, full (times that all its rows are taken) and at:
+    rows with a hash below it are taken once more. And the number of sources."""
+    goal = targets(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("source_size")), weights).withColumnRenamed("key", "_key")
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    cut = shared.written(goal.withColumns({"full": full, "at": F.lit(0).cast("long")}).withColumn("left", F.col("target") - F.col("full") * F.col("source_size")))
+    n_sources = cut.count()
+    for level in range(LEVELS):
+        shift, last = (LEVELS - 1 - level) * BITS, level == LEVELS - 1
+        inside = rows.join(shared.small(cut.select("_key", "at"), n_sources), "_key").where(F.shiftright("_h", shift + BITS) == F.shiftright("at", shift + BITS))
+        histogram = inside.groupBy("_key", F.shiftright("_h", shift).alias("cell")).agg(F.sum("_size").alias("n"))
+        upto = Window.partitionBy("_key").orderBy("cell")
+        running = histogram.withColumn("upto", F.sum("n").over(upto)).join(shared.small(cut.select("_key", "left"), n_sources), "_key")
+        fits = F.col("upto") <= F.col("left")
+        if last:  # the last cell goes in if that comes nearer
+            fits = fits | ((F.col("upto") - F.col("left")) < (F.col("left") - F.col("upto") + F.col("n")))
+        ends = running.groupBy("_key").agg(F.min(F.when(~fits, F.col("cell"))).alias("cell"), F.max(F.when(fits, F.col("upto"))).alias("used"))
+        prefix = F.shiftright(F.col("at"), shift + BITS)
+        at = F.when(F.col("left") <= 0, F.shiftleft(prefix, shift + BITS)).otherwise(F.coalesce(F.shiftleft(F.col("cell"), shift), F.shiftleft(prefix + 1, shift + BITS)))
+        cut = shared.written(cut.join(ends, "_key", "left").select("_key", "source_size", "target", "full", at.alias("at"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
+    return cut.drop("left"), n_sources
+
+
+def times() -> Column:
+    """How often a row is taken."""
+    return F.col("full") + (F.col("_h") < F.col("at")).cast("long")
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Per row: doc_id, size (words), source_size, target (its source's words), taken (words the mix takes).
 
@@ -42,33 +81,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     Null text: size 0. Null source: a source of its own, after the others. Empty table: no rows. Other
     columns are not read, whatever their names.
     """
-    t, cells = F.col("t"), 1 << BITS
-    rows = shared.columns(docs, doc_id=doc_id, t=text, s=source).select(
-        "doc_id",
-        F.when(F.col("s").isNull(), "1").otherwise(F.concat(F.lit("0"), "s")).alias("key"),
-        F.coalesce(F.regexp_count(t, F.lit(shared.WORD)), F.lit(0)).cast("long").alias("size"),
-        F.shiftright(F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(t, F.lit("")))), 1, 8), 16, 10).cast("long"), 32 - LEVELS * BITS).alias("h"),
-    )
-    rows = shared.written(rows)
-    goal = shared.written(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights))
-    n_sources = goal.count()
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    cut = goal.withColumns({"full": full, "at": F.lit(0).cast("long")}).withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
-    for level in range(LEVELS):
-        shift, last = (LEVELS - 1 - level) * BITS, level == LEVELS - 1
-        inside = rows.join(shared.small(cut.select("key", "at"), n_sources), "key").where(F.shiftright("h", shift + BITS) == F.shiftright("at", shift + BITS))
-        cell = F.shiftright("h", shift)
-        histogram = inside.groupBy("key", cell.alias("cell")).agg(F.sum("size").alias("n"))
-        upto = Window.partitionBy("key").orderBy("cell")
-        running = histogram.withColumn("upto", F.sum("n").over(upto)).join(shared.small(cut.select("key", "left"), n_sources), "key")
-        fits = F.col("upto") <= F.col("left")
-        if last:  # the last cell goes in if that comes nearer
-            fits = fits | ((F.col("upto") - F.col("left")) < (F.col("left") - F.col("upto") + F.col("n")))
-        ends = running.groupBy("key").agg(F.min(F.when(~fits, F.col("cell"))).alias("cell"), F.max(F.when(fits, F.col("upto"))).alias("used"))
-        at = F.when(F.col("left") <= 0, F.shiftleft(F.shiftright(F.col("at"), shift + BITS), shift + BITS)).otherwise(F.coalesce(F.shiftleft(F.col("cell"), shift), F.shiftleft(F.shiftright(F.col("at"), shift + BITS) + 1, shift + BITS)))
-        cut = shared.written(cut.join(ends, "key", "left").select("key", "source_size", "target", "full", at.alias("at"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
-    taken = F.col("size") * (F.col("full") + (F.col("h") < F.col("at")).cast("long"))
-    return rows.join(shared.small(cut, n_sources), "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    rows = described(shared.columns(docs, doc_id=doc_id, t=text, s=source), "doc_id", "t", "s")
+    rows = shared.written(rows.select("doc_id", "_key", "_size", "_h"))
+    cut, n = thresholds(rows, weights)
+    return rows.join(shared.small(cut, n), "_key").select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * times()).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with their own columns. Texts aren't moved."""
+    rows = described(docs, doc_id, text, source)
+    cut, n = thresholds(shared.written(rows.select("_key", "_size", "_h")), weights)
+    taken = rows.join(shared.small(cut, n), "_key").withColumn("_times", times())
+    return taken.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same mix in DuckDB SQL.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings, suffixes
@@ -55,7 +56,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op6_suffix_dedup, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
+    found = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op6_suffix_dedup, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
