@@ -25,6 +25,9 @@ from .components import components
 NGRAM, PERCENT = 4, 85
 #: Fragments of the global order; vertices of one component that are compared in one task.
 FRAGMENTS, TILE = 4, 2000
+#: Share of the hash range whose n-grams are compared over the whole corpus; a set that links lacks at most the
+#: 15 % that the similarity allows of them, so fewer sets than those need all their n-grams compared.
+SAMPLED = 0.3
 _WORD, _GRAM, _SET = hashing.Hash(4), hashing.Hash(41), hashing.Hash(42)
 
 
@@ -64,8 +67,8 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(v, n, s): the vertices that share some n-gram of the prefix by hash order, with their sets. A vertex
-    is taken from its home, the block that `homes` names."""
+    """(v, n, s): the vertices whose n-grams of the lowest hashes are shared as often as a link asks for, with
+    their sets. A vertex is taken from its home, the block that `homes` names."""
 
     def own(t: pa.Table, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         h, first = grams(t.column("t"), n)
@@ -76,10 +79,11 @@ def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent:
         rows = np.flatnonzero(one & np.isin(v, home) & (size > 0))
         return h, first, v, rows
 
-    def prefixes(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sampled(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(first)[rows]
-        p = size - needed(size, percent) + 1
-        return h[hashing.spread(first[rows], p)], np.repeat(np.arange(len(rows)), p)
+        own = h[hashing.spread(first[rows], size)]
+        low = own < np.uint64(SAMPLED * 2.0**64)
+        return own[low], np.repeat(np.arange(len(rows)), size)[low]
 
     def inbox(other: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         home = other.filter(pc.equal(other.column("k"), 0))
@@ -90,15 +94,17 @@ def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent:
         if not len(t):
             return blocks.sent(0, np.zeros((0, 1), np.uint64), buckets)
         h, first, _, rows = own(t, inbox(other)[0])
-        return blocks.sent(t.column("b")[0].as_py(), blocks.unique(prefixes(h, first, rows)[0][:, None])[0], buckets)
+        return blocks.sent(t.column("b")[0].as_py(), blocks.unique(sampled(h, first, rows)[0][:, None])[0], buckets)
 
     def keep(t: pa.Table, other: pa.Table) -> pa.Table:
         home, again = inbox(other)
         h, first, v, rows = own(t, home)
-        p, of = prefixes(h, first, rows)
+        p, of = sampled(h, first, rows)
         _, count, which = blocks.unique(p[:, None])
-        some = np.bincount(of, (count[which] > 1) | blocks.found(p[:, None], again), len(rows)) > 0
-        rows = rows[some]
+        shared_ = np.bincount(of, (count[which] > 1) | blocks.found(p[:, None], again), len(rows))
+        n_own = np.diff(first)[rows]
+        spare = n_own - needed(n_own, percent)  # n-grams that a linked set may lack
+        rows = rows[shared_ >= np.bincount(of, minlength=len(rows)) - spare]
         return pa.table({"v": pa.array(v[rows]), "n": pa.array(np.diff(first)[rows].astype(np.int32)), "s": pa.array([h[first[r] : first[r + 1]].tobytes() for r in rows], pa.binary())})
 
     pack = lambda t: pa.table({"b": t.column("b")[:1], "k": pa.array([0], pa.int32()), "v": pa.array([t.column("v").to_numpy().tobytes()], pa.binary())})
