@@ -94,42 +94,48 @@ class Slice:
         return at[i], np.diff(np.append(i, len(at))), self.all[at[i]]
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of values that end in different sentinels, by prefix doubling over what is still tied."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(rank))])[:-1]
-    rank = first[rank]
-    tied, k = order, 1
-    while True:
-        g = rank[tied]
-        same = np.zeros(len(tied), bool)
-        if len(tied) > 1:
-            eq = g[1:] == g[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        tied = tied[same]
-        if not len(tied):
-            return np.argsort(rank, kind="stable")
-        key = rank[np.minimum(tied + k, n - 1)]  # a tied suffix is longer than k: the sentinels differ
-        by = np.lexsort((key, rank[tied]))
-        tied, key = tied[by], key[by]
-        g = rank[tied]
+def suffix_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Suffix array of segments that end in different sentinels, the earlier the smaller.
+
+    symbols: bytes + 1, and 0 for a sentinel; room: symbols up to the sentinel. Seven symbols are sorted at
+    once, then the sorted length doubles for what is still tied.
+    """
+    n, first = len(symbols), 7
+    key = np.zeros(n, np.int64)
+    for k in range(first):
+        key <<= 9
+        ok = room > k
+        key[ok] |= symbols[np.flatnonzero(ok) + k]
+    order = np.argsort(key, kind="stable")  # equal short suffixes: by place, as their sentinels
+    sorted_, short = key[order], room[order] < first
+    new = np.ones(n, bool)
+    new[1:] = (sorted_[1:] != sorted_[:-1]) | short[1:] | short[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    single = new & np.append(new[1:], True)
+    tied, k = order[~single], first
+    while len(tied):  # a tied suffix is longer than k: the sentinels differ
+        by = np.argsort(rank[tied] * (n + 1) + rank[np.minimum(tied + k, n - 1)], kind="stable")
+        tied = tied[by]
+        g, key = rank[tied], rank[np.minimum(tied + k, n - 1)]
         head = np.ones(len(tied), bool)
         head[1:] = g[1:] != g[:-1]
-        start = np.maximum.accumulate(np.where(head, np.arange(len(tied)), 0))
         new = head.copy()
         new[1:] |= key[1:] != key[:-1]
-        rank[tied] = g + np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0)) - start
+        at = np.arange(len(tied))
+        rank[tied] = g + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
         k *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class RunIndex:
     """Runs of the Burrows-Wheeler transform of sentinel-ended segments, sampled at both ends of each run."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int):
-        order = suffix_order(text)
+    def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int, text_base: int):
+        order = suffix_order(np.where(ends == np.arange(len(text)), 0, text - text_base), ends - np.arange(len(text)))
         before = np.where(order > 0, text[order - 1], -1)
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.heads, self.tails = np.concatenate([[0], change]), np.concatenate([change, [len(order)]]) - 1
@@ -180,7 +186,7 @@ def marked(segments: list[bytes], window: int) -> list[np.ndarray]:
     text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + len(segments)
     text[start[1:] - 1] = np.arange(len(segments))
     ends = np.repeat(start[1:] - 1, size + 1)
-    hit = RunIndex(text, ends, int(size.max()) + 1).statistics() >= window
+    hit = RunIndex(text, ends, int(size.max()) + 1, len(segments) - 1).statistics() >= window
     return [hit[start[k] : start[k] + size[k] - window + 1] for k in range(len(segments))]
 
 
