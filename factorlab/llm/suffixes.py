@@ -104,8 +104,7 @@ def suffix_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(first):
         key <<= 9
-        ok = room > k
-        key[ok] |= symbols[np.flatnonzero(ok) + k]
+        key[: n - k] |= symbols[k:] * (room[: n - k] > k)
     order = np.argsort(key, kind="stable")  # equal short suffixes: by place, as their sentinels
     sorted_, short = key[order], room[order] < first
     new = np.ones(n, bool)
@@ -134,7 +133,7 @@ def suffix_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Runs of the Burrows-Wheeler transform of sentinel-ended segments, sampled at both ends of each run."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int, text_base: int):
+    def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int, text_base: int, least: int):
         order = suffix_order(np.where(ends == np.arange(len(text)), 0, text - text_base), ends - np.arange(len(text)))
         before = np.where(order > 0, text[order - 1], -1)
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
@@ -143,7 +142,7 @@ class RunIndex:
         self.head_at, self.tail_at = order[self.heads], order[self.tails]  # the sampled suffixes
         up = np.where(self.heads > 0, order[self.heads - 1], -1)
         down = np.where(self.tails + 1 < len(order), order[np.minimum(self.tails + 1, len(order) - 1)], -1)
-        self.head_match, self.tail_match = matched(text, ends, self.head_at, up, limit), matched(text, ends, self.tail_at, down, limit)
+        self.head_match, self.tail_match = matched(text, ends, self.head_at, up, limit, least), matched(text, ends, self.tail_at, down, limit, least)
         self.n = len(text)
 
     def statistics(self) -> np.ndarray:
@@ -157,10 +156,12 @@ class RunIndex:
         return out
 
 
-def matched(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b up to their segments' ends (0 where b is -1)."""
+def matched(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, least: int) -> np.ndarray:
+    """Common prefix of the suffixes at a and b up to their segments' ends (0 where b is -1, or it is below `least`)."""
     n = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(b >= 0)
+    # a first symbol and one further on tell most pairs apart; what is below them is of no use as a match
+    probe = [np.minimum(x + min(least - 1, 24), len(text) - 1) for x in (a, b)]
+    live = np.flatnonzero((b >= 0) & (text[probe[0]] == text[probe[1]]) & (text[a] == text[b]))
     most = np.minimum(ends[a] - a, np.where(b >= 0, ends[b] - b, 0))
     step = 16
     while len(live):
@@ -186,7 +187,7 @@ def marked(segments: list[bytes], window: int) -> list[np.ndarray]:
     text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + len(segments)
     text[start[1:] - 1] = np.arange(len(segments))
     ends = np.repeat(start[1:] - 1, size + 1)
-    hit = RunIndex(text, ends, int(size.max()) + 1, len(segments) - 1).statistics() >= window
+    hit = RunIndex(text, ends, int(size.max()) + 1, len(segments) - 1, window).statistics() >= window
     return [hit[start[k] : start[k] + size[k] - window + 1] for k in range(len(segments))]
 
 
