@@ -16,7 +16,8 @@ from .sources import bars as B
 def kept(c: Column) -> Column:
     """What the queries keep of a value: a binary grid by magnitude, which rounds alike on any engine."""
     grid = lambda k: F.rint(c * float(1 << k)) / float(1 << k)
-    return F.when(F.abs(c) < 10, grid(27)).when(F.abs(c) < 1e5, grid(14)).otherwise(grid(3)) + 0.0
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(c))) - 30)
+    return F.when(F.abs(c) < 10, grid(27)).when(F.abs(c) < 1e5, grid(14)).otherwise(F.rint(c / unit) * unit) + 0.0
 
 
 def compute(bars: DataFrame, factors: list[Factor]) -> DataFrame:

@@ -8,7 +8,7 @@ from .planner import STEPS, nodes
 def rounded(x: str) -> str:
     """What the output keeps of a value."""
     grid = lambda k: f"round_even({x} * {float(1 << k)!r}, 0) / {float(1 << k)!r}"
-    return f"(CASE WHEN abs({x}) < 10 THEN {grid(27)} WHEN abs({x}) < 1e5 THEN {grid(14)} ELSE {grid(3)} END + 0.0)"
+    return f"(CASE WHEN abs({x}) < 10 THEN {grid(27)} WHEN abs({x}) < 1e5 THEN {grid(14)} ELSE round_even({x} / pow(2, floor(log2(abs({x}))) - 30), 0) * pow(2, floor(log2(abs({x}))) - 30) END + 0.0)"
 
 
 def stepped(x: str) -> str:

@@ -164,15 +164,15 @@ class Plan:
 
         return df.groupBy("symbol").applyInPandas(work, schema)
 
-    def apply(self, bars: DataFrame) -> DataFrame:
-        """symbol, date and one column per root."""
+    def apply(self, bars: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+        """symbol, date, the columns to keep and one column per root."""
         df = bars
         for kind, batch in self.stages():
             if kind == "sma":
                 df = self.smoothed(df, batch)
             else:
                 df = df.select("*", *(self.window(x).alias(self.names[x]) for x in batch))
-        return df.select(*KEYS, *(self.column(x).cast("double").alias(name) for name, x in self.roots.items()))
+        return df.select(*KEYS, *keep, *(self.column(x).cast("double").alias(name) for name, x in self.roots.items()))
 
 
 def recursive_mean(x: pd.Series, n: int, m: int) -> pd.Series:
