@@ -208,10 +208,11 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **names: str) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    kept = scan(docs, benchmark, **names).where(F.size("_hits") == 0)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, new = shared.renamed(docs)
+    kept = scan(plain, benchmark, text=new[text], **names).where(F.size("_hits") == 0)
+    return kept.select(*new.values()).toDF(*docs.columns)
 
 
 #: n_words to contaminated in DuckDB SQL.

@@ -273,29 +273,30 @@ def joined(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, *, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, of each component only one row: that with the smallest doc_id. Rows without words all stay; of
     rows that repeat both doc_id and set one stays."""
+    plain, new = shared.renamed(docs)
     rows, vertices = classes(docs, ngram=ngram, doc_id=doc_id, text=text, **options)
     told = rows.where(F.col("v").isNotNull()).join(vertices, "v")
     stays = (F.col("v") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("first"))
     gone = shared.written(told.where(~stays).select("v", "doc_id").distinct())
     again = shared.written(told.where(stays).groupBy("v", "doc_id").count().where(F.col("count") > 1).select("v", "doc_id"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_v", T.LongType())])
+    schema = T.StructType([*plain.schema.fields, T.StructField("_v", T.LongType())])
 
     def sign(batches):
         for t in batches:
-            h, first = grams(t.column(text), ngram)
+            h, first = grams(t.column(new[text]), ngram)
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(signatures(h, first), mask=np.diff(first) == 0)], schema.names)
 
-    signed = docs.mapInArrow(sign, schema)
+    signed = plain.mapInArrow(sign, schema)
 
     def named(df: DataFrame) -> DataFrame:
         return df.select("v", F.col("doc_id").alias("_id"))
 
     def condition(other: DataFrame):
-        return (F.col("_v") == other["v"]) & F.col(f"`{doc_id}`").eqNullSafe(other["_id"])
+        return (F.col("_v") == other["v"]) & F.col(new[doc_id]).eqNullSafe(other["_id"])
 
     out, repeats = named(gone), named(again)
     kept = signed.join(shared.small(out, gone.count()), condition(out), "left_anti")
     if not again.isEmpty():
         some = F.broadcast(repeats) if again.count() <= shared.BROADCAST_ROWS else repeats
-        kept = kept.join(some, condition(repeats), "left_anti").union(kept.join(some, condition(repeats), "left_semi").dropDuplicates(["_v", doc_id]))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.join(some, condition(repeats), "left_anti").union(kept.join(some, condition(repeats), "left_semi").dropDuplicates(["_v", new[doc_id]]))
+    return kept.select(*new.values()).toDF(*docs.columns)

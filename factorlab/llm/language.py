@@ -152,5 +152,6 @@ def digest(docs: DataFrame, **names: str) -> DataFrame:
 
 def keep(docs: DataFrame, **names: str) -> DataFrame:
     """The rows that aren't rejected, with their own columns."""
-    found = predict(docs, fit(docs, **names), text=names.get("text", "text")).where(~F.col("_rejected"))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, new = shared.renamed(docs)
+    found = predict(plain, fit(docs, **names), text=new[names.get("text", "text")]).where(~F.col("_rejected"))
+    return found.select(*new.values()).toDF(*docs.columns)

@@ -89,10 +89,12 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their own columns. Texts aren't moved."""
-    rows = described(docs, doc_id, text, source)
+    plain, new = shared.renamed(docs)
+    rows = described(plain, new[doc_id], new[text], new[source])
     cut, n = thresholds(shared.written(rows.select("_key", "_size", "_h")), weights)
     taken = rows.join(shared.small(cut, n), "_key").withColumn("_times", times())
-    return taken.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = taken.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return copies.select(*new.values()).toDF(*docs.columns)
 
 
 #: The same mix in DuckDB SQL.

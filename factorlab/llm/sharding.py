@@ -17,6 +17,8 @@ from . import shared
 
 #: Packs of small groups a shard; large groups a shard at most; rows that are numbered together.
 PACKS, LARGE, RUN_ROWS = 1024, 64, 500_000
+#: Columns that the result adds.
+OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def lpt(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
@@ -35,10 +37,11 @@ def shard(docs: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: st
 
     Rows of equal text share a shard; null texts are a group of their own, of size 1 each, not that of
     empty texts. A null doc_id is kept and sorts first. Repeated rows get slots of their own. An empty table
-    gives no rows. Columns that aren't named are not read.
+    gives no rows. Columns that aren't named are not read; a carried one with the name of an added one is left out.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t"), *(F.col(f"`{c}`") for c in carry if c != doc_id))
+    carried = {f"_c{i}": c for i, c in enumerate(carry) if c != doc_id and c not in OWN}
+    named = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t"), *(F.col(f"`{c}`").alias(k) for k, c in carried.items()))
     packs = shards * PACKS
     keyed = named.withColumns({"_g": shared.text_key(F.col("_t")), "_n": F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long") + 1})
     keyed = keyed.withColumn("_p", F.pmod(F.xxhash64("_g"), F.lit(packs)).cast("int"))
@@ -62,10 +65,10 @@ def shard(docs: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: st
     first = counts.withColumn("_first", F.sum("_c").over(Window.partitionBy("_shard").orderBy("_run")) - F.col("_c")).drop("_c")
     first = shared.small(shared.written(first), shards * runs)
     number = F.row_number().over(Window.partitionBy("_shard", "_run").orderBy("_id", "_g")) - 1
-    done = placed(keyed).withColumn("_crc", F.crc32(F.coalesce("_t", F.lit("")))).drop("_t" if "_t" not in carry else "").withColumn("_i", number).join(first, ["_shard", "_run"])
+    done = placed(keyed).withColumn("_crc", F.crc32(F.coalesce("_t", F.lit("")))).drop("_t").withColumn("_i", number).join(first, ["_shard", "_run"])
     return done.select(
         F.col("_id").alias(doc_id),
-        *(F.col(f"`{c}`") for c in carry if c != doc_id),
+        *(F.col(k).alias(c) for k, c in carried.items()),
         F.col("_n").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),

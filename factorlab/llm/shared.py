@@ -43,3 +43,9 @@ def text_key(text: Column) -> Column:
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns under the given new names, so that other columns can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in names.items()))
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under the names c0, c1, ..., which no internal name clashes with, and the new name of each column."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new, strict=True))
