@@ -5,8 +5,9 @@ texts is counted in each fragment by itself and summed per pair, and a pair is g
 what is left can't reach the threshold. Only pairs that share an n-gram of their prefixes can link.
 
 Texts with equal sets are one vertex. Vertices are compared with the most central vertex of each prefix
-n-gram first, then with all members of the largest component there, then with those of every other component
-that is left: a group of thousands of near copies becomes one component without the list of its pairs.
+n-gram first; those that stay outside the largest component of an n-gram are then compared, tile by tile, with
+its members and with each other. Tasks give links that connect, not all pairs: a group of thousands of near
+copies becomes one component without the list of its pairs.
 """
 
 from __future__ import annotations
@@ -155,7 +156,8 @@ def ordered(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
 
 
 def touching(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """asked(v, c), members(v, c): links (a, b) from each asked v to a member of c, if any links with it.
+    """asked(v, c), members(v, c): links (a, b) of asked vertices with members of the same c, as many as connect
+    what all their links connect.
 
     Members and askers of a large c are dealt into tiles, and every pair of tiles meets in some group.
     """
@@ -187,7 +189,8 @@ def touching(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int
 
 
 def linked(asked: pa.Table, members: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """For each asked vertex the member it overlaps most, if they link: fragment after fragment, sums per pair."""
+    """Links of asked vertices with members, without those that close a circle: overlaps are counted fragment
+    after fragment and summed per pair."""
     n, v = members.column("n").to_numpy().astype(np.int64), members.column("v").to_numpy()
     index, left = [], []
     for k in range(FRAGMENTS):
@@ -197,7 +200,13 @@ def linked(asked: pa.Table, members: pa.Table, percent: int) -> list[tuple[int,
         index.append((h[order], doc[order]))
         left.append(np.array([len(x) // 8 for x in raw]))
     after = [sum(left[k + 1 :], np.zeros(len(v), np.int64)) for k in range(FRAGMENTS)]
-    out = []
+    out, parent = [], {}
+
+    def top(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
     sets = [[np.frombuffer(x, np.uint64) for x in asked.column(f"f{k}").to_pylist()] for k in range(FRAGMENTS)]
     for i, (w, m) in enumerate(zip(asked.column("v").to_pylist(), asked.column("n").to_pylist(), strict=True)):
         least = -(-percent * (n + m) // (100 + percent))  # overlap that the similarity asks for
@@ -210,8 +219,11 @@ def linked(asked: pa.Table, members: pa.Table, percent: int) -> list[tuple[int,
             if not open_.any():
                 break
         else:
-            best = int(np.argmax(np.where(open_, total, -1)))
-            out.append((w, int(v[best])))
+            for x in v[open_].tolist():
+                p, q = top(w), top(x)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((w, x))
     return out
 
 
@@ -239,21 +251,17 @@ def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_
     centres = centre.select(F.col("c").alias("v"), "c").distinct()
     links = shared.written(touching(near, centres, sets, percent))
 
-    for every in (False, True):  # with the largest component of each n-gram, then with all that are left
-        label = components(links).withColumnRenamed("c", "c0")
-        label = shared.written(sets.select("v").join(label, "v", "left").select("v", F.coalesce("c0", "v").alias("c")))
-        sized = label.join(label.groupBy("c").agg(F.count("*").alias("size")), "c")
-        named = shared.written(postings.select("gram", "v").join(sized, "v"))
-        there = named.groupBy("gram", "c").agg(F.max("size").alias("size"))
-        mixed = shared.written(there.groupBy("gram").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("k")).where(F.col("k") > 1))
-        if mixed.isEmpty():
-            break
-        if every:
-            others = shared.written(there.join(mixed.select("gram"), "gram", "left_semi").select("gram", F.col("c").alias("oc"), F.col("size").alias("os")))
-            asked = named.join(others, "gram").where(F.struct("size", "c") < F.struct(F.col("os").alias("size"), F.col("oc").alias("c"))).select("v", F.col("oc").alias("c"))
-        else:
-            asked = named.join(mixed.select("gram", "top"), "gram").where(F.col("c") != F.col("top.c")).select("v", F.col("top.c").alias("c"))
-        links = shared.written(links.union(touching(asked.distinct(), label, sets, percent)))
+    # what is left at each n-gram, with its largest component and with each other
+    label = components(links).withColumnRenamed("c", "c0")
+    label = shared.written(sets.select("v").join(label, "v", "left").select("v", F.coalesce("c0", "v").alias("c")))
+    sized = label.join(label.groupBy("c").agg(F.count("*").alias("size")), "c")
+    named = shared.written(postings.select("gram", "v").join(sized, "v"))
+    there = named.groupBy("gram", "c").agg(F.max("size").alias("size"))
+    mixed = there.groupBy("gram").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("k")).where(F.col("k") > 1)
+    mixed = shared.written(mixed.select("gram", F.col("top.c").alias("top")))
+    rest = named.join(mixed, "gram").where(F.col("c") != F.col("top")).select("v", F.col("top").alias("c")).distinct()
+    rest = shared.written(rest)
+    links = shared.written(links.union(touching(rest, label.union(rest), sets, percent)))
     found = components(links)
     named = vertices.join(found, "v", "left").select("v", "first", F.coalesce("c", "v").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"), F.min_by("v", F.struct(F.col("first").isNull(), "first", "v")).alias("kept"))
