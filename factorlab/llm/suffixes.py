@@ -27,14 +27,13 @@ _HASH, _ROUTE = hashing.Hash(6), hashing.Hash(61)
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     """Least of each w values in sequence."""
-    n = len(h) - w + 1
+    n, size = len(h) - w + 1, 1
     if n <= 0:
         return h[:0]
-    pad = np.full(-len(h) % w, np.iinfo(np.uint64).max, np.uint64)
-    x = np.concatenate([h, pad]).reshape(-1, w)
-    before = np.minimum.accumulate(x, 1).ravel()
-    after = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(after[:n], before[w - 1 : w - 1 + n])
+    while 2 * size <= w:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[:n], h[w - size : w - size + n])
 
 
 def run_starts(*values: np.ndarray) -> np.ndarray:
@@ -105,8 +104,10 @@ def suffix_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
     for k in range(first):
         key <<= 9
         key[: n - k] |= symbols[k:] * (room[: n - k] > k)
-    order = np.argsort(key, kind="stable")  # equal short suffixes: by place, as their sentinels
+    order = np.argsort(key)
     sorted_, short = key[order], room[order] < first
+    at = np.flatnonzero(short)  # equal short suffixes: by place, as their sentinels
+    order[at] = order[at][np.lexsort((order[at], sorted_[at]))]
     new = np.ones(n, bool)
     new[1:] = (sorted_[1:] != sorted_[:-1]) | short[1:] | short[:-1]
     rank = np.empty(n, np.int64)
@@ -114,9 +115,9 @@ def suffix_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
     single = new & np.append(new[1:], True)
     tied, k = order[~single], first
     while len(tied):  # a tied suffix is longer than k: the sentinels differ
-        by = np.argsort(rank[tied] * (n + 1) + rank[np.minimum(tied + k, n - 1)], kind="stable")
-        tied = tied[by]
         g, key = rank[tied], rank[np.minimum(tied + k, n - 1)]
+        by = np.argsort(g * (n + 1) + key)
+        tied, g, key = tied[by], g[by], key[by]
         head = np.ones(len(tied), bool)
         head[1:] = g[1:] != g[:-1]
         new = head.copy()
