@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .factor_queries import kept
 from .functions.alphas import definitions
 from .operators import evaluation as E
+from .operators import models as MOD
 from .operators import portfolio as P
 from .operators import statistics as S
 from .operators import universe as U
@@ -568,6 +569,162 @@ def delisting_returns(spark, sf_dir):
     return out(P.delisted(E.padded_returns(bars), gone), "symbol", "date", "ret")
 
 
+def overlap_sql(days: int) -> str:
+    return OVERLAP.replace(h(4), h(days - 1)).replace("WHERE i > 5", f"WHERE i > {days}")
+
+
+_GRID = (5, 8, 10, 15, 20)
+_HELD = ", ".join(sum(([f"o{d} AS (SELECT {d} AS hold_days, port_ret, cum / max(cum) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM op_{d})"] for d in _GRID), []))
+
+
+def _renamed(sql: str, d: int) -> str:
+    for t in ("t0", "t1", "t2", "t3", "t4", "t5", "op"):
+        sql = sql.replace(f"{t} AS ", f"{t}_{d} AS ").replace(f"FROM {t} ", f"FROM {t}_{d} ").replace(f"FROM {t})", f"FROM {t}_{d})")
+    return sql
+
+
+@query(f"{R}, {', '.join(_renamed(overlap_sql(d), d) for d in _GRID)}, {_HELD}, m AS ({' UNION ALL '.join(f'SELECT hold_days, {PERF}, min(dd) AS mdd FROM o{d} GROUP BY 1' for d in _GRID)}) SELECT hold_days, {g('annual')}, {g('sharpe')}, {g('mdd')}, n FROM m")
+def hold_grid(spark, sf_dir):
+    p = base(spark, sf_dir)
+    runs = None
+    for d in _GRID:
+        one = P.overlapping(p, d).select(F.lit(d).alias("hold_days"), "date", "port_ret")
+        runs = one if runs is None else runs.union(one)
+    return out(P.performance(runs, keys=("hold_days",)), "hold_days", "annual", "sharpe", "mdd", "n")
+
+
+@query(f"{R}, {UNIVERSE}, v AS (SELECT date, avg(vol) FILTER (member) AS mv FROM (SELECT date, member, CASE WHEN count(ret) OVER {h(19)} = 20 THEN stddev_samp(ret) OVER {h(19)} END AS vol FROM u) GROUP BY date), sc AS (SELECT date, CASE WHEN mv > (SELECT quantile_cont(mv, 0.5) FROM v) THEN 0.5 ELSE 1.0 END AS scale FROM v), {OVERLAP.replace('t3 AS (SELECT *, lag(held)', 't2s AS (SELECT t2.* EXCLUDE held, held * coalesce(scale, 1) AS held FROM t2 LEFT JOIN sc USING (date)), t3 AS (SELECT *, lag(held)').replace('AS b4 FROM t2)', 'AS b4 FROM t2s)')} SELECT {D}, {', '.join(map(g, ('port_ret', 'turnover', 'cum')))} FROM op")
+def scaled_portfolio(spark, sf_dir):
+    m = members(spark, sf_dir)
+    vol = S.market_features(m, 20, 52).select("date", F.col("market_vol_20d").alias("mv"))
+    middle = vol.agg(F.percentile("mv", 0.5).alias("middle"))
+    scale = vol.crossJoin(F.broadcast(middle)).select("date", F.when(F.col("mv") > F.col("middle"), 0.5).otherwise(1.0).alias("scale"))
+    return out(P.overlapping(m, scale=scale), "date", "port_ret", "turnover", "cum")
+
+
+def _share_sql(share: float, name: str) -> str:
+    sql = f"{WEIGHTS.replace('0.2', str(share))}, {BACKTEST}".replace("sched AS", "_")
+    for t in ("wt", "dly", "dw", "c0", "c1", "bt"):
+        for a, b in ((f"{t} AS MATERIALIZED", f"{t}_{name} AS MATERIALIZED"), (f"{t} AS (", f"{t}_{name} AS ("), (f"FROM {t})", f"FROM {t}_{name})"), (f"FROM {t} ", f"FROM {t}_{name} "), (f"JOIN {t} ON", f"JOIN {t}_{name} {t} ON")):
+            sql = sql.replace(a, b)
+    return sql.replace(f"FROM c0_{name} LEFT JOIN", f"FROM c0_{name} c0 LEFT JOIN")
+
+
+_SHARES = {"a": 0.1, "b": 0.2, "c": 0.3}
+
+
+@query(f"{R}, {SCHEDULE.format(unit='month')}, {', '.join(_share_sql(v, k) for k, v in _SHARES.items())}, m AS ({' UNION ALL '.join(f'SELECT {v} AS share, x.* FROM ({metric_sql(f"bt_{k}")}) x' for k, v in _SHARES.items())}) SELECT {', '.join(map(g, ('share', *_M)))} FROM m")
+def top_share_scan(spark, sf_dir):
+    p = base(spark, sf_dir)
+    schedule = P.rebalance_dates(p)
+    runs = None
+    for v in _SHARES.values():
+        one = P.section_backtest(p, P.section_weights(p, schedule, v, v), schedule).withColumn("share", F.lit(v))
+        runs = one if runs is None else runs.union(one)
+    return out(P.metrics(runs, ("share",)), "share", *_M)
+
+
+@query(f"""WITH {B.SQL}, {MA}, y AS (SELECT DISTINCT year(date) AS test_year FROM bars), tr AS (SELECT symbol, test_year, fast, slow, CASE WHEN stddev_samp(net) > 1e-12 THEN sqrt(252.0) * (avg(net) - 0.02 / 252) / stddev_samp(net) ELSE 0 END AS s FROM sb JOIN y ON year(date) >= test_year - 3 AND year(date) < test_year GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol, test_year ORDER BY round_even(s * 1048576, 0) DESC, fast, slow) AS i FROM tr), o AS (SELECT b.symbol, b.test_year::INT AS test_year, b.fast, b.slow, product(1 + coalesce(net, 0)) - 1 AS test_return FROM b JOIN sb ON sb.symbol = b.symbol AND sb.fast = b.fast AND sb.slow = b.slow AND year(sb.date) = test_year WHERE i = 1 GROUP BY ALL) SELECT symbol, test_year, fast, slow, {g('test_return')} FROM o""")
+def walk_forward_ma(spark, sf_dir):
+    t = traded(spark, sf_dir).withColumn("year", F.year("date"))
+    spread = t.withColumn("test_year", F.explode(F.sequence(F.col("year") + 1, F.col("year") + 3))).join(F.broadcast(t.select(F.col("year").alias("test_year")).distinct()), "test_year")
+    train = spread.groupBy("symbol", "test_year", "fast", "slow").agg((F.when(F.stddev_samp("net") > 1e-12, F.sqrt(F.lit(252.0)) * (F.avg("net") - 0.02 / 252) / F.stddev_samp("net")).otherwise(0.0)).alias("s"))
+    best = Window.partitionBy("symbol", "test_year").orderBy(F.rint(F.col("s") * 1048576).desc(), "fast", "slow")
+    chosen = train.withColumn("i", F.row_number().over(best)).where(F.col("i") == 1).select("symbol", F.col("test_year").alias("year"), "fast", "slow")
+    done = t.join(chosen, ["symbol", "year", "fast", "slow"]).groupBy("symbol", F.col("year").alias("test_year"), "fast", "slow").agg((F.product(1 + F.coalesce("net", F.lit(0.0))) - 1).alias("test_return"))
+    return out(done, "symbol", "test_year", "fast", "slow", "test_return")
+
+
+@query(f"""{R}, k AS (SELECT * FROM n WHERE score IS NOT NULL AND score2 IS NOT NULL AND fwd IS NOT NULL), d AS (SELECT date, var_pop(score) AS v1, var_pop(score2) AS v2, covar_pop(score, score2) AS c12, covar_pop(score, fwd) AS c1, covar_pop(score2, fwd) AS c2 FROM k GROUP BY date HAVING count(*) >= 9),
+o AS (SELECT date, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b_score, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b_score2 FROM d WHERE v1 * v2 - c12 * c12 > 1e-12) SELECT {D}, {g('b_score')}, {g('b_score2')} FROM o""")
+def fama_macbeth_multi(spark, sf_dir):
+    return out(MOD.daily_ols(E.next_returns(base(spark, sf_dir)), "fwd", ["score", "score2"]), "date", "b_score", "b_score2")
+
+
+@query()
+def linear_baseline(spark, sf_dir):
+    y = U.labels(E.horizon_returns(base(spark, sf_dir)))
+    return out(MOD.out_of_fold(y, list(SCORES)), "fold", "symbol", "date", "pred", "label")
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    y = U.labels(E.horizon_returns(base(spark, sf_dir)))
+    return out(MOD.permutation_importance(y, list(SCORES)), "score", "auc", "auc_permuted", "drop")
+
+
+@query(f"""{R}, {', '.join(bin_cte(k, f'bins_{k}') for k in SCORES)}, l AS ({' UNION ALL '.join(f"SELECT '{v}' AS factor, date, avg(fwd) FILTER (bin = 4) - avg(fwd) FILTER (bin = 0) AS ls FROM bins_{k} GROUP BY date" for k, v in SCORES.items())}),
+s AS (SELECT factor, CASE WHEN avg(ls) < 0 THEN -1 ELSE 1 END AS sign FROM l GROUP BY 1), z AS (SELECT factor, date, ls * sign AS ls FROM l JOIN s USING (factor)), c AS (SELECT a.factor AS factor_a, b.factor AS factor_b, corr(a.ls, b.ls) AS corr FROM z a JOIN z b USING (date) WHERE a.ls IS NOT NULL AND b.ls IS NOT NULL GROUP BY ALL) SELECT factor_a, factor_b, {g('corr')} FROM c""")
+def signal_similarity(spark, sf_dir):
+    p = E.next_returns(base(spark, sf_dir))
+    runs = None
+    for k, v in SCORES.items():
+        one = E.quantile_returns(p, k).select(F.lit(v).alias("factor"), "date", (F.col("q5") - F.col("q1")).alias("ls"))
+        runs = one if runs is None else runs.union(one)
+    sign = runs.groupBy("factor").agg(F.when(F.avg("ls") < 0, -1).otherwise(1).alias("sign"))
+    z = runs.join(F.broadcast(sign), "factor").select("factor", "date", (F.col("ls") * F.col("sign")).alias("ls")).where(F.col("ls").isNotNull())
+    a, b = z.select(F.col("factor").alias("factor_a"), "date", F.col("ls").alias("x")), z.select(F.col("factor").alias("factor_b"), "date", F.col("ls").alias("y"))
+    return out(a.join(b, "date").groupBy("factor_a", "factor_b").agg(E.correlation("x", "y").alias("corr")), "factor_a", "factor_b", "corr")
+
+
+@query(f"""{R}, {UNIVERSE}, f AS (SELECT 'fixed' AS universe, date, avg(coalesce(ret, 0)) AS r FROM u WHERE symbol <= {TOP} GROUP BY date UNION ALL SELECT 'point_in_time', date, avg(coalesce(ret, 0)) FROM u WHERE member GROUP BY date),
+m AS (SELECT universe, avg(r) AS mean, stddev_samp(r) AS deviation, count(*) AS n FROM f GROUP BY 1) SELECT universe, {g('mean')}, {g('deviation')}, n FROM m""")
+def universe_bias(spark, sf_dir):
+    m = members(spark, sf_dir).withColumn("r", F.coalesce("ret", F.lit(0.0)))
+    fixed = m.where(F.col("symbol") <= TOP).groupBy("date").agg(F.avg("r").alias("r")).withColumn("universe", F.lit("fixed"))
+    pit = m.where("member").groupBy("date").agg(F.avg("r").alias("r")).withColumn("universe", F.lit("point_in_time"))
+    return out(fixed.union(pit).groupBy("universe").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("deviation"), F.count(F.lit(1)).alias("n")), "universe", "mean", "deviation", "n")
+
+
+@query(f"""{R}, b AS (SELECT symbol, date, round(sum(close) OVER {h(3)} / 4, 6) AS x, fwd FROM n WHERE close IS NOT NULL), k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / 2.0 AS c FROM b), o AS (SELECT symbol, corr(a, c) AS ic, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 30) SELECT symbol, {g('ic')}, n FROM o""")
+def series_ic(spark, sf_dir):
+    b = E.next_returns(base(spark, sf_dir)).where(F.col("close").isNotNull())
+    b = b.withColumn("x", F.round(F.sum("close").over(E.history().rowsBetween(-3, 0)) / 4, 6))
+
+    def rank(c):
+        w = Window.partitionBy("symbol").orderBy(c)
+        return (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / 2.0
+
+    k = b.select("symbol", rank("x").alias("a"), rank("fwd").alias("c"))
+    return out(k.groupBy("symbol").agg(E.correlation("a", "c").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 30), "symbol", "ic", "n")
+
+
+@query("SELECT DISTINCT l_partkey AS symbol FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size < 25")
+def missing_symbols(spark, sf_dir):
+    have = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 25").select(F.col("p_partkey").alias("symbol"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("symbol")).distinct().join(have, "symbol", "left_anti")
+
+
+@query("""WITH u AS (SELECT s_suppkey AS symbol, s_name AS name, 1 AS source FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 2 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, upper(s_name), 3 FROM supplier)
+SELECT symbol, name, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY source) AS k FROM u) WHERE k = 1""")
+def first_source_wins(spark, sf_dir):
+    s, c = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    u = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.lit(1).alias("source"))
+    u = u.union(c.where("c_custkey % 3 = 0").select("c_custkey", "c_name", F.lit(2))).union(s.select("s_suppkey", F.upper("s_name"), F.lit(3)))
+    first = Window.partitionBy("symbol").orderBy("source")
+    return u.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+
+
+@query(f"WITH {B.SQL}, m AS (SELECT symbol, date, month(date) AS m, close FROM bars), t AS (SELECT symbol, m, avg(close) AS c FROM m GROUP BY ALL) SELECT symbol::BIGINT AS symbol, {', '.join(g(f'max(c) FILTER (m = {k})', f'm{k}') for k in (1, 6, 12))} FROM t GROUP BY symbol")
+def monthly_pivot(spark, sf_dir):
+    b = B.weekly(spark, sf_dir).withColumn("m", F.concat(F.lit("m"), F.month("date")))
+    return out(b.groupBy("symbol").pivot("m", ["m1", "m6", "m12"]).agg(F.avg("close")), "symbol", "m1", "m6", "m12")
+
+
+@query(f"WITH {B.SQL}, r AS (SELECT symbol, date, close, percent_rank() OVER (PARTITION BY date ORDER BY close) AS k FROM bars) SELECT least(floor(k * 10), 9)::BIGINT AS bin, count(*) AS n, {g('avg(close)', 'mean')} FROM r GROUP BY 1")
+def equal_width_bins(spark, sf_dir):
+    r = B.weekly(spark, sf_dir).withColumn("k", F.percent_rank().over(E.day().orderBy("close")))
+    return out(r.groupBy(F.least(F.floor(F.col("k") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean")), "bin", "n", "mean")
+
+
+@query(f"""WITH {B.SQL}, {MA}, t AS (SELECT symbol, net, trade FROM sb WHERE fast = 4 AND slow = 20), w AS (SELECT symbol, count(*) FILTER (trade <> 0) AS trades, coalesce(avg((net > 0)::INT) FILTER (trade <> 0), 0) AS win_rate FROM t GROUP BY 1) SELECT symbol, trades, {g('win_rate')} FROM w""")
+def trade_win_rate(spark, sf_dir):
+    t = traded(spark, sf_dir, [(4, 20)])
+    on = F.col("trade") != 0
+    return out(t.groupBy("symbol").agg(F.count(F.when(on, 1)).alias("trades"), F.coalesce(F.avg(F.when(on, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("win_rate")), "symbol", "trades", "win_rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
