@@ -23,12 +23,9 @@ from . import blocks, hashing, shared
 from .components import components
 
 #: Words of an n-gram, and the least similarity in hundredths.
-NGRAM, PERCENT = 4, 85
+NGRAM, PERCENT = 5, 80
 #: Fragments of the global order; vertices of one component that are compared in one task.
-FRAGMENTS, TILE = 4, 2000
-#: Share of the hash range whose n-grams are compared over the whole corpus; a set that links lacks at most the
-#: 15 % that the similarity allows of them, so fewer sets than those need all their n-grams compared.
-SAMPLED = 0.3
+FRAGMENTS, TILE = 4, 500
 _WORD, _GRAM, _SET = hashing.Hash(4), hashing.Hash(41), hashing.Hash(42)
 
 
@@ -67,6 +64,12 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def sampled_share(percent: int) -> float:
+    """Share of the hash range whose n-grams are compared over the whole corpus: twice what a set may lack of one
+    it links with, so about half of them must be shared. Sets with fewer of them than they may lack all stay."""
+    return min(1.0, 2 * (100 - percent) / 100)
+
+
 def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent: int) -> DataFrame:
     """(v, n, s): the vertices whose n-grams of the lowest hashes are shared as often as a link asks for, with
     their sets. A vertex is taken from its home, the block that `homes` names."""
@@ -83,7 +86,7 @@ def candidates(rows: DataFrame, buckets: int, homes: DataFrame, n: int, percent:
     def sampled(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(first)[rows]
         own = h[hashing.spread(first[rows], size)]
-        low = own < np.uint64(SAMPLED * 2.0**64)
+        low = own <= np.uint64(min(int(sampled_share(percent) * 2**64), 2**64 - 1))
         return own[low], np.repeat(np.arange(len(rows)), size)[low]
 
     def inbox(other: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +168,7 @@ def touching(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     queries = asked.groupBy("c").agg(F.count("*").alias("q"))
     sizes = shared.written(members.join(queries, "c").groupBy("c").agg(F.count("*").alias("m"), F.max("q").alias("q")))
     total = sizes.agg(F.sum("m"), F.sum("q")).first()
-    groups = max(64, ((total[0] or 0) + (total[1] or 0)) // 1000)
+    groups = max(64, ((total[0] or 0) + (total[1] or 0)) // 250)
     tiles = sizes.select("c", F.ceil(F.col("m") / TILE).cast("int").alias("tm"), F.ceil(F.col("q") / TILE).cast("int").alias("tq"))
     frags = [f"f{k}" for k in range(FRAGMENTS)]
 

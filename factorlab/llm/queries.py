@@ -27,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(documents(spark, sf_dir))
+    return jaccard.joined(documents(spark, sf_dir), ngram=4, percent=85)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

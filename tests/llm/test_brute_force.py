@@ -44,11 +44,11 @@ def test_op2(spark, texts):
     assert max(load.values()) - min(load.values()) <= largest
 
 
-def components(texts):
+def components(texts, ngram=4, percent=85):
     sets = {}
     for i, t in texts.items():
         w = re.findall(SPACED, (t or "").translate(LOWER))
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + ngram]) for k in range(len(w) - ngram + 1)) if len(w) >= ngram else frozenset([tuple(w)] if w else [])
     where, parent = defaultdict(list), {i: i for i in sets}
     for i, s in sets.items():
         for x in s:
@@ -61,7 +61,7 @@ def components(texts):
 
     for i, s in sets.items():
         for j, n in Counter(j for x in s for j in where[x] if j > i).items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = top(i), top(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), top(i)) for i in sets}
@@ -157,7 +157,7 @@ def test_pipeline(spark, texts):
     assert all(list(s[0].asDict()) == columns for s in steps[:-1])
     kept = {r.doc_id: r.text for r in steps[0]}
     assert len(kept) >= 0.99 * len(texts)
-    assert sorted(r.doc_id for r in steps[1]) == sorted({c for _, c in components(kept).values()})
+    assert sorted(r.doc_id for r in steps[1]) == sorted({c for _, c in components(kept, 5, 80).values()})
     items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.translate(LOWER)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9)) if w}
     sizes = {len(w) for w in windows}

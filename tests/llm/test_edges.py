@@ -75,7 +75,7 @@ def test_repeated_rows_are_removed_whole(docs):
 
 def test_components_of_edges(docs):
     got = defaultdict(set)
-    for r in jaccard.joined(docs).collect():
+    for r in jaccard.joined(docs, ngram=4, percent=85).collect():
         got[r.doc_id].add((r.n_shingles, r.component_id))
     assert got[5] == {(len(set(zip(*(LONG.split()[k:] for k in range(4))))), 5)} and {c for _, c in got[6]} == {5}
     assert got[1] == {(0, 1)} and got[2] == {(0, 2)} and got[3] == {(1, 3)} and got[4] == {(0, 4)}
