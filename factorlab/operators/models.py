@@ -78,7 +78,7 @@ def permutation_importance(df: DataFrame, scores: list[str], label: str = "label
 
 
 def boosted_trees(train: DataFrame, scores: list[str], label: str = "label", rounds: int = 20):
-    """Gradient-boosted trees of Spark's own library: a substitute for the reference's boosting, not its numbers."""
+    """Gradient-boosted trees of Spark's own library: a substitute for other boosting libraries, not their numbers."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
