@@ -18,7 +18,7 @@ from . import hashing, shared
 #: Hashed n-gram buckets, centroids per language, rows a vector batch.
 BUCKETS, CENTROIDS, ROWS = 4096, 4, 256
 #: Labelled rows per language that the fit may use (about; chosen by hash, the same in each run).
-SAMPLE = 1500
+SAMPLE = 500
 #: A text is rejected below this share of the lowest percentile of the similarities seen in training.
 TOLERANCE, PERCENTILE = 0.5, 0.5
 _SPACED = np.arange(256, dtype=np.uint8)
@@ -55,8 +55,10 @@ class Model:
     least: np.ndarray  # by binary logarithm of the number of n-grams: similarity under which a text is rejected
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
-        x = np.log1p(tf, dtype=np.float32) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.log1p(tf, dtype=np.float32)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+        return x
 
     @staticmethod
     def bins(tf: np.ndarray) -> np.ndarray:
@@ -94,9 +96,11 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     got = chosen.select("t", "l").mapInArrow(work, "l string, v binary").toArrow()  # bounded: SAMPLE rows of 8 KB a language
     tf = np.frombuffer(b"".join(got.column("v").to_pylist()), np.uint16).reshape(-1, BUCKETS)
     label = np.array([languages.index(x) for x in got.column("l").to_pylist()], int)
-    keep = tf.any(1)
-    order = np.lexsort((*[tf[keep][:, c] for c in range(8)], tf[keep].sum(1), label[keep]))  # the same whatever the order of arrival
-    tf, label = tf[keep][order], label[keep][order]
+    del got
+    size = tf.sum(1, dtype=np.int64)
+    order = np.lexsort((*tf[:, :8].T, size, label))  # the same whatever the order of arrival
+    order = order[size[order] > 0]
+    tf, label = tf[order], label[order]
     if not len(tf):
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(24))
     model = Model(languages, (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32), np.zeros(0), np.zeros(0), np.zeros(24))
