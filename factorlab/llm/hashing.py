@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _NOT_ALNUM = np.ones(256, bool)
@@ -78,7 +78,7 @@ class Hash:
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(values)
         if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
+            size = n + n // 4 + 1  # workers keep these arrays
             for name, by in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 powers = np.full(size, by, np.uint64)
                 powers[0] = 1
