@@ -8,6 +8,9 @@ Texts with equal sets are one vertex. Vertices are compared with the most centra
 n-gram first; those that stay outside the largest component of an n-gram are then compared, tile by tile, with
 its members and with each other. Tasks give links that connect, not all pairs: a group of thousands of near
 copies becomes one component without the list of its pairs.
+
+How many rows each row links with is counted afterwards: all links lie inside components, so every pair of
+vertices of a component is compared once, in pairs of tiles, and tasks give sums per vertex.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from .components import components
 NGRAM, PERCENT = 5, 80
 #: Fragments of the global order; vertices of one component that are compared in one task.
 FRAGMENTS, TILE = 4, 500
+#: An n-gram that this share of a tile's pairs has (one of so many) is counted by a product of matrices; columns
+#: of the matrices, and pairs that are listed at once.
+DENSE, COLUMNS, PAIRS = 50, 4096, 1 << 22
 _WORD, _GRAM, _SET = hashing.Hash(4), hashing.Hash(41), hashing.Hash(42)
 
 
@@ -230,9 +236,73 @@ def linked(asked: pa.Table, members: pa.Table, percent: int) -> list[tuple[int,
     return out
 
 
-def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of a shares with each of b. N-grams that many of them have are counted by a
+    product of matrices, the others pair by pair."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)), np.int64)
+    x, i = np.concatenate(a), np.repeat(np.arange(len(a)), [len(s) for s in a])
+    y, j = np.concatenate(b), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    both = np.intersect1d(x, y)
+    (ok, x), (ok_y, y) = hashing.in_sorted(x, both), hashing.in_sorted(y, both)
+    x, i, y, j = x[ok], i[ok], y[ok_y], j[ok_y]
+    by = np.argsort(y, kind="stable")
+    y, j = y[by], j[by]
+    n = np.bincount(y, minlength=len(both))
+    first = np.cumsum(n) - n
+    out = np.zeros(len(a) * len(b), np.int64)
+    common = DENSE * np.bincount(x, minlength=len(both)) * n > len(out)
+    at = np.flatnonzero(~common[x])
+    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(n[x[at]]) // PAIRS)) + 1):
+        out += np.bincount(np.repeat(i[part], n[x[part]]) * len(b) + j[hashing.spread(first[x[part]], n[x[part]])], minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    place, total = np.cumsum(common) - 1, int(common.sum())
+    x, i, y, j = place[x[common[x]]], i[common[x]], place[y[common[y]]], j[common[y]]
+    for k in range(0, total, COLUMNS):
+        p, q = (x >= k) & (x < k + COLUMNS), (y >= k) & (y < k + COLUMNS)
+        left, right = (np.zeros((len(s), min(COLUMNS, total - k)), np.float32) for s in (a, b))
+        left[i[p], x[p] - k] = 1
+        right[j[q], y[q] - k] = 1
+        out += (left @ right.T).astype(np.int64)
+    return out
+
+
+def counted(found: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(v, links): with how many rows of other vertices those of v link. found(v, c) has the component of each
+    vertex that links, copies(v, copies) its number of rows."""
+    tiles = shared.written(found.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    groups = max(64, (found.join(tiles, "c").agg(F.sum("tiles")).first()[0] or 0) // 250)
+    frags = [f"f{k}" for k in range(FRAGMENTS)]
+    dealt = found.join(tiles, "c").withColumn("own", F.pmod(F.xxhash64("v"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("v", "own", (F.col("own") == F.col("other")).alias("same"), F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("tile")).join(copies, "v").join(sets.select("v", "n", *frags), "v")
+
+    def work(t: pa.Table) -> pa.Table:
+        tile, own, same = t.column("tile").to_numpy(), t.column("own").to_numpy(), t.column("same").to_pylist()
+        v, n, times = t.column("v").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("copies").to_numpy()
+        raw = [t.column(name) for name in frags]
+        links = np.zeros(len(v), np.int64)
+        order = np.lexsort((own, tile))
+        for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):  # a pair of tiles, one may be empty
+            cut = np.searchsorted(own[rows], own[rows[0]], "right")
+            x, y = rows[:cut], rows if same[rows[0]] else rows[cut:]
+            total = np.zeros((len(x), len(y)), np.int64)
+            for f in raw:
+                a, b = ([np.frombuffer(s, np.uint64) for s in f.take(pa.array(z)).to_pylist()] for z in (x, y))
+                total += overlaps(a, b)
+            link = (total >= -(-percent * (n[x][:, None] + n[y]) // (100 + percent))) & (v[x][:, None] != v[y])
+            links[x] += link @ times[y]
+            if not same[rows[0]]:
+                links[y] += times[x] @ link
+        return pa.table({"v": v, "links": links})
+
+    parts = dealt.withColumn("g", F.pmod("tile", F.lit(groups)).cast("int")).groupBy("g").applyInArrow(work, "v long, links long")
+    return parts.groupBy("v").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, *, count: bool = False, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, v) with the vertex of each row (null if it has no n-gram), and (v, first,
-    component_id, kept): the vertices with their smallest doc_id, that of their component and the vertex that has it."""
+    component_id, kept): the vertices with their smallest doc_id, that of their component and the vertex that has it.
+    With count also n_links, the number of other rows that a row of the vertex links with."""
     rows, buckets = blocks.cut(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -243,7 +313,7 @@ def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_
             yield pa.RecordBatch.from_arrays([t.column("b"), t.column("doc_id"), pa.array(n), pa.array(signatures(h, first), mask=n == 0)], ["b", "doc_id", "n_shingles", "v"])
 
     meta = shared.written(rows.mapInArrow(describe, f"b int, doc_id {kind}, n_shingles long, v long"))
-    vertices = shared.written(meta.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("first"), F.min("b").alias("b")))
+    vertices = shared.written(meta.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("first"), F.min("b").alias("b"), F.count("*").alias("copies")))
     sets = shared.written(candidates(rows, buckets, vertices.select("b", "v"), ngram, percent))
     sets = shared.written(ordered(sets, buckets, percent))
     postings = shared.written(sets.select(F.explode("prefix").alias("gram"), "v", "n", "central"))
@@ -268,17 +338,23 @@ def classes(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, doc_
     found = components(links)
     named = vertices.join(found, "v", "left").select("v", "first", F.coalesce("c", "v").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"), F.min_by("v", F.struct(F.col("first").isNull(), "first", "v")).alias("kept"))
-    return meta.drop("b"), shared.written(named.join(least, "c").select("v", "first", "component_id", "kept"))
+    told = named.join(least, "c").select("v", "first", "component_id", "kept")
+    if count:
+        told = told.join(vertices.select("v", "copies"), "v").join(counted(found, sets, vertices.select("v", "copies"), percent), "v", "left")
+        told = told.select("v", "first", "component_id", "kept", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return meta.drop("b"), shared.written(told)
 
 
 def joined(docs: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included) and
+    n_links (all other rows that it links with, those of equal sets included).
 
     Rows without words link with nothing; repeated rows and equal texts are one vertex; a null doc_id is never
     the smallest unless all are null. Sets are compared by 64-bit hashes of n-grams.
     """
-    rows, vertices = classes(docs, **options)
-    return rows.join(vertices.select("v", "component_id"), "v", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows, vertices = classes(docs, count=True, **options)
+    named = rows.join(vertices.select("v", "component_id", "n_links"), "v", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

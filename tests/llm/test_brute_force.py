@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factorlab.llm import fingerprint, queries
+from factorlab.llm import fingerprint, jaccard, queries
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +71,39 @@ def test_op4(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_jaccard_join(spark, SF).collect()} == components(texts)
 
 
+def plain_links(texts, ngram=4, percent=85):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(SPACED, (t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[k : k + ngram]) for k in range(max(len(w) - ngram + 1, min(len(w), 1))))
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    return {i: sum(100 * n >= percent * (len(s) + len(sets[j]) - n) for j, n in Counter(j for x in s for j in where[x] if j != i).items()) for i, s in sets.items()}
+
+
+def test_op4_links(spark, texts):
+    assert {r.doc_id: r.n_links for r in queries.op4_jaccard_join(spark, SF).collect()} == plain_links(texts)
+
+
+def test_op4_links_of_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(120)], {}
+    for i in range(90):  # chains and a dense group; three exact copies
+        w = list(base)
+        for k in rng.choice(120, rng.integers(0, 5), replace=False):
+            w[k] = f"x{rng.integers(0, 40)}"
+        texts[i] = " ".join(w) if i % 30 else " ".join(base)
+    want = plain_links(texts)
+    assert 5 < len(set(want.values())) and max(want.values()) < 90
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tile, dense in ((7, 50), (7, 0), (500, 10**6)):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        assert {r.doc_id: r.n_links for r in jaccard.joined(docs, ngram=4, percent=85).collect()} == want
+
+
 def test_op5(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").collect()
