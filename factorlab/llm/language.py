@@ -21,6 +21,8 @@ BUCKETS, CENTROIDS, ROWS = 4096, 4, 256
 SAMPLE = 500
 #: A text is rejected below this share of the lowest percentile of the similarities seen in training.
 TOLERANCE, PERCENTILE = 0.5, 0.5
+#: Labelled rows that a length's bound rests on at least, if there are so many; steps in which similarities are counted.
+LEAST_ROWS, STEPS = 20, 4096
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[[b for b in range(128) if not 97 <= b <= 122]] = 32
 
@@ -78,6 +80,25 @@ def clustered(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def bounds(seen: np.ndarray) -> np.ndarray:
+    """The bound of each length, from the number of rows by length and similarity. A length with few rows takes
+    the next longer ones in until they suffice, then the next shorter ones."""
+    out = np.zeros(len(seen))
+    for b in range(len(seen)):
+        pool, lo, hi = seen[b].copy(), b, b + 1
+        while pool.sum() < LEAST_ROWS and (lo > 0 or hi < len(seen)):
+            if hi < len(seen):
+                pool += seen[hi]
+                hi += 1
+            else:
+                lo -= 1
+                pool += seen[lo]
+        if pool.any():
+            rank = int(PERCENTILE / 100 * (pool.sum() - 1))
+            out[b] = TOLERANCE * np.searchsorted(np.cumsum(pool), rank, "right") / STEPS
+    return out
+
+
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows with a language, some letter and crc32(doc_id as text) mod 4 other than 2."""
     rows = shared.columns(docs, i=doc_id, t=text, l=lang).where(F.col("l").isNotNull() & (F.crc32(F.col("i").cast("string")) % 4 != 2))
@@ -108,11 +129,23 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     parts = [(k, clustered(x[label == k], CENTROIDS)) for k in range(len(languages)) if (label == k).any()]
     model.centroids = np.concatenate([c for _, c in parts]).astype(np.float32)
     model.owner = np.concatenate([np.full(len(c), k) for k, c in parts])
-    best = (x @ model.centroids.T).max(1)
-    size = model.bins(tf)
-    for b in range(24):  # a bin with few rows takes its smaller neighbours' bound
-        at = best[size == b]
-        model.least[b] = TOLERANCE * np.percentile(at, PERCENTILE) if len(at) >= 20 else model.least[b - 1] if b else 0.0
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, out = carried.value, np.zeros(24 * (STEPS + 1), np.int64)
+        for b in batches:
+            for _, tf in counts(b.column("t")):
+                tf = tf[tf.sum(1) > 0]
+                cell = (np.clip((m.vectors(tf) @ m.centroids.T).max(1), 0, 1) * STEPS).astype(int)
+                out += np.bincount(m.bins(tf) * (STEPS + 1) + cell, minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    # similarities of all labelled rows, not only of the sample: short texts are too few in it
+    seen = np.zeros(24 * (STEPS + 1), np.int64)
+    for r in rows.where(F.col("t").isNotNull()).select("t").mapInArrow(tell, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most one a cell
+        seen[r["at"]] = r["n"]
+    model.least = bounds(seen.reshape(24, -1))
     return model
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factorlab.llm import fingerprint, jaccard, queries
+from factorlab.llm import fingerprint, jaccard, language, queries
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,6 +112,28 @@ def test_op5(spark):
     assert all(0 <= r.score <= 1 for r in got) and np.mean([r.rejected for r in got]) < 0.01
 
 
+def test_op5_rejects_short_texts(spark):
+    rng = np.random.default_rng(3)
+    finnish = "ja on se että hän ei olla mutta kun niin myös vain tämä joka kanssa vielä sitten kaikki talo metsä järvi kesä yöllä aamulla työ ihminen".split()
+    letters, base64 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    foreign = [(i, " ".join(rng.choice(finnish, 20))) for i in range(20)]
+    foreign += [(i, " ".join("".join(rng.choice(list(letters), 6)) for _ in range(20))) for i in range(20, 40)]
+    foreign += [(i, "".join(rng.choice(list(base64), 140))) for i in range(40, 60)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    got = language.predict(spark.createDataFrame(foreign, "doc_id long, text string"), model).collect()
+    assert (model.least > 0).all() and all(r._rejected for r in got)
+    short = language.predict(docs.where("lang is not null and length(text) between 1 and 170").select("doc_id", "text"), model).collect()
+    assert len(short) > 10 and not any(r._rejected for r in short)
+
+
+def test_op5_bounds_pool_lengths():
+    seen = np.zeros((24, language.STEPS + 1), np.int64)
+    seen[6, 1024], seen[7, 3072], seen[9, 2048], seen[15, 1000] = 5, 14, 1, 3
+    got = language.bounds(seen)
+    assert (got[:7] == 0.125).all() and got[7] == got[8] == got[9] == 0.5 * 1000 / language.STEPS and (got[10:16] == 0.5 * 1000 / language.STEPS).all() and got[23] == 0.5 * 1000 / language.STEPS
+
+
 def test_op6(spark, texts):
     raw = {i: (t or "").encode() for i, t in texts.items()}
     seen = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
