@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Every slice of documents gets a word-level suffix array. Every benchmark suffix is searched in it by
-bisection: the range of suffixes that begin with its window gives all occurrences, its neighbours in the
-array give the longest verbatim match. The array is sparse: a suffix whose first words no benchmark
-window begins with can't match and is left out. No document leaves its task, so nothing is shuffled.
+bisection: the range of suffixes that begin with its window gives all occurrences. Every occurrence is then
+searched in the sorted suffixes of the benchmark, where its neighbours give the longest verbatim match that
+begins there. The array is sparse: a suffix whose first words no benchmark window begins with can't match and
+is left out. No document leaves its task, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import hashing, shared
 
 #: Words of a window; words of a suffix's start that the sparse array looks at.
 WINDOW, HEAD = 10, 3
+#: Occurrences that are extended at once.
+EXTENDED = 2048
 #: Bytes of benchmark text that one pass carries to the executors; more text takes more passes.
 PASS_BYTES = 32 << 20
 _HASH = hashing.Hash(10)
@@ -87,16 +90,49 @@ class Benchmark:
         full = np.minimum(WINDOW, counts[self.item])
         self.suffix = np.where(np.arange(self.depth) < self.length[:, None], padded[np.arange(len(ids))[:, None] + np.arange(self.depth)], 0)
         starts_window = self.length >= full
+        at = np.flatnonzero(starts_window) + self.item[starts_window]  # with a 0 after each item
+        seq = np.zeros(len(ids) + len(counts), np.int32)
+        seq[np.arange(len(ids)) + self.item] = ids
         self.item, self.place, self.length, self.suffix = (x[starts_window] for x in (self.item, self.place, self.length, self.suffix))
+        self.array = Suffixes(seq, at.copy(), self.depth)
+        self.ranked = np.searchsorted(at, self.array.order)  # suffixes by rank
         size = full[starts_window]
         windows = np.where(np.arange(WINDOW) < size[:, None], self.suffix[:, :WINDOW], 0)
         self.windows, self.window = np.unique(windows, axis=0, return_inverse=True) if len(windows) else (windows, np.zeros(0, np.int64))
         self.size = (self.windows > 0).sum(1)
+        self.first = np.unique(self.window.ravel(), return_index=True)[1]  # of each window its first suffix
         pairs = np.unique(np.stack([self.window.ravel(), self.item], 1), axis=0) if len(windows) else np.zeros((0, 2), np.int64)
         self.owner, self.owner_first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.head = int(min(HEAD, self.size.min(initial=HEAD)))
         self.heads = np.unique(self.key(self.windows[:, : self.head]))
 
+    def longest(self, seq: np.ndarray, where: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, words, suffix, place) of the longest matches that begin at the places `where` of seq, of each
+        document all that are as long; of suffixes that match as far the first."""
+
+        def rows(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            q = seq[np.minimum(places[:, None] + np.arange(self.depth), len(seq) - 1)]
+            end = q == 0
+            return q, np.where(end.any(1), end.argmax(1), self.depth)
+
+        n = np.zeros(len(where), np.int64)
+        for k in range(0, len(where), EXTENDED):
+            q, length = rows(where[k : k + EXTENDED])
+            rank = self.array.bisect(q, length, False)
+            n[k : k + EXTENDED] = np.maximum(self.array.common(q, length, rank - 1)[0], self.array.common(q, length, rank)[0])
+        most = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
+        np.maximum.at(most, doc, n)
+        best = n == most[doc]
+        where, doc, n = where[best], doc[best], n[best]
+        first, known = np.zeros(len(where), np.int64), {}
+        for k in range(0, len(where), EXTENDED):
+            q, size = rows(where[k : k + EXTENDED])[0], n[k : k + EXTENDED]
+            for i, pair in enumerate(zip(self.array.bisect(q, size, False).tolist(), self.array.bisect(q, size, True).tolist(), strict=True)):
+                if pair not in known:
+                    known[pair] = int(self.ranked[pair[0] : pair[1]].min())
+                first[k + i] = known[pair]
+        return doc, n, first, where
+
     @staticmethod
     def key(ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.uint64)
@@ -142,17 +178,12 @@ def matches(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int],
                 if len(where):
                     for x, w in np.unique(np.stack([d, window], 1), axis=0):
                         items.setdefault(int(x), set()).update(bench.owner[bench.owner_first[w] : bench.owner_first[w + 1]].tolist())
-                    sought = np.flatnonzero(np.isin(bench.window.ravel(), window))
-                    q, size = bench.suffix[sought], bench.length[sought]
-                    rank = array.bisect(q, size, False)
-                    for near in (rank - 1, rank):
-                        n, _ = array.common(q, size, near)
-                        for k in np.flatnonzero(n):
-                            p = int(array.order[near[k]])
-                            x = int(np.searchsorted(base, p, "right") - 1)
-                            s = int(sought[k])
-                            found = (-int(n[k]), int(bench.item[s]), int(bench.place[s]), p - int(base[x]))
-                            best[x] = min(best.get(x, found), found)
+                    whole = bench.size[window] == WINDOW  # shorter ones are whole items and end there
+                    long = bench.longest(array.seq, where[whole], d[whole])
+                    short = d[~whole], bench.size[window[~whole]], bench.first[window[~whole]], where[~whole]
+                    for x, n, s, p in zip(*(np.concatenate(c).tolist() for c in zip(long, short, strict=True)), strict=True):
+                        found = (-n, int(bench.item[s]), int(bench.place[s]), p - int(base[x]))
+                        best[x] = min(best.get(x, found), found)
         for x in range(j - i):
             b = best.get(x)
             yield int(counts[x]), hits.get(x, []), [bench.ids[k] for k in sorted(items.get(x, ()))], b and (bench.ids[b[1]], b[2], b[3], -b[0])
@@ -160,8 +191,8 @@ def matches(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int],
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with four more columns: _n_words, _hits (indexes of words inside a window's occurrence), _items
-    (ids of the items whose windows occur) and _longest (a longest verbatim match of the slice's search:
-    item_id, item_place, place, words).
+    (ids of the items whose windows occur) and _longest (the longest verbatim match that begins with a window:
+    item_id, item_place, place, words; null if no window occurs).
 
     The benchmark is carried to the tasks in passes of bounded size. Null texts have no words; an item with
     no words has no window; an item of fewer than ten words is one window. Repeated items count once by id,

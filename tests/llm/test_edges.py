@@ -133,6 +133,30 @@ def test_passes_over_a_large_benchmark(spark, bench, monkeypatch):
     assert one == many and one[0][1] == 3 and one[1][1] >= 3 and one[1][2] == 0
 
 
+def test_longest_match_of_each_copy(spark):
+    items = [" ".join(f"a{k}" for k in range(30)), " ".join(f"a{k}" for k in range(5, 45)), "tiny item here", " ".join(["ab"] * 14)]
+    words = [i.split() for i in items]
+    texts = [f"x{n} y " + " ".join(words[1][s : s + m]) + f" z{n}" for n, (s, m) in enumerate([(0, 40), (0, 40), (0, 22), (0, 22), (3, 15), (3, 15), (20, 12), (1, 9)])]
+    texts += ["see tiny item here", "again tiny item here", " ".join(["ab"] * 12), " ".join(["ab"] * 20), items[0] + " q " + items[1], "nothing"]
+
+    def plain(text):
+        w, found = text.split(), []
+        for i, item in enumerate(words):
+            for s in range(len(item)):
+                for p in range(len(w)):
+                    n = 0
+                    while s + n < len(item) and p + n < len(w) and item[s + n] == w[p + n]:
+                        n += 1
+                    if n >= min(10, len(item)):
+                        found.append((-n, i, s, p))
+        return (lambda b: (b[1], b[2], b[3], -b[0]))(min(found)) if found else None
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    got = {r.doc_id: r._longest and tuple(r._longest) for r in decontamination.scan(docs, bench).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_scores_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
