@@ -1,17 +1,16 @@
 """Secret scans: patterns for three known formats, and automata learned from the credentials they find.
 
-Grammar inference: the credentials' prefix tree is folded, states whose continuations are statistically
-compatible are merged (Hoeffding bound, red-blue order), and the result is a probabilistic automaton per
-kind. Every long token of every text is scored by its likelihood under the automata against that under a
-model of ordinary tokens; tokens of a likely format that no pattern covers are reported as well.
+Grammar inference: statistically compatible states of the credentials' prefix tree are merged into a
+probabilistic automaton per kind (automata.py). Every candidate, a credential that a pattern found or a token
+of twelve bytes or more, is scored by its likelihood under the automata against that under a model of ordinary
+tokens; tokens of a likely format that no pattern covers are reported as well.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,113 +19,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing, shared
+from .automata import CHARS, END, SYMBOL, SYMBOLS, Automaton, fitted, smoothed
 
 #: Fixed patterns; letters of the first in either case.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Least lengths: of an assigned value, an access key, a hex run, a token that the automata score.
-LEAST = {"assign": 12, "access": 18, "hex": 16, "format": 16}
+LEAST = {"assign": 12, "access": 18, "hex": 16, "format": 12}
 KINDS = ("assign", "access", "hex", "format")
-#: Credentials per kind and ordinary tokens that the fit may use (about; chosen by hash), the bound's risk.
-SAMPLE, ORDINARY, ALPHA = 400, 4000, 0.02
-#: A token is reported if its log likelihood ratio per symbol exceeds this, and its own score what all but a
-#: hundredth of the credentials reach.
-MARGIN = 0.4
+#: Different credentials a kind that the fit may use (about; chosen by hash), and bytes that one of them may have.
+SAMPLE, LONGEST = 2000, 512
+#: A token is reported if it is so many times likelier under an automaton than as an ordinary token, and its
+#: symbols about as likely as those of the credentials.
+ODDS = 1e6
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
+#: Bytes of a token; up to two = may follow.
 _TOKEN = np.zeros(256, bool)
-_TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-#: Symbols of the automata: classes of bytes, and how many bytes each has.
-_SYMBOL = np.full(256, 8, np.int8)
-_SIZES = np.array([6, 20, 6, 20, 10, 1, 1, 3, 200], float)
-for _k, _bytes in enumerate((b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"_", b"-", b"+/=")):
-    _SYMBOL[list(_bytes)] = _k
-END, SYMBOLS = 9, 10
+_TOKEN[list(CHARS)] = True
+_TOKEN[list(b".=")] = False
 
 
-def symbols(token: bytes) -> list[int]:
-    return [*_SYMBOL[np.frombuffer(token, np.uint8)].tolist(), END]
-
-
-@dataclass
-class Automaton:
-    """A deterministic probabilistic automaton: per state the counts and targets of its symbols."""
-
-    count: list[dict[int, int]] = field(default_factory=list)
-    to: list[dict[int, int]] = field(default_factory=list)
-    least: float = 0.0
-
-    def score(self, s: list[int]) -> float:
-        """Mean log likelihood of a symbol; unseen ones get a small share, and a lost word ends there."""
-        total, q = 0.0, 0
-        for k, a in enumerate(s):
-            c = self.count[q]
-            total += math.log((c.get(a, 0) + 0.01) / (sum(c.values()) + 0.01 * SYMBOLS)) - (math.log(_SIZES[a]) if a < END else 0.0)
-            if a == END:
-                break
-            if a not in self.to[q]:
-                total += (len(s) - k - 1) * math.log(1e-3)
-                break
-            q = self.to[q][a]
-        return total / len(s)
-
-
-def inferred(words: list[list[int]], alpha: float = ALPHA) -> Automaton:
-    """Merges compatible states of the words' prefix tree, the lowest first, until none is left to merge."""
-    tree = Automaton([{}], [{}])
-    for w in words:
-        q = 0
-        for a in w:
-            tree.count[q][a] = tree.count[q].get(a, 0) + 1
-            if a != END:
-                if a not in tree.to[q]:
-                    tree.to[q][a] = len(tree.to)
-                    tree.count.append({})
-                    tree.to.append({})
-                q = tree.to[q][a]
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def compatible(p: int, q: int, depth: int = 12) -> bool:
-        cp, cq = tree.count[p], tree.count[q]
-        n, m = sum(cp.values()), sum(cq.values())
-        if not n or not m:
-            return True
-        gap = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        if any(abs(cp.get(a, 0) / n - cq.get(a, 0) / m) > gap for a in cp.keys() | cq.keys()):
-            return False
-        return depth == 0 or all(compatible(tree.to[p][a], tree.to[q][a], depth - 1) for a in sorted(tree.to[p].keys() & tree.to[q].keys()) if tree.to[p][a] != p or tree.to[q][a] != q)
-
-    def fold(p: int, q: int) -> None:
-        pairs = [(p, q)]
-        while pairs:
-            x, y = pairs.pop()
-            for a, c in tree.count[y].items():
-                tree.count[x][a] = tree.count[x].get(a, 0) + c
-            for a, z in tree.to[y].items():
-                if a in tree.to[x]:
-                    pairs.append((tree.to[x][a], z))
-                else:
-                    tree.to[x][a] = z
-
-    red, blue = [0], [(0, a) for a in sorted(tree.to[0])]
-    while blue:
-        p, a = blue.pop(0)
-        q = tree.to[p][a]
-        if q in red:
-            continue
-        same = next((r for r in red if compatible(r, q)), None)
-        if same is None:
-            red.append(q)
-            blue += [(q, b) for b in sorted(tree.to[q])]
-        else:
-            tree.to[p][a] = same
-            fold(same, q)
-            blue = [(r, b) for r in red for b in sorted(tree.to[r]) if tree.to[r][b] not in red]
-    place = {q: i for i, q in enumerate(red)}
-    out = Automaton([tree.count[q] for q in red], [{a: place[z] for a, z in tree.to[q].items()} for q in red])
-    scores = sorted(out.score(w) for w in words)
-    out.least = scores[len(scores) // 100] if scores else 0.0
-    return out
+def tokens(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of `least` bytes or more."""
+    starts, ends, _ = hashing.words(data, off, ~_TOKEN)
+    last = off[np.searchsorted(off, starts, "right")]
+    for _ in range(2):
+        ends = ends + ((ends < last) & (data[np.minimum(ends, len(data) - 1)] == 61))
+    long = ends - starts >= least
+    return starts[long], ends[long]
 
 
 def runs(data: np.ndarray, off: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,93 +84,125 @@ def base(data: np.ndarray, off: np.ndarray) -> tuple[dict[int, list[tuple[int, i
 @dataclass
 class Model:
     automata: dict[str, Automaton]
-    ordinary: np.ndarray  # log probability of a symbol after another, tokens that are no credentials
-
-    def usual(self, s: list[int]) -> float:
-        return sum(self.ordinary[p, a] - (math.log(_SIZES[a]) if a < END else 0.0) for p, a in zip([END, *s[:-1]], s, strict=True)) / len(s)
-
-    def likely(self, token: bytes) -> bool:
-        s = symbols(token)
-        usual = self.usual(s)
-        return any((x := a.score(s)) >= a.least and x - usual >= MARGIN for a in self.automata.values())
+    ordinary: np.ndarray  # log probability of a symbol after another in tokens that are no credentials
+
+    def judged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token: the logarithm of how much likelier it is under the best automaton than as an ordinary
+        token (0 if nothing was learned), and whether it is of a likely format."""
+        ratio, likely = np.full(len(starts), -np.inf), np.zeros(len(starts), bool)
+        if not len(starts) or not self.automata:
+            return np.zeros(len(starts)), likely
+        s = SYMBOL[data]
+        sums = np.concatenate([[0.0], np.cumsum(self.ordinary[s[:-1], s[1:]])])
+        usual = self.ordinary[END, s[starts]] + sums[ends - 1] - sums[starts] + self.ordinary[s[ends - 1], END]
+        for a in self.automata.values():
+            own = a.scores(s, starts, ends)
+            ratio = np.maximum(ratio, own - usual)
+            likely |= (own - usual >= np.log(ODDS)) & (own >= a.least * (ends - starts + 1))
+        return ratio, likely
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Automata from a bounded sample of the credentials that the patterns find, and the model of other tokens."""
+    """Automata from the credentials that the patterns find, of each kind a bounded sample of the different ones,
+    and the symbol pairs of all other tokens, counted over all texts.
+
+    Repeated rows count again as ordinary tokens, not as credentials. Null and empty texts and an empty table teach
+    nothing; credentials of more than LONGEST bytes have no format to learn and are left out. Only the text is read.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed = hashing.Hash(8)
+        pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for b in batches:
             data, off = hashing.flat(b.column("t"))
-            rows = []
+            rows: set[tuple[str, str]] = set()
             for i, j in hashing.slices(off):
                 own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                found, raw = base(own, o)
-                rows += [(KINDS[k], v) for x in found.values() for _, k, _, v in x]
-                inside = hashing.covered(len(own), np.array([m[0] for x in found.values() for m in x], int), np.array([m[2] - m[0] for x in found.values() for m in x], int))
-                s, e = runs(own, o, _TOKEN, 4)
-                pick = (seed.words(own, s, e) % np.uint64(512) == 0) & ~inside[s] if len(s) else np.zeros(0, bool)
-                rows += [("ordinary", raw[p:q]) for p, q in zip(s[pick], e[pick], strict=True)]
-            rows = sorted(set(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v.decode() for _, v in rows], pa.string())], ["kind", "value"])
-
-    seen = shared.written(shared.columns(docs, t=text).mapInArrow(work, "kind string, value string").distinct())
-    n = {r["kind"]: r["count"] for r in seen.groupBy("kind").count().collect()}
-    most = {k: ORDINARY if k == "ordinary" else sample for k in n}
+                found, _ = base(own, o)
+                rows |= {(KINDS[k], v.decode()) for x in found.values() for _, k, _, v in x if len(v) <= LONGEST}
+                s, e = tokens(own, o, LEAST["format"])
+                inside = spans(found, len(own))
+                other = inside[e] == inside[s]
+                s, e = s[other], e[other]
+                a = SYMBOL[own[hashing.spread(s, e - s)]].astype(np.int64)
+                first = np.cumsum(e - s) - (e - s)
+                before = np.roll(a, 1)
+                before[first] = END
+                pairs += np.bincount(before * SYMBOLS + a, minlength=len(pairs))
+                pairs += np.bincount(a[first + (e - s) - 1] * SYMBOLS + END, minlength=len(pairs))
+            rows = sorted(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string()), pa.array([1] * len(rows), pa.int64())], ["kind", "value", "n"])
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(at), pa.string()), pa.array(list(map(str, at.tolist())), pa.string()), pa.array(pairs[at])], ["kind", "value", "n"])
+
+    seen = shared.columns(docs, t=text).mapInArrow(work, "kind string, value string, n long")
+    seen = shared.written(seen.groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    pairs = np.zeros(SYMBOLS * SYMBOLS)
+    for r in seen.where(F.col("kind") == "pair").collect():  # a row a pair of symbols
+        pairs[int(r["value"])] = r["n"]
+    credentials = seen.where(F.col("kind") != "pair")
+    n = {r["kind"]: r["count"] for r in credentials.groupBy("kind").count().collect()}
     got: dict[str, list[bytes]] = {k: [] for k in n}
     if n:
-        share = F.coalesce(*(F.when(F.col("kind") == k, F.lit(int(1e6 * min(1.0, most[k] / n[k])) + 1)) for k in n))
-        for r in seen.where(F.pmod(F.xxhash64("value"), F.lit(1_000_000)) < share).collect():  # about SAMPLE a kind, ORDINARY others
+        share = F.coalesce(*(F.when(F.col("kind") == k, F.lit(int(1e6 * min(1.0, sample / n[k])) + 1)) for k in n))
+        for r in credentials.where(F.pmod(F.xxhash64("value"), F.lit(1_000_000)) < share).collect():  # about SAMPLE a kind
             got[r["kind"]].append(r["value"].encode())
-    follow = np.ones((SYMBOLS, SYMBOLS))
-    for v in sorted(got.pop("ordinary", [])):
-        s = symbols(v)
-        np.add.at(follow, ([END, *s[:-1]], s), 1)
-    return Model({k: inferred([symbols(v) for v in sorted(vs)]) for k, vs in sorted(got.items()) if vs}, np.log(follow / follow.sum(1, keepdims=True)))
+    return Model({k: fitted(vs) for k, vs in sorted(got.items()) if vs}, smoothed(pairs.reshape(SYMBOLS, SYMBOLS)))
+
+
+def spans(found: dict[int, list[tuple[int, int, int, bytes]]], n: int) -> np.ndarray:
+    """How many of the bytes before each place lie in a span."""
+    edges = np.array([m[:3:2] for x in found.values() for m in x], int).reshape(-1, 2)
+    return np.concatenate([[0], np.cumsum(hashing.covered(n, edges[:, 0], edges[:, 1] - edges[:, 0]))])
 
 
 def scan(docs: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
-    """docs with _spans, an array of (start, end, kind) in code points by start and kind: the pattern matches, and
-    as kind `format` tokens of a likely format that touch none of them. Null and empty texts have none."""
+    """docs with _spans, an array of (start, end, kind, score) in code points by start and kind: the pattern matches,
+    and as kind `format` tokens of a likely format that the matches don't cover whole. The score is the logarithm
+    of how much likelier the credential is under the automata than as an ordinary token.
+
+    Null and empty texts have no spans, repeated rows the same ones, an empty table no rows. Very long texts are
+    scanned whole, and so are very long tokens. Other columns stay; none may be called _spans.
+    """
     carried = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
-    fields = "_spans array<struct<start:int,end:int,kind:string>>"
+    fields = "_spans array<struct<start:int,end:int,kind:string,score:double>>"
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(fields).fields])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = carried.value
-        known: dict[bytes, bool] = {}
         for b in batches:
             data, off = hashing.flat(b.column(text))
-            spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            out: list[list[dict]] = [[] for _ in range(b.num_rows)]
             for i, j in hashing.slices(off):
                 own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                found, raw = base(own, o)
-                edges = np.array([m_[:3:2] for x in found.values() for m_ in x], int).reshape(-1, 2)
-                inside = hashing.covered(len(own), edges[:, 0], edges[:, 1] - edges[:, 0])
-                before = np.concatenate([[0], np.cumsum(inside)])
-                for s, e in zip(*runs(own, o, _TOKEN, LEAST["format"]), strict=True):
-                    if before[e] == before[s]:
-                        v = raw[s:e]
-                        if v not in known:
-                            if len(known) > 200_000:
-                                known.clear()
-                            known[v] = m.likely(v)
-                        if known[v]:
-                            found.setdefault(int(np.searchsorted(o, s, "right") - 1), []).append((int(s), 3, int(e), v))
-                if found:
+                found, _ = base(own, o)
+                s, e = tokens(own, o, LEAST["format"])
+                inside = spans(found, len(own))
+                new = inside[e] - inside[s] < e - s
+                s, e = s[new], e[new]
+                rows = [(d, start, k, end, end - len(v), end) for d, x in found.items() for start, k, end, v in x]  # a credential ends its match
+                known = np.array([r[4:] for r in rows], int).reshape(-1, 2)
+                ratio, likely = m.judged(own, np.concatenate([known[:, 0], s]), np.concatenate([known[:, 1], e]))
+                add = np.flatnonzero(likely[len(rows) :])
+                where = np.searchsorted(o, s[add], "right") - 1
+                rows = [(*r[:4], x) for r, x in zip(rows, ratio, strict=False)]
+                rows += [(d, p, 3, q, x) for d, p, q, x in zip(where.tolist(), s[add].tolist(), e[add].tolist(), ratio[len(known) + add], strict=True)]
+                if rows:
                     point = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                    for d, x in found.items():
-                        spans[i + d] = [{"start": int(point[s] - point[o[d]]), "end": int(point[e] - point[o[d]]), "kind": KINDS[k]} for s, k, e, _ in sorted(x)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], schema.names)
+                    for d, p, k, q, x in sorted(rows):
+                        out[i + d].append({"start": int(point[p] - point[o[d]]), "end": int(point[q] - point[o[d]]), "kind": KINDS[k], "score": round(float(x), 3)})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], schema.names)
 
     return docs.mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format and scores (of the spans, in their order) of every
+    row. Repeated rows, null ids, null, empty and very long texts each have a row; an empty table has none. Other
+    columns are not read, whatever their names."""
     found = scan(shared.columns(docs, doc_id=doc_id, text=text), model=model)
     joined = lambda x: F.concat_ws(",", F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     number = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     plain = F.filter("_spans", lambda s: s["kind"] != "format")
-    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"), number("format"))
+    scores = F.concat_ws(",", F.transform("_spans", lambda s: F.format_string("%.3f", s["score"])))
+    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"), number("format"), scores.alias("scores"))
