@@ -21,117 +21,126 @@ from . import hashing, shared
 
 #: Words of a window; words of a suffix's start that the sparse array looks at.
 WINDOW, HEAD = 10, 3
-#: Occurrences that are extended at once.
-EXTENDED = 2048
-#: Bytes of benchmark text that one pass carries to the executors; more text takes more passes.
-PASS_BYTES = 32 << 20
-_HASH = hashing.Hash(10)
+#: Bytes of benchmark text that one pass carries to the executors (about ten times as many with its indexes); more
+#: text takes more passes.
+PASS_BYTES = 8 << 20
+_HASH, _SPAN = hashing.Hash(10), hashing.Hash(11)
 
 
 class Suffixes:
-    """Sorted suffixes of a word-id sequence, compared up to `depth` words. Id 0 ends documents and equals nothing."""
-
-    def __init__(self, seq: np.ndarray, places: np.ndarray, depth: int):
-        self.seq, self.depth = np.concatenate([seq, np.zeros(depth + WINDOW, seq.dtype)]), depth
-        group, order, done = np.zeros(len(places), np.int64), places, 0
-        tied = np.arange(len(places))
-        while len(tied) > 1 and done < depth:
-            step = min(WINDOW, depth - done)
-            keys = self.seq[order[tied][:, None] + np.arange(done, done + step)]
-            by = np.lexsort((*keys.T[::-1], group[tied]))
-            order[tied], keys = order[tied][by], keys[by]
-            g = group[tied]
-            new = np.ones(len(tied), bool)
-            new[1:] = (g[1:] != g[:-1]) | (keys[1:] != keys[:-1]).any(1)
-            group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-            done += step
-            _, back, count = np.unique(group[tied], return_inverse=True, return_counts=True)
-            tied = tied[count[back] > 1]
-        self.order = order
-
-    def common(self, queries: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words that each query shares with the suffix of rank `at`, and whether the suffix is smaller."""
-        ok = (at >= 0) & (at < len(self.order))
-        place = self.order[np.clip(at, 0, len(self.order) - 1)]
-        own = self.seq[place[:, None] + np.arange(queries.shape[1])]
-        differ = (own != queries) | (np.arange(queries.shape[1]) >= length[:, None])
-        n = np.where(differ.any(1), differ.argmax(1), queries.shape[1])
-        row, stop = np.arange(len(queries)), np.minimum(n, queries.shape[1] - 1)
-        return np.where(ok, np.minimum(n, length), 0), (n < length) & (own[row, stop] < queries[row, stop])
+    """Places of a word-id sequence in the order of the next WINDOW words. Id 0 ends documents and equals nothing."""
+
+    def __init__(self, seq: np.ndarray, places: np.ndarray):
+        self.seq = np.concatenate([seq, np.zeros(WINDOW, seq.dtype)])
+        self.order = places[np.lexsort(self.seq[places[:, None] + np.arange(WINDOW)].T[::-1])]
 
     def bisect(self, queries: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
         """First rank whose suffix isn't smaller than the query (after: and doesn't begin with it)."""
         lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(self.order), np.int64)
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            n, less = self.common(queries[open_], length[open_], mid)
-            right = less | (after & (n >= length[open_]))
-            lo[open_[right]], hi[open_[~right]] = mid[right] + 1, mid[~right]
+        while (on := np.flatnonzero(lo < hi)).size:
+            mid = (lo[on] + hi[on]) // 2
+            own, asked = self.seq[self.order[mid][:, None] + np.arange(WINDOW)], queries[on]
+            differ = (own != asked) & (np.arange(WINDOW) < length[on, None])
+            stop, some, row = differ.argmax(1), differ.any(1), np.arange(len(on))
+            right = np.where(some, own[row, stop] < asked[row, stop], after)
+            lo[on[right]], hi[on[~right]] = mid[right] + 1, mid[~right]
         return lo
 
 
+def until_zero(seq: np.ndarray) -> np.ndarray:
+    """Words from each place up to the next 0 (or the end)."""
+    zeros = np.append(np.flatnonzero(seq == 0), len(seq))
+    return zeros[np.searchsorted(zeros, np.arange(len(seq)))] - np.arange(len(seq))
+
+
+def ranks(seq: np.ndarray) -> np.ndarray:
+    """The rank of the suffix at each place, by doubling; suffixes that are equal up to their next 0 may tie."""
+    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
+    reach, longest = 1, int(until_zero(seq).max(initial=0)) + 1
+    while reach < longest and rank.max(initial=0) + 1 < len(rank):
+        after = np.zeros(len(rank), np.int64)
+        after[:-reach] = rank[reach:] + 1
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        reach *= 2
+    return rank
+
+
 class Benchmark:
-    """The words, windows and suffixes of the benchmark items of one pass."""
+    """The words, windows and suffixes of the benchmark items of one pass. All arrays grow with its words alone,
+    however long an item is; matches are compared by hashes of spans."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
+        items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
         self.ids = [i for i, _ in items]
         data, off = hashing.flat(pa.array([t for _, t in items], pa.string()))
         data = hashing.LOWER[data]
         starts, ends, first = hashing.words(data, off, hashing.SEPARATORS["alnum"])
         h = _HASH.words(data, starts, ends)
         self.vocabulary = np.unique(h)
-        ids = np.searchsorted(self.vocabulary, h).astype(np.int32) + 1
         counts = np.diff(first)
-        self.depth = max(WINDOW, int(counts.max(initial=0)))
-        padded = np.concatenate([ids, np.zeros(self.depth, np.int32)])
-        self.item = np.repeat(np.arange(len(counts)), counts)
-        self.place = np.arange(len(ids)) - first[self.item]
-        self.length = counts[self.item] - self.place  # words from here to the item's end
-        full = np.minimum(WINDOW, counts[self.item])
-        self.suffix = np.where(np.arange(self.depth) < self.length[:, None], padded[np.arange(len(ids))[:, None] + np.arange(self.depth)], 0)
-        starts_window = self.length >= full
-        at = np.flatnonzero(starts_window) + self.item[starts_window]  # with a 0 after each item
-        seq = np.zeros(len(ids) + len(counts), np.int32)
-        seq[np.arange(len(ids)) + self.item] = ids
-        self.item, self.place, self.length, self.suffix = (x[starts_window] for x in (self.item, self.place, self.length, self.suffix))
-        self.array = Suffixes(seq, at.copy(), self.depth)
-        self.ranked = np.searchsorted(at, self.array.order)  # suffixes by rank
-        size = full[starts_window]
-        windows = np.where(np.arange(WINDOW) < size[:, None], self.suffix[:, :WINDOW], 0)
-        self.windows, self.window = np.unique(windows, axis=0, return_inverse=True) if len(windows) else (windows, np.zeros(0, np.int64))
-        self.size = (self.windows > 0).sum(1)
-        self.first = np.unique(self.window.ravel(), return_index=True)[1]  # of each window its first suffix
-        pairs = np.unique(np.stack([self.window.ravel(), self.item], 1), axis=0) if len(windows) else np.zeros((0, 2), np.int64)
-        self.owner, self.owner_first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        item = np.repeat(np.arange(len(counts)), counts)
+        self.seq = np.zeros(len(h) + len(counts), np.int32)  # a 0 after each item
+        self.seq[np.arange(len(h)) + item] = np.searchsorted(self.vocabulary, h) + 1
+        place = np.arange(len(h)) - first[item]
+        full = np.minimum(WINDOW, counts[item])
+        begins = np.flatnonzero(counts[item] - place >= full)  # words that a window begins with
+        self.item, self.place, self.at = item[begins], place[begins], begins + item[begins]
+        rank = ranks(self.seq)[self.at]
+        self.ranked = np.lexsort((np.arange(len(rank)), rank))  # suffixes by rank
+        self.run = until_zero(self.seq)
+        size = full[begins]
+        keys = _SPAN.spans(hashing.mixed(self.seq.astype(np.uint64)), self.at, self.at + size)
+        _, self.first, self.window = np.unique(keys, return_index=True, return_inverse=True)  # of each window its first suffix
+        self.size = size[self.first]
+        there = np.arange(WINDOW) < self.size[:, None]
+        self.windows = np.where(there, self.seq[np.minimum(self.at[self.first][:, None] + np.arange(WINDOW), max(len(self.seq) - 1, 0))], 0) if len(begins) else np.zeros((0, WINDOW), np.int32)
+        pairs = np.unique(self.window * np.int64(max(len(items), 1)) + self.item)
+        self.owner, self.owner_first = pairs % max(len(items), 1), np.searchsorted(pairs // max(len(items), 1), np.arange(len(self.windows) + 1))
         self.head = int(min(HEAD, self.size.min(initial=HEAD)))
         self.heads = np.unique(self.key(self.windows[:, : self.head]))
 
     def longest(self, seq: np.ndarray, where: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(doc, words, suffix, place) of the longest matches that begin at the places `where` of seq, of each
         document all that are as long; of suffixes that match as far the first."""
+        mine, theirs = (_SPAN.of(hashing.mixed(s.astype(np.uint64))) for s in (seq, self.seq))
+        run = until_zero(seq)
+        suffixes = self.at[self.ranked]
 
-        def rows(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            q = seq[np.minimum(places[:, None] + np.arange(self.depth), len(seq) - 1)]
-            end = q == 0
-            return q, np.where(end.any(1), end.argmax(1), self.depth)
-
-        n = np.zeros(len(where), np.int64)
-        for k in range(0, len(where), EXTENDED):
-            q, length = rows(where[k : k + EXTENDED])
-            rank = self.array.bisect(q, length, False)
-            n[k : k + EXTENDED] = np.maximum(self.array.common(q, length, rank - 1)[0], self.array.common(q, length, rank)[0])
-        most = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
+        def common(p: np.ndarray, s: np.ndarray, most: np.ndarray) -> np.ndarray:
+            """Words that place p shares with the benchmark's place s, up to `most`."""
+            lo, hi = np.zeros(len(p), np.int64), np.minimum(most, self.run[s])
+            while (on := np.flatnonzero(lo < hi)).size:
+                mid = (lo[on] + hi[on] + 1) // 2
+                same = mine(p[on], p[on] + mid) == theirs(s[on], s[on] + mid)
+                lo[on[same]], hi[on[~same]] = mid[same], mid[~same] - 1
+            return lo
+
+        def bisect(p: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
+            lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(suffixes), np.int64)
+            while (on := np.flatnonzero(lo < hi)).size:
+                mid = (lo[on] + hi[on]) // 2
+                n = common(p[on], suffixes[mid], size[on])
+                stop = n < size[on]
+                right = np.where(stop, self.seq[suffixes[mid] + n] < seq[np.minimum(p[on] + n, len(seq) - 1)], after)
+                lo[on[right]], hi[on[~right]] = mid[right] + 1, mid[~right]
+            return lo
+
+        def beside(rank: np.ndarray) -> np.ndarray:
+            ok = (rank >= 0) & (rank < len(suffixes))
+            return np.where(ok, common(where, suffixes[np.clip(rank, 0, len(suffixes) - 1)], run[where]), 0)
+
+        if not len(where):
+            return doc, np.zeros(0, np.int64), np.zeros(0, np.int64), where
+        rank = bisect(where, run[where], False)
+        n = np.maximum(beside(rank - 1), beside(rank))
+        most = np.zeros(int(doc.max()) + 1, np.int64)
         np.maximum.at(most, doc, n)
         best = n == most[doc]
         where, doc, n = where[best], doc[best], n[best]
-        first, known = np.zeros(len(where), np.int64), {}
-        for k in range(0, len(where), EXTENDED):
-            q, size = rows(where[k : k + EXTENDED])[0], n[k : k + EXTENDED]
-            for i, pair in enumerate(zip(self.array.bisect(q, size, False).tolist(), self.array.bisect(q, size, True).tolist(), strict=True)):
-                if pair not in known:
-                    known[pair] = int(self.ranked[pair[0] : pair[1]].min())
-                first[k + i] = known[pair]
-        return doc, n, first, where
+        lo, hi = bisect(where, n, False), bisect(where, n, True)
+        pair, of = np.unique(lo * (len(suffixes) + 1) + hi, return_inverse=True)
+        first = np.array([self.ranked[x // (len(suffixes) + 1) : x % (len(suffixes) + 1)].min() for x in pair.tolist()], np.int64)
+        return doc, n, first[of], where
 
     @staticmethod
     def key(ids: np.ndarray) -> np.ndarray:
@@ -164,7 +173,7 @@ def matches(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int],
             keep, _ = hashing.in_sorted(heads, bench.heads)
             places, present = places[keep], np.unique(heads[keep])
             if len(places):
-                array = Suffixes(seq, places.copy(), bench.depth)
+                array = Suffixes(seq, places)
                 asked = np.flatnonzero(hashing.in_sorted(bench.key(bench.windows[:, : bench.head]), present)[0])
                 q, size = bench.windows[asked], bench.size[asked]
                 lo, hi = array.bisect(q, size, False), array.bisect(q, size, True)
@@ -179,7 +188,7 @@ def matches(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int],
                     for x, w in np.unique(np.stack([d, window], 1), axis=0):
                         items.setdefault(int(x), set()).update(bench.owner[bench.owner_first[w] : bench.owner_first[w + 1]].tolist())
                     whole = bench.size[window] == WINDOW  # shorter ones are whole items and end there
-                    long = bench.longest(array.seq, where[whole], d[whole])
+                    long = bench.longest(seq, where[whole], d[whole])
                     short = d[~whole], bench.size[window[~whole]], bench.first[window[~whole]], where[~whole]
                     for x, n, s, p in zip(*(np.concatenate(c).tolist() for c in zip(long, short, strict=True)), strict=True):
                         found = (-n, int(bench.item[s]), int(bench.place[s]), p - int(base[x]))
@@ -192,11 +201,15 @@ def matches(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[int],
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with four more columns: _n_words, _hits (indexes of words inside a window's occurrence), _items
     (ids of the items whose windows occur) and _longest (the longest verbatim match that begins with a window:
-    item_id, item_place, place, words; null if no window occurs).
+    item_id, item_place, place, words; null if no window occurs; of equally long ones that of the smallest
+    item_id, a null last, and the first places).
 
-    The benchmark is carried to the tasks in passes of bounded size. Null texts have no words; an item with
-    no words has no window; an item of fewer than ten words is one window. Repeated items count once by id,
-    an item without id marks words but has no id to report. An empty benchmark hits nothing.
+    The benchmark is carried to the tasks in passes of bounded size; an item of any length is searched whole,
+    with memory in proportion to the pass's words. Null and empty texts have no words; an item with no words has no
+    window; an item of fewer than ten words is one window. Repeated items count once by id, an item without
+    id marks words but has no id to report. An empty benchmark hits nothing, an empty table gives no rows.
+    Repeated rows each have their result; very long texts are searched whole. Other columns stay; none may
+    bear the name of an added one.
     """
     items = shared.columns(benchmark, i=item_id, t=item_text).select(F.col("i").cast("long"), "t")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -204,18 +217,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     added = T.StructType.fromDDL("_n_words long, _hits array<int>, _items array<long>, _longest struct<item_id:long,item_place:int,place:int,words:int>")
     schema = T.StructType([*docs.schema.fields, *added.fields])
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.struct([("item_id", pa.int64()), ("item_place", pa.int32()), ("place", pa.int32()), ("words", pa.int32())])]
+
+    def better(a: tuple | None, b: tuple | None) -> tuple | None:
+        return min(filter(None, (a, b)), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[2]), default=None)
+
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
-        carried = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        carried = docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()]))
 
         def work(batches: Iterator[pa.RecordBatch], carried=carried, more=k > 0) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(carried.value)
             for batch in batches:
-                got = list(matches(batch.column(text), bench))
+                got = list(matches(batch.column(text), carried.value))
                 old = batch.num_columns - 4 if more else batch.num_columns
                 if more:
                     before = zip(*(batch.column(old + c).to_pylist() for c in (1, 2, 3)), strict=True)
-                    got = [(n, sorted({*h0, *h}), [*i0, *(x for x in i if x not in i0)], max(filter(None, (l0 and tuple(l0.values()), b)), key=lambda x: x[3], default=None)) for (n, h, i, b), (h0, i0, l0) in zip(got, before, strict=True)]
+                    got = [(n, sorted({*h0, *h}), [*i0, *(x for x in i if x not in i0)], better(l0 and tuple(l0.values()), b)) for (n, h, i, b), (h0, i0, l0) in zip(got, before, strict=True)]
                 cols = [pa.array([g[c] if c < 3 or g[c] is None else dict(zip(("item_id", "item_place", "place", "words"), g[c], strict=True)) for g in got], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:old], *cols], [f.name for f in schema.fields])
 
@@ -224,7 +240,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The columns of the report per document."""
+    """The columns of the report per document, with the words, item and places (from 0) of its longest match."""
     ids = F.array_sort(F.transform(F.array_distinct(F.filter("_items", lambda x: x.isNotNull())), lambda x: x.cast("string")))
     return scanned.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
@@ -235,32 +251,39 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         (F.size("_hits") > 0).alias("contaminated"),
         F.col("_longest.words").alias("longest_words"),
         F.col("_longest.item_id").alias("longest_item"),
+        F.col("_longest.item_place").alias("longest_item_place"),
         F.col("_longest.place").alias("longest_place"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **names: str) -> DataFrame:
-    """The documents without any hit, with their own columns."""
+    """The documents without any hit, with their own columns, whatever their names. Null and empty texts stay, repeated
+    rows stay or go together, an empty table or benchmark removes nothing."""
     plain, new = shared.renamed(docs)
     kept = scan(plain, benchmark, text=new[text], **names).where(F.size("_hits") == 0)
     return kept.select(*new.values()).toDF(*docs.columns)
 
 
-#: n_words to contaminated in DuckDB SQL.
+#: The same report in DuckDB SQL: the longest matches are the longest runs of windows that follow each other in both.
 ORACLE = """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {docs}),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 windows AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS k
-  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(p) WHERE len(w) > 0),
+  SELECT item_id, least(10, len(w)) AS n, s, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS k
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM windows),
 starts AS (
   SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS k
   FROM w, sizes, unnest(range(1, len(w) - n + 2)) AS u(p)),
-found AS (SELECT doc_id, item_id, n, p FROM starts JOIN windows USING (n, k)),
+found AS (SELECT doc_id, item_id, n, s, p FROM starts JOIN windows USING (n, k)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, n, p FROM found), unnest(range(p, p + n)) AS u(q) GROUP BY 1),
-items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY 1)
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY 1),
+runs AS (SELECT doc_id, item_id, n, s, p, p - row_number() OVER (PARTITION BY doc_id, item_id, n, p - s ORDER BY p) AS run FROM found),
+longest AS (
+  SELECT doc_id, item_id, n + count(*) - 1 AS words, min(s) - 1 AS s, min(p) - 1 AS p FROM runs GROUP BY doc_id, item_id, n, p - runs.s, run
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item_id NULLS LAST, min(s), min(p)) = 1)
 SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, words::INTEGER AS longest_words,
+       item_id AS longest_item, longest.s::INTEGER AS longest_item_place, longest.p::INTEGER AS longest_place
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """

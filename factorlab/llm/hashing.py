@@ -6,7 +6,7 @@ the hash of any span costs two subtractions and a product, and a mixer follows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,8 @@ class Hash:
         self.base = int(random.integers(0, 1 << 62)) * 4 + 3
         self.up = self.down = np.ones(1, np.uint64)
 
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def of(self, values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function that gives the hashes of spans of the values, from their starts and ends."""
         n = len(values)
         if len(self.up) <= n:
             size = n + n // 4 + 1  # workers keep these arrays
@@ -83,9 +84,12 @@ class Hash:
                 powers = np.full(size, by, np.uint64)
                 powers[0] = 1
                 setattr(self, name, np.multiply.accumulate(powers))
-        sums = np.zeros(n + 1, np.uint64)
+        sums, down = np.zeros(n + 1, np.uint64), self.down
         np.cumsum(values * self.up[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts])
+        return lambda starts, ends: mixed((sums[ends] - sums[starts]) * down[starts])
+
+    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of(values)(starts, ends)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.spans(self.table[data], starts, ends)

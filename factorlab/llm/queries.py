@@ -51,8 +51,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = decontamination.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontamination.digest(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontamination.digest(decontamination.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

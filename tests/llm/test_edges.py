@@ -168,3 +168,17 @@ def test_spans_are_code_points(spark):
     want = f"assign:6:{6 + len('Secret: ') + 15},hex:{text.index('0123')}:{text.index('0123') + 32},access:{text.index('AKIA')}:{len(text)}"
     assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
     assert F is not None
+
+
+def test_long_benchmark_item(spark):
+    """Memory grows with the words of an item, not with their square; repeated words are sorted in few rounds."""
+    words = [f"q{i * 7919 % 5003}" for i in range(20_000)]
+    same = ["na"] * 20_000
+    docs = [(1, "x " + " ".join(words) + " y"), (2, " ".join(words[5_000:17_000])), (3, " ".join(same[:15_000])), (4, "na na"), (5, " ".join(words[19_995:] + words[:9]))]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(same)), (3, "short")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.digest(decontamination.scan(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), bench)).collect()}
+    assert [(got[i].n_hit, got[i].longest_words, got[i].longest_item, got[i].longest_item_place, got[i].longest_place) for i in range(1, 6)] == [
+        (20_000, 20_000, 1, 0, 1), (12_000, 12_000, 1, 5_000, 0), (15_000, 15_000, 2, 0, 0), (0, None, None, None, None), (0, None, None, None, None),
+    ]
+    made = decontamination.Benchmark([(1, " ".join(words)), (2, " ".join(same))])
+    assert sum(x.nbytes for x in vars(made).values() if hasattr(x, "nbytes")) < 200 * (len(words) + len(same))
