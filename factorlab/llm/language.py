@@ -3,6 +3,7 @@ TF-IDF character n-grams, with rejection of texts that lie too far from every ce
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,19 +18,35 @@ from . import hashing, shared
 
 #: Hashed n-gram buckets, centroids per language, rows a vector batch.
 BUCKETS, CENTROIDS, ROWS = 4096, 4, 256
-#: Labelled rows per language that the fit may use (about; chosen by hash, the same in each run).
-SAMPLE = 500
-#: A text is rejected below this share of the lowest percentile of the similarities seen in training.
-TOLERANCE, PERCENTILE = 0.5, 0.5
+#: Share of a language's rows that a centroid stands for at least.
+LEAST_SHARE = 0.02
+#: Labelled rows per language that the fit may use (about; chosen by hash, the same in each run), rows of all
+#: languages together, and languages: of more than so many labels the most frequent ones are learned.
+SAMPLE, TOTAL, LANGUAGES = 500, 8000, 256
+#: A text is rejected below this share of the lowest percentile (one in a hundred) of the similarities seen in training.
+TOLERANCE, PERCENTILE = 0.7, 1.0
+#: Bytes of the shortest cutting of a labelled text, and lengths of cuttings, each twice the one before.
+CUTTING, LENGTHS = 8, 10
 #: Labelled rows that a length's bound rests on at least, if there are so many; steps in which similarities are counted.
-LEAST_ROWS, STEPS = 20, 4096
+LEAST_ROWS, STEPS = 100, 4096
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[[b for b in range(128) if not 97 <= b <= 122]] = 32
 
 
-def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return hashing.flat(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+
+
+def cuttings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each longer text its beginning, of a length that its first bytes choose."""
+    starts = off[:-1][np.diff(off) > CUTTING]
+    size = CUTTING << data[starts[:, None] + np.arange(CUTTING)].sum(1, dtype=np.int64) % LENGTHS
+    size = np.minimum(size, np.diff(off)[np.diff(off) > CUTTING])
+    return data[hashing.spread(starts, size)], np.concatenate([[0], np.cumsum(size)])
+
+
+def counts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Batches of n-gram counts (rows x buckets) of lower-cased texts, with the first row of each batch."""
-    data, off = hashing.flat(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     for i0, j0 in hashing.slices(off):
         for i in range(i0, j0, ROWS):
             j = min(i + ROWS, j0)
@@ -68,16 +85,18 @@ class Model:
 
 
 def clustered(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from the farthest points; the same in each run."""
+    """Spherical k-means, the same in each run. Each start is as far from the earlier ones as the farthest tenth of the
+    rows begins, and a cluster with too few rows is no centroid: mislabelled rows and junk don't get one."""
     start = [int(np.argmax(x @ x.mean(0)))]
     while len(start) < min(k, len(x)):
-        start.append(int(np.argmin((x @ x[start].T).max(1))))
+        start.append(int(np.argsort((x @ x[start].T).max(1), kind="stable")[len(x) // 10]))
     c = x[start]
     for _ in range(12):
         near = np.argmax(x @ c.T, 1)
         c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    size = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c))
+    return c[size >= min(LEAST_SHARE * len(x), size.max())]
 
 
 def bounds(seen: np.ndarray) -> np.ndarray:
@@ -100,21 +119,29 @@ def bounds(seen: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from rows with a language, some letter and crc32(doc_id as text) mod 4 other than 2."""
+    """Learns from rows with a language, some letter and crc32(doc_id as text) mod 4 other than 2.
+
+    The driver holds at most TOTAL rows of 8 KB and LANGUAGES languages. Null or letterless texts teach nothing,
+    repeated rows count again, very long texts are counted whole. Without a row to learn from (an empty table,
+    say) there is no language. Only the named columns are read, whatever the names of others. Bounds rest on
+    all labelled rows and on a cutting of each, so that short texts have bounds of their own.
+    """
     rows = shared.columns(docs, i=doc_id, t=text, l=lang).where(F.col("l").isNotNull() & (F.crc32(F.col("i").cast("string")) % 4 != 2))
-    seen = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # a row a language
+    most = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
+    seen = {r["l"]: r["count"] for r in most.collect()}
     languages = sorted(seen)
     if not languages:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(24))
+    sample = min(sample, TOTAL // len(languages))
     share = F.coalesce(*(F.when(F.col("l") == name, F.lit(int(1e6 * min(1.0, sample / n)) + 1)) for name, n in seen.items()))
     chosen = rows.where((F.pmod(F.xxhash64("i", "t"), F.lit(1_000_000)) < share) & F.col("t").isNotNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, tf in counts(b.column("t")):
+            for i, tf in counts(*lowered(b.column("t"))):
                 yield pa.RecordBatch.from_arrays([b.column("l").slice(i, len(tf)), pa.array([r.tobytes() for r in np.minimum(tf, 65535).astype(np.uint16)], pa.binary())], ["l", "v"])
 
-    got = chosen.select("t", "l").mapInArrow(work, "l string, v binary").toArrow()  # bounded: SAMPLE rows of 8 KB a language
+    got = chosen.select("t", "l").mapInArrow(work, "l string, v binary").toArrow()  # bounded: about TOTAL rows of 8 KB
     tf = np.frombuffer(b"".join(got.column("v").to_pylist()), np.uint16).reshape(-1, BUCKETS)
     label = np.array([languages.index(x) for x in got.column("l").to_pylist()], int)
     del got
@@ -134,7 +161,8 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = carried.value, np.zeros(24 * (STEPS + 1), np.int64)
         for b in batches:
-            for _, tf in counts(b.column("t")):
+            whole = lowered(b.column("t"))
+            for _, tf in itertools.chain(counts(*whole), counts(*cuttings(*whole))):
                 tf = tf[tf.sum(1) > 0]
                 cell = (np.clip((m.vectors(tf) @ m.centroids.T).max(1), 0, 1) * STEPS).astype(int)
                 out += np.bincount(m.bins(tf) * (STEPS + 1) + cell, minlength=len(out))
@@ -143,7 +171,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
     # similarities of all labelled rows, not only of the sample: short texts are too few in it
     seen = np.zeros(24 * (STEPS + 1), np.int64)
-    for r in rows.where(F.col("t").isNotNull()).select("t").mapInArrow(tell, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most one a cell
+    for r in rows.where(F.col("t").isNotNull() & F.col("l").isin(languages)).select("t").mapInArrow(tell, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most one a cell
         seen[r["at"]] = r["n"]
     model.least = bounds(seen.reshape(24, -1))
     return model
@@ -153,7 +181,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with _lang (a learned language; `und` if the text is null or has no letter), _score (cosine to the
     nearest centroid, 0 to 1) and _rejected (too far from every centroid, or `und`).
 
-    Without a learned language all are `und`. Very long texts are counted whole, slice by slice of rows.
+    Without a learned language all are `und`. Very long texts are counted whole, slice by slice of rows. Repeated
+    rows get the same answer, ties go to the language that sorts first, an empty table gives no rows. Other columns
+    stay; none may bear the name of an added one.
     """
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_lang string, _score double, _rejected boolean").fields])
     carried = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,7 +194,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             texts = b.column(text)
             lettered = np.array(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
             lang, score, rejected = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for i, tf in counts(texts):
+            for i, tf in counts(*lowered(texts)):
                 rows = np.flatnonzero(lettered[i : i + len(tf)])
                 if not len(rows) or not m.languages:
                     continue
@@ -188,7 +218,9 @@ def digest(docs: DataFrame, **names: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, **names: str) -> DataFrame:
-    """The rows that aren't rejected, with their own columns."""
+    """The rows that aren't rejected, with their own columns, whatever their names. Null, empty and letterless texts have
+    no language and go; repeated rows stay or go together; an empty table stays empty; a table without a labelled row
+    has no language to be in, so that all its rows go."""
     plain, new = shared.renamed(docs)
     found = predict(plain, fit(docs, **names), text=new[names.get("text", "text")]).where(~F.col("_rejected"))
     return found.select(*new.values()).toDF(*docs.columns)

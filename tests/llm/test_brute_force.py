@@ -127,11 +127,36 @@ def test_op5_rejects_short_texts(spark):
     assert len(short) > 10 and not any(r._rejected for r in short)
 
 
-def test_op5_bounds_pool_lengths():
+def test_op5_bounds_pool_lengths(monkeypatch):
+    monkeypatch.setattr(language, "LEAST_ROWS", 20)
     seen = np.zeros((24, language.STEPS + 1), np.int64)
     seen[6, 1024], seen[7, 3072], seen[9, 2048], seen[15, 1000] = 5, 14, 1, 3
     got = language.bounds(seen)
-    assert (got[:7] == 0.125).all() and got[7] == got[8] == got[9] == 0.5 * 1000 / language.STEPS and (got[10:16] == 0.5 * 1000 / language.STEPS).all() and got[23] == 0.5 * 1000 / language.STEPS
+    low, high = (language.TOLERANCE * at / language.STEPS for at in (1000, 1024))
+    assert np.allclose(got[:7], high) and np.allclose(got[7:], low)
+
+
+@pytest.mark.parametrize("out", ["en", "de", "es", "fr"])
+def test_op5_rejects_a_language_left_out(spark, out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rest = docs.where(f"lang <> '{out}'")
+    model = language.fit(rest)
+    got = language.predict(docs.where(f"lang = '{out}'").select("text"), model).collect()
+    assert np.mean([r._rejected for r in got]) > 0.9
+    assert np.mean([r._rejected for r in language.predict(rest.select("text"), model).collect()]) < 0.005
+
+
+def test_op5_rejects_unseen_scripts(spark):
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = ["这是一个关于自然语言处理的句子", "これは日本語の文章です", "это предложение на русском языке", "αυτό είναι ένα κείμενο", "да", "好", "xkcd qwrtz bcdfg hjklm npqrs tvwxz", "다음 문장은 한국어로 쓰였습니다"]
+    docs = spark.createDataFrame([(" ".join([t] * n),) for t in texts for n in (1, 5, 40)], "text string")
+    assert all(r._rejected for r in language.predict(docs, model).collect())
+
+
+def test_op5_learns_a_bounded_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8]}lpha beta text", f"l{i % 8 if i % 16 < 8 else i % 3}") for i in range(400)], "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == ["l0", "l1", "l2"]
 
 
 def test_op6(spark, texts):
