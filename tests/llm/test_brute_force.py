@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factorlab.llm import fingerprint, jaccard, language, queries
+from factorlab.llm import fingerprint, jaccard, language, queries, shared
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -232,7 +232,7 @@ def test_pipeline(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, steps = docs.columns, []
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.shared.written(stage(spark, docs, SF))
+        docs = shared.written(stage(spark, docs, SF))
         steps.append(docs.collect())
     assert all(list(s[0].asDict()) == columns for s in steps[:-1])
     kept = {r.doc_id: r.text for r in steps[0]}

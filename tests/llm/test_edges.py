@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings, suffixes
+import corpus_pipeline
+from factorlab.llm import components, decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, shared, substrings, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, b int, v long, size int, _key string, _lang string, _v long, _hits int, c0 int, c1 int"
 LONG = " ".join(f"word{i * 7919 % 1000}" for i in range(60_000))
@@ -182,3 +183,45 @@ def test_long_benchmark_item(spark):
     ]
     made = decontamination.Benchmark([(1, " ".join(words)), (2, " ".join(same))])
     assert sum(x.nbytes for x in vars(made).values() if hasattr(x, "nbytes")) < 200 * (len(words) + len(same))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None)], ROWS], ids=["empty", "nulls", "all"])
+def test_pipeline_of_edges(spark, rows):
+    docs = frame(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        if name != "shards":
+            assert got.columns == docs.columns
+            docs = shared.written(got)
+    got = got.collect()
+    assert (len(got) == 0) == (len(rows) < 2) and Counter(r.shard for r in got).keys() <= set(range(16))
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
+
+
+def test_written_tables_can_be_deleted(spark):
+    t = shared.written(spark.range(5))
+    assert t.count() == 5
+    shared.deleted(t, spark.range(3))
+    with pytest.raises(Exception):
+        spark.read.parquet(t.inputFiles()[0]).count()
+
+
+def test_components_of_chains(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 3), (200, 200)]
+    got = {r.v: r.c for r in components.components(spark.createDataFrame(links * 2, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
