@@ -1,34 +1,49 @@
-"""A training-data pipeline: each stage works on all rows that the one before it kept."""
+"""A training-data pipeline: each stage works on all rows that the one before it kept.
+
+Every stage takes null texts and ids, empty and very long texts, repeated rows, empty tables and columns of any
+name; all but the last give the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorlab.llm import decontamination, jaccard, language, mixing, sharding, shared
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language identification rejects go."""
+    """Documents that the language identification rejects go; so do null, empty and letterless texts, which have
+    no language. Repeated rows go or stay together. An empty table stays empty."""
+    from factorlab.llm import language
+
     return language.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that the n-gram Jaccard join links, the document with the smallest doc_id stays."""
+    """Of each group that the n-gram Jaccard join links, the document with the smallest doc_id stays (a null one only
+    if all are null). Texts without words are in no group and stay. An empty table stays empty."""
+    from factorlab.llm import jaccard
+
     return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go; null and empty texts have none and stay. An empty table stays empty."""
+    from factorlab.llm import decontamination
+
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for: not at all, once or twice."""
+    """Each document as often as its source's target asks for: not at all, once or twice. A null source is one of its
+    own; null texts have size 0. An empty table stays empty."""
+    from factorlab.llm import mixing
+
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and place in it."""
+    """The documents with their shard and place in it; equal texts share a shard. An empty table gives no rows."""
+    from factorlab.llm import sharding
+
     return sharding.shard(docs, 16, carry=tuple(docs.columns))
 
 
@@ -45,6 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorlab.llm import shared
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = shared.written(stage(spark, docs, sf_dir))
