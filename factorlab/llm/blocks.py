@@ -22,12 +22,13 @@ SENT = "b int, bucket int, v binary"
 
 def cut(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     """(b, doc_id, t) with the block of each row, and the number of buckets. Blocks grow with the root of the
-    corpus, 1 to 32 MB of text. Equal rows are in one block."""
+    corpus, 1 to 128 MB of text, and what a bucket is sent grows with them: at 100 TB there are 0.8 million of
+    each, and a block sends a bucket several hashes at once. Equal rows are in one block."""
     rows = shared.columns(docs, doc_id=doc_id, t=text)
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    size = min(max(32 * total**0.5, 1 << 20), 32 << 20)
+    size = min(max(32 * total**0.5, 1 << 20), 128 << 20)
     n = max(64, int(total / size) + 1)
-    buckets = max(64, int(total / (4 << 20)) + 1)
+    buckets = max(64, int(total / max(size, 4 << 20)) + 1)
     return rows.select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).cast("int").alias("b"), "doc_id", "t"), buckets
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast table may have; beyond it a shuffled join is used.
 BROADCAST_ROWS = 100_000
+#: Rows that a key must have at least to be joined by broadcast in a join that splits by key.
+HEAVY_ROWS = 1000
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -50,6 +52,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows joined with the table, which has each key once and in `size` the number of its rows. Keys with so many
+    rows that only few such can exist are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    limit = max(HEAVY_ROWS, (table.agg(F.sum(size)).first()[0] or 0) // BROADCAST_ROWS)
+    heavy = F.broadcast(table.where(F.col(size) > limit))  # at most BROADCAST_ROWS rows
+    names = [c for c in rows.columns if c != key] + [c for c in table.columns if c != key]
+    light = rows.join(heavy, key, "left_anti").join(table.where(F.col(size) <= limit), key, how)
+    return rows.join(heavy, key).select(key, *names).union(light.select(key, *names))
+
+
 def text_key(text: Column) -> Column:
     """128 bits that tell texts apart; a null is no empty text."""
     return F.when(text.isNull(), F.lit("null")).otherwise(F.md5(text))

@@ -67,8 +67,12 @@ def components(texts, ngram=4, percent=85):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-def test_op4(spark, texts):
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_jaccard_join(spark, SF).collect()} == components(texts)
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_op4(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op4_jaccard_join(spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(texts)
+    assert {r.doc_id: r.n_links for r in got} == plain_links(texts)
 
 
 def plain_links(texts, ngram=4, percent=85):
@@ -83,10 +87,6 @@ def plain_links(texts, ngram=4, percent=85):
     return {i: sum(100 * n >= percent * (len(s) + len(sets[j]) - n) for j, n in Counter(j for x in s for j in where[x] if j != i).items()) for i, s in sets.items()}
 
 
-def test_op4_links(spark, texts):
-    assert {r.doc_id: r.n_links for r in queries.op4_jaccard_join(spark, SF).collect()} == plain_links(texts)
-
-
 def test_op4_links_of_near_copies(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base, texts = [f"w{k}" for k in range(120)], {}

@@ -225,3 +225,25 @@ def test_components_of_chains(spark):
     got = {r.v: r.c for r in components.components(spark.createDataFrame(links * 2, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_joins_that_split_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAVY_ROWS", 3)
+    rows = spark.createDataFrame([(k if k < 5 else 5, k) for k in range(50)] + [(None, 99)], "v long, x long")
+    table = shared.written(rows.where("v > 0").groupBy("v").agg(F.count("*").alias("n")))
+    got = shared.split_join(rows, table, "v", "n", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "v", "left").collect()))
+    assert sorted(map(str, shared.split_join(rows, table, "v", "n").collect())) == sorted(map(str, rows.join(table, "v").collect()))
+
+
+def test_pivots_cut_evenly(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    df = np.concatenate([np.full(6000, 2), rng.integers(3, 5000, 4000)])
+    h = rng.integers(0, 1 << 63, 10_000, dtype=np.uint64) * np.uint64(2)
+    v = np.stack([h, df.astype(np.uint64)], 1).tobytes()
+    cuts = jaccard.pivots(spark.createDataFrame([(0, bytearray(v))], "b int, v binary"))
+    step = jaccard.steps(df)
+    fragment = sum(((step > x) | ((step == x) & (h >= np.uint64(y)))).astype(int) for x, y in cuts)
+    assert len(cuts) == jaccard.FRAGMENTS - 1 and np.bincount(fragment).min() > 2300
