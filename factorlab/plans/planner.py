@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ KEYS = ("symbol", "date")
 STEPS = float(1 << 30)
 #: Window columns that one stage adds at most: bounds the size of generated code.
 STAGE = 48
+#: Ranks of one stage from which on they are taken in one grouped map per date: as windows each needs a sort of its own.
+GROUPED = 4
 
 
 def nodes(roots: Iterable[Expr]) -> list[Expr]:
@@ -150,31 +154,63 @@ class Plan:
 
     def smoothed(self, df: DataFrame, batch: list[Expr]) -> DataFrame:
         """Recursive means, a symbol at a time: the recursion has no window form of bounded work."""
-        inputs = {f"_in{i}": self.column(x.args[0]) for i, x in enumerate(batch)}
-        keep = df.columns
-        df = df.withColumns(inputs)
-        schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField(self.names[x], T.DoubleType()) for x in batch])
+        df, keep, schema = self.with_inputs(df, batch)
         todo = [(f"_in{i}", self.names[x], *x.params) for i, x in enumerate(batch)]
 
-        def work(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("date", kind="stable").reset_index(drop=True)
-            for source, name, n, m in todo:
-                rows[name] = recursive_mean(rows[source], n, m)
-            return rows[[*keep, *(t[1] for t in todo)]]
+        def work(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("date")
+            done = [pa.array(recursive_mean(pd.Series(rows.column(source).to_numpy()), n, m), pa.float64(), from_pandas=True) for source, _, n, m in todo]
+            return pa.table([rows.column(c) for c in keep] + done, names=schema.names)
+
+        return df.groupBy("symbol").applyInArrow(work, schema)
+
+    def with_inputs(self, df: DataFrame, batch: list[Expr]) -> tuple[DataFrame, list[str], T.StructType]:
+        """df with _in0, _in1, ..., the batch's first arguments; its own columns; these and the batch's as a schema."""
+        keep = df.columns
+        df = df.withColumns({f"_in{i}": self.column(x.args[0]).cast("double") for i, x in enumerate(batch)})
+        return df, keep, T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField(self.names[x], T.DoubleType()) for x in batch])
+
+    def ranked(self, df: DataFrame, batch: list[Expr]) -> DataFrame:
+        """Ranks of many columns within each date, in one grouped map over the dates."""
+        df, keep, schema = self.with_inputs(df, batch)
 
-        return df.groupBy("symbol").applyInPandas(work, schema)
+        def work(rows: pa.Table) -> pa.Table:
+            return pa.table([rows.column(c) for c in keep] + [shares(rows.column(f"_in{i}")) for i in range(len(batch))], names=schema.names)
+
+        return df.groupBy("date").applyInArrow(work, schema)
+
+    def uses(self, x: Expr) -> set[str]:
+        """The columns that the column of a node reads."""
+        if x in self.names:
+            return {self.names[x]}
+        return {x.params[0]} if x.op == "field" else set().union(*map(self.uses, x.args))
 
     def apply(self, bars: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         """symbol, date, the columns to keep and one column per root."""
-        df = bars
-        for kind, batch in self.stages():
-            if kind == "sma":
-                df = self.smoothed(df, batch)
+        df, stages = bars, self.stages()
+        for i, (kind, batch) in enumerate(stages):
+            if kind == "sma" or (kind == SECTION and len(batch) >= GROUPED):
+                # only what this stage and later ones read goes through Python
+                readers = [*self.roots.values(), *(a for _, later in stages[i:] for x in later for a in x.args)]
+                read = {*KEYS, *keep}.union(*map(self.uses, readers))
+                df = df.select(*(c for c in df.columns if c in read))
+                df = self.smoothed(df, batch) if kind == "sma" else self.ranked(df, batch)
             else:
                 df = df.select("*", *(self.window(x).alias(self.names[x]) for x in batch))
         return df.select(*KEYS, *keep, *(self.column(x).cast("double").alias(name) for name, x in self.roots.items()))
 
 
+def shares(values: pa.ChunkedArray) -> pa.Array:
+    """Ranks from the smallest, ties by their mean, over the number of known values; unknown ones stay so."""
+    x = values.to_numpy()
+    known = ~np.asarray(values.is_null().combine_chunks(), bool)
+    out = np.zeros(len(x))
+    _, which, count = np.unique(x[known], return_inverse=True, return_counts=True)
+    upto = np.cumsum(count)
+    out[known] = ((upto - count + 1 + upto) / 2.0 / max(int(known.sum()), 1))[which]
+    return pa.array(out, mask=~known)
+
+
 def recursive_mean(x: pd.Series, n: int, m: int) -> pd.Series:
     """SMA of one ordered series: null before row n, the mean of the first n there, then the recursion from the
     first known value; unknown values are skipped and the last result carried."""

@@ -6,6 +6,7 @@ import pytest
 
 from factorlab.functions.alphas import PANEL, definitions
 from factorlab.functions.expr import CLIP, CORR, COUNT, DELTA, LOG, RANK, REGBETA, SMA, STD, SUM, TSRANK, field
+from factorlab.plans import planner
 from factorlab.plans.planner import STEPS, Plan, recursive_mean
 from factorlab.sources import bars as B
 
@@ -103,3 +104,22 @@ def test_csv_round_trip(spark, tmp_path):
     assert got[0].vwap == 1.5 and got[1].open is None and got[1].vwap is None
     B.write(B.read_csv(spark, str(tmp_path)), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_grouped_ranks_equal_windows(spark, monkeypatch):
+    panel = B.panel(B.weekly(spark, "/root/testdata/sf0.001"))
+    chosen = {f.name: f.expr for f in list(definitions().values())[:24] if f.calendar == PANEL}
+    got = []
+    for least in (1, 10**6):
+        monkeypatch.setattr(planner, "GROUPED", least)
+        got.append(sorted(map(str, planner.Plan(chosen).apply(panel).collect())))
+    assert got[0] == got[1] and len(got[0]) == panel.count()
+
+
+def test_shares_of_ties_and_gaps():
+    import pyarrow as pa
+
+    inf = float("inf")
+    got = planner.shares(pa.chunked_array([[2.0, None, 1.0], [2.0, inf, -inf, -0.0, 0.0]])).to_pylist()
+    assert got == [5.5 / 7, None, 4 / 7, 5.5 / 7, 1.0, 1 / 7, 2.5 / 7, 2.5 / 7]
+    assert planner.shares(pa.chunked_array([[None, None]], pa.float64())).to_pylist() == [None, None]
