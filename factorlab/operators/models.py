@@ -64,7 +64,7 @@ def out_of_fold(df: DataFrame, scores: list[str], label: str = "label", splits:
 def permutation_importance(df: DataFrame, scores: list[str], label: str = "label", seed: int = 11) -> DataFrame:
     """(score, auc, auc_permuted, drop) of the equal-weight combination; each score is dealt anew within its date, in
     an order that a portable generator gives."""
-    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=scores), scores).select("symbol", "date", label, *scores)
+    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=scores), scores).select("symbol", "date", label, *scores).persist()  # every score reads it
     base = S.auc(z.withColumn("p", sum((F.col(s) for s in scores), F.lit(0.0))), "p", label).select(F.col("auc").alias("auc"))
     out = None
     for k, s in enumerate(scores):

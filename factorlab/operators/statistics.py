@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .evaluation import day, history
 
@@ -68,7 +74,7 @@ def newey_west(df: DataFrame, r: str, lags: int, keys: tuple[str, ...] = ()) ->
     d = d.withColumns({f"_p{k}": F.col("_u") * F.lag("_u", k).over(w) if k else F.col("_u") ** 2 for k in range(lags + 1)})
     g = d.groupBy(*keys).agg(F.avg(r).alias("m"), F.stddev_samp(r).alias("s"), F.count(r).alias("n"), *(F.sum(f"_p{k}").alias(f"g{k}") for k in range(lags + 1)))
     long_run = sum(((2 * (1 - k / (lags + 1)) if k else 1.0) * F.col(f"g{k}") for k in range(lags + 1)), F.lit(0.0)) / F.col("n")
-    return g.select(*keys, (F.col("m") / F.col("s") * F.sqrt(F.lit(252.0))).alias("sharpe"), F.when(long_run > 0, F.col("m") / F.sqrt(long_run) * F.sqrt(F.lit(252.0))).alias("nw_sharpe"), "n")
+    return g.select(*keys, (F.try_divide("m", "s") * F.sqrt(F.lit(252.0))).alias("sharpe"), F.when(long_run > 0, F.col("m") / F.sqrt(long_run) * F.sqrt(F.lit(252.0))).alias("nw_sharpe"), "n")
 
 
 def risk(df: DataFrame, r: str, keys: tuple[str, ...] = (), level: float = 0.05) -> DataFrame:
@@ -85,7 +91,7 @@ def lcg(seed: Column, step: int = 1) -> Column:
     return (x * 16807 + 7) % 2147483647
 
 
-def block_bootstrap(returns: DataFrame, r: str, reps: int = 200, block: int = 20, seed: int = 42) -> DataFrame:
+def block_bootstrap(returns: DataFrame, r: str, reps: int = 10_000, block: int = 20, seed: int = 42) -> DataFrame:
     """(rep, sharpe) of samples of whole blocks, as long as the series. Starts come from lcg(); the series, a row a
     date, is numbered and joined by place."""
     order = Window.orderBy("date")
@@ -99,7 +105,7 @@ def block_bootstrap(returns: DataFrame, r: str, reps: int = 200, block: int = 20
     return g.select("rep", F.when(F.col("s") > 0, F.col("m") / F.col("s") * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"))
 
 
-def iid_bootstrap(df: DataFrame, r: str, reps: int = 100, seed: int = 7, key: str = "symbol") -> DataFrame:
+def iid_bootstrap(df: DataFrame, r: str, reps: int = 200, seed: int = 7, key: str = "symbol") -> DataFrame:
     """(key, rep, m): mean of as many returns as the key has, drawn with replacement."""
     order = Window.partitionBy(key).orderBy("date")
     s = df.where(F.col(r).isNotNull()).select(key, (F.row_number().over(order) - 1).cast("long").alias("i"), F.col(r).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
@@ -114,9 +120,73 @@ def percentile_of(df: DataFrame, sample: str, value: str, keys: tuple[str, ...]
     return g.select(*keys, (100.0 * (F.col("a") + F.col("b") + (F.col("b") > F.col("a")).cast("int")) / (2 * F.col("n"))).alias("percentile"))
 
 
-def auc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the ROC curve by mean ranks."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score))
-    rank = (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / 2.0
-    g = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"), F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q"))
+def auc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), parts: int = 200) -> DataFrame:
+    """Area under the ROC curve by mean ranks. Scores are counted, cut into ranges of about equally many rows, ranked
+    inside each and lifted by what the ranges below hold, so that no task sees all rows of a key."""
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(score).alias("_s"), F.col(label).alias("_l"))
+    cells = known.groupBy(*keys, "_s").agg(F.sum((F.col("_l") == 1).cast("long")).alias("p"), F.sum((F.col("_l") == 0).cast("long")).alias("q"), F.count(F.lit(1)).alias("k"))
+    edges = known.agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.lit(0)
+    if edges:
+        part = F.aggregate(F.array(*map(F.lit, sorted(set(edges)))), F.lit(0), lambda n, e: n + (F.col("_s") >= e).cast("int"))
+    cells = cells.withColumn("_part", part)
+    below = cells.groupBy(*keys, "_part").agg(F.sum("k").alias("_k"))
+    below = below.withColumn("_below", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_k")).drop("_k")  # a row a range
+    inside = F.sum("k").over(Window.partitionBy(*keys, "_part").orderBy("_s"))
+    ranked = cells.withColumn("_upto", inside).join(F.broadcast(below) if not keys else below, [*keys, "_part"])
+    rank = F.col("_below") + F.col("_upto") - (F.col("k") - 1) / 2.0
+    g = ranked.groupBy(*keys).agg(F.sum(F.col("p") * rank).alias("r"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return g.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), (F.col("p") + F.col("q")).alias("n"))
+
+
+def tail(t: float, df: float) -> float:
+    """Two-sided p value of Student's t: the regularised incomplete beta function by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2.0, 0.5
+    if x >= 1.0:
+        return 1.0
+    swap = x > (a + 1.0) / (a + b + 2.0)
+    if swap:
+        x, a, b = 1.0 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0.0 else 0.0
+    c, d, out = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0)), 0.0
+    out = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 / (1.0 + step * d), 1.0 + step / c
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    part = front * out / a
+    return 1.0 - part if swap else part
+
+
+def p_values(t: Column, df: Column) -> Column:
+    """Two-sided p values, a row a regression."""
+
+    def work(ts: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([tail(x, max(n, 1.0)) if x == x else None for x, n in zip(ts, ns, strict=True)], dtype="float64")
+
+    return F.pandas_udf(work, "double")(t, df)
+
+
+def block_sharpes(returns: DataFrame, r: str, key: str, reps: int = 1000, block: int = 20, seed: int = 42) -> DataFrame:
+    """(key, rep, sharpe) of samples of floor(n / block) whole blocks that begin before n - block; series of up to a
+    block are drawn row by row. One series is one group."""
+    schema = T.StructType([returns.schema[key], T.StructField("rep", T.IntegerType()), T.StructField("sharpe", T.DoubleType())])
+
+    def work(rows: pa.Table) -> pa.Table:
+        x = rows.sort_by("date").column(r).to_numpy()
+        n = len(x)
+        size = n if n <= block else n // block
+        draw = lcg_numpy(np.arange(reps)[:, None] * 7919 + np.arange(size) * 104729 + seed)
+        sample = x[draw % n] if n <= block else x[(draw % (n - block))[:, :, None] + np.arange(block)].reshape(reps, -1)
+        s = sample.std(1)
+        sharpe = np.where((s > 1e-12) & (n >= 10), np.sqrt(252.0) * sample.mean(1) / np.where(s > 1e-12, s, 1.0), 0.0)
+        return pa.table({key: pa.array(rows.column(key).to_pylist()[:1] * reps), "rep": pa.array(np.arange(reps), pa.int32()), "sharpe": pa.array(sharpe)})
+
+    return returns.where(F.col(r).isNotNull()).select(key, "date", r).groupBy(key).applyInArrow(work, schema)
+
+
+def lcg_numpy(seed: np.ndarray, step: int = 1) -> np.ndarray:
+    """lcg() over an array."""
+    return ((seed.astype(np.int64) * 48271 + step * 69621 + 11) % 2147483647 * 16807 + 7) % 2147483647

@@ -85,7 +85,7 @@ def bin_cte(score: str = "score", name: str = "bins", source: str = "n", more: s
   JOIN (SELECT date, quantile_cont({score}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM {source} WHERE {score} IS NOT NULL {more} GROUP BY date HAVING count(*) >= 15) q USING (date) WHERE {score} IS NOT NULL {more})"""
 
 
-QUANTILES = "quant AS MATERIALIZED (SELECT date, " + ", ".join(f"avg(fwd) FILTER (bin = {k}) AS q{k + 1}" for k in range(5)) + " FROM bins GROUP BY date)"
+QUANTILES = "quintiles AS MATERIALIZED (SELECT date, " + ", ".join(f"avg(fwd) FILTER (bin = {k}) AS q{k + 1}" for k in range(5)) + " FROM bins GROUP BY date)"
 SUMMARY = "avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, count(ic) AS ic_days, avg((ic > 0)::INT) AS positive_ratio, avg(ic) / nullif(stddev_pop(ic), 0) AS ic_ir, avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(ic)) AS ic_t"
 
 
@@ -119,12 +119,12 @@ def cs_effective_ratio(spark, sf_dir):
     return out(E.effective_ratio(E.next_returns(base(spark, sf_dir))), "cs_effective_ratio", "cs_days")
 
 
-@query(f"{R}, {bin_cte()}, {QUANTILES} SELECT {D}, {', '.join(g(f'q{k}') for k in range(1, 6))} FROM quant")
+@query(f"{R}, {bin_cte()}, {QUANTILES} SELECT {D}, {', '.join(g(f'q{k}') for k in range(1, 6))} FROM quintiles")
 def quintile_returns(spark, sf_dir):
     return out(E.quantile_returns(E.next_returns(base(spark, sf_dir))), "date", *(f"q{k}" for k in range(1, 6)))
 
 
-CURVE = f"{QUANTILES}, ls AS (SELECT date, q5 - q1 - {E.PAIR_COST!r} AS ls_ret FROM quant), curve AS (SELECT date, ls_ret, product(1 + coalesce(ls_ret, 0)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS ls_cum FROM ls)"
+CURVE = f"{QUANTILES}, ls AS (SELECT date, q5 - q1 - {E.PAIR_COST!r} AS ls_ret FROM quintiles), curve AS (SELECT date, ls_ret, product(1 + coalesce(ls_ret, 0)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS ls_cum FROM ls)"
 
 
 @query(f"{R}, {bin_cte()}, {CURVE} SELECT {D}, {g('ls_ret')}, {g('ls_cum')} FROM curve")
@@ -508,7 +508,7 @@ def var_cvar(spark, sf_dir):
 
 LCG = "(((({x}) * 48271 + 69621 + 11) % 2147483647) * 16807 + 7) % 2147483647"
 BOOT = f"""ser AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, port_ret AS r FROM op), nn AS (SELECT count(*) AS n FROM ser),
-dr AS (SELECT rep, k, {LCG.format(x='rep * 7919 + k * 104729 + 42')} % (n - 19) AS st, n FROM nn, range(200) a(rep), LATERAL (SELECT unnest(range((n + 19) // 20)) AS k)),
+dr AS (SELECT rep, k, {LCG.format(x='rep * 7919 + k * 104729 + 42')} % (n - 19) AS st, n FROM nn, range(10000) a(rep), LATERAL (SELECT unnest(range((n + 19) // 20)) AS k)),
 bs AS (SELECT rep, CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(252.0) ELSE 0 END AS sharpe FROM dr, range(20) b(j) JOIN ser ON ser.i = st + j WHERE k * 20 + j < n GROUP BY rep)"""
 
 
@@ -527,12 +527,12 @@ def bootstrap_p_value(spark, sf_dir):
 
 
 IID = f"""ser AS (SELECT symbol, ret AS r, row_number() OVER {H} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
-dr AS (SELECT symbol, rep, {LCG.format(x='rep * 7919 + i * 104729 + symbol * 15485863 + 7')} % n AS i FROM ser, range(50) a(rep)), bs AS (SELECT symbol, rep, avg(r) AS m FROM dr JOIN ser USING (symbol, i) GROUP BY ALL)"""
+dr AS (SELECT symbol, rep, {LCG.format(x='rep * 7919 + i * 104729 + symbol * 15485863 + 7')} % n AS i FROM ser, range(200) a(rep)), bs AS (SELECT symbol, rep, avg(r) AS m FROM dr JOIN ser USING (symbol, i) GROUP BY ALL)"""
 
 
 @query(f"{R}, {IID}, p AS (SELECT symbol, avg((m <= 0)::INT) AS p_value FROM bs GROUP BY 1) SELECT symbol, {g('p_value')}, p_value < 0.05 / count(*) OVER () AS bonferroni FROM p")
 def bonferroni(spark, sf_dir):
-    b = S.iid_bootstrap(base(spark, sf_dir), "ret", 50)
+    b = S.iid_bootstrap(base(spark, sf_dir), "ret", 200)
     p = b.groupBy("symbol").agg(F.avg((F.col("m") <= 0).cast("double")).alias("p_value"))
     tests = p.agg(F.count(F.lit(1)).alias("tests"))
     return out(p.crossJoin(F.broadcast(tests)).withColumn("bonferroni", F.col("p_value") < 0.05 / F.col("tests")), "symbol", "p_value", "bonferroni")
@@ -555,7 +555,7 @@ def long_enough(spark, sf_dir):
     return out(B.long_enough(B.weekly(spark, sf_dir), 290), "symbol", "date", "close")
 
 
-@query("SELECT s_suppkey, CASE WHEN left(c, 1) IN ('6', '9') THEN 'sh.' WHEN left(c, 1) IN ('4', '8') THEN 'bj.' ELSE 'sz.' END || c AS code FROM (SELECT s_suppkey, lpad((s_suppkey * 7919 % 1000000)::VARCHAR, 6, '0') AS c FROM supplier)")
+@query("SELECT s_suppkey, CASE left(c, 1) WHEN '6' THEN 'sh.' ELSE 'sz.' END || c AS code FROM (SELECT s_suppkey, lpad((s_suppkey * 7919 % 1000000)::VARCHAR, 6, '0') AS c FROM supplier)")
 def exchange_codes(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return s.select("s_suppkey", B.exchange_code(F.lpad((F.col("s_suppkey") * 7919 % 1000000).cast("string"), 6, "0")).alias("code"))

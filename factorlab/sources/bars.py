@@ -60,9 +60,63 @@ def summary(bars: DataFrame) -> DataFrame:
 
 
 def exchange_code(symbol: Column) -> Column:
-    """Exchange prefix by the symbol's first digit: 6 and 9 Shanghai, 4 and 8 Beijing, others Shenzhen."""
-    first = F.substring(symbol, 1, 1)
-    return F.concat(F.when(first.isin("6", "9"), "sh.").when(first.isin("4", "8"), "bj.").otherwise("sz."), symbol)
+    """Exchange prefix of a six-digit symbol: Shanghai's begin with 6, all others are Shenzhen's."""
+    return F.concat(F.when(F.substring(symbol, 1, 1) == "6", "sh.").otherwise("sz."), symbol)
+
+
+def keep_last(records: DataFrame, order: str = "seq") -> DataFrame:
+    """records(date, symbol, value, order): of repeated cells the last."""
+    return records.groupBy("date", "symbol").agg(F.max_by("value", order).alias("value"))
+
+
+def pivoted(cells: DataFrame, symbols: list) -> DataFrame:
+    """A row a date, a column per symbol of a list that the caller bounds."""
+    return cells.groupBy("date").pivot("symbol", symbols).agg(F.first("value"))
+
+
+def unpivoted(wide: DataFrame) -> DataFrame:
+    """(date, symbol, value) of a wide table's known cells."""
+    return wide.unpivot("date", [c for c in wide.columns if c != "date"], "symbol", "value").where(F.col("value").isNotNull())
+
+
+def patched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(date, symbol, value), cell by cell: a symbol that `new` has takes its values on all of its dates, unknown
+    ones too; other cells stay."""
+    dates, symbols = new.select("date").distinct(), new.select("symbol").distinct()
+    stays = old.join(dates.withColumn("_d", F.lit(True)), "date", "left").join(symbols.withColumn("_s", F.lit(True)), "symbol", "left").where(F.col("_d").isNull() | F.col("_s").isNull())
+    return stays.select("date", "symbol", "value").unionByName(new.where(F.col("value").isNotNull()).select("date", "symbol", "value"))
+
+
+def listing(bars: DataFrame, last: Column) -> DataFrame:
+    """(symbol, listing_date, delist_date) from the bars: the first date; the last one where bars end before `last`."""
+    ends = F.max("date")
+    return bars.groupBy("symbol").agg(F.min("date").alias("listing_date"), F.when(ends < last, ends).alias("delist_date"))
+
+
+def special_treatment(panel: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(symbol, date, st): whether the symbol's name marks special treatment; without names none does."""
+    if names is None:
+        return panel.select("symbol", "date", F.lit(False).alias("st"))
+    marked = names.select("symbol", F.contains("name", F.lit("ST")).alias("st"))
+    return panel.select("symbol", "date").join(marked, "symbol", "left").withColumn("st", F.coalesce("st", F.lit(False)))
+
+
+def median_filled(df: DataFrame, column: str) -> DataFrame:
+    """Unknown values of a column as the median of its date."""
+    middle = F.percentile(column, 0.5).over(Window.partitionBy("date"))
+    return df.withColumn(column, F.coalesce(column, middle))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 #: CTEs of the same bars and panel in DuckDB SQL.
