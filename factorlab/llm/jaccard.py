@@ -36,7 +36,7 @@ FRAGMENTS, TILE, TASK = 4, 500, 250
 EXACT, STEPS = 16, 8
 #: An n-gram that this share of a tile's pairs has (one of so many) is counted by a product of matrices; columns
 #: of the matrices, and pairs that are listed at once.
-DENSE, COLUMNS, PAIRS = 50, 4096, 1 << 22
+DENSE, COLUMNS, PAIRS = 50, 4096, 1 << 20
 _WORD, _GRAM, _SET = hashing.Hash(4), hashing.Hash(41), hashing.Hash(42)
 
 
