@@ -162,7 +162,8 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         m, out = carried.value, np.zeros(24 * (STEPS + 1), np.int64)
         for b in batches:
             whole = lowered(b.column("t"))
-            for _, tf in itertools.chain(counts(*whole), counts(*cuttings(*whole))):
+            parts = (cuttings(whole[0][whole[1][i] : whole[1][j]], whole[1][i : j + 1] - whole[1][i]) for i, j in hashing.slices(whole[1]))
+            for _, tf in itertools.chain(counts(*whole), itertools.chain.from_iterable(counts(*part) for part in parts)):
                 tf = tf[tf.sum(1) > 0]
                 cell = (np.clip((m.vectors(tf) @ m.centroids.T).max(1), 0, 1) * STEPS).astype(int)
                 out += np.bincount(m.bins(tf) * (STEPS + 1) + cell, minlength=len(out))
