@@ -1,7 +1,5 @@
 """Formats that the automata learn: planted credentials that no pattern finds, and ordinary tokens."""
 
-import re
-
 import numpy as np
 import pytest
 
@@ -41,7 +39,7 @@ def model(spark):
 
 
 def test_states_tell_places_apart(model):
-    assert set(model.automata) == {"assign", "hex"} or set(model.automata) == {"assign"}
+    assert "assign" in model.automata
     assert len(model.automata["assign"].log) > 40
     for a in model.automata.values():
         assert np.allclose(np.exp(a.log[:-1]).sum(1), 1) and a.to.min() >= 0
@@ -88,5 +86,5 @@ def test_automata_of_few_words():
     assert automata.log_probability(one, [b"abc"])[0][0] > automata.log_probability(one, [b"abd"])[0][0]
     long = [b"a" * n for n in (3, 127, 128, 129, 500)]
     got = automata.log_probability(automata.inferred(long, 0.05), long)[0]
-    assert np.isfinite(got).all() and re.match("a", "a")
+    assert np.isfinite(got).all()
     assert automata.inferred(long, 0.05).log.tolist() == automata.inferred(long[::-1], 0.05).log.tolist()
