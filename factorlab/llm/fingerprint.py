@@ -16,8 +16,8 @@ from . import shared
 
 #: Words of a k-mer, sketches of a fingerprint, k-mers of a sketch.
 KMER, BUCKETS, LENGTH = 2, 32, 2
-#: Packed longs: 24 bits of place, 34 of hash, 5 of bucket.
-_PLACE, _HASH = 24, 34
+#: Packed longs: 31 bits of place (an array has no more), 27 of hash, 5 of bucket.
+_PLACE, _HASH = 31, 27
 #: Equal-depth ranges of ids; bytes of text in a range's part.
 RANGES, PART_BYTES = 128, 64 << 20
 
@@ -117,7 +117,9 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     The edited text has its last quarter (code points, rounded down) replaced by the first as many of the
     next document's, by ascending doc_id, null first, equal ids by a hash of the text; the first follows the
-    last, and a single document follows itself. Null texts count as empty. Other columns are not read.
+    last, and a single document follows itself. Null texts count as empty; a text of any length is taken whole.
+    doc_id is a column of integers. Repeated rows follow each other and have equal fingerprints; an empty table
+    gives no rows. Other columns, whatever their names, are not read.
     """
     rows = shared.columns(docs, doc_id=doc_id, t=text).withColumn("t", F.coalesce("t", F.lit("")))
     rows = rows.withColumns({"_x": F.xxhash64("t"), "_n": F.octet_length("t")})
