@@ -20,6 +20,8 @@ KMER, BUCKETS, LENGTH = 2, 32, 2
 _PLACE, _HASH = 31, 27
 #: Equal-depth ranges of ids; bytes of text in a range's part.
 RANGES, PART_BYTES = 128, 64 << 20
+#: Tasks that order the parts, at least, and the bytes of text for each.
+TASKS, TASK_BYTES = 48, 32 << 20
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -108,6 +110,7 @@ def with_next(rows: DataFrame, order: str, size: str, names: list[str]) -> DataF
     own = F.struct(F.col("_part").alias("p"), F.lit(0).alias("w"), F.lit(False).alias("c"))
     sent = joined.withColumn("_to", F.explode(F.when(F.col("_id0") == F.col("_first"), F.array(own, copy)).otherwise(F.array(own))))
     sent = sent.select(*rows.columns, "_id0", F.col("_to.p").alias("_p"), F.col("_to.w").alias("_w"), F.col("_to.c").alias("_c"))
+    sent = sent.repartition(max(TASKS, (total or 0) // TASK_BYTES), "_p")  # by measured bytes, not by the session's setting
     ordered = Window.partitionBy("_p").orderBy("_w", "_id0", "_x")
     return sent.withColumns({f"next_{n}": F.lead(n).over(ordered) for n in names}).where(~F.col("_c")).select(*rows.columns, *(f"next_{n}" for n in names))
 
