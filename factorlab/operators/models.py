@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,20 +61,61 @@ def out_of_fold(df: DataFrame, scores: list[str], label: str = "label", splits:
     return rows.where(F.col("part") == "validation").join(F.broadcast(weight), "fold").select("fold", "symbol", "date", pred.alias("pred"), label)
 
 
+def dealt_anew(rows: DataFrame, values: list[str], group: str, item: str, seed: Column) -> DataFrame:
+    """rows with moved_<value>: each value dealt anew inside its group, in an order that a portable generator gives. A row
+    sends its values to the places they move to, so all values take one shuffle and no join."""
+    w, own = Window.partitionBy(group), F.struct(*(c for c in rows.columns if c != group))
+    order = {f"_o{k}": F.row_number().over(w.orderBy(S.lcg(seed + k), item)) for k in range(len(values))}
+    placed = rows.withColumns({"_i": F.row_number().over(w.orderBy(item)), **order})
+    sent = [F.struct(F.col("_i").alias("place"), own.alias("row"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("v"))]
+    sent += [F.struct(F.col(f"_o{k}").alias("place"), F.when(F.lit(False), own).alias("row"), F.lit(k).alias("k"), F.col(v).alias("v")) for k, v in enumerate(values)]
+    got = placed.select(group, F.explode(F.array(*sent)).alias("x")).groupBy(group, "x.place")
+    moved = [F.max(F.when(F.col("x.k") == k, F.col("x.v"))).alias(f"moved_{v}") for k, v in enumerate(values)]
+    return got.agg(F.first("x.row", ignorenulls=True).alias("row"), *moved).select(group, "row.*", *(f"moved_{v}" for v in values))
+
+
+def _importance(df: DataFrame, features: list[str], label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, feature, n, auc, auc_permuted, drop) of the sum of all features, each replaced by its moved_ column in turn."""
+
+    def total(moved: str = "") -> Column:
+        p = sum((F.col(f"moved_{x}" if x == moved else x) for x in features), F.lit(0.0))
+        return F.rint(p * float(1 << 30)) / float(1 << 30)  # sums that differ in their last bits tie
+
+    df = df.persist()  # cuts of the ranges and ranks both read it
+    variants = F.array(*(F.struct(F.lit(x).alias("feature"), total(x).alias("p")) for x in ("", *features)))
+    a = S.auc(df.select(*keys, label, F.explode(variants).alias("x")).select(*keys, label, "x.*"), "p", label, (*keys, "feature"))
+    a = a.withColumn("_base", F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy(*keys)))  # a row a feature
+    return a.where(F.col("feature") != "").select(*keys, "feature", "n", F.col("_base").alias("auc"), F.col("auc").alias("auc_permuted"), (F.col("_base") - F.col("auc")).alias("drop"))
+
+
+def _epoch_day() -> Column:
+    return F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long")
+
+
 def permutation_importance(df: DataFrame, scores: list[str], label: str = "label", seed: int = 11) -> DataFrame:
-    """(score, auc, auc_permuted, drop) of the equal-weight combination; each score is dealt anew within its date, in
-    an order that a portable generator gives."""
-    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=scores), scores).select("symbol", "date", label, *scores).persist()  # every score reads it
-    base = S.auc(z.withColumn("p", sum((F.col(s) for s in scores), F.lit(0.0))), "p", label).select(F.col("auc").alias("auc"))
-    out = None
-    for k, s in enumerate(scores):
-        own = z.withColumn("i", F.row_number().over(E.day().orderBy("symbol")))
-        order = S.lcg(F.col("symbol").cast("long") * 7919 + F.datediff("date", F.lit("1970-01-01").cast("date")) * 104729 + seed + k)
-        moved = z.withColumn("i", F.row_number().over(E.day().orderBy(order, "symbol"))).select("date", "i", F.col(s).alias("moved"))
-        p = own.join(moved, ["date", "i"]).withColumn("p", sum((F.col("moved") if x == s else F.col(x) for x in scores), F.lit(0.0)))
-        row = S.auc(p, "p", label).select(F.lit(s).alias("score"), F.col("auc").alias("auc_permuted"))
-        out = row if out is None else out.union(row)
-    return out.crossJoin(F.broadcast(base)).select("score", "auc", "auc_permuted", (F.col("auc") - F.col("auc_permuted")).alias("drop"))
+    """(score, auc, auc_permuted, drop) of the equal-weight combination; each score is dealt anew within its date."""
+    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=scores), scores).select("symbol", "date", label, *scores)
+    moved = dealt_anew(z, scores, "date", "symbol", F.col("symbol").cast("long") * 7919 + _epoch_day() * 104729 + seed)
+    return _importance(moved, scores, label).select(F.col("feature").alias("score"), "auc", "auc_permuted", "drop")
+
+
+def regime_importance(df: DataFrame, scores: list[str], market: list[str], label: str = "label", bins: int = 2, seed: int = 11) -> DataFrame:
+    """(regime, feature, n, auc, auc_permuted, drop) by regimes of the first market feature, which are equal widths of its
+    mean rank over all rows. Scores are dealt anew within a date, market features among a regime's dates.
+
+    df(symbol, date, label, scores, market): market features have one value a date. Rows without a
+    score or the first market feature are left out; other market features that are unknown count as their mean."""
+    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=[*scores, market[0]]), scores).select("symbol", "date", label, *scores, *market).persist()  # read for the dates' regimes and for the rows
+    days = z.groupBy("date").agg(F.count(F.lit(1)).alias("_k"), *(F.max(m).alias(m) for m in market))  # a row a date from here on
+    every, value = Window.partitionBy(), F.rint(F.col(market[0]) * float(1 << 30))
+    days = days.withColumn("_v", value).withColumns({"_upto": F.sum("_k").over(Window.orderBy("_v")), "_same": F.sum("_k").over(Window.partitionBy("_v"))})
+    days = days.withColumn("_r", F.col("_upto") - (F.col("_same") - 1) / 2.0)
+    low, high = F.min("_r").over(every), F.max("_r").over(every)
+    days = days.withColumn("regime", sum(((F.col("_r") > low + (high - low) * j / bins).cast("int") for j in range(1, bins)), F.lit(0)))
+    days = days.withColumns({m: F.coalesce((F.col(m) - F.avg(m).over(every)) / (F.stddev_samp(m).over(every) + 1e-12), F.lit(0.0)) for m in market}).select("regime", "date", *market)
+    days = dealt_anew(days, market, "regime", "date", _epoch_day() * 104729 + seed + len(scores))
+    moved = dealt_anew(z.drop(*market), scores, "date", "symbol", F.col("symbol").cast("long") * 7919 + _epoch_day() * 104729 + seed)
+    return _importance(moved.join(F.broadcast(days), "date"), [*scores, *market], label, ("regime",))
 
 
 def boosted_trees(train: DataFrame, scores: list[str], label: str = "label", rounds: int = 20):

@@ -101,6 +101,30 @@ def section_backtest(panel: DataFrame, weights: DataFrame, schedule: DataFrame,
     return c.select("date", "gross", "cost", "net", "bench", compounded(F.col("net"), order).alias("equity"), compounded(F.col("bench"), order).alias("benchmark"), "turnover")
 
 
+def section_scan(panel: DataFrame, scores: DataFrame, schedule: DataFrame, shares: list[float], keys: tuple[str, ...] = ("delta",), buy: float = BUY, sell: float = SELL) -> DataFrame:
+    """(keys, share, date, net, bench, equity): long-only backtests of every key and share at once. panel(symbol, date,
+    ret), scores(keys, symbol, date, score). Only rows that are held are joined with returns; costs come from the
+    weights' changes at a rebalance. A date with too few names holds nothing. Ties by symbol."""
+    cell = (*keys, "share")
+    section = Window.partitionBy(*keys, "rb")
+    f = scores.where(F.col("score").isNotNull()).join(F.broadcast(schedule), F.col("date") == F.col("rb"))
+    f = f.withColumns({"_n": F.count(F.lit(1)).over(section), "_hi": F.row_number().over(section.orderBy(F.col("score").desc(), "symbol"))})
+    f = f.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_l", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("share"))))
+    held = f.where((F.col("_hi") <= F.col("_l")) & (F.col("_n") > F.col("_l"))).select(*cell, "symbol", "rb", "next", (1.0 / F.col("_l")).alias("w"))
+    p = panel.select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    bench = p.groupBy("date").agg(F.avg("ret").alias("bench"))
+    days = bench.join(F.broadcast(schedule), (F.col("date") > F.col("rb")) & (F.col("date") <= F.col("next")), "left").drop("next")
+    days = days.join(F.broadcast(schedule.select(F.col("rb").alias("_rb"))), F.col("date") == F.col("_rb"), "left")
+    days = days.withColumn("at", F.lag("_rb").over(Window.orderBy("date"))).drop("_rb")  # a row a date: what was rebalanced the day before
+    gross = held.join(p.join(F.broadcast(days.select("date", "rb")), "date"), ["symbol", "rb"]).groupBy(*cell, "date").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"))
+    change = F.explode(F.array(F.struct(F.col("rb").alias("at"), F.col("w").alias("w")), F.struct(F.col("next").alias("at"), (-F.col("w")).alias("w"))))
+    moves = held.select(*cell, "symbol", change.alias("x")).groupBy(*cell, "symbol", "x.at").agg(F.sum("x.w").alias("d")).groupBy(*cell, "at").agg(F.sum(F.abs("d")).alias("turnover"))
+    cells = scores.select(*keys).distinct().withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    c = days.crossJoin(F.broadcast(cells)).join(gross, [*cell, "date"], "left").join(moves, [*cell, "at"], "left")  # a row a date and parameter set
+    c = c.withColumn("net", F.coalesce("gross", F.lit(0.0)) - F.coalesce("turnover", F.lit(0.0)) / 2 * (buy + sell))
+    return c.select(*cell, "date", "net", "bench", compounded(F.col("net"), Window.partitionBy(*cell).orderBy("date")).alias("equity"))
+
+
 def target_weights(df: DataFrame, top: float = 0.2, bottom: float = 0.2, long_only: bool = False) -> DataFrame:
     """With `target`: equal weights of scores beyond the date's quantiles, ties included, the lower side winning."""
     e = df.groupBy("date").agg(F.percentile("score", [bottom, 1 - top]).alias("e"), F.count("score").alias("n"))

@@ -642,13 +642,50 @@ def fama_macbeth_multi(spark, sf_dir):
     return out(MOD.daily_ols(E.next_returns(base(spark, sf_dir)), "fwd", ["score", "score2"]), "date", "b_score", "b_score2")
 
 
-@query()
+_TRAIN_LONG = " UNION ALL ".join(f"SELECT fold, '{k}' AS s, date, z{i} AS score, fwd FROM rows_ WHERE part = 'train'" for i, k in enumerate(SCORES))
+_SECTION_RANK = "rank() OVER (PARTITION BY fold, s, date ORDER BY {0}) + (count(*) OVER (PARTITION BY fold, s, date, {0}) - 1) / 2.0"
+_PREDICTED = " + ".join(f"coalesce(z{i}, 0) * coalesce(max(w) FILTER (s = '{k}'), 0)" for i, k in enumerate(SCORES))
+
+
+@query(f"""{R}, {LABELS}, days AS (SELECT DISTINCT date FROM lab WHERE label IS NOT NULL), {fold_sql('days', 'date')}, zz AS (SELECT symbol, date, {_Z} FROM r),
+rows_ AS MATERIALIZED (SELECT p_.fold, p_.part, lab.symbol, lab.date, lab.label, lab.fwd, z0, z1, z2, z3 FROM p_ JOIN lab USING (date) JOIN zz USING (symbol, date) WHERE label IS NOT NULL AND part IS NOT NULL),
+tl AS ({_TRAIN_LONG}), tr AS (SELECT fold, s, date, {_SECTION_RANK.format('score')} AS a, {_SECTION_RANK.format('fwd')} AS b FROM tl WHERE score IS NOT NULL AND fwd IS NOT NULL),
+ti AS (SELECT fold, s, date, corr(a, b) AS ic FROM tr GROUP BY ALL HAVING count(*) >= 10 AND min(a) < max(a) AND min(b) < max(b)), ir AS (SELECT fold, s, avg(ic) / nullif(stddev_pop(ic), 0) AS ir FROM ti GROUP BY ALL),
+w AS (SELECT fold, s, ir / sum(abs(ir)) OVER (PARTITION BY fold) AS w FROM ir), o AS (SELECT fold, symbol, date, label, {_PREDICTED} AS pred FROM rows_ JOIN w USING (fold) WHERE part = 'validation' GROUP BY fold, symbol, date, label, z0, z1, z2, z3)
+SELECT fold, symbol, {D}, {g('pred')}, label FROM o""")
 def linear_baseline(spark, sf_dir):
     y = U.labels(E.horizon_returns(base(spark, sf_dir)))
     return out(MOD.out_of_fold(y, list(SCORES)), "fold", "symbol", "date", "pred", "label")
 
 
-@query()
+def moved_sql(source: str, group: str, item: str, values: list[str], seed: str) -> str:
+    """The source's rows with their place in the group and the place that each value moves to."""
+    at = [f"row_number() OVER (PARTITION BY {group} ORDER BY {LCG.format(x=f'{seed} + {k}')}, {item}) AS o_{v}" for k, v in enumerate(values)]
+    return f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {item}) AS i, {', '.join(at)} FROM {source}"
+
+
+def importance_sql(keys: str = "") -> str:
+    """AUC of vv(keys, feature, label, p) by feature; ui has the columns of the operator."""
+    by = f"{keys}, feature" if keys else "feature"
+    same = f"b.{keys} = a.{keys} AND " if keys else ""
+    return f"""ar AS (SELECT {by}, label, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2.0 AS k FROM (SELECT {by}, label, round_even(p * 1073741824, 0) / 1073741824 AS p FROM vv) WHERE p IS NOT NULL),
+as_ AS (SELECT {by}, sum(k) FILTER (label = 1) AS r, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM ar GROUP BY ALL), au AS (SELECT {by}, (r - p * (p + 1) / 2) / (p * q) AS auc, p + q AS n FROM as_),
+ui AS (SELECT a.*, b.auc AS base FROM au a JOIN au b ON {same}b.feature = '' WHERE a.feature <> '')"""
+
+
+def known_sql(more: str = "") -> str:
+    kept_ = " AND ".join(f"r.{k} IS NOT NULL" for k in SCORES)
+    return f"SELECT l.symbol, l.date, l.label, {', '.join(f'r.{k}' for k in SCORES)} FROM lab l JOIN r ON r.symbol = l.symbol AND r.date = l.date WHERE l.label IS NOT NULL AND {kept_} {more}"
+
+
+EPOCH_DAY = "(date::DATE - DATE '1970-01-01')"
+_ROW_SEED = f"symbol * 7919 + {EPOCH_DAY} * 104729 + 11"
+_SUM = "z0 + z1 + z2 + z3"
+_MOVED = " UNION ALL ".join([f"SELECT '' AS feature, label, {_SUM} AS p FROM z"] + [f"SELECT '{k}', z.label, {' + '.join(f'{"m" if j == i else "z"}.z{j}' for j in range(4))} FROM z JOIN z m ON m.date = z.date AND m.o_z{i} = z.i" for i, k in enumerate(SCORES)])
+
+
+@query(f"""{R}, {LABELS}, k AS ({known_sql()}), z_ AS (SELECT symbol, date, label, {_Z} FROM k), z AS MATERIALIZED ({moved_sql('z_', 'date', 'symbol', [f"z{i}" for i in range(4)], _ROW_SEED)}),
+vv AS ({_MOVED}), {importance_sql()} SELECT feature AS score, {g('base', 'auc')}, {g('auc', 'auc_permuted')}, {g('(base - auc)', '"drop"')} FROM ui""")
 def permutation_importance(spark, sf_dir):
     y = U.labels(E.horizon_returns(base(spark, sf_dir)))
     return out(MOD.permutation_importance(y, list(SCORES)), "score", "auc", "auc_permuted", "drop")

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from .functions.alphas import PANEL, SPARSE, definitions
 from .operators import evaluation as E
+from .operators import models as MOD
 from .operators import portfolio as P
 from .operators import screening as SC
 from .operators import statistics as S
+from .operators import universe as U
 from .plans.oracle import factor_ctes
+from .plans.planner import Plan
 from .research_queries import (
-    _M, BACKTEST, CAPM, CURVE, MA, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
-    D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, members, metric_sql, out, ranks, traded,
+    _M, _Z, BACKTEST, CAPM, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
+    D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
 )
 from .sources import bars as B
 
@@ -425,6 +428,78 @@ def outer_align(spark, sf_dir):
     return out(a.join(b, ["symbol", "date"], "full").withColumn("volume", F.col("volume").cast("double")), "symbol", "date", "close", "volume")
 
 
+# --- importance by market regime, parameters of one factor, exchanges of members ---
+
+_MARKETS = ("market_vol_20d", "market_turnover_20d")
+_REGIME_Z = [f"z{i}" for i in range(len(SCORES))] + ["m0", "m1"]
+
+
+def _regime_sum(moved: str = "") -> str:
+    return " + ".join(f"{('b' if x[0] == 'z' else 'dm') if x == moved else ('a' if x[0] == 'z' else 'd')}.{x}" for x in _REGIME_Z)
+
+
+_REGIME_V = " UNION ALL ".join(
+    [f"SELECT d.regime, '' AS feature, a.label, {_regime_sum()} AS p FROM z a JOIN d ON d.date = a.date"]
+    + [f"SELECT d.regime, '{f}', a.label, {_regime_sum(x)} FROM z a JOIN d ON d.date = a.date JOIN z b ON b.date = a.date AND b.o_{x} = a.i" for f, x in zip(SCORES, _REGIME_Z)]
+    + [f"SELECT d.regime, '{f}', a.label, {_regime_sum(x)} FROM z a JOIN d ON d.date = a.date JOIN d dm ON dm.regime = d.regime AND dm.o_{x} = d.i" for f, x in zip(_MARKETS, ("m0", "m1"))]
+)
+
+
+@query(f"""{R}, {UNIVERSE}, {LABELS}, {_MARKET}, k AS ({known_sql('AND l.date IN (SELECT date FROM mk WHERE market_vol_20d IS NOT NULL)')}),
+z_ AS (SELECT symbol, date, label, {_Z} FROM k), z AS MATERIALIZED ({moved_sql('z_', 'date', 'symbol', _REGIME_Z[:4], f'symbol * 7919 + {EPOCH_DAY} * 104729 + 11')}),
+dk AS (SELECT date, any_value(market_vol_20d) AS mv, any_value(market_turnover_20d) AS mt, count(*) AS k, round_even(any_value(market_vol_20d) * 1073741824, 0) AS v FROM k JOIN mk USING (date) GROUP BY date),
+dr AS (SELECT *, sum(k) OVER (ORDER BY v) - (sum(k) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM dk),
+dz AS (SELECT date, (r > (min(r) OVER () + max(r) OVER ()) / 2.0)::INT AS regime, coalesce((mv - avg(mv) OVER ()) / (stddev_samp(mv) OVER () + 1e-12), 0) AS m0, coalesce((mt - avg(mt) OVER ()) / (stddev_samp(mt) OVER () + 1e-12), 0) AS m1 FROM dr),
+d AS MATERIALIZED ({moved_sql('dz', 'regime', 'date', ['m0', 'm1'], f'{EPOCH_DAY} * 104729 + {11 + len(SCORES)}')}), vv AS ({_REGIME_V}), {importance_sql('regime')}
+SELECT regime, feature, n, {g('base', 'auc')}, {g('auc', 'auc_permuted')}, {g('(base - auc)', '"drop"')} FROM ui""")
+def regime_importance(spark, sf_dir):
+    """What each factor and market feature adds to the combined score, in calm and in volatile markets."""
+    m = members(spark, sf_dir)
+    y = U.labels(E.horizon_returns(m)).select("symbol", "date", "label", *SCORES)
+    return out(MOD.regime_importance(y.join(F.broadcast(S.market_features(m, 20, 52)), "date"), list(SCORES), list(_MARKETS)), "regime", "feature", "n", "auc", "auc_permuted", "drop")
+
+
+#: Lags of alpha055 and shares held, as in the parameter scan.
+DELTAS, TOP_SHARES = (2, 3, 4, 5, 6, 8, 10, 15, 20), (0.05, 0.1, 0.15, 0.2)
+_DELTA_ROOTS = {f"d{k}": definitions(k)["alpha055"].expr for k in DELTAS}
+
+
+@query(f"""WITH {B.SQL}, {factor_ctes(_DELTA_ROOTS, 'panel')}, pads AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS pad FROM panel),
+r AS MATERIALIZED (SELECT symbol, date, pad / lag(pad) OVER {H} - 1 AS ret FROM pads), {SCHEDULE.format(unit='month')}, sc AS ({' UNION ALL '.join(f'SELECT {k} AS delta, symbol, date, d{k} AS score FROM factors' for k in DELTAS)}),
+sh AS (SELECT unnest({list(TOP_SHARES)}::DOUBLE[]) AS share), sr AS (SELECT delta, symbol, rb, count(*) OVER (PARTITION BY delta, rb) AS k, row_number() OVER (PARTITION BY delta, rb ORDER BY score DESC, symbol) AS hi FROM sc JOIN sched ON rb = date WHERE score IS NOT NULL),
+wt AS MATERIALIZED (SELECT delta, share, symbol, rb, 1.0::DOUBLE / nl AS w FROM (SELECT *, greatest(1, floor(k * share)) AS nl FROM sr CROSS JOIN sh) WHERE hi <= nl AND k > nl), cl AS (SELECT DISTINCT delta, share FROM sc CROSS JOIN sh),
+dly AS (SELECT cl.delta, cl.share, r.symbol, r.date, coalesce(ret, 0) AS x, coalesce(wt.w, 0) AS w FROM r CROSS JOIN cl LEFT JOIN sched s ON r.date > s.rb AND r.date <= s.next LEFT JOIN wt ON wt.rb = s.rb AND wt.symbol = r.symbol AND wt.delta = cl.delta AND wt.share = cl.share),
+dw AS (SELECT *, abs(w - lag(w) OVER (PARTITION BY delta, share, symbol ORDER BY date)) AS dw FROM dly), c0 AS (SELECT delta, share, date, sum(w * x) AS gross, avg(x) AS bench, sum(dw) AS turnover FROM dw GROUP BY ALL),
+c1 AS (SELECT delta, share, date, bench, gross - CASE WHEN lag(s.rb) OVER (PARTITION BY delta, share ORDER BY date) IS NOT NULL THEN turnover / 2 * 0.00102 ELSE 0 END AS net FROM c0 LEFT JOIN sched s ON s.rb = c0.date),
+bt AS MATERIALIZED (SELECT *, product(1 + net) OVER (PARTITION BY delta, share ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM c1), m AS ({metric_sql('bt', 'delta, share')}),
+a AS (SELECT delta, share, sqrt(252.0) * avg(net - bench) / stddev_samp(net - bench) AS information_ratio FROM bt GROUP BY ALL)
+SELECT delta, {', '.join(map(g, ('share', *_M, 'information_ratio')))} FROM m JOIN a USING (delta, share)""")
+def delta_scan(spark, sf_dir):
+    """alpha055 with each lag and share held: all parameter sets in one backtest."""
+    p = E.padded_returns(Plan(_DELTA_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))
+    scores = p.select("symbol", "date", F.explode(F.array(*(F.struct(F.lit(k).alias("delta"), F.col(f"d{k}").alias("score")) for k in DELTAS))).alias("x")).select("symbol", "date", "x.*")
+    c = P.section_scan(p, scores, P.rebalance_dates(p), list(TOP_SHARES))
+    active = F.col("net") - F.col("bench")
+    a = c.groupBy("delta", "share").agg((F.sqrt(F.lit(252.0)) * F.avg(active) / F.stddev_samp(active)).alias("information_ratio"))
+    return out(P.metrics(c, ("delta", "share")).join(a, ["delta", "share"]), "delta", "share", *_M, "information_ratio")
+
+
+@query(f"""WITH {B.SQL}, {MONTHS}, c AS (SELECT snapshot_date, count(*) AS n, count(*) FILTER (left(lpad((symbol * 7919 % 1000000)::VARCHAR, 6, '0'), 1) = '6') AS sh FROM snaps GROUP BY 1),
+o AS (SELECT *, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before, lag(n) OVER (ORDER BY snapshot_date) AS n_before FROM c),
+k AS (SELECT o.snapshot_date, count(b.symbol) AS same FROM o JOIN snaps a ON a.snapshot_date = o.snapshot_date LEFT JOIN snaps b ON b.symbol = a.symbol AND b.snapshot_date = o.before GROUP BY 1)
+SELECT snapshot_date::VARCHAR AS snapshot_date, sh, n - sh AS sz, {g('(n + n_before - 2 * same) / 2.0', 'churn')} FROM o JOIN k USING (snapshot_date)""")
+def exchange_mix(spark, sf_dir):
+    """Members by exchange, and half of the changes against the snapshot before."""
+    s = snapshots(spark, sf_dir)
+    code = F.lpad((F.col("symbol") * 7919 % 1000000).cast("string"), 6, "0")
+    order = Window.orderBy("snapshot_date")  # a row a snapshot
+    c = s.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.sum(B.exchange_code(code).startswith("sh").cast("long")).alias("sh"))
+    c = c.withColumns({"before": F.lag("snapshot_date").over(order), "n_before": F.lag("n").over(order)})
+    kept_ = s.join(F.broadcast(c.select("snapshot_date", "before")), "snapshot_date").join(s.select("symbol", F.col("snapshot_date").alias("before")), ["symbol", "before"]).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("same"))
+    o = c.join(kept_, "snapshot_date", "left").withColumn("sz", F.col("n") - F.col("sh"))
+    return out(o.withColumn("churn", (F.col("n") + F.col("n_before") - 2 * F.coalesce("same", F.lit(0))) / 2.0), "snapshot_date", "sh", "sz", "churn")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["op_rank", "op_sma", "alpha002", "alpha029", "alpha174", "quintile_returns", "xs_metrics", "membership_daily", "purged_folds"]
+SOME = ["op_rank", "op_sma", "alpha002", "alpha029", "alpha174", "quintile_returns", "xs_metrics", "membership_daily", "purged_folds", "permutation_importance", "exchange_mix"]
 
 
 def test_entry(spark):

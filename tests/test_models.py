@@ -41,6 +41,72 @@ def test_permutation(sample):
     assert got["a"] > 0.1
 
 
+def lcg(seed):
+    return ((seed * 48271 + 69621 + 11) % 2147483647 * 16807 + 7) % 2147483647
+
+
+def plain_auc(pairs):
+    up, down = [p for p, y in pairs if y == 1], [p for p, y in pairs if y == 0]
+    return sum((p > q) + (p == q) / 2 for p in up for q in down) / (len(up) * len(down))
+
+
+def test_dealt_anew(sample):
+    rows = sample.select("symbol", "date", "a", "b")
+    seed = F.col("symbol").cast("long") * 7919
+    got = M.dealt_anew(rows, ["a", "b"], "date", "symbol", seed).collect()
+    assert len(got) == 1200
+    by_day = {}
+    for r in got:
+        by_day.setdefault(r.date, []).append(r)
+    for day in by_day.values():
+        day.sort(key=lambda r: r.symbol)
+        for k, v in enumerate("ab"):
+            order = sorted(day, key=lambda r: (lcg(r.symbol * 7919 + k), r.symbol))
+            assert [r[f"moved_{v}"] for r in day] == [r[v] for r in order]
+
+
+def test_regime_importance(sample):
+    epoch = dt.date(1970, 1, 1)
+    vol = {d: (None if d == 39 else float((d * 7) % 13)) for d in range(40)}
+    market = sample.sparkSession.createDataFrame([(dt.date(2021, 1, 1) + dt.timedelta(d), v, None if d % 5 == 0 else float(d)) for d, v in vol.items()], "date date, vol double, turn double")
+    got = {(r.regime, r.feature): r for r in M.regime_importance(sample.join(market, "date"), ["a", "b"], ["vol", "turn"]).collect()}
+    rows = [r.asDict() for r in sample.join(market, "date").where("vol IS NOT NULL").collect()]
+    days = sorted({r["date"] for r in rows})
+    on = {d: sorted((r for r in rows if r["date"] == d), key=lambda r: r["symbol"]) for d in days}
+    for d in days:
+        for s in "ab":
+            x = np.array([r[s] for r in on[d]])
+            for r, z in zip(on[d], (x - x.mean()) / (x.std(ddof=1) + 1e-12), strict=True):
+                r["z" + s] = z
+    v = {d: on[d][0]["vol"] for d in days}
+    rank = {d: 30 * sum(v[x] < v[d] for x in days) + (30 * sum(v[x] == v[d] for x in days) + 1) / 2 for d in days}
+    regime = {d: int(rank[d] > (min(rank.values()) + max(rank.values())) / 2) for d in days}
+    m = {}
+    for c in ("vol", "turn"):
+        x = [on[d][0][c] for d in days]
+        known = np.array([k for k in x if k is not None])
+        m[c] = {d: 0.0 if k is None else (k - known.mean()) / (known.std(ddof=1) + 1e-12) for d, k in zip(days, x, strict=True)}
+    base_seed = lambda d: (d - epoch).days * 104729 + 11
+    for g in (0, 1):
+        mine = [d for d in days if regime[d] == g]
+        moved = {}
+        for k, c in enumerate(("vol", "turn")):
+            order = sorted(mine, key=lambda d: (lcg(base_seed(d) + 2 + k), d))
+            moved[c] = {d: m[c][o] for d, o in zip(mine, order, strict=True)}
+        for feature in ("", "a", "b", "vol", "turn"):
+            pairs = []
+            for d in mine:
+                dealt = {s: [r["z" + s] for r in (sorted(on[d], key=lambda r: (lcg(r["symbol"] * 7919 + base_seed(d) + k), r["symbol"])) if feature == s else on[d])] for k, s in enumerate("ab")}
+                shift = sum((moved if feature == c else m)[c][d] for c in ("vol", "turn"))
+                pairs += [(round((dealt["a"][i] + dealt["b"][i] + shift) * 2**30), r["label"]) for i, r in enumerate(on[d])]
+            want = plain_auc(pairs)
+            if feature:
+                assert got[g, feature].auc_permuted == pytest.approx(want, abs=1e-6) and got[g, feature].n == len(pairs)
+            else:
+                assert {round(r.auc - want, 6) for (k, _), r in got.items() if k == g} == {0.0}
+    assert len(got) == 8
+
+
 def test_substitutes(sample):
     for fit in (M.boosted_trees, M.perceptron):
         p = fit(sample, ["a", "b"]).transform(sample)

@@ -132,3 +132,19 @@ def test_patches_and_flags(spark):
     new = spark.createDataFrame([("d1", 1, 10.0), ("d2", 1, None)], "date string, symbol int, value double")
     assert sorted(map(tuple, B.patched(old, new).collect())) == [("d1", 1, 10.0), ("d1", 2, 2.0), ("d3", 1, 4.0)]
     assert [r.st for r in B.special_treatment(old).collect()] == [False] * 4
+
+
+def test_scan_equals_single_backtests(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, k, float(rng.normal(0, 0.02)) if k else None, float(rng.normal()), float(rng.integers(0, 4))) for i in range(12) for k in range(130)]
+    p = spark.createDataFrame(rows, "symbol long, k int, ret double, d2 double, d3 double").withColumn("date", F.date_add(F.lit("2020-01-10").cast("date"), F.col("k"))).drop("k").persist()
+    schedule = P.rebalance_dates(p)
+    scores = p.select("symbol", "date", F.explode(F.array(*(F.struct(F.lit(k).alias("delta"), F.col(f"d{k}").alias("score")) for k in (2, 3)))).alias("x")).select("symbol", "date", "x.*")
+    got = {(r.delta, r.share, r.date): r for r in P.section_scan(p, scores, schedule, [0.1, 0.5]).collect()}
+    assert len(got) == 4 * 130
+    for delta in (2, 3):
+        for share in (0.1, 0.5):
+            one = p.withColumn("score", F.col(f"d{delta}"))
+            for r in P.section_backtest(one, P.section_weights(one, schedule, share), schedule).collect():
+                mine = got[delta, share, r.date]
+                assert (mine.net, mine.bench, mine.equity) == pytest.approx((r.net, r.bench, r.equity), abs=1e-12)
