@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, jaccard, language, mixing, quality, secrets, sharding, substrings, suffixes
+from . import collocations, decontamination, extraction, fingerprint, jaccard, language, mixing, quality, resampling, secrets, sharding, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands beside the package
 
@@ -60,8 +72,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op6_suffix_dedup, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_jaccard_join, op5_language_id, op6_suffix_dedup, op7_quality, op8_secrets, op9_fingerprint, op10_decontamination, op11_collocations, op12_extraction, op13_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE.format(docs="documents"), "op3_mixing": mixing.ORACLE.format(docs="documents"), "op10_decontamination": decontamination.ORACLE.format(docs="documents")}
+    return {"op1_substring_dedup": substrings.ORACLE.format(docs="documents"), "op3_mixing": mixing.ORACLE.format(docs="documents"), "op10_decontamination": decontamination.ORACLE.format(docs="documents"), "op11_collocations": collocations.ORACLE.format(docs="documents"), "op13_resampling": resampling.ORACLE.format(docs="documents", target="benchmark")}
