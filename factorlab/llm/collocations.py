@@ -2,9 +2,11 @@
 candidates are joined with the counts of their parts, scored in exact decimals, dropped if a one-word extension
 keeps half of their occurrences, and ranked by a window.
 
-The rows are made in Arrow batches, where equal runs of a slice of text are one row with their number, so a phrase
-or a language that fills the corpus sends a row a slice. Only
-phrases that occur often enough are joined: a part or an extension that matters occurs as often itself.
+Runs of one length after another: a run can only be frequent if the two runs of one word less inside it are. These
+are marked in a bitmap, and runs without both marks are left out before the shuffle: no frequent one ever, and an
+infrequent one that is let through by chance is dropped by its count. The rows are made in Arrow batches, where equal
+runs of a slice of text are one row with their number, so a phrase or a language that fills the corpus sends a row a
+slice. Only phrases that occur often enough are joined: a part or an extension that matters occurs as often itself.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ ENDS = np.zeros(256, bool)
 ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 PARTS = ENDS.copy()
 PARTS[list(b" \t")] = True
+#: Bits of the bitmap of frequent phrases, at least and at most (128 MB): beyond it more runs are let through.
+BITMAP_BITS = (1 << 23, 1 << 30)
+_HASH = hashing.Hash(11)
 
 
 def dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,48 +47,91 @@ def dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new.astype(np.int64), first
 
 
-def counted(data: np.ndarray, off: np.ndarray, lang: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Of texts one after another, for 1 to max_n words: a row in the language of each different run, the runs, their numbers."""
+def marks(rows: np.ndarray, words: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words at `begins`, from those of their languages and words."""
+    h = rows
+    for j in range(k):
+        h = hashing.mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[begins + j])
+    return h
+
+
+def counted(data: np.ndarray, off: np.ndarray, lang: np.ndarray, k: int, marked: np.ndarray | None, tongue: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The different runs of k words in texts one after another: a row in the language of each, the runs, their numbers.
+    With a bitmap only runs whose two runs of k - 1 words are marked. lang: language by row; tongue: hash by row."""
     data = hashing.LOWER[data]
     starts, ends, first = hashing.words(data, off, PARTS)
-    if not len(starts):
-        return
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    piece = np.cumsum(ENDS[data])[starts]
-    joins = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])  # whether a word and the next are of one piece
-    kept = np.concatenate(([0], np.cumsum(ends - starts)))
-    inside = hashing.covered(len(data), starts, ends - starts)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
-    spelt = words.dictionary
+    begins = np.arange(len(starts) - k + 1)
+    if k > 1:
+        piece = np.cumsum(ENDS[data])[starts]
+        begins = np.flatnonzero((row[k - 1 :] == row[: 1 - k]) & (piece[k - 1 :] == piece[: 1 - k])) if len(starts) >= k else begins[:0]
+        if marked is not None and len(begins):
+            spelt = _HASH.words(data, starts, ends)
+            at = begins
+            for shift in (0, 1):
+                h = marks(tongue[row[at]], spelt, at + shift, k - 1) & np.uint64(len(marked) * 64 - 1)
+                at = at[(marked[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)) == 1]
+            begins = at
+    if not len(begins):
+        return begins[:0], pa.array([], pa.large_binary()), begins[:0]
+    used = np.unique(hashing.spread(begins, np.full(len(begins), k)))  # only the words of such runs are spelt
+    place = np.searchsorted(used, begins)
+    lengths = (ends - starts)[used]
+    kept = np.concatenate(([0], np.cumsum(lengths)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(used), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[hashing.spread(starts[used], lengths)])]).dictionary_encode()
     word = words.indices.to_numpy().astype(np.int64)
-    ids, where = dense(lang[row] * len(spelt) + word)
-    size, begins, last = len(where), np.arange(len(starts)), ids
-    for k in range(max_n):
-        if k:  # runs of k words that go on: numbered by the shorter run and the next word
-            on = np.flatnonzero((begins + k < len(starts)) & joins[np.minimum(begins + k - 1, len(joins) - 1)]) if len(joins) else np.zeros(0, np.int64)
-            begins = begins[on]
-            last, where = dense(last[on] * size + ids[begins + k])
-        at = begins[where]
-        run = spelt.take(pa.array(word[at]))
-        for j in range(1, k + 1):
-            run = pc.binary_join_element_wise(run, spelt.take(pa.array(word[at + j])), pa.scalar(b" ", pa.large_binary()))
-        yield row[at], run, np.bincount(last, minlength=len(at))
-
-
-def phrases(docs: DataFrame, max_n: int) -> DataFrame:
-    """docs(t, lang) to rows of lang, k (words), phrase and a: all occurrences, those of a slice of text in one row."""
+    ids, where = dense(lang[row[used]] * len(words.dictionary) + word)
+    size, last = len(where), ids[place]
+    for j in range(1, k):  # numbered by the run so far and the next word
+        last, _ = dense(last)
+        last = last * size + ids[place + j]
+    last, where = dense(last)
+    run = words.dictionary.take(pa.array(word[place[where]]))
+    for j in range(1, k):
+        run = pc.binary_join_element_wise(run, words.dictionary.take(pa.array(word[place[where] + j])), pa.scalar(b" ", pa.large_binary()))
+    return row[begins[where]], run, np.bincount(last, minlength=len(where))
+
+
+def tongues(names: pa.Array) -> np.ndarray:
+    """A hash of each language."""
+    data, off = hashing.flat(names)
+    return _HASH.words(data, off[:-1], off[1:])
+
+
+def phrases(docs: DataFrame, k: int, marked: np.ndarray | None = None) -> DataFrame:
+    """docs(t, lang) to rows of lang, phrase (k words) and a: occurrences, those of a slice of text in one row."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(marked)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = hashing.flat(b.column("t"))
             names = b.column("lang").dictionary_encode()
             lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            tongue = tongues(names.dictionary)[lang]
             for i, j in hashing.slices(off, SLICE):
-                for k, (row, run, n) in enumerate(counted(data[off[i] : off[j]], off[i : j + 1] - off[i], lang[i:j], max_n), 1):
-                    own = names.dictionary.take(pa.array(lang[i:j][row]))
-                    yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(n), k, np.int32)), run.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "k", "phrase", "a"])
+                row, run, n = counted(data[off[i] : off[j]], off[i : j + 1] - off[i], lang[i:j], k, bitmap.value, tongue[i:j])
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[i:j][row])), run.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "a"])
+
+    return docs.select("t", F.coalesce("lang", F.lit(NONE)).alias("lang")).mapInArrow(work, "lang string, phrase string, a long")
+
+
+def bitmap_of(frequent: DataFrame, k: int) -> np.ndarray:
+    """Marks of the phrases of k words: 16 bits a phrase, within BITMAP_BITS."""
+    bits = BITMAP_BITS[0]
+    while bits < min(BITMAP_BITS[1], 16 * frequent.count()):
+        bits *= 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = hashing.flat(b.column("phrase"))
+            starts, ends, first = hashing.words(data, off, PARTS)
+            h = marks(tongues(b.column("lang")), _HASH.words(data, starts, ends), first[:-1], k) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], ["cell", "bits"])
 
-    return docs.select("t", F.coalesce("lang", F.lit(NONE)).alias("lang")).mapInArrow(work, "lang string, k int, phrase string, a long")
+    cells = frequent.select("lang", "phrase").mapInArrow(work, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
 def best(rows: DataFrame, top: int) -> DataFrame:
@@ -107,13 +155,17 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", max
     phrase's UTF-8 bytes. Without frequent phrases, as in an empty table, no rows. Columns that aren't
     named are not read, whatever their names. Exact up to 10^16 occurrences of a phrase.
     """
-    rows = phrases(shared.columns(docs, t=text, lang=lang), max_n)
-    # slices have been summed; most of what is left differs, so a second sum before the shuffle would only cost
-    counts = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.max("k").alias("k"))
-    # single words all stay for the languages' sizes, longer phrases from `least` occurrences on
-    counts = shared.written(counts.where((F.col("a") >= least) | (F.col("k") == 1)))
-    sizes = counts.where(F.col("k") == 1).groupBy("lang").agg(F.sum("a").alias("n"))
-    frequent = counts.where(F.col("a") >= least)
+    rows, marked, counts = shared.columns(docs, t=text, lang=lang), None, []
+    for k in range(1, max_n + 1):
+        # slices have been summed; most of what is left differs, so a second sum before the shuffle would only cost
+        n_of = phrases(rows, k, marked).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+        counts.append(shared.written(n_of if k == 1 else n_of.where(F.col("a") >= least)))  # all words, for the languages' sizes
+        if k < max_n:
+            marked = bitmap_of(counts[-1].where(F.col("a") >= least), k)
+    sizes = counts[0].groupBy("lang").agg(F.sum("a").alias("n"))
+    frequent = counts[0].where(F.col("a") >= least).withColumn("k", F.lit(1))
+    for k, own in enumerate(counts[1:], 2):
+        frequent = frequent.union(own.withColumn("k", F.lit(k)))
     candidates = frequent.where(F.col("k") > 1)
 
     words = F.split("phrase", " ")

@@ -67,3 +67,10 @@ def test_ties_and_limit(spark):
 
 def test_empty(spark):
     assert found(spark, []) == [] and found(spark, [(None, None), ("one word", "en")]) == []
+
+
+def test_full_bitmap(spark, monkeypatch):
+    """A bitmap that is far too small lets runs through and changes nothing."""
+    monkeypatch.setattr(collocations, "BITMAP_BITS", (64, 64))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == plain([(r.text, r.lang) for r in docs.collect()])
