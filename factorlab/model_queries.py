@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.alphas import definitions
+from .functions.alphas import PANEL, SPARSE, definitions
 from .operators import boosting as T
 from .operators import evaluation as E
+from .operators import network as N
+from .operators import portfolio as P
+from .operators import screening as SC
 from .operators import statistics as S
 from .operators import universe as U
 from .plans.planner import Plan
-from .research_queries import TOP, out
+from .research_queries import TOP, g, out
 from .sources import bars as B
 from .sources.scratch import Written
+from .study_queries import _LIBRARY, library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Factors that the models see beside the two market features: two of each kind of formula in the library.
@@ -30,12 +34,20 @@ def query(f):
     return f
 
 
+def with_factors(panel: DataFrame, names: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """The panel's columns to keep and the named factors, each on its own calendar."""
+    of = {c: {f: definitions()[f].expr for f in names if definitions()[f].calendar == c} for c in (PANEL, SPARSE)}
+    x = Plan(of[PANEL]).apply(panel, keep=keep)
+    if of[SPARSE]:
+        x = x.join(Plan(of[SPARSE]).apply(panel.where(F.col("close").isNotNull())), KEYS, "left")
+    return x
+
+
 def training_table(spark: SparkSession, sf_dir: str, factors: tuple[str, ...] = FACTORS) -> DataFrame:
     """symbol, date, fwd, label, factors and market features of the members of each date, as a written table: labels are the
     upper and lower fifth of the members' returns over the next five bars."""
-    panel = E.padded_returns(B.panel(B.weekly(spark, sf_dir)))
-    with_factors = Plan({f: definitions()[f].expr for f in factors}).apply(E.horizon_returns(panel), keep=(*B.FIELDS, "ret", "fwd"))
-    u = U.liquid(with_factors, TOP, 20, 52)
+    panel = E.horizon_returns(E.padded_returns(B.panel(B.weekly(spark, sf_dir))))
+    u = U.liquid(with_factors(panel, factors, (*B.FIELDS, "ret", "fwd")), TOP, 20, 52)
     market = S.market_features(u, 20, 52)  # a row a date
     finite = [F.when(F.abs(f) < float("inf"), F.col(f)).alias(f) for f in factors]
     mine = U.labels(u.where("member").select(*KEYS, "fwd", *finite))
@@ -81,5 +93,93 @@ def final_model(spark, sf_dir):
     return out(T.scored(x, model.df, FEATURES, KEYS), *KEYS, "p")
 
 
+@query
+def network_oof(spark, sf_dir):
+    """Held-out probabilities of the network of each purged fold."""
+    x = T.with_folds(training_table(spark, sf_dir))
+    model, scale = N.train(x, FEATURES, KEYS)
+    held = x.where(F.col("valid").isNotNull() & F.col("label").isNotNull())
+    p = N.scored(held, model, scale, FEATURES, KEYS, F.col("valid"))
+    return out(held.select(*KEYS, F.col("valid").alias("fold"), "label").join(p, KEYS), "fold", *KEYS, "label", "p")
+
+
+@query
+def network_folds(spark, sf_dir):
+    """Of each fold the epoch whose network is kept, the epochs run, and the held-out AUC of the kept and of the first."""
+    model, _ = N.train(T.with_folds(training_table(spark, sf_dir)), FEATURES, KEYS)
+    curve = model.where("name = 'auc'")
+    return out(curve.select("fold", "epoch", F.size("value").alias("epochs"), F.array_max("value").alias("auc"), F.col("value")[0].alias("auc_first")), "fold", "epoch", "epochs", "auc", "auc_first")
+
+
+# --- walk-forward with yearly choice from the whole library ---
+
+_CALENDAR = "cal AS (SELECT date, year(lead(date) OVER (ORDER BY date))::INT AS known FROM (SELECT DISTINCT date FROM panel)), years AS (SELECT test_year FROM (SELECT DISTINCT year(date)::INT AS test_year FROM panel) WHERE test_year >= (SELECT min(year(date)) FROM panel) + 2)"
+
+
+def yearly_sql() -> str:
+    """The gates of each year, every one from the daily values themselves."""
+    past = lambda source, value: f"(SELECT test_year, factor, {value} FROM {source} JOIN cal USING (date) JOIN years ON known < test_year GROUP BY ALL)"
+    ratio = lambda x: f"avg({x}) / nullif(stddev_pop({x}), 0)"
+    return f"""{_LIBRARY}, {_CALENDAR}, every AS (SELECT DISTINCT test_year, factor FROM (FROM ic SELECT factor UNION ALL FROM fm SELECT factor UNION ALL FROM cs SELECT factor), years)
+SELECT test_year, factor, {g('ic_ir')}, {g('fm_t')}, {g('cs_effective_ratio')}, coalesce(abs(ic_ir) > 0.05 AND abs(fm_t) > 2 AND cs_effective_ratio > 0.5, false) AS passed
+FROM every LEFT JOIN {past('ic', ratio('ic') + ' AS ic_ir')} USING (test_year, factor) LEFT JOIN {past('fm', ratio('slope') + ' * sqrt(count(*)) AS fm_t')} USING (test_year, factor) LEFT JOIN {past('cs', 'avg(f) AS cs_effective_ratio')} USING (test_year, factor)
+WHERE coalesce(ic_ir, fm_t, cs_effective_ratio) IS NOT NULL"""
+
+
+@query
+def yearly_gates(spark, sf_dir):
+    """The three gates of all factors for each year, from what is known before the year."""
+    m = SC.yearly_gates(library(spark, sf_dir)).where("ic_ir IS NOT NULL OR fm_t IS NOT NULL OR cs_effective_ratio IS NOT NULL")
+    return out(m, "test_year", "factor", "ic_ir", "fm_t", "cs_effective_ratio", "passed")
+
+
+def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's pool of factors, as a written table."""
+    daily = Written(library(spark, sf_dir)).df
+    return Written(SC.yearly_pools(daily, SC.yearly_gates(daily))).df
+
+
+@query
+def yearly_pools(spark, sf_dir):
+    return out(pools(spark, sf_dir), "test_year", "place", "factor", "ic_ir", "n_passed")
+
+
+#: Trees of a year's model, rows that it needs, days that a position is held.
+ROUNDS, LEAST_ROWS, HOLD = 79, 1000, 10
+
+
+@query
+def walk_forward_library(spark, sf_dir):
+    """For each year: factors chosen from the whole library by what is known before it, boosted trees on these and the market
+    features, fitted to labels known before it, and the year's long-short portfolio of their scores. All years' trees
+    grow side by side; a year uses only its own factors."""
+    chosen = pools(spark, sf_dir)
+    by_year: dict[int, list[str]] = {}
+    for r in chosen.orderBy("test_year", "place").collect():  # at most the pool's size a year
+        by_year.setdefault(r["test_year"], []).append(r["factor"])
+    names = tuple(sorted({f for v in by_year.values() for f in v}))
+    features = [*names, *MARKET]
+    years = spark.createDataFrame([(y, i) for i, y in enumerate(sorted(by_year))], "test_year int, fold int")
+    x = training_table(spark, sf_dir, names)
+    known = SC.known_years(B.panel(B.weekly(spark, sf_dir)).select("date").distinct(), 6)  # a label needs six more rows
+    marks = known.join(F.broadcast(years), F.col("known") < F.col("test_year")).groupBy("date").agg(F.sum(F.expr("shiftleft(1, fold)")).cast("int").alias("train"))
+    x = x.join(F.broadcast(marks), "date", "left").withColumn("train", F.coalesce("train", F.lit(0)))
+    trained = x.where("label IS NOT NULL").join(F.broadcast(years), F.expr("(shiftright(train, fold) & 1) = 1")).groupBy("test_year").agg(F.count(F.lit(1)).alias("n_train"))
+    allowed = {i: [features.index(f) for f in [*by_year[y], *MARKET]] for i, y in enumerate(sorted(by_year))}
+    fit = T.boost(x.withColumn("valid", F.lit(None).cast("int")), features, KEYS, params=T.Params(rounds=ROUNDS), allowed=allowed)
+    test = x.withColumn("test_year", F.year("date")).join(F.broadcast(years), "test_year").join(F.broadcast(trained.where(F.col("n_train") >= LEAST_ROWS)), "test_year")
+    p = Written(T.scored(test, fit.model, features, KEYS, F.col("fold"))).df
+    scores = B.panel(B.weekly(spark, sf_dir)).join(p.select(*KEYS, F.col("raw").alias("score")), KEYS, "left")
+    first = p.agg(F.min("date").alias("first"))
+    runs = P.overlapping(scores.join(F.broadcast(first), F.col("date") >= F.col("first")), HOLD).withColumn("test_year", F.year("date"))
+    ic = E.rank_ic(E.next_returns(E.padded_returns(scores))).groupBy(F.year("date").alias("test_year")).agg(F.avg("ic").alias("ic_mean"))
+    sizes = chosen.groupBy("test_year").agg(F.max("n_passed").alias("n_passed"), F.count(F.lit(1)).alias("pool_size"))
+    return out(P.performance(runs, keys=("test_year",)).join(sizes, "test_year").join(trained, "test_year").join(ic, "test_year"), "test_year", "n_passed", "pool_size", "n_train", "annual", "sharpe", "mdd", "n", "ic_mean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"yearly_gates": yearly_sql()}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -60,7 +60,7 @@ class Tree:
     rows: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        n = 2 << self.depth
+        n = 4 << self.depth
         self.feature, self.cut, self.rows = (np.zeros(n, np.int64) for _ in range(3))
         self.missing_left, self.split = np.zeros(n, bool), np.zeros(n, bool)
         self.value, self.gain = np.zeros(n), np.zeros(n)
@@ -129,10 +129,10 @@ def sampled(ids: np.ndarray, seed: int, share: float) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(np.float64) < share * 2.0**64
 
 
-def columns_of(p: Params, n: int, fold: int, round_: int) -> np.ndarray:
-    """The features that a tree may split on."""
-    k = max(1, math.ceil(p.feature_share * n - 1e-9))
-    return np.sort(np.random.default_rng([p.seed, fold, round_]).permutation(n)[:k])
+def columns_of(p: Params, own: Sequence[int], fold: int, round_: int) -> np.ndarray:
+    """The features, of a fold's own, that a tree may split on."""
+    k = max(1, math.ceil(p.feature_share * len(own) - 1e-9))
+    return np.sort(np.asarray(own, np.int64)[np.random.default_rng([p.seed, fold, round_]).permutation(len(own))[:k]])
 
 
 def raw_scores(b: pa.RecordBatch, bins: np.ndarray, fold: int, trees: list[Tree]) -> np.ndarray:
@@ -153,7 +153,7 @@ def gradients(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     return np.rint(weight * (p - y) * STEPS).astype(np.int64), np.rint(weight * p * (1 - p) * STEPS).astype(np.int64)
 
 
-def passed(rows: DataFrame, n: int, p: Params, round_: int, pending: dict[int, list[Tree]], growing: dict[int, Tree], level: int, weights: dict[int, tuple[float, float]], judge: bool) -> dict[int, dict[str, np.ndarray]]:
+def passed(rows: DataFrame, n: int, p: Params, round_: int, pending: dict[int, list[Tree]], growing: dict[int, Tree], level: int, weights: dict[int, tuple[float, float]], own: dict[int, Sequence[int]], judge: bool) -> dict[int, dict[str, np.ndarray]]:
     """One pass: by fold `hist` (node of the level, feature, bin; sums of both gradients and rows) and, if asked, `auc`
     (steps of the validation rows' probability; rows with label 1 and 0)."""
     wide = 1 << level
@@ -182,7 +182,7 @@ def passed(rows: DataFrame, n: int, p: Params, round_: int, pending: dict[int, l
                 on = (node >= 0) & open_[f][np.maximum(node, 0)]
                 use, node = use[on], node[on]
                 g, h = gradients(raw[use], y[use], np.where(y[use] == 1, weights[f][1], weights[f][0]))
-                columns = columns_of(p, n, f, round_)
+                columns = columns_of(p, own[f], f, round_)
                 cells = ((node * n)[:, None] + columns) * 256 + bins[use][:, columns]
                 for k, v in enumerate((g, h, np.ones(len(g), np.int64))):  # whole numbers below 2^53 in a batch
                     hist[f][k] += np.bincount(cells.ravel(), np.repeat(v, len(columns)), wide * n * 256).astype(np.int64)
@@ -216,9 +216,9 @@ def grown(tree: Tree, level: int, hist: np.ndarray, n: int, cuts: list[np.ndarra
         big_g, big_h, rows = int(g[i, first].sum()) / scale, int(h[i, first].sum()) / scale, int(k[i, first].sum())
         node = wide + i
         tree.value[node], tree.rows[node] = -p.rate * big_g / (big_h + p.ridge), rows
-        if level == p.depth or rows < 2 * p.least_rows:
+        if rows < 2 * p.least_rows:
             continue
-        best = (1e-9, None)
+        best = (1e-9, None, None)
         for c in columns:
             last = len(cuts[c])
             if not last:
@@ -232,10 +232,13 @@ def grown(tree: Tree, level: int, hist: np.ndarray, n: int, cuts: list[np.ndarra
                 gain[(kl < p.least_rows) | (kr < p.least_rows) | (hl < 1e-3) | (big_h - hl < 1e-3)] = -np.inf
                 j = int(np.argmax(gain))
                 if gain[j] > best[0]:
-                    best = (float(gain[j]), (int(c), j, bool(2 * kl[j] > rows) if way is None else way))
+                    best = (float(gain[j]), (int(c), j, bool(2 * kl[j] > rows) if way is None else way), (gl[j], hl[j], int(kl[j])))
         if best[1]:
             tree.split[node], tree.gain[node] = True, best[0]
             tree.feature[node], tree.cut[node], tree.missing_left[node] = best[1]
+            gl, hl, kl = best[2]  # children at the last level get no pass of their own
+            for child, cg, ch, ck in ((2 * node, gl, hl, kl), (2 * node + 1, big_g - gl, big_h - hl, rows - kl)):
+                tree.value[child], tree.rows[child] = -p.rate * cg / (ch + p.ridge), ck
 
 
 def auc(seen: np.ndarray) -> float:
@@ -258,12 +261,12 @@ def stored(rows: DataFrame, pending: dict[int, list[Tree]], folds: int) -> Writt
     return Written(rows.mapInArrow(work, rows.schema))
 
 
-def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "label", params: Params = Params()) -> Fit:
+def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "label", params: Params = Params(), allowed: dict[int, Sequence[int]] | None = None) -> Fit:
     """Boosted trees of every fold of df(ids, label, train, valid, features): bit f of `train` says that fold f learns from
     the row, `valid` names the fold that it is held out of (null: none). Rows without a label aren't learned from.
 
     A fold stops after `patience` rounds without a better AUC on its held-out rows and keeps the rounds up to the best one;
-    without held-out rows all `rounds` are kept. Labels are weighted to equal shares by fold.
+    without held-out rows all `rounds` are kept. `allowed` names the features (by place) that a fold may use. Labels are weighted to equal shares by fold.
     """
     known = df.where(F.col(label).isNotNull())
     cuts = edges(known, features, params.bins)
@@ -274,6 +277,7 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
     counts = {(r["fold"], r["y"]): r["k"] for r in table.df.select("y", F.explode(F.expr(f"filter(sequence(0, {max(folds - 1, 0)}), f -> (shiftright(train, f) & 1) = 1)")).alias("fold")).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("k")).collect()}
     held = {r["valid"] for r in table.df.select("valid").distinct().collect()}
     weights = {f: tuple((counts.get((f, 0), 0) + counts.get((f, 1), 0)) / (2 * max(counts.get((f, y), 0), 1)) for y in (0, 1)) for f in range(folds)}
+    own = {f: (allowed or {}).get(f, range(n)) for f in range(folds)}
     active = [f for f in range(folds) if (f, 0) in counts and (f, 1) in counts]
     trees: dict[int, list[Tree]] = {f: [] for f in range(folds)}
     pending: dict[int, list[Tree]] = {f: [] for f in range(folds)}
@@ -281,7 +285,7 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
     best = {f: 0 for f in range(folds)}
 
     for round_ in range(params.rounds + 1):
-        for level in range(params.depth + 1):
+        for level in range(params.depth):
             if level == 0:
                 growing = {f: Tree(params.depth) for f in active}
             judge = level == 0 and round_ > 0 and any(f in held for f in active)
@@ -289,7 +293,7 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
                 break
             if level and not any(t.split[1 << level - 1 : 1 << level].any() for t in growing.values()):
                 break
-            got = passed(table.df, n, params, round_, pending, growing, level, weights, judge)
+            got = passed(table.df, n, params, round_, pending, growing, level, weights, own, judge)
             if judge:  # the AUC after the round before, from the same pass that begins this one
                 for f in [f for f in active if f in held]:
                     curve[f].append(auc(got[f]["auc"]))
@@ -299,7 +303,7 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
                         active.remove(f)
                         del growing[f]
             for f, t in growing.items():
-                grown(t, level, got[f]["hist"], n, cuts, columns_of(params, n, f, round_), params)
+                grown(t, level, got[f]["hist"], n, cuts, columns_of(params, own[f], f, round_), params)
         if round_ == params.rounds or not growing:
             break
         for f, t in growing.items():

@@ -1,4 +1,4 @@
-"""Linear models by date, out-of-fold combinations, permutation importance, and tree and network substitutes."""
+"""Linear models by date, out-of-fold combinations, permutation importance."""
 
 from __future__ import annotations
 
@@ -116,23 +116,3 @@ def regime_importance(df: DataFrame, scores: list[str], market: list[str], label
     days = dealt_anew(days, market, "regime", "date", _epoch_day() * 104729 + seed + len(scores))
     moved = dealt_anew(z.drop(*market), scores, "date", "symbol", F.col("symbol").cast("long") * 7919 + _epoch_day() * 104729 + seed)
     return _importance(moved.join(F.broadcast(days), "date"), [*scores, *market], label, ("regime",))
-
-
-def boosted_trees(train: DataFrame, scores: list[str], label: str = "label", rounds: int = 20):
-    """Gradient-boosted trees of Spark's own library: a substitute for other boosting libraries, not their numbers."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    stages = [VectorAssembler(inputCols=scores, outputCol="_x", handleInvalid="skip"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()))
-
-
-def perceptron(train: DataFrame, scores: list[str], label: str = "label", rounds: int = 60):
-    """A multilayer perceptron of Spark's own library, without normalisation layers or dropout."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    stages = [VectorAssembler(inputCols=scores, outputCol="_x", handleInvalid="skip"), MultilayerPerceptronClassifier(featuresCol="_x", labelCol=label, layers=[len(scores), 16, 8, 2], maxIter=rounds, seed=7)]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()))

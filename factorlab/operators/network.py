@@ -9,9 +9,10 @@ that part's mean and variance; the running ones, used for scoring, are means ove
 
 from __future__ import annotations
 
-import base64
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
@@ -128,13 +129,45 @@ class Fold:
         return epoch - self.epoch < p.patience
 
 
-def exchanged(ctx: BarrierTaskContext, own: np.ndarray) -> np.ndarray:
-    """The sum of all tasks' vectors, added in the order of the tasks."""
-    parts = ctx.allGather(base64.b64encode(own.astype(np.float64).tobytes()).decode())
-    return np.sum([np.frombuffer(base64.b64decode(x), np.float64) for x in parts], axis=0)
-
-
-def one_step(ctx: BarrierTaskContext, folds: dict[int, Fold], batches: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray, up: dict[int, float], p: Params, seed: list[int]) -> None:
+class Exchange:
+    """Sums of vectors over the tasks of a barrier stage. The first task listens on a port that it tells the others in a
+    barrier message, with a key for this run; it adds the vectors in the order of the tasks and sends the sum
+    back. (A barrier message of its own for every step would take about a second each.) A task that is lost breaks the connections, and
+    Spark starts the stage anew."""
+
+    def __init__(self, ctx: BarrierTaskContext):
+        self.rank, self.peers = ctx.partitionId(), len(ctx.getTaskInfos())
+        self.links: list[Connection] = []
+        if self.peers == 1:
+            return
+        listener = Listener(("0.0.0.0", 0), backlog=self.peers, authkey=(key := os.urandom(16))) if self.rank == 0 else None
+        told = ctx.allGather(f"{listener.address[1]} {key.hex()}" if listener else "")[0].split()
+        if listener:
+            met = {}
+            while len(met) < self.peers - 1:
+                link = listener.accept()
+                met[int(link.recv_bytes())] = link
+            self.links = [met[k] for k in sorted(met)]
+            listener.close()
+        else:
+            host = ctx.getTaskInfos()[0].address.rsplit(":", 1)[0]
+            self.links = [Client((host, int(told[0])), authkey=bytes.fromhex(told[1]))]
+            self.links[0].send_bytes(str(self.rank).encode())
+
+    def sum(self, own: np.ndarray) -> np.ndarray:
+        own = own.astype(np.float64)
+        if self.peers == 1:
+            return own
+        if self.rank:
+            self.links[0].send_bytes(own.tobytes())
+            return np.frombuffer(self.links[0].recv_bytes(), np.float64)
+        total = np.sum([own, *(np.frombuffer(link.recv_bytes(), np.float64) for link in self.links)], axis=0)
+        for link in self.links:
+            link.send_bytes(total.tobytes())
+        return total
+
+
+def one_step(peers: Exchange, folds: dict[int, Fold], batches: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray, up: dict[int, float], p: Params, seed: list[int]) -> None:
     """Every fold's step: gradients of the tasks' rows are summed in one exchange, then all tasks update alike."""
     message = []
     for f, one in folds.items():
@@ -146,7 +179,7 @@ def one_step(ctx: BarrierTaskContext, folds: dict[int, Fold], batches: dict[int,
             _, grad, seen = backward(one.w, x[mine], y[mine], up[f], keep)
             n = len(mine)
         message += [np.array([n]), *(grad[k].ravel() for k in one.w), *(n * seen[k] for k in one.run)]
-    total, at = exchanged(ctx, np.concatenate(message)), 0
+    total, at = peers.sum(np.concatenate(message)), 0
 
     def taken(shape: tuple[int, ...]) -> np.ndarray:
         nonlocal at
@@ -163,11 +196,11 @@ def one_step(ctx: BarrierTaskContext, folds: dict[int, Fold], batches: dict[int,
                 one.run[k] = 0.9 * one.run[k] + 0.1 * seen[k] / n
 
 
-def fitted(ctx: BarrierTaskContext, x: np.ndarray, y: np.ndarray, train: np.ndarray, valid: np.ndarray, folds: int, p: Params) -> dict[int, Fold]:
+def fitted(peers: Exchange, x: np.ndarray, y: np.ndarray, train: np.ndarray, valid: np.ndarray, folds: int, p: Params) -> dict[int, Fold]:
     """What one task does: its rows in the order of their keys, all folds side by side."""
-    rank = ctx.partitionId()
+    rank = peers.rank
     own = {f: np.flatnonzero((train >> f & 1) == 1) for f in range(folds)}
-    counts = exchanged(ctx, np.array([[(y[own[f]] == k).sum() for k in (0, 1)] + [(valid == f).sum()] for f in range(folds)], float).ravel()).reshape(folds, 3)
+    counts = peers.sum(np.array([[(y[own[f]] == k).sum() for k in (0, 1)] + [(valid == f).sum()] for f in range(folds)], float).ravel()).reshape(folds, 3)
     nets = {f: Fold(x.shape[1], p, f) for f in range(folds) if counts[f].all()}
     up = {f: counts[f][0] / counts[f][1] for f in nets}
     active = dict(nets)
@@ -178,7 +211,7 @@ def fitted(ctx: BarrierTaskContext, x: np.ndarray, y: np.ndarray, train: np.ndar
         dealt = {f: np.array_split(np.random.default_rng([p.seed, f, epoch, rank]).permutation(own[f]), steps[f]) for f in active}
         for s in range(max(steps.values())):
             now = {f: one for f, one in active.items() if s < steps[f]}
-            one_step(ctx, now, {f: dealt[f][s] for f in now}, x, y, up, p, [epoch, s, rank])
+            one_step(peers, now, {f: dealt[f][s] for f in now}, x, y, up, p, [epoch, s, rank])
         seen = np.zeros((len(active), 2, AUC_STEPS))
         for i, (f, one) in enumerate(active.items()):
             held = np.flatnonzero(valid == f)
@@ -186,7 +219,7 @@ def fitted(ctx: BarrierTaskContext, x: np.ndarray, y: np.ndarray, train: np.ndar
                 at = np.minimum((AUC_STEPS / (1 + np.exp(-forward(one.w, one.run, x[held])))).astype(int), AUC_STEPS - 1)
                 for k in (0, 1):
                     seen[i, k] = np.bincount(at[y[held] == 1 - k], minlength=AUC_STEPS)
-        seen = exchanged(ctx, seen.ravel()).reshape(seen.shape)
+        seen = peers.sum(seen.ravel()).reshape(seen.shape)
         active = {f: one for i, (f, one) in enumerate(active.items()) if one.judged(boosting.auc(seen[i]), epoch, p)}
     return nets
 
@@ -214,13 +247,13 @@ def train(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
     tasks = p.tasks or max(1, -(-total // TASK_ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx = BarrierTaskContext.get()
+        peers = Exchange(BarrierTaskContext.get())
         got = [(b.column("id").to_numpy(), b.column("x").flatten().to_numpy().reshape(b.num_rows, -1), *(b.column(c).to_numpy() for c in ("y", "train", "valid"))) for b in batches if b.num_rows]
         empty = (np.zeros(0, np.int64), np.zeros((0, len(features))), *(np.zeros(0, np.int64) for _ in range(3)))
         i, x, y, mine, held = (np.concatenate(c) for c in zip(*got, strict=True)) if got else empty
         order = np.argsort(i, kind="stable")
-        nets = fitted(ctx, x[order], y[order], mine[order], held[order], folds, p)
-        if ctx.partitionId() == 0:  # all tasks hold the same networks
+        nets = fitted(peers, x[order], y[order], mine[order], held[order], folds, p)
+        if peers.rank == 0:  # all tasks hold the same networks
             rows = [(f, one.epoch, k, list(a.shape), a.ravel().tolist()) for f, one in nets.items() for k, a in (one.best[0] | one.best[1] | {"auc": np.array(one.curve)}).items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()))

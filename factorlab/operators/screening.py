@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphas import PANEL, SPARSE, definitions
@@ -84,3 +84,54 @@ def pool(metrics: dict[str, float], corr: dict[tuple[str, str], float], size: in
     kept = E.greedy_pool(list(metrics.items()), corr, forced, most)
     best = sorted(kept, key=lambda f: (-abs(metrics[f]), f))[:size]
     return best + [f for f in forced if f not in best]
+
+
+def known_years(dates: DataFrame, ahead: int = 1) -> DataFrame:
+    """dates(date), a row a date, to (date, known): the year in which the return of a date over `ahead` rows is known. Dates whose
+    return isn't known yet are left out, so that a year's choice uses nothing of that year."""
+    w = Window.orderBy("date")  # a row a date
+    return dates.select("date", F.year(F.lead("date", ahead).over(w)).alias("known")).where(F.col("known").isNotNull())
+
+
+def later_years(dates: DataFrame, least: int = 2) -> DataFrame:
+    """(test_year): the years that at least `least` years come before."""
+    years = dates.select(F.year("date").alias("test_year")).distinct()
+    return years.where(F.col("test_year") >= F.lit(years.agg(F.min("test_year")).first()[0]) + least)
+
+
+def yearly_gates(daily: DataFrame, least: int = 2) -> DataFrame:
+    """(test_year, factor, ic_ir, fm_t, cs_effective_ratio, passed): the three gates of every factor for each year, from what is
+    known before it. Years are summed once (counts, sums and squares of each factor and year) and added up by one window."""
+    dates = daily.select("date").distinct()
+    rows = daily.join(F.broadcast(known_years(dates)), "date")
+    parts = {"n": "count", "s": "sum"}
+    sums = rows.groupBy("factor", "known").agg(*(getattr(F, how)(c).alias(f"{k}_{c}") for c in ("ic", "slope", "full") for k, how in parts.items()), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in ("ic", "slope")))
+    grid = daily.select("factor").distinct().crossJoin(F.broadcast(later_years(dates, least)))  # factors x years
+    every = sums.withColumn("_t", F.lit(None).cast("int")).unionByName(grid.select("factor", F.col("test_year").alias("known"), F.col("test_year").alias("_t")), allowMissingColumns=True)
+    before = Window.partitionBy("factor").orderBy("known").rangeBetween(Window.unboundedPreceding, -1)  # a row a year
+    upto = every.select("factor", "_t", *(F.sum(c).over(before).alias(c) for c in sums.columns if c not in ("factor", "known"))).where(F.col("_t").isNotNull())
+    mean = lambda c: F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}"))
+    ratio = lambda c: F.try_divide(mean(c), F.sqrt(F.greatest(F.try_divide(F.col(f"q_{c}"), F.col(f"n_{c}")) - mean(c) * mean(c), F.lit(0.0))))
+    metrics = upto.select(F.col("_t").alias("test_year"), "factor", ratio("ic").alias("ic_ir"), (ratio("slope") * F.sqrt("n_slope")).alias("fm_t"), mean("full").alias("cs_effective_ratio"))
+    return E.gates(metrics)
+
+
+def yearly_pools(daily: DataFrame, gated: DataFrame, least: int = 3) -> DataFrame:
+    """(test_year, place, factor, ic_ir, n_passed): each year's pool by the greedy rule over the ICs known before it, a
+    year a group: as many values as the library has factors and dates. Years in which fewer than `least` pass have none."""
+    chosen = gated.withColumn("n_passed", F.sum(F.col("passed").cast("int")).over(Window.partitionBy("test_year"))).where((F.col("passed") | F.col("factor").isin(*MUST_KEEP)) & (F.col("n_passed") >= least))
+    known = known_years(daily.select("date").distinct())
+    ics = daily.where(F.col("ic").isNotNull()).join(F.broadcast(known), "date").join(F.broadcast(chosen.select("test_year", "factor", "ic_ir", "n_passed")), "factor").where(F.col("known") < F.col("test_year"))
+
+    def work(rows: pa.Table) -> pa.Table:
+        wide = rows.select(["date", "factor", "ic"]).to_pandas().pivot(index="date", columns="factor", values="ic").dropna()
+        names = list(wide.columns)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.atleast_2d(np.corrcoef(wide.to_numpy(), rowvar=False)) if len(wide) > 1 else np.full((len(names),) * 2, np.nan)
+        corr = {(a, b): float(c[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if c[i, j] == c[i, j]}
+        ir = {f: v or 0.0 for f, v in zip(rows.column("factor").to_pylist(), rows.column("ic_ir").to_pylist(), strict=True)}
+        got = pool(ir, corr)
+        first = lambda c: rows.column(c).to_pylist()[:1] * len(got)
+        return pa.table({"test_year": pa.array(first("test_year"), pa.int32()), "place": pa.array(range(len(got)), pa.int32()), "factor": got, "ic_ir": [ir[f] for f in got], "n_passed": pa.array(first("n_passed"), pa.int64())})
+
+    return ics.select("test_year", "factor", "date", "ic", "ic_ir", "n_passed").groupBy("test_year").applyInArrow(work, "test_year int, place int, factor string, ic_ir double, n_passed long")

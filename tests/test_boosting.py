@@ -69,7 +69,7 @@ def plain(rows, cuts, fold, p):
                 q = 1 / (1 + np.exp(-raw[r.id]))
                 w = weight[r.label]
                 root.append((r.id, int(np.rint(w * (q - r.label) * B.STEPS)), int(np.rint(w * q * (1 - q) * B.STEPS))))
-        columns = B.columns_of(p, len(FEATURES), fold, round_)
+        columns = B.columns_of(p, range(len(FEATURES)), fold, round_)
         leaves, splits, nodes = {1: best_split(root, columns, 0)}, {}, {1: root}
         while len(leaves) < p.leaves:
             open_ = [(-gain, i) for i, (gain, split) in leaves.items() if split]
@@ -139,6 +139,12 @@ def test_stored_model_scores_alike(spark, sample, fit, tmp_path):
         assert got[r.symbol, r.date].p == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-12)
 
 
+def test_a_fold_uses_only_its_features(sample):
+    got = B.boost(sample, FEATURES, ["symbol", "date"], params=B.Params(rounds=4, patience=9, rate=0.3, depth=3, least_rows=8, bins=16), allowed={0: [0], 1: [1, 2]})
+    used = {f: {r.feature for r in got.model.where("feature IS NOT NULL").collect() if r.fold == f} for f in range(3)}
+    assert used[0] == {0} and used[1] <= {1, 2} and used[1] and got.best.keys() == {0, 1, 2}
+
+
 def test_it_learns_and_names_what_it_used(sample, fit):
     assert max(max(c) for c in fit.auc.values()) > 0.7
     gains = {}

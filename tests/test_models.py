@@ -107,12 +107,6 @@ def test_regime_importance(sample):
     assert len(got) == 8
 
 
-def test_substitutes(sample):
-    for fit in (M.boosted_trees, M.perceptron):
-        p = fit(sample, ["a", "b"]).transform(sample)
-        assert p.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.8
-
-
 def test_stream(spark, tmp_path):
     rows = [("a", dt.datetime(2024, 1, 1, 10), 10.0, 1.0), ("a", dt.datetime(2024, 1, 3), 12.0, 2.0), ("a", dt.datetime(2024, 1, 9), 9.0, 1.0), ("b", dt.datetime(2024, 1, 2), 5.0, 4.0)]
     schema = "symbol string, ts timestamp, price double, volume double"
