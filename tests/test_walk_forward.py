@@ -21,7 +21,7 @@ def made(seed=4, change_from=None):
             ic, slope, full = common[i % 3] + 0.03 * (i % 4) + rng.normal() * 0.05, 0.01 * (i % 4) + rng.normal() * 0.03, float(rng.random() < 0.8)
             if change_from and date >= change_from:
                 ic, slope, full = -1.0, 5.0, 0.0
-            rows.append((f, date, None if (i == 5 and k < 90) or rng.random() < 0.02 else ic, None if rng.random() < 0.02 else slope, None if rng.random() < 0.02 else full))
+            rows.append((f, date, None if (i == 5 and k < 90) or rng.random() < 0.02 else float(ic), None if rng.random() < 0.02 else float(slope), None if rng.random() < 0.02 else full))
     return rows
 
 
@@ -80,7 +80,8 @@ def test_later_years_do_not_reach_back(spark):
     gates, pools = results(spark, made())
     other_gates, other_pools = results(spark, made(change_from=dt.date(2003, 1, 1)))
     for year in (2002, 2003):
-        assert {k: v for k, v in gates.items() if k[0] == year} == {k: v for k, v in other_gates.items() if k[0] == year}
+        for k in (k for k in gates if k[0] == year):  # sums differ in their last bits
+            assert gates[k] == pytest.approx(other_gates[k], rel=1e-9)
         assert pools.get(year) == other_pools.get(year)
     assert {k: v for k, v in gates.items() if k[0] == 2004} != {k: v for k, v in other_gates.items() if k[0] == 2004}
 
