@@ -9,6 +9,7 @@ is left out. No document leaves its task, so nothing is shuffled.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,7 @@ from . import hashing, shared
 
 #: Words of a window; words of a suffix's start that the sparse array looks at.
 WINDOW, HEAD = 10, 3
-#: Bytes of benchmark text that one pass carries to the executors (about ten times as many with its indexes); more
-#: text takes more passes.
+#: Bytes of benchmark text of a part (about ten times as many with its indexes); more text takes more parts.
 PASS_BYTES = 8 << 20
 _HASH, _SPAN = hashing.Hash(10), hashing.Hash(11)
 
@@ -69,8 +69,8 @@ class Benchmark:
     """The words, windows and suffixes of the benchmark items of one pass. All arrays grow with its words alone,
     however long an item is; matches are compared by hashes of spans."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+    def __init__(self, items: list[tuple[int | str | None, str | None]]):
+        items = sorted(items, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or ""))
         self.ids = [i for i, _ in items]
         data, off = hashing.flat(pa.array([t for _, t in items], pa.string()))
         data = hashing.LOWER[data]
@@ -204,39 +204,71 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     item_id, item_place, place, words; null if no window occurs; of equally long ones that of the smallest
     item_id, a null last, and the first places).
 
-    The benchmark is carried to the tasks in passes of bounded size; an item of any length is searched whole,
-    with memory in proportion to the pass's words. Null and empty texts have no words; an item with no words has no
+    The benchmark is carried to the tasks in parts of bounded size, which a task takes one after the other: the number of
+    parts changes neither its processes nor its memory. An item of any length is searched whole, with memory in
+    proportion to the part's words. Ids may be whole numbers or text (other kinds are written as text). Null and empty texts have no words; an item with no words has no
     window; an item of fewer than ten words is one window. Repeated items count once by id, an item without
     id marks words but has no id to report. An empty benchmark hits nothing, an empty table gives no rows.
     Repeated rows each have their result; very long texts are searched whole. Other columns stay; none may
     bear the name of an added one.
     """
-    items = shared.columns(benchmark, i=item_id, t=item_text).select(F.col("i").cast("long"), "t")
+    items = shared.columns(benchmark, i=item_id, t=item_text)
+    number = isinstance(items.schema["i"].dataType, T.IntegralType)
+    items = items.select(F.col("i").cast("long" if number else "string"), "t")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-total // PASS_BYTES) or 1
-    added = T.StructType.fromDDL("_n_words long, _hits array<int>, _items array<long>, _longest struct<item_id:long,item_place:int,place:int,words:int>")
+    kind = "long" if number else "string"
+    added = T.StructType.fromDDL(f"_n_words long, _hits array<int>, _items array<{kind}>, _longest struct<item_id:{kind},item_place:int,place:int,words:int>")
     schema = T.StructType([*docs.schema.fields, *added.fields])
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.struct([("item_id", pa.int64()), ("item_place", pa.int32()), ("place", pa.int32()), ("words", pa.int32())])]
+    of_id = pa.int64() if number else pa.string()
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(of_id), pa.struct([("item_id", of_id), ("item_place", pa.int32()), ("place", pa.int32()), ("words", pa.int32())])]
+    names, fields = [f.name for f in schema.fields], ("item_id", "item_place", "place", "words")
+    parts = []
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
+        parts.append(docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()])))
 
     def better(a: tuple | None, b: tuple | None) -> tuple | None:
-        return min(filter(None, (a, b)), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[2]), default=None)
+        return min(filter(None, (a, b)), key=lambda x: (-x[3], x[0] is None, 0 if x[0] is None else x[0], x[1], x[2]), default=None)
 
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
-        carried = docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()]))
+    def answer(batch: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+        cols = [pa.array([g[c] if c < 3 or g[c] is None else dict(zip(fields, g[c], strict=True)) for g in got], kind) for c, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *cols], names)
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield answer(batch, list(matches(batch.column(text), parts[0].value)))
 
-        def work(batches: Iterator[pa.RecordBatch], carried=carried, more=k > 0) -> Iterator[pa.RecordBatch]:
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's rows wait in a file without a name while one part of the benchmark after the other is searched."""
+        with tempfile.TemporaryFile() as kept:
+            writer, found = None, []
             for batch in batches:
-                got = list(matches(batch.column(text), carried.value))
-                old = batch.num_columns - 4 if more else batch.num_columns
-                if more:
-                    before = zip(*(batch.column(old + c).to_pylist() for c in (1, 2, 3)), strict=True)
-                    got = [(n, sorted({*h0, *h}), [*i0, *(x for x in i if x not in i0)], better(l0 and tuple(l0.values()), b)) for (n, h, i, b), (h0, i0, l0) in zip(got, before, strict=True)]
-                cols = [pa.array([g[c] if c < 3 or g[c] is None else dict(zip(("item_id", "item_place", "place", "words"), g[c], strict=True)) for g in got], kind) for c, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:old], *cols], [f.name for f in schema.fields])
-
-        docs = docs.mapInArrow(work, schema)
-    return docs
+                writer = writer or pa.ipc.new_stream(kept, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(batch)
+                found.append({})  # by row: what has been found in it
+            if not writer:
+                return
+            writer.close()
+            words: list[list[int]] = []
+            for k, part in enumerate(parts):
+                bench = part.value
+                kept.seek(0)
+                for b, batch in enumerate(pa.ipc.open_stream(kept)):
+                    got = list(matches(batch.column(text), bench))
+                    if not k:
+                        words.append([g[0] for g in got])
+                    for row, (_, hits, ids, best) in enumerate(got):
+                        if hits:
+                            h0, i0, l0 = found[b].get(row, ([], [], None))
+                            found[b][row] = sorted({*h0, *hits}), [*i0, *(x for x in ids if x not in i0)], better(l0, best)
+                del bench
+                vars(part).pop("_value", None)  # one part at a time in memory
+            kept.seek(0)
+            for b, batch in enumerate(pa.ipc.open_stream(kept)):
+                yield answer(batch, [(n, *found[b].get(row, ([], [], None))) for row, n in enumerate(words[b])])
+
+    return docs.mapInArrow(at_once if passes == 1 else in_turn, schema)
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
