@@ -190,3 +190,81 @@ def block_sharpes(returns: DataFrame, r: str, key: str, reps: int = 1000, block:
 def lcg_numpy(seed: np.ndarray, step: int = 1) -> np.ndarray:
     """lcg() over an array."""
     return ((seed.astype(np.int64) * 48271 + step * 69621 + 11) % 2147483647 * 16807 + 7) % 2147483647
+
+
+#: Ways to draw blocks: how many a sample has, from how many starts, whether the last one is cut to the series' length.
+FILLED, WHOLE = "filled", "whole"
+
+
+def block_samples(returns: DataFrame, r: str, key: str, reps: int, block: int = 20, how: str = FILLED, seed: int = 42) -> DataFrame:
+    """(key, rep, m, s, growth): mean, deviation (ddof 0) and compounded value of samples of blocks. `filled`: ceil(n / block)
+    blocks from n - block + 1 starts, cut to n rows; `whole`: floor(n / block) blocks from n - block starts, series of up to
+    a block being drawn row by row.
+
+    A block is the difference of two rows of the series' running sums, so a sample costs two look-ups a block, not a
+    row a draw. Sums are of deviations from the series' mean, which loses no digits. `filled` leaves out
+    series shorter than a block."""
+    rows = returns.where(F.col(r).isNotNull()).select(key, "date", F.col(r).alias("_r"))
+    w, whole = Window.partitionBy(key).orderBy("date"), Window.partitionBy(key)
+    upto, factor = w.rowsBetween(Window.unboundedPreceding, 0), 1 + F.col("_r")
+    u = F.col("_r") - F.col("_mean")
+    sums = rows.withColumns({"_mean": F.avg("_r").over(whole), "_n": F.count(F.lit(1)).over(whole), "_i": F.row_number().over(w).cast("long")})
+    sums = sums.select(key, "_n", "_mean", "_i", F.sum(u).over(upto).alias("_p"), F.sum(u * u).over(upto).alias("_q"), F.sum(F.log(F.when(factor != 0, F.abs(factor)).otherwise(1.0))).over(upto).alias("_l"), F.sum((factor < 0).cast("long")).over(upto).alias("_neg"), F.sum((factor == 0).cast("long")).over(upto).alias("_zero"))
+    sizes = sums.groupBy(key).agg(F.first("_n").alias("_n"), F.first("_mean").alias("_mean"))
+    n = F.col("_n")
+    if how == FILLED:
+        sizes = sizes.where(n >= block).withColumns({"_size": F.lit(block), "_blocks": F.ceil(n / block), "_starts": n - block + 1})
+    else:
+        short = n <= block
+        sizes = sizes.withColumns({"_size": F.when(short, 1).otherwise(block), "_blocks": F.when(short, n).otherwise(F.floor(n / block)), "_starts": F.when(short, n).otherwise(n - block)})
+    draws = sizes.crossJoin(F.broadcast(returns.sparkSession.range(reps).select(F.col("id").alias("rep"))))  # keys x replicates
+    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    draws = draws.withColumn("_a", lcg(F.col("rep") * 7919 + F.col("_k") * 104729 + seed) % F.col("_starts"))
+    draws = draws.withColumn("_b", F.col("_a") + F.least(F.col("_size"), n - F.col("_k") * F.col("_size")))
+    ends, names = draws.select(key, "rep", "_mean", F.explode(F.array(F.struct(F.lit(1).alias("_s"), F.col("_b").alias("_i")), F.struct(F.lit(-1).alias("_s"), F.col("_a").alias("_i")))).alias("x")), ("_p", "_q", "_l", "_neg", "_zero")
+    ends = ends.select(key, "rep", "_mean", "x._s", "x._i").join(sums.select(key, "_i", *names), [key, "_i"], "left")  # before the first row: nothing
+    g = ends.groupBy(key, "rep", "_mean").agg(F.sum(F.col("_s") * F.col("_i")).alias("_len"), *(F.sum(F.col("_s") * F.coalesce(c, F.lit(0))).alias(c) for c in names))
+    off = F.col("_p") / F.col("_len")
+    growth = F.when(F.col("_zero") > 0, 0.0).otherwise(F.exp("_l") * F.when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0))
+    return g.select(key, "rep", (F.col("_mean") + off).alias("m"), F.sqrt(F.greatest(F.col("_q") / F.col("_len") - off * off, F.lit(0.0))).alias("s"), growth.alias("growth"), F.col("_len").alias("n"))
+
+
+def resampled_ics(df: DataFrame, x: str, y: str, key: str, reps: int = 200, least: int = 100, seed: int = 5) -> DataFrame:
+    """(key, ic, n, p_value): rank correlation of two columns in each series with `least` rows or more, and the share of resamples whose own
+    is as large in size. The rank of a row in a resample follows from how often the rows below it are drawn, so all
+    resamples take one sort of the series and sums along it; one series is one group."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def ranks(v: np.ndarray, times: np.ndarray) -> np.ndarray:
+        order = np.argsort(v, kind="stable")
+        new = np.append(True, np.diff(v[order]) != 0)
+        tie = np.cumsum(new) - 1
+        upto = np.concatenate([np.zeros((len(times), 1)), np.cumsum(times[:, order], 1)], 1)
+        edges = np.append(np.flatnonzero(new), len(v))
+        low, high = upto[:, edges[:-1]], upto[:, edges[1:]]
+        out = np.empty(times.shape)
+        out[:, order] = ((low + high + 1) / 2)[:, tie]
+        return out
+
+    def correlation(times: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = times.sum(1, keepdims=True)
+        a, b = (z - (times * z).sum(1, keepdims=True) / n for z in (a, b))
+        va, vb = ((times * z * z).sum(1) for z in (a, b))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (times * a * b).sum(1) / np.sqrt(va * vb)
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        u, v, own = rows.column("_x").to_numpy(), rows.column("_y").to_numpy(), rows.column(key).slice(0, 1)
+        n, names = len(u), [key, "ic", "n", "p_value"]
+        if n < least:
+            return pa.table([own.slice(1), pa.array([], pa.float64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        drawn = lcg_numpy(np.arange(reps)[:, None] * 7919 + np.arange(n) * 104729 + seed) % n
+        times = np.bincount((drawn + np.arange(reps)[:, None] * n).ravel(), minlength=reps * n).reshape(reps, n)
+        times = np.concatenate([np.ones((1, n), np.int64), times])
+        c = correlation(times, ranks(u, times), ranks(v, times))
+        p = float((np.rint(np.abs(c[1:]) * (1 << 30)) >= np.rint(abs(c[0]) * (1 << 30))).mean()) if c[0] == c[0] else None
+        return pa.table([own, pa.array([c[0]], pa.float64(), from_pandas=True), pa.array([n], pa.int64()), pa.array([p], pa.float64())], names=names)
+
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, "date", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return known.groupBy(key).applyInArrow(work, f"{key} {kind}, ic double, n long, p_value double")
