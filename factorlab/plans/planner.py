@@ -24,7 +24,7 @@ STEPS = float(1 << 30)
 #: Window columns that one stage adds at most: bounds the size of generated code.
 STAGE = 48
 #: Ranks of one stage from which on they are taken in one grouped map per date: as windows each needs a sort of its own.
-GROUPED = 4
+GROUPED = 12
 
 
 def nodes(roots: Iterable[Expr]) -> list[Expr]:
