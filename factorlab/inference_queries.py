@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation as E
+from .operators import models as M
 from .operators import statistics as S
-from .research_queries import LCG, R, SCORES, base, bin_cte, g, h, out
+from .research_queries import D, LCG, R, SCORES, base, bin_cte, g, h, out
 from .study_queries import long_shorts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,39 @@ def series_ic_bootstrap(spark, sf_dir):
     return out(p.crossJoin(F.broadcast(tests)).withColumn("bonferroni", F.col("p_value") < 0.05 / F.col("tests")), "symbol", "ic", "n", "p_value", "bonferroni")
 
 
+# --- orthogonalisation by date: four ways ---
+
+_K12 = "score IS NOT NULL AND score2 IS NOT NULL"
+_RATIO = "CASE WHEN {v} > 0 THEN {c} / {v} ELSE 0 END"
+
+
+@query(f"""{R}, d2 AS (SELECT date, count(*) AS n2, {_RATIO.format(c='sum(score * score2)', v='sum(score * score)')} AS b FROM r WHERE {_K12} GROUP BY 1),
+c2 AS MATERIALIZED (SELECT symbol, r.date, score AS o1, score3, CASE WHEN n2 >= 10 THEN score2 - b * score END AS o2 FROM r LEFT JOIN d2 USING (date)),
+d3 AS (SELECT date, count(*) AS n3, sum(o1 * o1) AS v1, sum(o2 * o2) AS v2, sum(o1 * o2) AS v12, sum(o1 * score3) AS w1, sum(o2 * score3) AS w2 FROM c2 WHERE o1 IS NOT NULL AND o2 IS NOT NULL AND score3 IS NOT NULL GROUP BY 1),
+c3 AS (SELECT symbol, date, o1, o2, CASE WHEN n3 >= 10 THEN score3 - (w1 * v2 - w2 * v12) / (v1 * v2 - v12 * v12) * o1 - (w2 * v1 - w1 * v12) / (v1 * v2 - v12 * v12) * o2 END AS o3 FROM c2 LEFT JOIN d3 USING (date))
+SELECT symbol, {D}, {g('o2')}, {g('o3')}, {g('(o1 + o2 + o3) / 3', 'combined')} FROM c3""")
+def orthogonal_chain(spark, sf_dir):
+    """Each score less what the ones before it explain, without intercept; and their mean."""
+    x = M.orthogonal_chain(base(spark, sf_dir), ["score", "score2", "score3"])
+    return out(x.select("symbol", "date", F.col("o_score2").alias("o2"), F.col("o_score3").alias("o3"), ((F.col("o_score") + F.col("o_score2") + F.col("o_score3")) / 3).alias("combined")), "symbol", "date", "o2", "o3", "combined")
+
+
+@query(f"""{R}, d AS (SELECT date, count(*) AS k, var_pop(score2) AS v1, var_pop(score3) AS v2, covar_pop(score2, score3) AS v12, covar_pop(score2, score) AS w1, covar_pop(score3, score) AS w2, avg(score) AS m0, avg(score2) AS m1, avg(score3) AS m2 FROM r WHERE {_K12} AND score3 IS NOT NULL GROUP BY 1),
+f AS (SELECT *, (w1 * v2 - w2 * v12) / (v1 * v2 - v12 * v12) AS b1, (w2 * v1 - w1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM d WHERE v1 * v2 - v12 * v12 > 1e-12 * v1 * v2)
+SELECT symbol, {D}, {g('CASE WHEN k >= 20 THEN score - m0 - b1 * (score2 - m1) - b2 * (score3 - m2) END', 'residual')} FROM r JOIN f USING (date) WHERE {_K12} AND score3 IS NOT NULL""")
+def orthogonal_intercept(spark, sf_dir):
+    """The score less its regression with intercept on two others."""
+    x = base(spark, sf_dir).dropna(subset=["score", "score2", "score3"])
+    return out(M.orthogonal_to(x, "score", ["score2", "score3"], least=20), "symbol", "date", "residual")
+
+
+@query(f"{R}, d AS (SELECT date, count(*) AS k, {_RATIO.format(c='covar_pop(score2, score)', v='var_pop(score2)')} AS b FROM r WHERE {_K12} GROUP BY 1) SELECT symbol, {D}, {g('CASE WHEN k >= 20 THEN score - b * score2 ELSE score END', 'residual')} FROM r JOIN d USING (date) WHERE {_K12}")
+def orthogonal_slope(spark, sf_dir):
+    """The score less slope times the other, the constant left in; the score itself on dates with fewer than 20 names."""
+    x = base(spark, sf_dir).dropna(subset=["score", "score2"])
+    return out(M.orthogonal_to(x, "score", ["score2"], least=20, keep=True, constant=False), "symbol", "date", "residual")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

@@ -2,48 +2,71 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import evaluation as E
 from . import statistics as S
 from . import universe as U
 
 
-def daily_ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """(date, b_<x>...): slopes of a regression with intercept on each date with 2k + 5 rows or more. One date is
-    one task's group: as many rows as there are symbols."""
-    schema = T.StructType([T.StructField("date", T.DateType()), *(T.StructField(f"b_{x}", T.DoubleType()) for x in xs)])
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2 * len(xs) + 5:
-            return pd.DataFrame(columns=schema.names)
-        a = np.column_stack([np.ones(len(rows)), rows[xs].to_numpy(float)])
-        b = np.linalg.lstsq(a, rows[y].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame([[rows["date"].iloc[0], *b[1:]]], columns=schema.names)
-
-    known = df.where(F.col(y).isNotNull())
-    for x in xs:
-        known = known.where(F.col(x).isNotNull())
-    return known.select("date", y, *xs).groupBy("date").applyInPandas(work, schema)
-
-
-def orthogonal_to(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
-    """(symbol, date, residual): y less its regression on several columns, by date."""
-    schema = T.StructType([df.schema["symbol"], T.StructField("date", T.DateType()), T.StructField("residual", T.DoubleType())])
+def solved(df: DataFrame, k: int) -> DataFrame:
+    """df with x0, x1, ...: the solution of the symmetric system of its columns a00, a10, a11, ... and b0, b1, ..., by a Cholesky
+    decomposition in expressions. A column that the ones before it determine gets 0."""
+    for j in range(k):
+        rest = sum((F.col(f"l{j}{m}") ** 2 for m in range(j)), F.lit(0.0))
+        pivot = F.col(f"a{j}{j}") - rest
+        df = df.withColumn(f"l{j}{j}", F.when(pivot > 1e-12 * F.col(f"a{j}{j}"), F.sqrt(pivot)))
+        below = lambda i: F.col(f"a{i}{j}") - sum((F.col(f"l{i}{m}") * F.col(f"l{j}{m}") for m in range(j)), F.lit(0.0))  # noqa: B023, E731
+        df = df.withColumns({f"l{i}{j}": F.coalesce(below(i) / F.col(f"l{j}{j}"), F.lit(0.0)) for i in range(j + 1, k)})
+    for j in range(k):
+        known = F.col(f"b{j}") - sum((F.col(f"l{j}{m}") * F.col(f"y{m}") for m in range(j)), F.lit(0.0))
+        df = df.withColumn(f"y{j}", F.coalesce(known / F.col(f"l{j}{j}"), F.lit(0.0)))
+    for j in reversed(range(k)):
+        known = F.col(f"y{j}") - sum((F.col(f"l{i}{j}") * F.col(f"x{i}") for i in range(j + 1, k)), F.lit(0.0))
+        df = df.withColumn(f"x{j}", F.coalesce(known / F.col(f"l{j}{j}"), F.lit(0.0)))
+    return df
+
+
+def regressions(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
+    """(date, n, x0, x1, ..., c): slopes and constant of the regression on each date, over the rows where all are known. The
+    normal equations are aggregates, summed before the shuffle, so no date is one group."""
+    known = df.dropna(subset=[y, *xs])
+    pair = F.covar_pop if intercept else lambda p, q: F.sum(F.col(p) * F.col(q))
+    sums = [pair(xs[i], xs[j]).alias(f"a{i}{j}") for i in range(len(xs)) for j in range(i + 1)] + [pair(x, y).alias(f"b{i}") for i, x in enumerate(xs)]
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate([*xs, y])]
+    fit = solved(known.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *sums, *means), len(xs))
+    c = F.col(f"m{len(xs)}") - sum((F.col(f"x{i}") * F.col(f"m{i}") for i in range(len(xs))), F.lit(0.0))
+    return fit.select("date", "n", *(f"x{i}" for i in range(len(xs))), (c if intercept else F.lit(0.0)).alias("c"))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        a, v = rows[xs].to_numpy(float), rows[y].to_numpy(float)
-        a = np.column_stack([np.ones(len(rows)), a]) if intercept else a
-        if len(rows) > a.shape[1]:
-            v = v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
-        return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "residual": v})
 
-    known = df.dropna(subset=[y, *xs])
-    return known.select("symbol", "date", y, *xs).groupBy("date").applyInPandas(work, schema)
+def daily_ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(date, b_<x>...): slopes of a regression with intercept on each date with 2k + 5 rows or more."""
+    fit = regressions(df, y, xs).where(F.col("n") >= 2 * len(xs) + 5)
+    return fit.select("date", *(F.col(f"x{i}").alias(f"b_{x}") for i, x in enumerate(xs)))
+
+
+def orthogonal_to(df: DataFrame, y: str, xs: list[str], intercept: bool = True, least: int = 1, keep: bool = False, constant: bool = True) -> DataFrame:
+    """df with `residual`: y less its regression on several columns of the same date; null where one is unknown and on dates of
+    fewer than `least` such rows (keep: y itself there). Without `constant` the fitted constant stays in the residual."""
+    fit = regressions(df, y, xs, intercept)
+    fit = fit.select("date", *(F.col(c).alias(f"_fit_{c}") for c in fit.columns if c != "date"))
+    part = sum((F.col(f"_fit_x{i}") * F.col(x) for i, x in enumerate(xs)), F.col("_fit_c") if constant else F.lit(0.0))
+    known = F.col(y).isNotNull()
+    for x in xs:
+        known = known & F.col(x).isNotNull()
+    value = F.when(known & (F.col("_fit_n") >= least), F.col(y) - part)
+    if keep:
+        value = F.coalesce(value, F.when(known, F.col(y)))
+    return df.join(fit, "date", "left").withColumn("residual", value).select(*df.columns, "residual")
+
+
+def orthogonal_chain(df: DataFrame, columns: list[str], intercept: bool = False, least: int = 10) -> DataFrame:
+    """df with o_<column>: the first column, and of each further one what the ones before it leave, by date."""
+    done = df.withColumn(f"o_{columns[0]}", F.col(columns[0]))
+    for i, c in enumerate(columns[1:], 1):
+        done = orthogonal_to(done, c, [f"o_{x}" for x in columns[:i]], intercept, least).withColumnRenamed("residual", f"o_{c}")
+    return done
 
 
 def out_of_fold(df: DataFrame, scores: list[str], label: str = "label", splits: int = 5, purge: int = 6) -> DataFrame:

@@ -26,10 +26,44 @@ def test_daily_ols(sample):
 
 
 def test_orthogonal_to(sample):
-    got = M.orthogonal_to(sample, "fwd", ["a", "b"]).join(sample, ["symbol", "date"]).groupBy("date").agg(F.corr("residual", "a").alias("c")).collect()
+    got = M.orthogonal_to(sample, "fwd", ["a", "b"]).groupBy("date").agg(F.corr("residual", "a").alias("c")).collect()
     assert max(abs(r.c) for r in got) < 1e-9
 
 
+@pytest.mark.parametrize("intercept", [True, False])
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_regressions_equal_least_squares(spark, k, intercept):
+    rng = np.random.default_rng(k)
+    rows = []
+    for d in range(6):
+        for i in range(25 if d < 5 else 3):  # the last date has fewer rows than unknowns
+            x = [float(v) for v in rng.normal(3, 1, 4)]
+            if d == 4:
+                x[3] = 2 * x[0] - x[1]  # one column follows from others
+            rows.append((i, dt.date(2021, 1, 1) + dt.timedelta(d), *(None if rng.random() < 0.05 else v for v in x), float(rng.normal() + x[0])))
+    xs = ["p", "q", "r", "s"][:k]
+    df = spark.createDataFrame(rows, "symbol int, date date, p double, q double, r double, s double, y double")
+    got = {r.date: r for r in M.regressions(df, "y", xs, intercept).collect()}
+    rest = {(r.symbol, r.date): r.residual for r in M.orthogonal_to(df, "y", xs, intercept, least=8).collect()}
+    for d in sorted(got):
+        own = [r for r in df.where(F.col("date") == d).collect() if all(r[x] is not None for x in xs)]
+        assert got[d].n == len(own)
+        a = np.array([[r[x] for x in xs] + [1.0] * intercept for r in own])
+        y = np.array([r.y for r in own])
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        for r, want in zip(own, y - a @ beta, strict=True):
+            assert rest[r.symbol, r.date] == (pytest.approx(want, abs=1e-6) if len(own) >= 8 else None)
+        if len(own) > k + 1 and not (k == 4 and d == dt.date(2021, 1, 5)):
+            assert [got[d][f"x{i}"] for i in range(k)] == pytest.approx(beta[:k], abs=1e-9)
+            assert got[d].c == pytest.approx(beta[k] if intercept else 0.0, abs=1e-8)
+
+
+def test_orthogonal_chain(sample):
+    x = sample.withColumn("c", F.col("a") + F.col("b") * 0.5 + F.col("fwd"))
+    got = M.orthogonal_chain(x, ["a", "b", "c"]).groupBy("date").agg(*(F.abs(F.sum(F.col(f"o_{p}") * F.col(f"o_{q}"))).alias(p + q) for p, q in ("ab", "ac", "bc"))).collect()
+    assert max(max(r.ab, r.ac, r.bc) for r in got) < 1e-9
+
+
 def test_out_of_fold(sample):
     got = M.out_of_fold(sample, ["a", "b"]).toPandas()
     assert set(got.fold) == {1, 2, 3, 4} or set(got.fold) == {0, 1, 2, 3, 4}
