@@ -21,8 +21,8 @@ BUCKETS, CENTROIDS, ROWS = 4096, 4, 256
 #: Share of a language's rows that a centroid stands for at least.
 LEAST_SHARE = 0.02
 #: Labelled rows per language that the fit may use (about; chosen by hash, the same in each run), rows of all
-#: languages together, and languages: of more than so many labels the most frequent ones are learned.
-SAMPLE, TOTAL, LANGUAGES = 500, 8000, 256
+#: languages together, and languages: a model of more would be too large to send to the tasks, so they are an error.
+SAMPLE, TOTAL, LANGUAGES = 500, 8000, 1024
 #: A text is rejected below this share of the lowest percentile (one in a hundred) of the similarities seen in training.
 TOLERANCE, PERCENTILE = 0.7, 1.0
 #: Bytes of the shortest cutting of a labelled text, and lengths of cuttings, each twice the one before.
@@ -121,14 +121,15 @@ def bounds(seen: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows with a language, some letter and crc32(doc_id as text) mod 4 other than 2.
 
-    The driver holds at most TOTAL rows of 8 KB and LANGUAGES languages. Null or letterless texts teach nothing,
-    repeated rows count again, very long texts are counted whole. Without a row to learn from (an empty table,
+    The driver holds about TOTAL rows of 16 KB; more than LANGUAGES languages raise an error. Null or letterless texts
+    teach nothing, repeated rows count again, very long texts are counted whole. Without a row to learn from (an empty table,
     say) there is no language. Only the named columns are read, whatever the names of others. Bounds rest on
     all labelled rows and on a cutting of each, so that short texts have bounds of their own.
     """
     rows = shared.columns(docs, i=doc_id, t=text, l=lang).where(F.col("l").isNotNull() & (F.crc32(F.col("i").cast("string")) % 4 != 2))
-    most = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
-    seen = {r["l"]: r["count"] for r in most.collect()}
+    seen = {r["l"]: r["count"] for r in rows.groupBy("l").count().limit(LANGUAGES + 1).collect()}
+    if len(seen) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages; join rare ones or raise language.LANGUAGES")
     languages = sorted(seen)
     if not languages:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(24))
@@ -139,10 +140,12 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, tf in counts(*lowered(b.column("t"))):
-                yield pa.RecordBatch.from_arrays([b.column("l").slice(i, len(tf)), pa.array([r.tobytes() for r in np.minimum(tf, 65535).astype(np.uint16)], pa.binary())], ["l", "v"])
+                yield pa.RecordBatch.from_arrays([b.column("l").slice(i, len(tf)), pa.array([r.tobytes() for r in tf.astype(np.uint32)], pa.binary())], ["l", "v"])
 
-    got = chosen.select("t", "l").mapInArrow(work, "l string, v binary").toArrow()  # bounded: about TOTAL rows of 8 KB
-    tf = np.frombuffer(b"".join(got.column("v").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    got = chosen.select("t", "l").mapInArrow(work, "l string, v binary").toArrow()  # bounded: about TOTAL rows of 16 KB
+    tf = np.empty((got.num_rows, BUCKETS), np.uint32)
+    for i, v in enumerate(got.column("v")):
+        tf[i] = np.frombuffer(v.as_buffer(), np.uint32)
     label = np.array([languages.index(x) for x in got.column("l").to_pylist()], int)
     del got
     size = tf.sum(1, dtype=np.int64)

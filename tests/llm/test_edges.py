@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,24 @@ def test_pivots_cut_evenly(spark):
     step = jaccard.steps(df)
     fragment = sum(((step > x) | ((step == x) & (h >= np.uint64(y)))).astype(int) for x, y in cuts)
     assert len(cuts) == jaccard.FRAGMENTS - 1 and np.bincount(fragment).min() > 2300
+
+
+def test_many_languages_and_a_very_long_text(spark, monkeypatch):
+    """300 languages are all learned, more than the bound are an error, a count beyond 16 bits stays what it is."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k // 26] + letters[k % 26]
+    rows = [(i, f"{name(k)} {name(k) * 3} {name(k)}x{name(k)} " * 6, f"l{k}", None) for k in range(300) for i in range(k * 8, k * 8 + 8)]
+    docs = frame(spark, rows)
+    model = language.fit(docs)
+    assert len(model.languages) == 300 and set(model.owner) == set(range(300))
+    got = language.predict(docs.select("doc_id", "text", "lang"), model).collect()
+    assert sum(r._lang == r.lang for r in got) > 0.98 * len(got)
+    monkeypatch.setattr(language, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="more than 299 languages"):
+        language.fit(docs)
+    monkeypatch.undo()
+    many = [(i, "e" * 70_000 + " a" * n, "aa" if n else "bb", None) for i, n in enumerate([80_000] * 8 + [0] * 8)]
+    texts = [r[1] for r in many]
+    tf = next(language.counts(*language.lowered(pa.array(texts[:1]))))[1]
+    assert tf.max() > 65_535
+    assert language.fit(frame(spark, many)).centroids.shape[0] >= 2
