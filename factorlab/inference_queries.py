@@ -1,4 +1,4 @@
-"""Queries of resampling tests: the four block bootstraps of long-short returns, the resampled rank correlations of symbols."""
+"""Queries of resampling tests (four block bootstraps, resampled rank correlations), orthogonalisations, a user's own factor, synced bars."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.alphas import definitions
+from .functions.custom import factor
 from .operators import evaluation as E
 from .operators import models as M
 from .operators import statistics as S
+from .plans.oracle import factor_ctes
+from .plans.planner import Plan
 from .research_queries import D, LCG, R, SCORES, base, bin_cte, g, h, out
+from .sources import bars as B
 from .study_queries import long_shorts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +141,36 @@ def orthogonal_slope(spark, sf_dir):
     return out(M.orthogonal_to(x, "score", ["score2"], least=20, keep=True, constant=False), "symbol", "date", "residual")
 
 
+# --- a factor from a user's text, bars with coverage ---
+
+
+@query(f"WITH {B.SQL}, {factor_ctes({'alpha055': definitions(10)['alpha055'].expr}, 'panel')} SELECT symbol, {D}, {g('alpha055', 'value')} FROM factors")
+def custom_factor(spark, sf_dir):
+    """A factor that a user writes down, with a parameter."""
+    own = factor("value", "-RANK(ABS(DELTA(C, days))) * RANK(DELTA(V, days))", days=10)
+    return out(Plan({own.name: own.expr}).apply(B.panel(B.weekly(spark, sf_dir))), "symbol", "date", "value")
+
+
+_FROM, _TO, _CUT, _NEW = "1995-06-01", "1999-12-31", "1998-01-01", 10
+
+
+@query(f"""WITH {B.SQL}, old AS (SELECT * FROM bars WHERE date < '{_CUT}' AND date >= '1996-01-01' AND symbol IN (SELECT symbol FROM bars WHERE date = (SELECT min(date) FROM bars))),
+cover AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM old GROUP BY 1), fresh AS (SELECT symbol FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol NOT IN (SELECT symbol FROM cover) ORDER BY symbol LIMIT {_NEW}),
+added AS (SELECT b.symbol, b.date, 'new' AS part FROM bars b JOIN fresh USING (symbol) WHERE date BETWEEN '{_FROM}' AND '{_TO}' UNION ALL SELECT b.symbol, b.date, CASE WHEN b.date < lo THEN 'before' ELSE 'after' END FROM bars b JOIN cover USING (symbol) WHERE date BETWEEN '{_FROM}' AND '{_TO}' AND (b.date < lo OR b.date > hi))
+SELECT symbol, count(*) AS n_rows, min(date)::VARCHAR AS first_date, max(date)::VARCHAR AS last_date, count(*) FILTER (part = 'new') AS n_new, count(*) FILTER (part <> 'new') AS n_added FROM (SELECT symbol, date, 'old' AS part FROM old UNION ALL FROM added SELECT symbol, date, part) GROUP BY 1""".replace("count(*) FILTER (part <> 'new')", "count(*) FILTER (part IN ('before', 'after'))"))
+def sync_missing(spark, sf_dir):
+    """Stored bars brought up to a range of dates: symbols that are stored get what they lack at both ends, of the others
+    ten are added."""
+    bars = B.weekly(spark, sf_dir)
+    first = bars.agg(F.min("date").alias("date"))
+    old = bars.where(F.col("date").between(F.lit("1996-01-01").cast("date"), F.date_sub(F.lit(_CUT).cast("date"), 1))).join(bars.join(F.broadcast(first), "date").select("symbol"), "symbol", "left_semi")
+    new = B.fetched(old, bars, bars, _FROM, _TO, _NEW)
+    had = old.select("symbol").distinct().withColumn("_had", F.lit(1))
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).join(had, "symbol", "left")
+    s = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").cast("string").alias("first_date"), F.max("date").cast("string").alias("last_date"), F.count(F.when((F.col("_new") == 1) & F.col("_had").isNull(), 1)).alias("n_new"), F.count(F.when((F.col("_new") == 1) & F.col("_had").isNotNull(), 1)).alias("n_added"))
+    return out(s, "symbol", "n_rows", "first_date", "last_date", "n_new", "n_added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

@@ -50,6 +50,31 @@ def write(bars: DataFrame, path: str) -> None:
     bars.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("date", "symbol").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def stored(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, symbols: list | None = None) -> DataFrame:
+    """Bars written by write(): the years of the range prune folders, dates and symbols reach the scan."""
+    bars = spark.read.parquet(path)
+    for bound, later in ((start, True), (end, False)):
+        if bound:
+            day, year = F.lit(bound).cast("date"), int(bound[:4])
+            bars = bars.where((F.col("date") >= day) & (F.col("year") >= year) if later else (F.col("date") <= day) & (F.col("year") <= year))
+    return (bars if symbols is None else bars.where(F.col("symbol").isin(symbols))).drop("year")
+
+
+def fetched(old: DataFrame, source: DataFrame, wanted: DataFrame, start: str, end: str, max_new: int | None = None) -> DataFrame:
+    """The rows of source that the stored bars lack for wanted(symbol) between two dates: whole histories of symbols that
+    aren't stored (of these the first max_new by symbol), and what lies before or after the dates that are. A symbol
+    whose stored dates reach both ends is left alone. Only symbols with their first and last dates are joined."""
+    day = {c: F.lit(v).cast("date") for c, v in (("start", start), ("end", end))}
+    seen = summary(old).select("symbol", F.col("first_date").alias("_first"), F.col("last_date").alias("_last"))
+    need = wanted.select("symbol").distinct().join(seen, "symbol", "left")
+    if max_new is not None:
+        new = need.where(F.col("_first").isNull()).orderBy("symbol").limit(max_new)  # a row a symbol
+        need = need.where(F.col("_first").isNotNull()).unionByName(new)
+    need = need.where(F.col("_first").isNull() | (F.col("_first") > day["start"]) | (F.col("_last") < day["end"]))
+    rows = source.where(F.col("date").between(day["start"], day["end"])).join(need, "symbol")
+    return rows.where(F.col("_first").isNull() | (F.col("date") < F.col("_first")) | (F.col("date") > F.col("_last"))).select(*source.columns)
+
+
 def merged(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """New rows win over old ones of the same key."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
