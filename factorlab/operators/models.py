@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Written
 from . import evaluation as E
 from . import statistics as S
 from . import universe as U
@@ -104,7 +105,7 @@ def _importance(df: DataFrame, features: list[str], label: str, keys: tuple[str,
         p = sum((F.col(f"moved_{x}" if x == moved else x) for x in features), F.lit(0.0))
         return F.rint(p * float(1 << 30)) / float(1 << 30)  # sums that differ in their last bits tie
 
-    df = df.persist()  # cuts of the ranges and ranks both read it
+    df = Written(df).df  # cuts of the ranges and ranks both read it
     variants = F.array(*(F.struct(F.lit(x).alias("feature"), total(x).alias("p")) for x in ("", *features)))
     a = S.auc(df.select(*keys, label, F.explode(variants).alias("x")).select(*keys, label, "x.*"), "p", label, (*keys, "feature"))
     a = a.withColumn("_base", F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy(*keys)))  # a row a feature
@@ -128,7 +129,7 @@ def regime_importance(df: DataFrame, scores: list[str], market: list[str], label
 
     df(symbol, date, label, scores, market): market features have one value a date. Rows without a
     score or the first market feature are left out; other market features that are unknown count as their mean."""
-    z = E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=[*scores, market[0]]), scores).select("symbol", "date", label, *scores, *market).persist()  # read for the dates' regimes and for the rows
+    z = Written(E.zscores(df.where(F.col(label).isNotNull()).dropna(subset=[*scores, market[0]]), scores).select("symbol", "date", label, *scores, *market)).df  # read for the dates' regimes and for the rows
     days = z.groupBy("date").agg(F.count(F.lit(1)).alias("_k"), *(F.max(m).alias(m) for m in market))  # a row a date from here on
     every, value = Window.partitionBy(), F.rint(F.col(market[0]) * float(1 << 30))
     days = days.withColumn("_v", value).withColumns({"_upto": F.sum("_k").over(Window.orderBy("_v")), "_same": F.sum("_k").over(Window.partitionBy("_v"))})

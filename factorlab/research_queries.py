@@ -17,6 +17,7 @@ from .operators import universe as U
 from .plans.oracle import factor_ctes, rounded
 from .plans.planner import Plan
 from .sources import bars as B
+from .sources.scratch import Written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +47,11 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.padded_returns(Plan(_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))
 
 
+def base_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """base() as a written table, for queries that read it several times."""
+    return Written(base(spark, sf_dir)).df
+
+
 H = "(PARTITION BY symbol ORDER BY date)"
 
 
@@ -158,7 +164,7 @@ _PURIFY = " UNION ALL ".join(f"""SELECT '{v}' AS factor, (SELECT avg(ic) / nulli
 
 @query(f"{R}, {_METRICS}, m AS ({_PURIFY}) SELECT factor, {g('ic_ir')}, {g('fm_t')}, {g('cs_effective_ratio')}, coalesce(abs(ic_ir) > 0.05 AND abs(fm_t) > 2 AND cs_effective_ratio > 0.5, false) AS passed FROM m")
 def purify(spark, sf_dir):
-    return out(all_metrics(base(spark, sf_dir))[0], "factor", "ic_ir", "fm_t", "cs_effective_ratio", "passed")
+    return out(all_metrics(base_once(spark, sf_dir))[0], "factor", "ic_ir", "fm_t", "cs_effective_ratio", "passed")
 
 
 _ICS = ", ".join(ic_cte(k, f"ic_{k}") for k in SCORES) + ", ics AS (" + " UNION ALL ".join(f"SELECT '{v}' AS factor, date, ic FROM ic_{k}" for k, v in SCORES.items()) + f"), whole AS (SELECT * FROM ics WHERE date IN (SELECT date FROM ics GROUP BY date HAVING count(*) = {len(SCORES)}))"
@@ -363,7 +369,7 @@ def metric_sql(source: str, keys: str = "", trades: str = "NULL") -> str:
 
 
 def backtested(spark, sf_dir, every="monthly"):
-    p = base(spark, sf_dir)
+    p = base_once(spark, sf_dir)
     schedule = P.rebalance_dates(p, every)
     return P.section_backtest(p, P.section_weights(p, schedule, 0.2, 0.2), schedule)
 
@@ -585,7 +591,7 @@ def _renamed(sql: str, d: int) -> str:
 
 @query(f"{R}, {', '.join(_renamed(overlap_sql(d), d) for d in _GRID)}, {_HELD}, m AS ({' UNION ALL '.join(f'SELECT hold_days, {PERF}, min(dd) AS mdd FROM o{d} GROUP BY 1' for d in _GRID)}) SELECT hold_days, {g('annual')}, {g('sharpe')}, {g('mdd')}, n FROM m")
 def hold_grid(spark, sf_dir):
-    p = base(spark, sf_dir)
+    p = base_once(spark, sf_dir)
     runs = None
     for d in _GRID:
         one = P.overlapping(p, d).select(F.lit(d).alias("hold_days"), "date", "port_ret")
@@ -615,7 +621,7 @@ _SHARES = {"a": 0.1, "b": 0.2, "c": 0.3}
 
 @query(f"{R}, {SCHEDULE.format(unit='month')}, {', '.join(_share_sql(v, k) for k, v in _SHARES.items())}, m AS ({' UNION ALL '.join(f'SELECT {v} AS share, x.* FROM ({metric_sql(f"bt_{k}")}) x' for k, v in _SHARES.items())}) SELECT {', '.join(map(g, ('share', *_M)))} FROM m")
 def top_share_scan(spark, sf_dir):
-    p = base(spark, sf_dir)
+    p = base_once(spark, sf_dir)
     schedule = P.rebalance_dates(p)
     runs = None
     for v in _SHARES.values():

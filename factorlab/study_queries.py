@@ -21,9 +21,10 @@ from .plans.oracle import factor_ctes
 from .plans.planner import Plan
 from .research_queries import (
     _M, _Z, BACKTEST, CAPM, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
-    D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
+    D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
 )
 from .sources import bars as B
+from .sources.scratch import Written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,16 +77,16 @@ def purify_all(spark, sf_dir):
 whole AS (SELECT * FROM ics WHERE date IN (SELECT date FROM ics GROUP BY date HAVING count(*) = (SELECT count(DISTINCT factor) FROM ics))), c AS (SELECT a.factor AS factor_a, b.factor AS factor_b, corr(a.ic, b.ic) AS corr FROM whole a JOIN whole b USING (date) GROUP BY ALL) SELECT factor_a, factor_b, {g('corr')} FROM c""")
 def ic_corr_all(spark, sf_dir):
     """Correlation of the ICs of all factors that pass or must be kept."""
-    daily = library(spark, sf_dir).persist()
+    daily = Written(library(spark, sf_dir)).df
     return out(E.ic_correlation(SC.candidates(daily, SC.purified(daily))), "factor_a", "factor_b", "corr")
 
 
 @query()
 def factor_pool(spark, sf_dir):
     """The final pool from the whole library: gates, greedy removal at 0.8, the 15 best and those to keep."""
-    daily = library(spark, sf_dir).persist()
+    daily = Written(library(spark, sf_dir)).df
     metrics = SC.purified(daily)
-    ics = SC.candidates(daily, metrics).persist()
+    ics = Written(SC.candidates(daily, metrics)).df
     corr = {(r["factor_a"], r["factor_b"]): r["corr"] for r in E.ic_correlation(ics).collect()}  # factors squared
     ir = {r["factor"]: r["ic_ir"] or 0.0 for r in metrics.join(ics.select("factor").distinct(), "factor").select("factor", "ic_ir").collect()}
     return spark.createDataFrame(list(enumerate(SC.pool(ir, corr))), "place int, factor string")
@@ -339,9 +340,9 @@ def rolling_sharpe(spark, sf_dir):
 @query()
 def scorecard(spark, sf_dir):
     """Each score's checks: IC, long-short Sharpe ratio, bootstrap, rising quantile groups; and how many it meets."""
-    p = base(spark, sf_dir).persist()
+    p = base_once(spark, sf_dir)
     metrics = E.ic_summary(all_metrics(p)[1], ("factor",)).select("factor", "ic_ir", "ic_t")
-    runs = long_shorts(p).persist()
+    runs = Written(long_shorts(p)).df
     ls = P.performance(runs.withColumnRenamed("ret", "port_ret"), keys=("factor",)).select("factor", F.col("sharpe").alias("ls_sharpe"))
     boot = S.block_sharpes(runs, "ret", "factor").groupBy("factor").agg(F.avg((F.col("sharpe") <= 0).cast("double")).alias("p_value"))
     x, rising = E.next_returns(p), None
@@ -476,7 +477,7 @@ a AS (SELECT delta, share, sqrt(252.0) * avg(net - bench) / stddev_samp(net - be
 SELECT delta, {', '.join(map(g, ('share', *_M, 'information_ratio')))} FROM m JOIN a USING (delta, share)""")
 def delta_scan(spark, sf_dir):
     """alpha055 with each lag and share held: all parameter sets in one backtest."""
-    p = E.padded_returns(Plan(_DELTA_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))
+    p = Written(E.padded_returns(Plan(_DELTA_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))).df  # read by each part of the backtest
     scores = p.select("symbol", "date", F.explode(F.array(*(F.struct(F.lit(k).alias("delta"), F.col(f"d{k}").alias("score")) for k in DELTAS))).alias("x")).select("symbol", "date", "x.*")
     c = P.section_scan(p, scores, P.rebalance_dates(p), list(TOP_SHARES))
     active = F.col("net") - F.col("bench")
