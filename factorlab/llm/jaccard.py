@@ -417,7 +417,8 @@ def joined(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, of each component only one row: that with the smallest doc_id. Rows without words all stay; of
-    rows that repeat both doc_id and set one stays. An empty table stays empty; columns may have any names."""
+    rows that repeat both doc_id and set one stays. Very long texts are compared whole. An empty table stays
+    empty; columns may have any names."""
     plain, new = shared.renamed(docs)
     rows, vertices = classes(docs, ngram=ngram, doc_id=doc_id, text=text, **options)
     told = shared.split_join(rows.where(F.col("v").isNotNull()), vertices, "v", "copies")

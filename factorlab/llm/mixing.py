@@ -88,7 +88,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their own columns. Texts aren't moved."""
+    """The rows of docs, each as often as the mix takes it, with their own columns. Texts aren't moved.
+
+    Null and empty texts have size 0 and go with their hash, a null source is one of its own, very long texts count
+    whole, rows that repeat doc_id and text go together. An empty table gives no rows; columns may have any
+    names."""
     plain, new = shared.renamed(docs)
     rows = described(plain, new[doc_id], new[text], new[source])
     cut, n = thresholds(shared.written(rows.select("_key", "_size", "_h")), weights)

@@ -177,7 +177,14 @@ def fit(rows: DataFrame, labels: DataFrame, *, label: str = "quality") -> Model:
 
 
 def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted for every row of docs, empty and null texts too."""
+    """doc_id, held_out, score (0 to 1) and predicted for every row of docs.
+
+    labels has doc_id and the label; null ids and labels, and labels without a document, teach nothing; of
+    several labels of a document each counts. Null and empty texts have statistics of 0 and the score that goes
+    with them. Repeated rows have a row and an equal score each; ties keep equal scores. Very long texts are read
+    whole. Without a label to learn from, or with one kind of label only, scores are constant. An empty table
+    gives no rows. Columns that aren't named are not read, whatever their names.
+    """
     rows = features(docs, doc_id=doc_id, text=text)
     carried = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, label=label))
 

@@ -35,7 +35,7 @@ def shard(docs: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: st
     """Per row: doc_id, the columns in `carry`, size (UTF-8 bytes + 1), text_crc32, law ('bytes'), shard,
     slot (gapless from 0 in each shard) and grown_shard (null under this law).
 
-    Rows of equal text share a shard; null texts are a group of their own, of size 1 each, not that of
+    Rows of equal text share a shard, however long it is; null texts are a group of their own, of size 1 each, not that of
     empty texts. A null doc_id is kept and sorts first. Repeated rows get slots of their own. An empty table
     gives no rows. Columns that aren't named are not read; a carried one with the name of an added one is left out.
     """

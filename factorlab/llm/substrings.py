@@ -68,7 +68,8 @@ def repeated(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", t
 
     A word goes if some window that covers it has a word sequence that starts at another place of the
     corpus too; windows are compared by 128-bit hashes. Null and empty texts have no words and keep "".
-    Repeated rows are places of their own, so their windows go from each. Other columns are not read.
+    Repeated rows are places of their own, so their windows go from each. Very long texts are read whole. An
+    empty table gives no rows. Other columns are not read, whatever their names.
     """
     rows, buckets = blocks.cut(docs, doc_id, text)
     v, _ = cover(window)

@@ -196,7 +196,8 @@ def repeated(docs: DataFrame, *, window: int = WINDOW, kmer: int = KMER, part: i
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the other bytes.
 
     Null and empty texts have no bytes. Equal rows are places of their own. Texts shorter than the window keep
-    all. kept may cut a character in two, so it is binary. Other columns are not read.
+    all, very long ones are read whole. kept may cut a character in two, so it is binary. An empty table gives no
+    rows. Other columns are not read, whatever their names.
     """
     rows, buckets = blocks.cut(docs, doc_id, text)
     shards = 4 * buckets
