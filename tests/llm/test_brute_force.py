@@ -153,10 +153,12 @@ def test_op5_rejects_unseen_scripts(spark):
     assert all(r._rejected for r in language.predict(docs, model).collect())
 
 
-def test_op5_learns_a_bounded_number_of_languages(spark, monkeypatch):
-    monkeypatch.setattr(language, "LANGUAGES", 3)
+def test_op5_learns_every_language_or_says_so(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8]}lpha beta text", f"l{i % 8 if i % 16 < 8 else i % 3}") for i in range(400)], "doc_id long, text string, lang string")
-    assert language.fit(docs).languages == ["l0", "l1", "l2"]
+    assert language.fit(docs).languages == [f"l{k}" for k in range(8)]
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.fit(docs)
 
 
 def test_op6(spark, texts):
