@@ -28,12 +28,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 LEFT_OUT = frozenset("head nav footer aside form button select option textarea input script style noscript template iframe object embed canvas svg audio video dialog menu datalist title".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 PART_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promos promotion promoted "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar toolbar footer foot bottombar copyright "
-    "bottom sidebar side aside widget widgets related recommended recommendations trending popular share sharing social follow "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist reply replies respond disqus discussion form search".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense banner leaderboard skyscraper sponsor sponsored sponsors promo promos promotion promoted "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead skip topbar toolbar footer foot bottombar copyright "
+    "bottom sidebar side rail secondary aside widget widgets related recommended recommendations trending popular share sharing social follow "
+    "cookie cookies consent disclaimer gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup login paywall "
+    "comment comments commentlist reply replies respond responses disqus discussion form search".split()
 )
+#: Ends of names that are written as one word, such as topnav or sitefooter.
+PART_ENDS = ("nav", "menu", "footer", "sidebar", "banner", "advert", "comments")
 #: Elements that end an open paragraph; which open elements a start tag ends, up to what.
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul dd dt td th tr tbody thead tfoot".split())
 ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -66,7 +68,7 @@ def _unwanted(tag: str, attrs: str) -> int:
                 return 2
             if name == "role" and value.lower() in LEFT_OUT_ROLES:
                 out = 1
-            if name in ("class", "id") and any(w in PART_NAMES for w in _names(value)):
+            if name in ("class", "id") and any(w in PART_NAMES or w.endswith(PART_ENDS) for w in _names(value)):
                 out = 1
     return out
 

@@ -35,6 +35,8 @@ PAGES = {
     "open quote": (f'<article><p title="broken>{P[0]}</p><p>{P[1]}</p></article>', f"{P[0]} {P[1]}"),
     "crossed and unclosed": (f"<article><p><b>{P[0]}<br><p>{P[1]}</p><i><div>{P[2]}</i></div></article>", TEXT),
     "ends in a tag": (f"<article><p>{P[0]}</p><p>{P[1]}</p><p cla", f"{P[0]} {P[1]}"),
+    "names in one word": (f'<div class="topnav">{links(3)}</div><div id="secondary"><p>{P[2]}</p></div><div class="text">{"".join(f"<p>{p}</p>" for p in P[:2])}</div><div id="sitefooter"><p>{P[2]}</p></div>', f"{P[0]} {P[1]}"),
+    "article header": (f'<header><p>Site</p></header><article><header><h1>The bridge</h1></header>{BODY}<footer>Filed under news</footer></article>', "The bridge " + TEXT),
     "no markup": ("just text &amp; more", "just text & more"),
     "only menus": (f"<nav>{links(3)}</nav>", ""),
 }
