@@ -91,6 +91,8 @@ def bootstrap_sign(spark, sf_dir):
     return out(a, "factor", "mean", "median", "ci_low", "ci_high", "p_value")
 
 
+#: The older query of the same samples has its SQL here.
+SQL["factor_bootstrap"] = f"{_SERIES}, {_samples(1000, False)} SELECT factor, {g('avg((sharpe <= 0)::INT)', 'p_value')}, {g('avg((sharpe > 0)::INT)', 'positive')} FROM bs GROUP BY factor"
 _RANK = "rank() OVER (PARTITION BY symbol, rep ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, rep, {x}) - 1) / 2.0"
 
 
