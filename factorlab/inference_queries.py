@@ -11,11 +11,13 @@ from .functions.alphas import definitions
 from .functions.custom import factor
 from .operators import evaluation as E
 from .operators import models as M
+from .operators import portfolio as P
 from .operators import statistics as S
 from .plans.oracle import factor_ctes
 from .plans.planner import Plan
-from .research_queries import D, LCG, R, SCORES, base, bin_cte, g, h, out
+from .research_queries import _M, D, LCG, R, SCHEDULE, SCORES, TOP, UNIVERSE, base, bin_cte, g, h, members, metric_sql, out
 from .sources import bars as B
+from .sources.scratch import Written
 from .study_queries import long_shorts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +175,25 @@ def sync_missing(spark, sf_dir):
     return out(s, "symbol", "n_rows", "first_date", "last_date", "n_new", "n_added")
 
 
+# --- two universes in one backtest ---
+
+
+@query(f"""{R}, {UNIVERSE}, {SCHEDULE.format(unit='month')}, sc AS (SELECT 'fixed' AS universe, symbol, date, score FROM u WHERE symbol <= {TOP} UNION ALL SELECT 'point_in_time', symbol, date, score FROM u WHERE member),
+sr AS (SELECT universe, symbol, rb, count(*) OVER (PARTITION BY universe, rb) AS k, row_number() OVER (PARTITION BY universe, rb ORDER BY score DESC, symbol) AS hi FROM sc JOIN sched ON rb = date WHERE score IS NOT NULL),
+wt AS MATERIALIZED (SELECT universe, symbol, rb, 1.0::DOUBLE / nl AS w FROM (SELECT *, greatest(1, floor(k * 0.2)) AS nl FROM sr) WHERE hi <= nl AND k > nl), cl AS (SELECT DISTINCT universe FROM sc),
+dly AS (SELECT cl.universe, r.symbol, r.date, coalesce(ret, 0) AS x, coalesce(wt.w, 0) AS w FROM r CROSS JOIN cl LEFT JOIN sched s ON r.date > s.rb AND r.date <= s.next LEFT JOIN wt ON wt.rb = s.rb AND wt.symbol = r.symbol AND wt.universe = cl.universe),
+dw AS (SELECT *, abs(w - lag(w) OVER (PARTITION BY universe, symbol ORDER BY date)) AS dw FROM dly), c0 AS (SELECT universe, date, sum(w * x) AS gross, sum(dw) AS turnover FROM dw GROUP BY ALL),
+c1 AS (SELECT universe, date, gross - CASE WHEN lag(s.rb) OVER (PARTITION BY universe ORDER BY date) IS NOT NULL THEN turnover / 2 * 0.00102 ELSE 0 END AS net FROM c0 LEFT JOIN sched s ON s.rb = c0.date),
+bt AS MATERIALIZED (SELECT *, product(1 + net) OVER (PARTITION BY universe ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM c1), m AS ({metric_sql('bt', 'universe')}) SELECT universe, {', '.join(map(g, _M))} FROM m""")
+def universe_bias_backtest(spark, sf_dir):
+    """The best fifth by score, held monthly: of the first names by symbol, and of each date's own members."""
+    p = Written(members(spark, sf_dir)).df
+    of = F.array_compact(F.array(F.when(F.col("symbol") <= TOP, F.lit("fixed")), F.when(F.col("member"), F.lit("point_in_time"))))
+    scores = p.select("symbol", "date", F.explode(of).alias("universe"), "score")
+    c = P.section_scan(p, scores, P.rebalance_dates(p), [0.2], ("universe",))
+    return out(P.metrics(c, ("universe",)), "universe", *_M)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
