@@ -106,12 +106,19 @@ def block_bootstrap(returns: DataFrame, r: str, reps: int = 10_000, block: int =
 
 
 def iid_bootstrap(df: DataFrame, r: str, reps: int = 200, seed: int = 7, key: str = "symbol") -> DataFrame:
-    """(key, rep, m): mean of as many returns as the key has, drawn with replacement."""
-    order = Window.partitionBy(key).orderBy("date")
-    s = df.where(F.col(r).isNotNull()).select(key, (F.row_number().over(order) - 1).cast("long").alias("i"), F.col(r).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
-    draws = s.select(key, "i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    draws = draws.select(key, "rep", (lcg(F.col("rep") * 7919 + F.col("i") * 104729 + F.col(key) * 15485863 + seed) % F.col("n")).alias("i"))
-    return draws.join(s.select(key, "i", "r"), [key, "i"]).groupBy(key, "rep").agg(F.avg("r").alias("m"))
+    """(key, rep, m): mean of as many returns as the key has, drawn with replacement. A key's series is one group and its
+    samples are drawn beside it, so rows aren't multiplied by the samples before a shuffle."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(rows: pa.Table) -> pa.Table:
+        x = rows.sort_by("date").column("r").to_numpy()
+        own, rep = rows.column(key).slice(0, 1).to_pylist(), np.arange(reps)
+        start, means = (own[0] * 15485863 + seed) % 2147483647, np.empty(reps)
+        for some in np.array_split(rep, max(1, reps * len(x) >> 20)):  # about a million draws at a time
+            means[some] = x[lcg_numpy((some * 7919)[:, None] + np.arange(len(x)) * 104729 + start) % len(x)].mean(1)
+        return pa.table([pa.array(own * reps, rows.schema.field(key).type), pa.array(rep), pa.array(means)], names=[key, "rep", "m"])
+
+    return df.where(F.col(r).isNotNull()).select(key, "date", F.col(r).cast("double").alias("r")).groupBy(key).applyInArrow(work, f"{key} {kind}, rep long, m double")
 
 
 def percentile_of(df: DataFrame, sample: str, value: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -68,3 +68,16 @@ def test_resampled_ics(spark):
             at = [lcg(rep * 7919 + i * 104729 + 5) % n for i in range(n)]
             boot.append(spearman(x[at], y[at]))
         assert got[k].p_value == pytest.approx(np.mean(np.abs(boot) >= abs(got[k].ic) - 1e-9), abs=1e-12)
+
+
+def test_iid_bootstrap_multiplies_no_rows(spark):
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), None if i == 3 else math.sin(k * 31 + i * i)) for k in (1, 2, 7) for i in range(5 + 6 * k)]
+    b = S.iid_bootstrap(spark.createDataFrame(rows, "symbol long, date date, ret double"), "ret", 50)
+    assert "Generate" not in b._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.symbol, r.rep): r.m for r in b.collect()}
+    assert len(got) == 150
+    for k in (1, 2, 7):
+        x = [r for s, _, r in rows if s == k and r is not None]
+        for rep in range(50):
+            places = [((rep * 7919 + i * 104729 + k * 15485863 + 7) * 48271 + 69621 + 11) % 2147483647 for i in range(len(x))]
+            assert got[k, rep] == pytest.approx(sum(x[(p * 16807 + 7) % 2147483647 % len(x)] for p in places) / len(x), abs=1e-12)
