@@ -135,7 +135,7 @@ def yearly_gates(spark, sf_dir):
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each year's pool of factors, as a written table."""
-    daily = Written(library(spark, sf_dir)).df
+    daily = library(spark, sf_dir)
     return Written(SC.yearly_pools(daily, SC.yearly_gates(daily))).df
 
 

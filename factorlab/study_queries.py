@@ -77,14 +77,14 @@ def purify_all(spark, sf_dir):
 whole AS (SELECT * FROM ics WHERE date IN (SELECT date FROM ics GROUP BY date HAVING count(*) = (SELECT count(DISTINCT factor) FROM ics))), c AS (SELECT a.factor AS factor_a, b.factor AS factor_b, corr(a.ic, b.ic) AS corr FROM whole a JOIN whole b USING (date) GROUP BY ALL) SELECT factor_a, factor_b, {g('corr')} FROM c""")
 def ic_corr_all(spark, sf_dir):
     """Correlation of the ICs of all factors that pass or must be kept."""
-    daily = Written(library(spark, sf_dir)).df
+    daily = library(spark, sf_dir)
     return out(E.ic_correlation(SC.candidates(daily, SC.purified(daily))), "factor_a", "factor_b", "corr")
 
 
 @query()
 def factor_pool(spark, sf_dir):
     """The final pool from the whole library: gates, greedy removal at 0.8, the 15 best and those to keep."""
-    daily = Written(library(spark, sf_dir)).df
+    daily = library(spark, sf_dir)
     metrics = SC.purified(daily)
     ics = Written(SC.candidates(daily, metrics)).df
     corr = {(r["factor_a"], r["factor_b"]): r["corr"] for r in E.ic_correlation(ics).collect()}  # factors squared

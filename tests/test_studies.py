@@ -148,3 +148,30 @@ def test_scan_equals_single_backtests(spark):
             for r in P.section_backtest(one, P.section_weights(one, schedule, share), schedule).collect():
                 mine = got[delta, share, r.date]
                 assert (mine.net, mine.bench, mine.equity) == pytest.approx((r.net, r.bench, r.equity), abs=1e-12)
+
+
+def test_library_in_blocks_equals_the_windows(spark, monkeypatch):
+    from factorlab.functions.alphas import PANEL, SPARSE, definitions
+    from factorlab.plans.planner import Plan
+
+    chosen = {f: d for f, d in definitions().items() if int(f[5:]) in (1, 2, 9, 14, 43, 58, 94, 106, 142, 143, 150, 191)}
+    for calendar in (PANEL, SPARSE):
+        assert any(d.calendar == calendar for d in chosen.values())
+    monkeypatch.setattr(SC, "definitions", lambda: chosen)
+    monkeypatch.setattr(SC, "BATCH", 7)
+    bars = B.weekly(spark, "/root/testdata/sf0.01")
+    bars = bars.where((F.col("symbol") < 24) & (F.col("date") < F.date_add(F.lit(bars.agg(F.min("date")).first()[0]), 500)))
+    panel = E.next_returns(E.padded_returns(B.panel(bars))).localCheckpoint()
+    daily = SC.library_metrics(panel)
+    plan = daily._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    got = {(r.factor, r.date): (r.ic, r.slope, r.full) for r in daily.collect()}
+    seen = 0
+    for calendar, rows in ((PANEL, panel), (SPARSE, panel.where("close is not null"))):
+        part = {f: d.expr for f, d in chosen.items() if d.calendar == calendar}
+        for r in SC.daily_metrics(Plan(part).apply(rows, keep=["fwd"]), list(part)).collect():
+            mine = got[r.factor, r.date]
+            assert [x is None for x in mine] == [x is None for x in (r.ic, r.slope, r.full)]
+            assert [x for x in mine if x is not None] == pytest.approx([x for x in (r.ic, r.slope, r.full) if x is not None], rel=1e-9, abs=1e-12)
+            seen += r.ic is not None
+    assert seen > 300
