@@ -15,7 +15,7 @@ from .operators import portfolio as P
 from .operators import statistics as S
 from .plans.oracle import factor_ctes
 from .plans.planner import Plan
-from .research_queries import _M, D, LCG, R, SCHEDULE, SCORES, TOP, UNIVERSE, base, bin_cte, g, h, members, metric_sql, out
+from .research_queries import _M, D, LCG, R, SCHEDULE, SCORES, TOP, UNIVERSE, base, base_once, bin_cte, g, h, members, metric_sql, out
 from .sources import bars as B
 from .sources.scratch import Written
 from .study_queries import long_shorts
@@ -46,7 +46,7 @@ bs AS MATERIALIZED (SELECT factor, rep, count(*) AS n, avg(r) AS m, product(1 +
 
 def sampled(spark: SparkSession, sf_dir: str, reps: int, how: str) -> DataFrame:
     """(factor, rep, n, growth, sharpe, observed) of the long-short returns of each score."""
-    runs = long_shorts(base(spark, sf_dir))
+    runs = Written(long_shorts(base_once(spark, sf_dir))).df  # a row a factor and date, read several times
     seen = runs.where(F.col("ret").isNotNull()).groupBy("factor").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(252.0))).alias("observed"))
     b = S.block_samples(runs, "ret", "factor", reps, how=how)
     return b.withColumn("sharpe", F.when(F.col("s") > 1e-12, F.col("m") / F.col("s") * F.sqrt(F.lit(252.0))).otherwise(0.0)).join(F.broadcast(seen), "factor")  # a row a factor

@@ -172,12 +172,14 @@ _ICS = ", ".join(ic_cte(k, f"ic_{k}") for k in SCORES) + ", ics AS (" + " UNION
 
 @query(f"{R}, {_ICS}, c AS (SELECT a.factor AS factor_a, b.factor AS factor_b, corr(a.ic, b.ic) AS corr FROM whole a JOIN whole b USING (date) GROUP BY ALL) SELECT factor_a, factor_b, {g('corr')} FROM c")
 def ic_corr(spark, sf_dir):
-    return out(E.ic_correlation(all_metrics(base(spark, sf_dir))[1]), "factor_a", "factor_b", "corr")
+    ics = Written(all_metrics(base_once(spark, sf_dir))[1]).df  # read several times
+    return out(E.ic_correlation(ics), "factor_a", "factor_b", "corr")
 
 
 @query()
 def greedy_pool(spark, sf_dir):
-    metrics, ics = all_metrics(base(spark, sf_dir))
+    metrics, ics = all_metrics(base_once(spark, sf_dir))
+    ics = Written(ics).df
     corr = {(r["factor_a"], r["factor_b"]): r["corr"] for r in E.ic_correlation(ics).collect()}  # factors squared
     kept_ = E.greedy_pool([(r["factor"], r["ic_ir"]) for r in metrics.collect()], corr, most=0.3)
     return spark.createDataFrame([(i, f) for i, f in enumerate(kept_)], "place int, factor string")
@@ -195,7 +197,7 @@ def zscore_combine(spark, sf_dir):
 @query(f"""{R}, {_METRICS}, m AS ({_PURIFY}), w AS (SELECT factor, ic_ir / (SELECT sum(abs(ic_ir)) FROM m) AS w FROM m), z AS (SELECT symbol, date, {_Z} FROM r),
 c AS (SELECT symbol, date, {' + '.join(f"z{i} * (SELECT w FROM w WHERE factor = '{v}')" for i, v in enumerate(SCORES.values()))} AS combined FROM z) SELECT symbol, {D}, {g('combined')} FROM c""")
 def icir_combine(spark, sf_dir):
-    p = base(spark, sf_dir)
+    p = base_once(spark, sf_dir)
     ir = {r["factor"]: r["ic_ir"] for r in all_metrics(p)[0].select("factor", "ic_ir").collect()}  # a row a factor
     z = E.zscores(p, list(SCORES))
     return out(z.withColumn("combined", E.combined(z, {k: ir[v] for k, v in SCORES.items()})), "symbol", "date", "combined")
@@ -700,11 +702,12 @@ def permutation_importance(spark, sf_dir):
 @query(f"""{R}, {', '.join(bin_cte(k, f'bins_{k}') for k in SCORES)}, l AS ({' UNION ALL '.join(f"SELECT '{v}' AS factor, date, avg(fwd) FILTER (bin = 4) - avg(fwd) FILTER (bin = 0) AS ls FROM bins_{k} GROUP BY date" for k, v in SCORES.items())}),
 s AS (SELECT factor, CASE WHEN avg(ls) < 0 THEN -1 ELSE 1 END AS sign FROM l GROUP BY 1), z AS (SELECT factor, date, ls * sign AS ls FROM l JOIN s USING (factor)), c AS (SELECT a.factor AS factor_a, b.factor AS factor_b, corr(a.ls, b.ls) AS corr FROM z a JOIN z b USING (date) WHERE a.ls IS NOT NULL AND b.ls IS NOT NULL GROUP BY ALL) SELECT factor_a, factor_b, {g('corr')} FROM c""")
 def signal_similarity(spark, sf_dir):
-    p = E.next_returns(base(spark, sf_dir))
+    p = E.next_returns(base_once(spark, sf_dir))
     runs = None
     for k, v in SCORES.items():
         one = E.quantile_returns(p, k).select(F.lit(v).alias("factor"), "date", (F.col("q5") - F.col("q1")).alias("ls"))
         runs = one if runs is None else runs.union(one)
+    runs = Written(runs).df  # a row a factor and date
     sign = runs.groupBy("factor").agg(F.when(F.avg("ls") < 0, -1).otherwise(1).alias("sign"))
     z = runs.join(F.broadcast(sign), "factor").select("factor", "date", (F.col("ls") * F.col("sign")).alias("ls")).where(F.col("ls").isNotNull())
     a, b = z.select(F.col("factor").alias("factor_a"), "date", F.col("ls").alias("x")), z.select(F.col("factor").alias("factor_b"), "date", F.col("ls").alias("y"))

@@ -144,7 +144,7 @@ o AS (SELECT b.symbol, b.fast, b.slow, b.sharpe, avg((m.sharpe > 0)::INT) AS pos
 SELECT symbol, fast, slow, {g('sharpe')}, {g('positive_ratio')}, {g('plateau')}, {g('CASE WHEN sharpe > 0 THEN plateau / sharpe ELSE 0 END', 'plateau_ratio')} FROM o""")
 def ma_plateau(spark, sf_dir):
     """The best pair of each symbol, how many pairs are above zero, and how its neighbours do compared with it."""
-    m = grid_metrics(B.weekly(spark, sf_dir)).select("symbol", "fast", "slow", "sharpe")
+    m = Written(grid_metrics(B.weekly(spark, sf_dir)).select("symbol", "fast", "slow", "sharpe")).df  # read twice
     key = F.struct(F.rint(F.col("sharpe") * 1048576).alias("s"), (-F.col("fast")).alias("f"), (-F.col("slow")).alias("l"))
     best = m.groupBy("symbol").agg(F.max_by(F.struct("fast", "slow", "sharpe"), key).alias("b"))
     near = (F.abs(F.col("fast") - F.col("b.fast")) <= 4) & (F.abs(F.col("slow") - F.col("b.slow")) <= 15)
@@ -238,8 +238,8 @@ icp AS (SELECT test_year, date, corr(x, y) AS ic FROM (SELECT test_year, date, {
 SELECT test_year, n_factors, {g('ic_mean')} FROM o JOIN (SELECT test_year, count(*) AS n_factors FROM w GROUP BY 1) USING (test_year)""")
 def walk_forward_reselect(spark, sf_dir):
     """Factors chosen and weighted anew each year by the ICs of all earlier years, then tested on the year."""
-    p = base(spark, sf_dir)
-    ics = all_metrics(p)[1].select(F.year("date").alias("y"), "factor", "ic")
+    p = base_once(spark, sf_dir)
+    ics = Written(all_metrics(p)[1].select(F.year("date").alias("y"), "factor", "ic")).df  # read twice
     years = ics.select(F.col("y").alias("test_year")).distinct()
     past = ics.join(F.broadcast(years), F.col("y") < F.col("test_year"))  # a row per factor and date
     ir = past.groupBy("test_year", "factor").agg(F.try_divide(F.avg("ic"), F.stddev_pop("ic")).alias("ir")).where(F.abs("ir") > 0.05)
@@ -266,7 +266,7 @@ def long_shorts(p: DataFrame) -> DataFrame:
 @query()
 def factor_bootstrap(spark, sf_dir):
     """(factor, p_value, positive): whole-block samples of each factor's long-short returns."""
-    b = S.block_sharpes(long_shorts(base(spark, sf_dir)), "ret", "factor")
+    b = S.block_sharpes(long_shorts(base_once(spark, sf_dir)), "ret", "factor")
     return out(b.groupBy("factor").agg(F.avg((F.col("sharpe") <= 0).cast("double")).alias("p_value"), F.avg((F.col("sharpe") > 0).cast("double")).alias("positive")), "factor", "p_value", "positive")
 
 

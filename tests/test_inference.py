@@ -81,3 +81,11 @@ def test_iid_bootstrap_multiplies_no_rows(spark):
         for rep in range(50):
             places = [((rep * 7919 + i * 104729 + k * 15485863 + 7) * 48271 + 69621 + 11) % 2147483647 for i in range(len(x))]
             assert got[k, rep] == pytest.approx(sum(x[(p * 16807 + 7) % 2147483647 % len(x)] for p in places) / len(x), abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["ic_corr", "signal_similarity", "bootstrap_sign"])
+def test_shared_panels_are_computed_once(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan  # what is read twice is a written table, not the sales again
