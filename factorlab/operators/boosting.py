@@ -4,6 +4,9 @@ bin; the driver picks splits from these sums, whose size parameters bound and ro
 Rows are stored binned, a byte a feature. Gradients are summed as whole numbers, so neither the number of partitions nor
 the order of tasks changes a tree. All folds of a cross-validation grow side by side in the same passes. Scores
 are stored with the rows every few rounds; in between a pass adds the trees that came since.
+
+Rows that fill one partition only need no passes: there a fold's rows are one task's, which sums the same histograms
+and grows the same trees, all folds in one job.
 """
 
 from __future__ import annotations
@@ -153,12 +156,39 @@ def gradients(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     return np.rint(weight * (p - y) * STEPS).astype(np.int64), np.rint(weight * p * (1 - p) * STEPS).astype(np.int64)
 
 
+def opened(tree: Tree, level: int) -> np.ndarray:
+    """Which nodes of a level have a parent that splits."""
+    wide = 1 << level
+    if not level:
+        return np.ones(1, bool)
+    spots = np.flatnonzero(tree.split[wide // 2 : wide])
+    return np.isin(np.arange(wide), np.concatenate((2 * spots, 2 * spots + 1)))
+
+
+def tallied(hist: np.ndarray, tree: Tree, level: int, open_: np.ndarray, bins: np.ndarray, ids: np.ndarray, y: np.ndarray, raw: np.ndarray, mine: np.ndarray, weights: tuple[float, float], columns: np.ndarray, p: Params, seed: int) -> None:
+    """Adds the rows that the tree sees to the sums of the level's nodes (both gradients and rows; node, feature, bin)."""
+    wide, n = 1 << level, bins.shape[1]
+    use = np.flatnonzero(mine & sampled(ids, seed, p.row_share))
+    node = tree.node(bins[use], level) - wide
+    on = (node >= 0) & open_[np.maximum(node, 0)]
+    use, node = use[on], node[on]
+    g, h = gradients(raw[use], y[use], np.where(y[use] == 1, weights[1], weights[0]))
+    cells = ((node * n)[:, None] + columns) * 256 + bins[use][:, columns]
+    for k, v in enumerate((g, h, np.ones(len(g), np.int64))):  # whole numbers below 2^53 in a batch
+        hist[k] += np.bincount(cells.ravel(), np.repeat(v, len(columns)), wide * n * 256).astype(np.int64)
+
+
+def stepped(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows with label 1 and 0 by steps of their probability."""
+    at = np.minimum((AUC_STEPS / (1 + np.exp(-raw))).astype(np.int64), AUC_STEPS - 1)
+    return np.stack([np.bincount(at[y == 1 - k], minlength=AUC_STEPS) for k in (0, 1)])
+
+
 def passed(rows: DataFrame, n: int, p: Params, round_: int, pending: dict[int, list[Tree]], growing: dict[int, Tree], level: int, weights: dict[int, tuple[float, float]], own: dict[int, Sequence[int]], judge: bool) -> dict[int, dict[str, np.ndarray]]:
     """One pass: by fold `hist` (node of the level, feature, bin; sums of both gradients and rows) and, if asked, `auc`
     (steps of the validation rows' probability; rows with label 1 and 0)."""
     wide = 1 << level
-    spots = {f: np.flatnonzero(t.split[wide // 2 : wide]) if level else np.zeros(1, np.int64) for f, t in growing.items()}
-    open_ = {f: np.isin(np.arange(wide), np.concatenate((2 * s, 2 * s + 1))) if level else np.ones(1, bool) for f, s in spots.items()}
+    open_ = {f: opened(t, level) for f, t in growing.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist = {f: np.zeros((3, wide * n * 256), np.int64) for f in growing}
@@ -174,18 +204,8 @@ def passed(rows: DataFrame, n: int, p: Params, round_: int, pending: dict[int, l
                 raw = np.zeros(len(y))
                 raw[need] = raw_scores(b.filter(pa.array(need)), bins[need], f, pending[f])
                 if judge and held.any():
-                    at = np.minimum((AUC_STEPS / (1 + np.exp(-raw[held]))).astype(np.int64), AUC_STEPS - 1)
-                    for k in (0, 1):
-                        seen[f][k] += np.bincount(at[y[held] == 1 - k], minlength=AUC_STEPS)
-                use = np.flatnonzero(mine & sampled(ids, p.seed + 1009 * round_ + f, p.row_share))
-                node = tree.node(bins[use], level) - wide
-                on = (node >= 0) & open_[f][np.maximum(node, 0)]
-                use, node = use[on], node[on]
-                g, h = gradients(raw[use], y[use], np.where(y[use] == 1, weights[f][1], weights[f][0]))
-                columns = columns_of(p, own[f], f, round_)
-                cells = ((node * n)[:, None] + columns) * 256 + bins[use][:, columns]
-                for k, v in enumerate((g, h, np.ones(len(g), np.int64))):  # whole numbers below 2^53 in a batch
-                    hist[f][k] += np.bincount(cells.ravel(), np.repeat(v, len(columns)), wide * n * 256).astype(np.int64)
+                    seen[f] += stepped(raw[held], y[held])
+                tallied(hist[f], tree, level, open_[f], bins, ids, y, raw, mine, weights[f], columns_of(p, own[f], f, round_), p, p.seed + 1009 * round_ + f)
         for kind, tables in ((0, hist), (1, seen)):
             for f, t in tables.items():
                 cells = np.flatnonzero(t.any(0))
@@ -261,6 +281,69 @@ def stored(rows: DataFrame, pending: dict[int, list[Tree]], folds: int) -> Writt
     return Written(rows.mapInArrow(work, rows.schema))
 
 
+def alone(bins: np.ndarray, ids: np.ndarray, y: np.ndarray, mine: np.ndarray, held: np.ndarray, fold: int, cuts: list[np.ndarray], own: Sequence[int], p: Params) -> tuple[list[Tree], list[float]]:
+    """One fold's trees and AUC after each round from all of its rows: the rounds of boost() without passes."""
+    n, raw, trees, curve = bins.shape[1], np.zeros(len(y)), [], []
+    k = [int((mine & (y == c)).sum()) for c in (0, 1)]
+    if not all(k):
+        return trees, curve
+    weights, judge = (sum(k) / (2 * k[0]), sum(k) / (2 * k[1])), bool(held.any())
+    for round_ in range(p.rounds + 1):
+        if judge and round_:
+            curve.append(auc(stepped(raw[held], y[held])))
+            if round_ - best_round(curve) >= p.patience:
+                break
+        if round_ == p.rounds:
+            break
+        tree, columns = Tree(p.depth), columns_of(p, own, fold, round_)
+        for level in range(p.depth):
+            open_ = opened(tree, level)
+            if not open_.any():
+                break
+            hist = np.zeros((3, (1 << level) * n * 256), np.int64)
+            tallied(hist, tree, level, open_, bins, ids, y, raw, mine, weights, columns, p, p.seed + 1009 * round_ + fold)
+            grown(tree, level, hist, n, cuts, columns, p)
+        trees.append(tree.pruned(p.leaves))
+        raw += tree.value[tree.node(bins)]
+    return trees, curve
+
+
+def best_round(curve: list[float]) -> int:
+    """The round with the highest AUC, of equal ones the first; 0: none."""
+    best = 0
+    for i, v in enumerate(curve):
+        if v > max(curve[:i], default=-1.0):
+            best = i + 1
+    return best
+
+
+def in_one_job(rows: DataFrame, folds: int, n: int, cuts: list[np.ndarray], own: dict[int, Sequence[int]], p: Params) -> Fit:
+    """The fit from binned rows of one partition's size: a task has the rows of a fold, which it learns from or is judged by."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(unpacked(b), *(b.column(c).to_numpy() for c in ("id", "y", "train", "valid", "fold"))) for b in batches if b.num_rows]
+        if not got:
+            return
+        bins, ids, y, train, valid, fold = (np.concatenate(c) for c in zip(*got, strict=True))
+        for f in map(int, np.unique(fold)):
+            at = fold == f
+            trees, curve = alone(bins[at], ids[at], y[at], (train[at] >> f & 1) == 1, valid[at] == f, f, cuts, own[f], p)
+            kept = best_round(curve) if (valid[at] == f).any() else len(trees)
+            out = [(*r, None, None) for k, t in enumerate(trees[:kept]) for r in nodes_of(f, k, t, cuts)]
+            columns = zip(*out, (f, *[None] * 9, kept, curve), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    schema = f"{MODEL}, kept int, auc array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.float64())]
+    places = F.expr(f"filter(sequence(0, {folds - 1}), f -> (shiftright(train, f) & 1) = 1 OR valid = f)")
+    got = Written(rows.withColumn("fold", F.explode(places)).repartitionById(folds, F.col("fold")).mapInArrow(work, schema)).df
+    best, curve = {f: 0 for f in range(folds)}, {f: [] for f in range(folds)}
+    for r in got.where(F.col("kept").isNotNull()).collect():  # a row a fold
+        best[r["fold"]], curve[r["fold"]] = r["kept"], list(r["auc"])
+    return Fit(got.where(F.col("kept").isNull()).drop("kept", "auc"), best, curve)
+
+
 def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "label", params: Params = Params(), allowed: dict[int, Sequence[int]] | None = None) -> Fit:
     """Boosted trees of every fold of df(ids, label, train, valid, features): bit f of `train` says that fold f learns from
     the row, `valid` names the fold that it is held out of (null: none). Rows without a label aren't learned from.
@@ -272,12 +355,15 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
     cuts = edges(known, features, params.bins)
     total, mask = known.agg(F.count(F.lit(1)), F.bit_or("train")).first()
     folds, n = int(mask or 0).bit_length(), len(features)
-    first = binned(known, features, cuts, ids, label).withColumns({f"raw{f}": F.lit(0.0) for f in range(folds)})
-    table = Written(first.repartition(max(1, min(total // PARTITION_ROWS, 10_000)), "id"))
+    own = {f: (allowed or {}).get(f, range(n)) for f in range(folds)}
+    rows, parts = binned(known, features, cuts, ids, label), max(1, min(total // PARTITION_ROWS, 10_000))
+    if parts == 1 and folds:
+        return in_one_job(rows, folds, n, cuts, own, params)
+    first = rows.withColumns({f"raw{f}": F.lit(0.0) for f in range(folds)})
+    table = Written(first.repartition(parts, "id"))
     counts = {(r["fold"], r["y"]): r["k"] for r in table.df.select("y", F.explode(F.expr(f"filter(sequence(0, {max(folds - 1, 0)}), f -> (shiftright(train, f) & 1) = 1)")).alias("fold")).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("k")).collect()}
     held = {r["valid"] for r in table.df.select("valid").distinct().collect()}
     weights = {f: tuple((counts.get((f, 0), 0) + counts.get((f, 1), 0)) / (2 * max(counts.get((f, y), 0), 1)) for y in (0, 1)) for f in range(folds)}
-    own = {f: (allowed or {}).get(f, range(n)) for f in range(folds)}
     active = [f for f in range(folds) if (f, 0) in counts and (f, 1) in counts]
     trees: dict[int, list[Tree]] = {f: [] for f in range(folds)}
     pending: dict[int, list[Tree]] = {f: [] for f in range(folds)}
@@ -320,20 +406,22 @@ def boost(df: DataFrame, features: list[str], ids: list[str], label: str = "labe
 
 def as_table(spark: SparkSession, trees: dict[int, list[Tree]], best: dict[int, int], cuts: list[np.ndarray]) -> DataFrame:
     """The nodes of the rounds that each fold keeps: at most folds x rounds x 2 leaves rows."""
-    rows = []
-    for f, own in trees.items():
-        for k, t in enumerate(own[: best[f]]):
-            reach = [1]
-            for i in reach:
-                if t.split[i]:
-                    reach += [2 * i, 2 * i + 1]
-                    c, cut = int(t.feature[i]), int(t.cut[i])
-                    rows.append((f, k, i, c, cut, float(cuts[c][cut]), bool(t.missing_left[i]), None, float(t.gain[i]), int(t.rows[i])))
-                else:
-                    rows.append((f, k, i, None, None, None, None, float(t.value[i]), None, int(t.rows[i])))
+    rows = [r for f, own in trees.items() for k, t in enumerate(own[: best[f]]) for r in nodes_of(f, k, t, cuts)]
     return spark.createDataFrame(rows, MODEL)
 
 
+def nodes_of(fold: int, k: int, t: Tree, cuts: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of MODEL: the nodes that a row can reach."""
+    reach = [1]
+    for i in reach:
+        if t.split[i]:
+            reach += [2 * i, 2 * i + 1]
+            c, cut = int(t.feature[i]), int(t.cut[i])
+            yield fold, k, i, c, cut, float(cuts[c][cut]), bool(t.missing_left[i]), None, float(t.gain[i]), int(t.rows[i])
+        else:
+            yield fold, k, i, None, None, None, None, float(t.value[i]), None, int(t.rows[i])
+
+
 def scored(df: DataFrame, model: DataFrame, features: list[str], keys: list[str], fold: Column | None = None, depth: int = Params.depth) -> DataFrame:
     """(keys, raw, p): rows of df by a model's table, which is joined level by level: a row and a tree meet the tree's nodes on
     their way down. `fold` names the fold whose trees judge a row (default: 0). The model's size is bounded by its

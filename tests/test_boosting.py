@@ -173,3 +173,16 @@ def test_edges(spark):
     got = B.boost(flat, ["a"], ["symbol", "date"], params=SMALL).model
     assert got.select("tree").distinct().count() == SMALL.rounds
     assert B.scored(flat, got, ["a"], ["symbol", "date"]).count() == 100
+
+
+def test_one_partition_is_fitted_in_one_job(spark, sample, monkeypatch):
+    few, nodes = B.boost(sample, FEATURES, ["symbol", "date"], params=SMALL), lambda fit: sorted(map(str, fit.model.collect()))
+    spark.sparkContext.setJobGroup("long", "")
+    B.boost(sample, FEATURES, ["symbol", "date"], params=B.replace(SMALL, rounds=60, patience=60))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20  # before: some for every level of every round
+    monkeypatch.setattr(B, "PARTITION_ROWS", 100)  # passes over several partitions give the same trees
+    many = B.boost(sample, FEATURES, ["symbol", "date"], params=SMALL)
+    assert nodes(few) == nodes(many) and few.best == many.best and few.auc == many.auc
+    assert len(few.best) == 3 and min(map(len, few.auc.values())) > 1
