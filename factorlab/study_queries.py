@@ -20,7 +20,7 @@ from .operators import universe as U
 from .plans.oracle import factor_ctes
 from .plans.planner import Plan
 from .research_queries import (
-    _M, _Z, BACKTEST, CAPM, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
+    _M, _Z, BACKTEST, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
     D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
 )
 from .sources import bars as B
@@ -310,11 +310,16 @@ def capm_p_values(spark, sf_dir):
     return out(c, "symbol", "alpha", "t_alpha", "alpha_p", "n")
 
 
-@query(f"""{R}, {CAPM}, s AS (SELECT symbol, round_even(covar_pop(y, x) / var_pop(x) * 1048576, 0) / 1048576 AS beta FROM cx GROUP BY symbol), o AS (SELECT symbol, date, product(1 + coalesce(y - beta * x, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS pure_alpha FROM cx JOIN s USING (symbol)) SELECT symbol, {D}, {g('pure_alpha')} FROM o""")
+@query(f"""{R}, cx AS MATERIALIZED (SELECT symbol, date, ret - 0.03 / 252 AS y, avg(round_even(ret * 1073741824, 0) / 1073741824) OVER (PARTITION BY date) - 0.03 / 252 AS x FROM r WHERE ret IS NOT NULL),
+s AS (SELECT symbol, round_even(covar_pop(y, x) / var_pop(x) * 1048576, 0) / 1048576 AS beta FROM cx GROUP BY symbol), k AS (SELECT symbol, date, 1 + coalesce(y - beta * x, 0) AS f FROM cx JOIN s USING (symbol)),
+o AS (SELECT symbol, unnest(list(date ORDER BY date)) AS date, unnest(list_reduce(list([f] ORDER BY date), lambda a, b: list_append(a, a[-1] * b[1]))) AS pure_alpha FROM k GROUP BY symbol) SELECT symbol, {D}, {g('pure_alpha')} FROM o""")
 def pure_alpha(spark, sf_dir):
-    """The compounded part of each symbol's excess return that its beta doesn't explain."""
-    x = excess(spark, sf_dir)
-    x = x.join(S.capm(x, ("symbol",)).select("symbol", (F.rint(F.col("beta") * 1048576) / 1048576).alias("beta")), "symbol")
+    """The compounded part of each symbol's excess return that its beta doesn't explain. Products reach 1e286, so that a last bit
+    of the market's mean tells: it is the mean of returns in steps of 2^-30, whose sum is exact in any order, and factors
+    are multiplied date by date."""
+    p = base(spark, sf_dir).where(F.col("ret").isNotNull())
+    p = p.select("symbol", "date", (F.col("ret") - 0.03 / 252).alias("y"), (F.avg(F.rint(F.col("ret") * float(1 << 30)) / float(1 << 30)).over(E.day()) - 0.03 / 252).alias("x"))
+    x = p.join(S.capm(p, ("symbol",)).select("symbol", (F.rint(F.col("beta") * 1048576) / 1048576).alias("beta")), "symbol")
     own = F.coalesce(F.col("y") - F.col("beta") * F.col("x"), F.lit(0.0))
     return out(x.withColumn("pure_alpha", F.product(1 + own).over(E.history().rowsBetween(Window.unboundedPreceding, 0))), "symbol", "date", "pure_alpha")
 

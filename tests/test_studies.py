@@ -1,5 +1,6 @@
 """Studies that SQL can't express against plain versions; sinks."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,15 @@ def test_library_in_blocks_equals_the_windows(spark, monkeypatch):
             assert [x for x in mine if x is not None] == pytest.approx([x for x in (r.ic, r.slope, r.full) if x is not None], rel=1e-9, abs=1e-12)
             seen += r.ic is not None
     assert seen > 300
+
+
+def test_pure_alpha_equals_its_sql_whatever_the_order_of_sums(spark, tmp_path):
+    source = "/root/testdata/sf0.01/lineitem.parquet"
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE (l_suppkey + 1000 * k AS l_suppkey, l_orderkey + 1000000 * k AS l_orderkey) FROM '{source}', range(6) t(k)) TO '{tmp_path}/lineitem.parquet'")
+    Q.QUERIES["pure_alpha"](spark, str(tmp_path)).write.parquet(str(tmp_path / "got"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+        c.execute(f"CREATE TABLE want AS {Q.SQL['pure_alpha']}")
+        got = f"SELECT * FROM '{tmp_path}/got/*.parquet'"
+        assert c.execute(f"SELECT count(*) FROM ({got})").fetchall() == c.execute("SELECT count(*) FROM want").fetchall()
+        assert c.execute(f"SELECT count(*) FROM (FROM want EXCEPT ALL {got})").fetchall() == [(0,)]
