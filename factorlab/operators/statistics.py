@@ -14,14 +14,47 @@ from pyspark.sql import types as T
 from .evaluation import day, history
 
 
+def moving_moments(x: np.ndarray, y: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's window of up to so many rows: their number, sample covariance of x and y, sample variance of y. All windows
+    take their rows in order, as aggregates do, oldest first and side by side."""
+    n, mx, my, c, v = np.zeros((5, len(x)))
+    for k in range(min(rows, len(x)) - 1, -1, -1):
+        to, u, w = slice(k, None), x[: len(x) - k], y[: len(x) - k]
+        n[to] += 1
+        dx, dy = u - mx[to], w - my[to]
+        step = dy / n[to]
+        mx[to] += dx / n[to]
+        my[to] += step
+        c[to] += dx * (w - my[to])
+        v[to] += dy * (dy - step)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, c / (n - 1), v / (n - 1)
+
+
+def moving_sum(x: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of each row and up to rows - 1 before it."""
+    s = np.zeros(len(x))
+    for k in range(min(rows, len(x)) - 1, -1, -1):
+        s[k:] += x[: len(x) - k]
+    return s
+
+
 def residual_momentum(panel: DataFrame, window: int = 252, period: int = 60, least: int = 120) -> DataFrame:
-    """panel(symbol, date, ret); `momentum`: rolling sum of returns less beta times the date's mean return."""
-    p = panel.withColumn("_r", F.coalesce("ret", F.lit(0.0))).withColumn("_m", F.avg(F.coalesce("ret", F.lit(0.0))).over(day()))
-    frame = history().rowsBetween(-(window - 1), 0)
-    p = p.withColumn("_beta", F.when((F.count("_r").over(frame) >= least) & (F.var_samp("_m").over(frame) > 0), F.covar_samp("_r", "_m").over(frame) / F.var_samp("_m").over(frame)))
-    p = p.withColumn("_e", F.col("_r") - F.col("_beta") * F.col("_m"))
-    tail = history().rowsBetween(-(period - 1), 0)
-    return p.withColumn("momentum", F.when(F.count("_e").over(tail) >= min(period, least), F.sum("_e").over(tail))).drop("_r", "_m", "_beta", "_e")
+    """panel(symbol, date, ret); `momentum`: rolling sum of returns less beta times the date's mean return. A symbol's windows
+    are summed side by side in one group; Spark's moving frames add a window's rows one by one for every row."""
+    r = F.coalesce("ret", F.lit(0.0))
+    p = panel.withColumn("_r", r).withColumn("_m", F.avg(r).over(day()))
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        r, m = (rows.column(c).to_numpy() for c in ("_r", "_m"))
+        n, c, v = moving_moments(r, m, window)
+        known = (n >= least) & (v > 0)
+        e = np.where(known, r - np.divide(c, v, out=np.zeros(len(r)), where=known) * m, 0.0)
+        enough = moving_sum(known.astype(float), period) >= min(period, least)
+        return rows.drop_columns(["_r", "_m"]).append_column("momentum", pa.array(moving_sum(e, period), mask=~enough))
+
+    return p.groupBy("symbol").applyInArrow(work, T.StructType([*panel.schema.fields, T.StructField("momentum", T.DoubleType())]))
 
 
 def high_52w(panel: DataFrame, window: int = 252, least: int = 60) -> DataFrame:

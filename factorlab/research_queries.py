@@ -214,7 +214,7 @@ def orthogonal_residual(spark, sf_dir):
 m1 AS (SELECT *, CASE WHEN count(x) OVER {h(251)} >= 120 AND var_samp(m) OVER {h(251)} > 0 THEN covar_samp(x, m) OVER {h(251)} / var_samp(m) OVER {h(251)} END AS beta FROM m0),
 m2 AS (SELECT *, x - beta * m AS e FROM m1), m3 AS (SELECT symbol, date, CASE WHEN count(e) OVER {h(59)} >= 60 THEN sum(e) OVER {h(59)} END AS momentum FROM m2) SELECT symbol, {D}, {g('momentum')} FROM m3""")
 def residual_momentum(spark, sf_dir):
-    return out(S.residual_momentum(base(spark, sf_dir)), "symbol", "date", "momentum")
+    return out(S.residual_momentum(base(spark, sf_dir).select("symbol", "date", "ret")), "symbol", "date", "momentum")
 
 
 @query(f"{R}, m AS (SELECT symbol, date, CASE WHEN count(close) OVER {h(251)} >= 60 THEN close / max(close) OVER {h(251)} END AS nearness FROM r) SELECT symbol, {D}, {g('nearness')} FROM m")

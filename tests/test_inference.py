@@ -89,3 +89,25 @@ def test_shared_panels_are_computed_once(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan  # what is read twice is a written table, not the sales again
+
+
+def test_residual_momentum_sums_each_window_by_itself(spark):
+    rng = np.random.default_rng(5)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(int(k))
+    r = {1: rng.normal(0, 0.1, 40), 2: rng.normal(0, 0.1, 40), 3: np.full(40, 0.5)}
+    r[1][3] = 1e9  # a value that has left the window leaves nothing behind
+    rows = [(s, day(k), None if s == 2 and k % 7 == 0 else float(v)) for s, x in r.items() for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol int, date date, ret double").repartition(3)
+    plan = S.residual_momentum(df, 12, 5, 6)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Window") < 3  # before: a moving frame of Spark's for every sum
+    got = {(x.symbol, x.date): x.momentum for x in plan.collect()}
+    r[2][::7] = 0.0
+    m = np.mean([r[1], r[2], r[3]], 0)
+    for s, x in r.items():
+        e = []
+        for k in range(40):
+            w = slice(max(0, k - 11), k + 1)
+            e.append(x[k] - np.cov(x[w], m[w])[0, 1] / np.var(m[w], ddof=1) * m[k] if k >= 5 else None)
+            part = [v for v in e[-5:] if v is not None]
+            want = sum(part) if len(part) >= 5 else None
+            assert got[s, day(k)] == (want if want is None else pytest.approx(want, rel=1e-6, abs=1e-9)), (s, k)
