@@ -73,9 +73,9 @@ def binned(df: DataFrame, score: str = "score", bins: int = 5, least: int = 15)
     """With `bin` from 0: quantile groups of each date by linear edges, right-closed, equal edges merged."""
     known = df.where(F.col(score).isNotNull())
     shares = [k / bins for k in range(bins + 1)]
-    edges = known.groupBy("date").agg(F.array_distinct(F.percentile(score, shares)).alias("edges"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    edges = known.groupBy("date").agg(F.array_distinct(F.percentile(score, shares)).alias("edges"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)  # a row a date
     below = F.size(F.filter("edges", lambda e: e < F.col(score) - 1e-9))
-    return known.join(edges, "date").withColumn("bin", F.greatest(below - 1, F.lit(0))).drop("edges", "n")
+    return known.join(F.broadcast(edges), "date").withColumn("bin", F.greatest(below - 1, F.lit(0))).drop("edges", "n")
 
 
 def quantile_returns(df: DataFrame, score: str = "score", bins: int = 5) -> DataFrame:

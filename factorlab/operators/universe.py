@@ -56,10 +56,10 @@ def daily_membership(panel: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def labels(df: DataFrame, top: float = 0.2, bottom: float = 0.2, least: int = 5) -> DataFrame:
     """With `label`: 1 from the date's upper quantile of fwd on, 0 up to the lower one (which wins), else null."""
-    e = df.groupBy("date").agg(F.percentile("fwd", [bottom, 1 - top]).alias("e"), F.count("fwd").alias("n"))
+    e = df.groupBy("date").agg(F.percentile("fwd", [bottom, 1 - top]).alias("e"), F.count("fwd").alias("n"))  # a row a date
     x = F.col("fwd")
     label = F.when((F.col("n") >= least) & x.isNotNull(), F.when(x <= F.col("e")[0] + 1e-12, 0).when(x >= F.col("e")[1] - 1e-12, 1))
-    return df.join(e, "date").withColumn("label", label).drop("e", "n")
+    return df.join(F.broadcast(e), "date").withColumn("label", label).drop("e", "n")
 
 
 def balanced_weights(df: DataFrame) -> DataFrame:

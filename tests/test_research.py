@@ -84,3 +84,16 @@ def test_delisted(spark):
     gone = spark.createDataFrame([("a", DAYS[2], None)], "symbol string, delist_date date, liquidation_price double")
     got = [r.ret for r in P.delisted(E.padded_returns(df), gone).orderBy("date").collect()]
     assert got[:2] == [None, 0.0] and got[2] == pytest.approx(-0.1) and got[3] is None
+
+
+def test_edges_of_dates_are_broadcast(spark):
+    """A date's edges are a row a date: the rows stay where they are (before: all rows were shuffled by date to meet them)."""
+    df = spark.range(200).selectExpr("id AS symbol", "date_add(DATE'2020-01-01', CAST(id % 5 AS int)) AS date", "CAST(id * 7 % 31 AS double) AS score", "CAST(id * 11 % 37 AS double) AS fwd")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        for got in (E.binned(df, "score"), U.labels(df)):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and got.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
