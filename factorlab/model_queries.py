@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.alphas import PANEL, SPARSE, definitions
+from .functions.alphas import definitions
 from .operators import boosting as T
 from .operators import evaluation as E
 from .operators import network as N
@@ -15,7 +15,6 @@ from .operators import portfolio as P
 from .operators import screening as SC
 from .operators import statistics as S
 from .operators import universe as U
-from .plans.planner import Plan
 from .research_queries import TOP, g, out
 from .sources import bars as B
 from .sources.scratch import Written
@@ -34,24 +33,33 @@ def query(f):
     return f
 
 
-def with_factors(panel: DataFrame, names: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
-    """The panel's columns to keep and the named factors, each on its own calendar."""
-    of = {c: {f: definitions()[f].expr for f in names if definitions()[f].calendar == c} for c in (PANEL, SPARSE)}
-    x = Plan(of[PANEL]).apply(panel, keep=keep)
-    if of[SPARSE]:
-        x = x.join(Plan(of[SPARSE]).apply(panel.where(F.col("close").isNotNull())), KEYS, "left")
-    return x
+def placed_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The panel as a written table, with ret, fwd (next row), later (the five rows after the next), `place` (of a date's members)
+    and `ever` (whether a symbol is a member on any date); and (symbol, date, place) of the members, a written table."""
+    bars = Written(B.weekly(spark, sf_dir))
+    panel = E.padded_returns(B.panel(bars.df))
+    panel = U.traded_amounts(E.next_returns(E.horizon_returns(panel).withColumnRenamed("fwd", "later")), 20, 52)
+    amounts = Written(panel)
+    places = Written(U.liquid_places(amounts.df, TOP)).df  # TOP rows a date at most
+    p = amounts.df.drop("_amount").join(F.broadcast(places.withColumn("place", F.col("place").cast("double"))), KEYS, "left")
+    p = p.join(F.broadcast(places.select("symbol", F.lit(True).alias("ever")).distinct()), "symbol", "left").withColumn("ever", F.coalesce("ever", F.lit(False)))
+    return p, places
 
 
-def training_table(spark: SparkSession, sf_dir: str, factors: tuple[str, ...] = FACTORS) -> DataFrame:
+def training_rows(panel: DataFrame, places: DataFrame, said: DataFrame, factors: tuple[str, ...]) -> DataFrame:
     """symbol, date, fwd, label, factors and market features of the members of each date, as a written table: labels are the
     upper and lower fifth of the members' returns over the next five bars."""
-    panel = E.horizon_returns(E.padded_returns(B.panel(B.weekly(spark, sf_dir))))
-    u = U.liquid(with_factors(panel, factors, (*B.FIELDS, "ret", "fwd")), TOP, 20, 52)
-    market = S.market_features(u, 20, 52)  # a row a date
-    finite = [F.when(F.abs(f) < float("inf"), F.col(f)).alias(f) for f in factors]
-    mine = U.labels(u.where("member").select(*KEYS, "fwd", *finite))
-    return Written(mine.join(F.broadcast(market), "date")).df
+    mine = panel.where("ever").withColumn("member", F.col("place").isNotNull())  # others are no part of what follows
+    market = S.market_features(mine, 20, 52)  # a row a date
+    x = U.labels(mine.where("member").select(*KEYS, F.col("later").alias("fwd")))
+    values = places.join(SC.member_values(said, list(factors)), ["date", "place"], "left").drop("place")
+    return Written(x.join(values, KEYS).join(F.broadcast(market), "date")).df
+
+
+def training_table(spark: SparkSession, sf_dir: str, factors: tuple[str, ...] = FACTORS) -> DataFrame:
+    """training_rows() of the named factors. Factors are computed in blocks and told for members alone."""
+    panel, places = placed_panel(spark, sf_dir)
+    return training_rows(panel, places, SC.evaluated(panel, list(factors), judged=False), factors)
 
 
 @query
@@ -133,15 +141,14 @@ def yearly_gates(spark, sf_dir):
     return out(m, "test_year", "factor", "ic_ir", "fm_t", "cs_effective_ratio", "passed")
 
 
-def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each year's pool of factors, as a written table."""
-    daily = library(spark, sf_dir)
+def pools(daily: DataFrame) -> DataFrame:
+    """Each year's pool of factors from daily metrics, as a written table."""
     return Written(SC.yearly_pools(daily, SC.yearly_gates(daily))).df
 
 
 @query
 def yearly_pools(spark, sf_dir):
-    return out(pools(spark, sf_dir), "test_year", "place", "factor", "ic_ir", "n_passed")
+    return out(pools(library(spark, sf_dir)), "test_year", "place", "factor", "ic_ir", "n_passed")
 
 
 #: Trees of a year's model, rows that it needs, days that a position is held.
@@ -152,16 +159,18 @@ ROUNDS, LEAST_ROWS, HOLD = 79, 1000, 10
 def walk_forward_library(spark, sf_dir):
     """For each year: factors chosen from the whole library by what is known before it, boosted trees on these and the market
     features, fitted to labels known before it, and the year's long-short portfolio of their scores. All years' trees
-    grow side by side; a year uses only its own factors."""
-    chosen = pools(spark, sf_dir)
+    grow side by side; a year uses only its own factors. The library is computed once: for the gates and for the members."""
+    panel, places = placed_panel(spark, sf_dir)
+    said = SC.evaluated(panel, list(definitions()))
+    chosen = pools(said.select("factor", "date", "ic", "slope", "full"))
     by_year: dict[int, list[str]] = {}
     for r in chosen.orderBy("test_year", "place").collect():  # at most the pool's size a year
         by_year.setdefault(r["test_year"], []).append(r["factor"])
     names = tuple(sorted({f for v in by_year.values() for f in v}))
     features = [*names, *MARKET]
     years = spark.createDataFrame([(y, i) for i, y in enumerate(sorted(by_year))], "test_year int, fold int")
-    x = training_table(spark, sf_dir, names)
-    known = SC.known_years(B.panel(B.weekly(spark, sf_dir)).select("date").distinct(), 6)  # a label needs six more rows
+    x = training_rows(panel, places, said, names)
+    known = SC.known_years(panel.select("date").distinct(), 6)  # a label needs six more rows
     marks = known.join(F.broadcast(years), F.col("known") < F.col("test_year")).groupBy("date").agg(F.sum(F.expr("shiftleft(1, fold)")).cast("int").alias("train"))
     x = x.join(F.broadcast(marks), "date", "left").withColumn("train", F.coalesce("train", F.lit(0)))
     trained = x.where("label IS NOT NULL").join(F.broadcast(years), F.expr("(shiftright(train, fold) & 1) = 1")).groupBy("test_year").agg(F.count(F.lit(1)).alias("n_train"))
@@ -169,10 +178,10 @@ def walk_forward_library(spark, sf_dir):
     fit = T.boost(x.withColumn("valid", F.lit(None).cast("int")), features, KEYS, params=T.Params(rounds=ROUNDS), allowed=allowed)
     test = x.withColumn("test_year", F.year("date")).join(F.broadcast(years), "test_year").join(F.broadcast(trained.where(F.col("n_train") >= LEAST_ROWS)), "test_year")
     p = Written(T.scored(test, fit.model, features, KEYS, F.col("fold"))).df
-    scores = B.panel(B.weekly(spark, sf_dir)).join(p.select(*KEYS, F.col("raw").alias("score")), KEYS, "left")
+    scores = panel.join(F.broadcast(p.select(*KEYS, F.col("raw").alias("score"))), KEYS, "left")  # TOP rows a date at most
     first = p.agg(F.min("date").alias("first"))
     runs = P.overlapping(scores.join(F.broadcast(first), F.col("date") >= F.col("first")), HOLD).withColumn("test_year", F.year("date"))
-    ic = E.rank_ic(E.next_returns(E.padded_returns(scores))).groupBy(F.year("date").alias("test_year")).agg(F.avg("ic").alias("ic_mean"))
+    ic = E.rank_ic(scores).groupBy(F.year("date").alias("test_year")).agg(F.avg("ic").alias("ic_mean"))
     sizes = chosen.groupBy("test_year").agg(F.max("n_passed").alias("n_passed"), F.count(F.lit(1)).alias("pool_size"))
     return out(P.performance(runs, keys=("test_year",)).join(sizes, "test_year").join(trained, "test_year").join(ic, "test_year"), "test_year", "n_passed", "pool_size", "n_train", "annual", "sharpe", "mdd", "n", "ic_mean")
 

@@ -33,18 +33,31 @@ def effective_date(published: Column, period_end: Column) -> Column:
     return F.date_add(F.coalesce(published, statutory_deadline(period_end)), 1)
 
 
-def liquid(panel: DataFrame, top: int = 300, days: int = 20, listed_rows: int = 252, dates: DataFrame | None = None) -> DataFrame:
-    """With `member`: listed for so many calendar rows, traded today, among the largest mean amounts of the last
-    rows. Dates with fewer than `top` amounts have no members. Ties by symbol."""
+def traded_amounts(panel: DataFrame, days: int = 20, listed_rows: int = 252) -> DataFrame:
+    """With `_amount`: the mean amount of the last rows, of symbols listed for so many calendar rows and traded today."""
     calendar = Window.partitionBy("symbol").orderBy("date")
     first = F.min(F.when(F.col("close").isNotNull(), F.col("date"))).over(Window.partitionBy("symbol"))
     p = panel.withColumn("_listed", F.sum((F.col("date") >= first).cast("int")).over(calendar.rowsBetween(Window.unboundedPreceding, 0)))
     frame = history().rowsBetween(-(days - 1), 0)
     p = p.withColumn("_mean", F.when(F.count("amount").over(frame) >= max(5, days // 4), F.avg("amount").over(frame)))
     able = (F.col("_listed") >= listed_rows) & (F.coalesce("volume", F.lit(1.0)) > 0) & F.col("close").isNotNull()
-    p = p.withColumn("_amount", F.when(able, F.rint(F.col("_mean") * 128) / 128))
+    return p.withColumn("_amount", F.when(able, F.rint(F.col("_mean") * 128) / 128)).drop("_listed", "_mean")
+
+
+def liquid(panel: DataFrame, top: int = 300, days: int = 20, listed_rows: int = 252, dates: DataFrame | None = None) -> DataFrame:
+    """With `member`: listed for so many calendar rows, traded today, among the largest mean amounts of the last
+    rows. Dates with fewer than `top` amounts have no members. Ties by symbol."""
+    p = traded_amounts(panel, days, listed_rows)
     p = p.withColumns({"_place": F.row_number().over(day().orderBy(F.col("_amount").desc_nulls_last(), "symbol")), "_n": F.count("_amount").over(day())})
-    return p.withColumn("member", (F.col("_place") <= top) & F.col("_amount").isNotNull() & (F.col("_n") >= top)).drop("_listed", "_mean", "_amount", "_place", "_n")
+    return p.withColumn("member", (F.col("_place") <= top) & F.col("_amount").isNotNull() & (F.col("_n") >= top)).drop("_amount", "_place", "_n")
+
+
+def liquid_places(amounts: DataFrame, top: int = 300) -> DataFrame:
+    """(symbol, date, place) of the members that liquid() finds, at most `top` a date; amounts(symbol, date, _amount). Only the keys
+    of each partition's `top` largest are shuffled."""
+    known = amounts.where(F.col("_amount").isNotNull()).select("symbol", "date", "_amount")
+    best = known.withColumn("place", F.row_number().over(day().orderBy(F.col("_amount").desc(), "symbol"))).where(F.col("place") <= top)
+    return best.withColumn("_n", F.count(F.lit(1)).over(day())).where(F.col("_n") == top).select("symbol", "date", "place")
 
 
 def daily_membership(panel: DataFrame, snapshots: DataFrame) -> DataFrame:
