@@ -15,7 +15,7 @@ from .operators import portfolio as P
 from .operators import screening as SC
 from .operators import statistics as S
 from .operators import universe as U
-from .research_queries import TOP, g, out
+from .research_queries import g, out, placed_panel
 from .sources import bars as B
 from .sources.scratch import Written
 from .study_queries import _LIBRARY, library
@@ -33,19 +33,6 @@ def query(f):
     return f
 
 
-def placed_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The panel as a written table, with ret, fwd (next row), later (the five rows after the next), `place` (of a date's members)
-    and `ever` (whether a symbol is a member on any date); and (symbol, date, place) of the members, a written table."""
-    bars = Written(B.weekly(spark, sf_dir))
-    panel = E.padded_returns(B.panel(bars.df))
-    panel = U.traded_amounts(E.next_returns(E.horizon_returns(panel).withColumnRenamed("fwd", "later")), 20, 52)
-    amounts = Written(panel)
-    places = Written(U.liquid_places(amounts.df, TOP)).df  # TOP rows a date at most
-    p = amounts.df.drop("_amount").join(F.broadcast(places.withColumn("place", F.col("place").cast("double"))), KEYS, "left")
-    p = p.join(F.broadcast(places.select("symbol", F.lit(True).alias("ever")).distinct()), "symbol", "left").withColumn("ever", F.coalesce("ever", F.lit(False)))
-    return p, places
-
-
 def training_rows(panel: DataFrame, places: DataFrame, said: DataFrame, factors: tuple[str, ...]) -> DataFrame:
     """symbol, date, fwd, label, factors and market features of the members of each date, as a written table: labels are the
     upper and lower fifth of the members' returns over the next five bars."""

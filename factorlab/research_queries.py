@@ -43,8 +43,9 @@ def out(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with scores and returns."""
-    return E.padded_returns(Plan(_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))
+    """The panel with scores and returns; these come first, since ranks leave the rows by date."""
+    p = Plan(_ROOTS).apply(E.padded_returns(B.panel(B.weekly(spark, sf_dir))), keep=(*B.FIELDS, "ret"))
+    return p.select("symbol", "date", *B.FIELDS, *_ROOTS, "ret")
 
 
 def base_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +230,19 @@ u1 AS (SELECT *, CASE WHEN listed >= 52 AND coalesce(volume, 1) > 0 AND close IS
 u AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY date ORDER BY am DESC NULLS LAST, symbol) <= {TOP} AND am IS NOT NULL AND count(am) OVER (PARTITION BY date) >= {TOP}) AS member FROM u1)"""
 
 
+def placed_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The panel as a written table, with ret, fwd (next row), later (the five rows after the next), `place` (of a date's members)
+    and `ever` (whether a symbol is a member on any date); and (symbol, date, place) of the members, a written table."""
+    bars = Written(B.weekly(spark, sf_dir))
+    panel = E.padded_returns(B.panel(bars.df))
+    panel = U.traded_amounts(E.next_returns(E.horizon_returns(panel).withColumnRenamed("fwd", "later")), 20, 52)
+    amounts = Written(panel)
+    places = Written(U.liquid_places(amounts.df, TOP)).df  # TOP rows a date at most
+    p = amounts.df.drop("_amount").join(F.broadcast(places.withColumn("place", F.col("place").cast("double"))), ["symbol", "date"], "left")
+    p = p.join(F.broadcast(places.select("symbol", F.lit(True).alias("ever")).distinct()), "symbol", "left").withColumn("ever", F.coalesce("ever", F.lit(False)))
+    return p, places
+
+
 def members(spark, sf_dir):
     return U.liquid(base(spark, sf_dir), TOP, 20, 52)
 

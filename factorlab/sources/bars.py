@@ -27,9 +27,15 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(bars: DataFrame) -> DataFrame:
-    """Every symbol on every date of the union calendar; fields are null where a symbol has no bar."""
-    calendar, symbols = bars.select("date").distinct(), bars.select("symbol").distinct()
-    return symbols.crossJoin(calendar).join(bars, ["symbol", "date"], "left")
+    """Every symbol on every date of the union calendar; fields are null where a symbol has no bar. A symbol's bars meet the
+    calendar as one row, so that only bars are shuffled, by symbol, and later histories need no shuffle of their own."""
+    fields = [f for f in bars.schema.fields if f.name not in ("symbol", "date")]
+    row, day = F.struct("date", *(f.name for f in fields)), F.struct("date")
+    own = bars.groupBy("symbol").agg(F.collect_list(F.when(F.col("symbol").isNotNull() & F.col("date").isNotNull(), row)).alias("_own"))
+    calendar = bars.select("date").distinct().agg(F.transform(F.collect_list(day), lambda x: x["date"]).alias("_calendar"))
+    empty = lambda d: F.struct(d.alias("date"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    lacking = F.transform(F.array_except("_calendar", F.transform("_own", lambda x: x["date"])), empty)
+    return own.crossJoin(F.broadcast(calendar)).select("symbol", F.explode(F.concat("_own", lacking)).alias("_x")).select("symbol", "_x.*").select("symbol", "date", *(f.name for f in fields))
 
 
 def long_enough(bars: DataFrame, rows: int = 100) -> DataFrame:

@@ -21,7 +21,7 @@ from .plans.oracle import factor_ctes
 from .plans.planner import Plan
 from .research_queries import (
     _M, _Z, BACKTEST, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
-    D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
+    _ROOTS, D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
 )
 from .sources import bars as B
 from .sources.scratch import Written
@@ -345,16 +345,15 @@ def rolling_sharpe(spark, sf_dir):
 @query()
 def scorecard(spark, sf_dir):
     """Each score's checks: IC, long-short Sharpe ratio, bootstrap, rising quantile groups; and how many it meets."""
-    p = base_once(spark, sf_dir)
-    metrics = E.ic_summary(all_metrics(p)[1], ("factor",)).select("factor", "ic_ir", "ic_t")
-    runs = Written(long_shorts(p)).df
+    p = E.next_returns(E.padded_returns(B.panel(B.weekly(spark, sf_dir))))
+    daily = Written(SC.daily_groups(Plan(_ROOTS).apply(p, keep=("fwd",)), SCORES)).df  # a row a factor and date
+    metrics = E.ic_summary(daily.where(F.col("ic").isNotNull()), ("factor",)).select("factor", "ic_ir", "ic_t")
+    group = lambda i: F.try_divide(F.col("sums")[i], F.col("counts")[i])
+    runs = daily.where(F.col("sums").isNotNull()).select("factor", "date", (group(4) - group(0) - E.PAIR_COST).alias("ret"))
     ls = P.performance(runs.withColumnRenamed("ret", "port_ret"), keys=("factor",)).select("factor", F.col("sharpe").alias("ls_sharpe"))
     boot = S.block_sharpes(runs, "ret", "factor").groupBy("factor").agg(F.avg((F.col("sharpe") <= 0).cast("double")).alias("p_value"))
-    x, rising = E.next_returns(p), None
-    for k, v in SCORES.items():
-        m = E.binned(x, k).agg(*(F.avg(F.when(F.col("bin") == i, F.col("fwd"))).alias(f"m{i}") for i in range(5)))
-        one = m.select(F.lit(v).alias("factor"), ((F.col("m0") < F.col("m1")) & (F.col("m1") < F.col("m2")) & (F.col("m2") < F.col("m3")) & (F.col("m3") < F.col("m4"))).alias("monotone"))
-        rising = one if rising is None else rising.union(one)
+    means = daily.groupBy("factor").agg(*(F.try_divide(F.sum(F.col("sums")[i]), F.sum(F.col("counts")[i])).alias(f"m{i}") for i in range(5)))
+    rising = means.select("factor", ((F.col("m0") < F.col("m1")) & (F.col("m1") < F.col("m2")) & (F.col("m2") < F.col("m3")) & (F.col("m3") < F.col("m4"))).alias("monotone"))
     s = metrics.join(ls, "factor").join(boot, "factor").join(rising, "factor")
     checks = [(F.abs("ic_ir") > 0.05) & (F.abs("ic_t") > 2), F.abs("ls_sharpe") > 0.3, F.col("p_value") < 0.1, F.col("monotone")]
     s = s.withColumn("passed", sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0)))

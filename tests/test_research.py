@@ -7,8 +7,10 @@ import pytest
 
 from factorlab.operators import evaluation as E
 from factorlab.operators import portfolio as P
+from factorlab.operators import screening as SC
 from factorlab.operators import statistics as S
 from factorlab.operators import universe as U
+from factorlab.sources import bars as B
 
 DAYS = [dt.date(2024, 1, d) for d in (1, 2, 3, 4, 5)]
 
@@ -97,3 +99,29 @@ def test_edges_of_dates_are_broadcast(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and got.count() == 200
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_daily_groups_equal_ranks_and_quantiles(spark):
+    """One grouped map a date gives what rank_ic() and quantile_returns() give; small dates have neither."""
+    rows = [(s, dt.date(2020, 1, 6 + d), float((s * s * 31 + d) % (7 if d == 1 else 101)) if s % 6 else None, float((s * 7 + d * d) % 53) / 53) for d in range(4) for s in range((40, 40, 12, 9)[d])]
+    df = spark.createDataFrame(rows, "symbol int, date date, score double, fwd double")
+    got = {r.date: r for r in SC.daily_groups(df, {"score": "f"}).collect()}
+    ic = {r.date: r.ic for r in E.rank_ic(df).collect()}
+    quantiles = {r.date: tuple(r)[1:] for r in E.quantile_returns(df, "score").collect()}
+    assert {d for d, r in got.items() if r.ic is not None} == set(ic) and {d for d, r in got.items() if r.sums} == set(quantiles) and len(quantiles) == 2
+    for d, v in ic.items():
+        assert abs(got[d].ic - v) < 1e-12
+    for d, q in quantiles.items():
+        for total, n, m in zip(got[d].sums, got[d].counts, q, strict=True):
+            assert n == 0 and m is None or abs(total / n - m) < 1e-12
+
+
+def test_scores_move_once_after_returns(spark):
+    """Histories of the panel need no shuffle after the bars', and base() moves its rows once more, by date."""
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(symbol#")
+    rows = [(s, dt.date(2020, 1, 6 + d), float(s + d)) for s in range(3) for d in range(4) if s != d]
+    bars = spark.createDataFrame(rows, "symbol int, date date, close double")
+    panel = B.panel(bars)
+    assert exchanges(E.next_returns(E.padded_returns(panel))) == 1
+    want = {(s, dt.date(2020, 1, 6 + d)): float(s + d) if s != d else None for s in range(3) for d in range(4)}
+    assert {(r.symbol, r.date): r.close for r in panel.collect()} == want

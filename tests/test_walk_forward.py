@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlab import model_queries as MQ
+from factorlab import research_queries as RQ
 from factorlab.functions.alphas import PANEL, SPARSE, definitions
 from factorlab.operators import screening as SC
 from factorlab.operators import universe as U
@@ -114,6 +115,6 @@ def test_members_values_equal_the_planners(spark):
 
 def test_members_are_those_of_the_universe(spark):
     panel, _ = MQ.placed_panel(spark, "/root/testdata/sf0.01")
-    u = U.liquid(panel, MQ.TOP, 20, 52)
+    u = U.liquid(panel, RQ.TOP, 20, 52)
     wrong = u.where("member <> (place IS NOT NULL) OR (member AND NOT ever)").count()
     assert wrong == 0 and u.where("member").count() > 1000
