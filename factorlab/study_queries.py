@@ -21,7 +21,7 @@ from .plans.oracle import factor_ctes
 from .plans.planner import Plan
 from .research_queries import (
     _M, _Z, BACKTEST, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
-    _ROOTS, D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, ranks, snapshots, traded,
+    _ROOTS, D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, placed_panel, ranks, snapshots, traded,
 )
 from .sources import bars as B
 from .sources.scratch import Written
@@ -459,9 +459,10 @@ d AS MATERIALIZED ({moved_sql('dz', 'regime', 'date', ['m0', 'm1'], f'{EPOCH_DAY
 SELECT regime, feature, n, {g('base', 'auc')}, {g('auc', 'auc_permuted')}, {g('(base - auc)', '"drop"')} FROM ui""")
 def regime_importance(spark, sf_dir):
     """What each factor and market feature adds to the combined score, in calm and in volatile markets."""
-    m = members(spark, sf_dir)
-    y = U.labels(E.horizon_returns(m)).select("symbol", "date", "label", *SCORES)
-    return out(MOD.regime_importance(y.join(F.broadcast(S.market_features(m, 20, 52)), "date"), list(SCORES), list(_MARKETS)), "regime", "feature", "n", "auc", "auc_permuted", "drop")
+    p, _ = placed_panel(spark, sf_dir)
+    market = S.market_features(p.where("ever").withColumn("member", F.col("place").isNotNull()), 20, 52)  # a row a date
+    y = Plan(_ROOTS).apply(U.labels(p.drop("fwd").withColumnRenamed("later", "fwd")), keep=("label",))
+    return out(MOD.regime_importance(y.join(F.broadcast(market), "date"), list(SCORES), list(_MARKETS)), "regime", "feature", "n", "auc", "auc_permuted", "drop")
 
 
 #: Lags of alpha055 and shares held, as in the parameter scan.
