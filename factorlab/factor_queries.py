@@ -20,15 +20,15 @@ def kept(c: Column) -> Column:
     return F.when(F.abs(c) < 10, grid(27)).when(F.abs(c) < 1e5, grid(14)).otherwise(F.rint(c / unit) * unit) + 0.0
 
 
-def compute(bars: DataFrame, factors: list[Factor]) -> DataFrame:
+def compute(bars: DataFrame, factors: list[Factor], dates: DataFrame | None = None) -> DataFrame:
     """symbol, date and a column per factor, all of one calendar."""
-    source = B.panel(bars) if factors[0].calendar == PANEL else bars
+    source = B.panel(bars, dates) if factors[0].calendar == PANEL else bars
     return Plan({f.name: f.expr for f in factors}).apply(source)
 
 
 def query(factor: Factor) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compute(B.weekly(spark, sf_dir), [factor]).select("symbol", F.col("date").cast("string").alias("date"), kept(F.col(factor.name)).alias("value"))
+        return compute(B.weekly(spark, sf_dir), [factor], B.weeks(spark, sf_dir)).select("symbol", F.col("date").cast("string").alias("date"), kept(F.col(factor.name)).alias("value"))
 
     return run
 

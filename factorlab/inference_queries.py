@@ -152,7 +152,7 @@ def orthogonal_slope(spark, sf_dir):
 def custom_factor(spark, sf_dir):
     """A factor that a user writes down, with a parameter."""
     own = factor("value", "-RANK(ABS(DELTA(C, days))) * RANK(DELTA(V, days))", days=10)
-    return out(Plan({own.name: own.expr}).apply(B.panel(B.weekly(spark, sf_dir))), "symbol", "date", "value")
+    return out(Plan({own.name: own.expr}).apply(B.weekly_panel(spark, sf_dir)), "symbol", "date", "value")
 
 
 _FROM, _TO, _CUT, _NEW = "1995-06-01", "1999-12-31", "1998-01-01", 10
@@ -166,7 +166,7 @@ def sync_missing(spark, sf_dir):
     """Stored bars brought up to a range of dates: symbols that are stored get what they lack at both ends, of the others
     ten are added."""
     bars = B.weekly(spark, sf_dir)
-    first = bars.agg(F.min("date").alias("date"))
+    first = B.weeks(spark, sf_dir).agg(F.min("date").alias("date"))
     old = bars.where(F.col("date").between(F.lit("1996-01-01").cast("date"), F.date_sub(F.lit(_CUT).cast("date"), 1))).join(bars.join(F.broadcast(first), "date").select("symbol"), "symbol", "left_semi")
     new = B.fetched(old, bars, bars, _FROM, _TO, _NEW)
     had = old.select("symbol").distinct().withColumn("_had", F.lit(1))

@@ -44,7 +44,7 @@ def out(df: DataFrame, *columns: str) -> DataFrame:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with scores and returns; these come first, since ranks leave the rows by date."""
-    p = Plan(_ROOTS).apply(E.padded_returns(B.panel(B.weekly(spark, sf_dir))), keep=(*B.FIELDS, "ret"))
+    p = Plan(_ROOTS).apply(E.padded_returns(B.weekly_panel(spark, sf_dir)), keep=(*B.FIELDS, "ret"))
     return p.select("symbol", "date", *B.FIELDS, *_ROOTS, "ret")
 
 
@@ -274,7 +274,7 @@ fundd AS (SELECT symbol, effective_date, max(value) AS value FROM fund GROUP BY
 
 @query(f"WITH {B.SQL}, {FUND} SELECT p.symbol, p.date::VARCHAR AS date, {g('f.value', 'value')} FROM panel p ASOF LEFT JOIN fundd f ON p.symbol = f.symbol AND p.date >= f.effective_date")
 def asof_fundamentals(spark, sf_dir):
-    p = B.panel(B.weekly(spark, sf_dir)).select("symbol", "date")
+    p = B.weekly_panel(spark, sf_dir).select("symbol", "date")
     return out(U.as_of(p, fundamentals(spark, sf_dir), "value"), "symbol", "date", "value")
 
 
@@ -296,7 +296,7 @@ def snapshots(spark, sf_dir):
 a AS (SELECT p.symbol, p.date, g.member FROM panel p ASOF LEFT JOIN grid g ON p.symbol = g.symbol AND p.date >= g.snapshot_date),
 f AS (SELECT symbol, min_by(member, snapshot_date) AS member FROM grid GROUP BY 1) SELECT a.symbol, a.date::VARCHAR AS date, coalesce(a.member, f.member, false) AS member FROM a LEFT JOIN f USING (symbol)""")
 def membership_daily(spark, sf_dir):
-    return out(U.daily_membership(B.panel(B.weekly(spark, sf_dir)), snapshots(spark, sf_dir)), "symbol", "date", "member")
+    return out(U.daily_membership(B.weekly_panel(spark, sf_dir), snapshots(spark, sf_dir)), "symbol", "date", "member")
 
 
 @query(f"""WITH {B.SQL}, {MONTHS}, last AS (SELECT symbol FROM snaps WHERE snapshot_date = (SELECT max(snapshot_date) FROM snaps)),

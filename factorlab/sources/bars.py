@@ -16,8 +16,10 @@ def with_vwap(bars: DataFrame) -> DataFrame:
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of suppliers' sales: a tick is a line's price per unit, kept to 8 decimals."""
+    """Weekly bars of suppliers' sales: a tick is a line's price per unit, kept to 8 decimals. Lines are dealt by symbol as they are:
+    a bar has about two, which are smaller than one partial bar, and neither bars nor panel are shuffled by symbol again."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    line = line.repartition("l_suppkey")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     tick = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 8)
     bars = line.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
@@ -26,13 +28,24 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_vwap(bars)
 
 
-def panel(bars: DataFrame) -> DataFrame:
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date) of every line: the dates of the weekly bars, repeated, from lines as they are read and not yet dealt by symbol."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))
+
+
+def weekly_panel(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """panel() of the weekly bars, with some of their fields."""
+    return panel(weekly(spark, sf_dir).select("symbol", "date", *fields), weeks(spark, sf_dir))
+
+
+def panel(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Every symbol on every date of the union calendar; fields are null where a symbol has no bar. A symbol's bars meet the
-    calendar as one row, so that only bars are shuffled, by symbol, and later histories need no shuffle of their own."""
+    calendar as one row, so that only bars are shuffled, by symbol, and later histories need no shuffle of their own.
+    dates(date) has all dates of the bars, for callers that know them without the bars."""
     fields = [f for f in bars.schema.fields if f.name not in ("symbol", "date")]
     row, day = F.struct("date", *(f.name for f in fields)), F.struct("date")
     own = bars.groupBy("symbol").agg(F.collect_list(F.when(F.col("symbol").isNotNull() & F.col("date").isNotNull(), row)).alias("_own"))
-    calendar = bars.select("date").distinct().agg(F.transform(F.collect_list(day), lambda x: x["date"]).alias("_calendar"))
+    calendar = (bars if dates is None else dates).select("date").distinct().agg(F.transform(F.collect_list(day), lambda x: x["date"]).alias("_calendar"))
     empty = lambda d: F.struct(d.alias("date"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
     lacking = F.transform(F.array_except("_calendar", F.transform("_own", lambda x: x["date"])), empty)
     return own.crossJoin(F.broadcast(calendar)).select("symbol", F.explode(F.concat("_own", lacking)).alias("_x")).select("symbol", "_x.*").select("symbol", "date", *(f.name for f in fields))

@@ -18,7 +18,7 @@ from .operators import screening as SC
 from .operators import statistics as S
 from .operators import universe as U
 from .plans.oracle import factor_ctes
-from .plans.planner import Plan
+from .plans.planner import Plan, nodes
 from .research_queries import (
     _M, _Z, BACKTEST, CURVE, EPOCH_DAY, LABELS, MA, MONTHS, PERF, R, SCHEDULE, SCORES, SUMMARY, UNIVERSE, WEIGHTS,
     _ROOTS, D, H, all_metrics, base, bin_cte, excess, g, h, ic_cte, base_once, importance_sql, known_sql, members, metric_sql, moved_sql, out, placed_panel, ranks, snapshots, traded,
@@ -44,7 +44,7 @@ def query(sql: str | None = None):
 
 
 def library(spark, sf_dir):
-    return SC.library_metrics(E.next_returns(E.padded_returns(B.panel(B.weekly(spark, sf_dir)))))
+    return SC.library_metrics(E.next_returns(E.padded_returns(B.weekly_panel(spark, sf_dir))))
 
 
 _NAMES = {c: [f.name for f in definitions().values() if f.calendar == c] for c in (PANEL, SPARSE)}
@@ -345,8 +345,9 @@ def rolling_sharpe(spark, sf_dir):
 @query()
 def scorecard(spark, sf_dir):
     """Each score's checks: IC, long-short Sharpe ratio, bootstrap, rising quantile groups; and how many it meets."""
-    p = E.next_returns(E.padded_returns(B.panel(B.weekly(spark, sf_dir))))
-    daily = Written(SC.daily_groups(Plan(_ROOTS).apply(p, keep=("fwd",)), SCORES)).df  # a row a factor and date
+    read = tuple(sorted({"close", *(x.params[0] for x in nodes(_ROOTS.values()) if x.op == "field")}))
+    p = E.next_returns(E.padded_returns(B.weekly_panel(spark, sf_dir, read)))
+    daily = Written(SC.section_groups(p, _ROOTS, SCORES)).df  # a row a factor and date
     metrics = E.ic_summary(daily.where(F.col("ic").isNotNull()), ("factor",)).select("factor", "ic_ir", "ic_t")
     group = lambda i: F.try_divide(F.col("sums")[i], F.col("counts")[i])
     runs = daily.where(F.col("sums").isNotNull()).select("factor", "date", (group(4) - group(0) - E.PAIR_COST).alias("ret"))
@@ -398,19 +399,19 @@ def checkpoint_merge(spark, sf_dir):
 @query(f"WITH {B.SQL}, e AS (SELECT max(date) AS last FROM bars) SELECT symbol, min(date)::VARCHAR AS listing_date, (CASE WHEN max(date) < any_value(last) THEN max(date) END)::VARCHAR AS delist_date FROM bars, e GROUP BY symbol")
 def listing_info(spark, sf_dir):
     bars = B.weekly(spark, sf_dir)
-    return out(B.listing(bars, F.lit(bars.agg(F.max("date")).first()[0])), "symbol", "listing_date", "delist_date")
+    return out(B.listing(bars, F.lit(B.weeks(spark, sf_dir).agg(F.max("date")).first()[0])), "symbol", "listing_date", "delist_date")
 
 
 @query(f"WITH {B.SQL} SELECT symbol, {D}, contains(s_name, '7') AS st FROM panel JOIN supplier ON s_suppkey = symbol")
 def st_flags(spark, sf_dir):
     """Flags from the names; 'ST' stands where the sample's names have a 7."""
     names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("symbol"), F.regexp_replace("s_name", "7", "ST").alias("name"))
-    return out(B.special_treatment(B.panel(B.weekly(spark, sf_dir)), names), "symbol", "date", "st")
+    return out(B.special_treatment(B.weekly_panel(spark, sf_dir), names), "symbol", "date", "st")
 
 
 @query(f"WITH {B.SQL} SELECT symbol, {D}, {g('coalesce(close, quantile_cont(close, 0.5) OVER (PARTITION BY date))', 'close')} FROM panel")
 def median_fill(spark, sf_dir):
-    return out(B.median_filled(B.panel(B.weekly(spark, sf_dir)), "close"), "symbol", "date", "close")
+    return out(B.median_filled(B.weekly_panel(spark, sf_dir), "close"), "symbol", "date", "close")
 
 
 @query(f"WITH {B.SQL}, k AS (SELECT symbol, volume, count(*) AS c FROM bars GROUP BY ALL), o AS (SELECT symbol, arg_max(volume, (c, -volume)) AS most FROM k GROUP BY 1) SELECT symbol, {g('most')} FROM o")
@@ -482,7 +483,7 @@ a AS (SELECT delta, share, sqrt(252.0) * avg(net - bench) / stddev_samp(net - be
 SELECT delta, {', '.join(map(g, ('share', *_M, 'information_ratio')))} FROM m JOIN a USING (delta, share)""")
 def delta_scan(spark, sf_dir):
     """alpha055 with each lag and share held: all parameter sets in one backtest."""
-    p = Written(E.padded_returns(Plan(_DELTA_ROOTS).apply(B.panel(B.weekly(spark, sf_dir)), keep=B.FIELDS))).df  # read by each part of the backtest
+    p = Written(E.padded_returns(Plan(_DELTA_ROOTS).apply(B.weekly_panel(spark, sf_dir), keep=B.FIELDS))).df  # read by each part of the backtest
     scores = p.select("symbol", "date", F.explode(F.array(*(F.struct(F.lit(k).alias("delta"), F.col(f"d{k}").alias("score")) for k in DELTAS))).alias("x")).select("symbol", "date", "x.*")
     c = P.section_scan(p, scores, P.rebalance_dates(p), list(TOP_SHARES))
     active = F.col("net") - F.col("bench")

@@ -2,14 +2,18 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
+from factorlab import research_queries as RQ
+from factorlab.functions.expr import DELTA, RANK, WHERE, field
 from factorlab.operators import evaluation as E
 from factorlab.operators import portfolio as P
 from factorlab.operators import screening as SC
 from factorlab.operators import statistics as S
 from factorlab.operators import universe as U
+from factorlab.plans.planner import Plan
 from factorlab.sources import bars as B
 
 DAYS = [dt.date(2024, 1, d) for d in (1, 2, 3, 4, 5)]
@@ -125,3 +129,32 @@ def test_scores_move_once_after_returns(spark):
     assert exchanges(E.next_returns(E.padded_returns(panel))) == 1
     want = {(s, dt.date(2020, 1, 6 + d)): float(s + d) if s != d else None for s in range(3) for d in range(4)}
     assert {(r.symbol, r.date): r.close for r in panel.collect()} == want
+
+
+def test_section_groups_equal_planned_scores(spark):
+    """Scores taken in a date's group equal the planner's, and gaps stay unknown, also for a score that is known where nothing is."""
+    rows = [(s, dt.date(2020, 1, 6 + d), *(float((s * s * k + d * d * s) % 23) if (s + d) % 5 else None for k in (3, 7, 11)), float((s * 7 + d) % 53) / 53) for d in range(14) for s in range(40 if d else 12)]
+    panel = spark.createDataFrame(rows, "symbol int, date date, open double, close double, volume double, fwd double")
+    close = field("close")
+    for roots in (RQ._ROOTS, RQ._ROOTS | {"odd": WHERE(RANK(DELTA(close, 1)) < 0.5, 1.0, RANK(close))}):
+        names = {k: k for k in roots}
+        rows_of = lambda df: {(r.factor, r.date): r for r in df.collect() if r.ic is not None or r.sums}
+        want, got = rows_of(SC.daily_groups(Plan(roots).apply(panel, keep=("fwd",)), names)), rows_of(SC.section_groups(panel, roots, names))
+        assert want.keys() == got.keys() and {f for f, _ in want} == set(roots)
+        for k, r in want.items():
+            assert r.counts == got[k].counts and (r.ic is None) == (got[k].ic is None) and abs((r.ic or 0) - (got[k].ic or 0)) < 1e-12
+            assert all(abs(a - b) < 1e-12 for a, b in zip(r.sums or [], got[k].sums or [], strict=True))
+    with pytest.raises(ValueError, match="histories"):
+        SC.section_groups(panel, {"x": DELTA(RANK(close), 1)}, {"x": "x"})
+
+
+def test_scorecard_shuffles_lines_by_symbol_and_known_values_by_date(spark):
+    """Lines move by symbol and what is known of the scores by date; nothing else of the size of the panel is shuffled or sorted by rank."""
+    panel = B.weekly_panel(spark, "/root/testdata/sf0.001", ("open", "close", "volume"))
+    df = SC.section_groups(E.next_returns(E.padded_returns(panel)), RQ._ROOTS, RQ.SCORES)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["date", "l_suppkey", "date"]  # the last one: the calendar's few dates
+    assert "rank(" not in plan
+    assert len(re.search(r"FlatMapGroupsInArrow \[date#\d+\], work\(([^)]*)\)", plan)[1].split(",")) == 8
+    bars = B.weekly(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", re.sub(r"#\d+L?", "", bars)) == ["l_suppkey"]
