@@ -165,7 +165,7 @@ SELECT symbol, count(*) AS n_rows, min(date)::VARCHAR AS first_date, max(date)::
 def sync_missing(spark, sf_dir):
     """Stored bars brought up to a range of dates: symbols that are stored get what they lack at both ends, of the others
     ten are added."""
-    bars = B.weekly(spark, sf_dir)
+    bars = B.weekly(spark, sf_dir, dealt=False)
     first = B.weeks(spark, sf_dir).agg(F.min("date").alias("date"))
     old = bars.where(F.col("date").between(F.lit("1996-01-01").cast("date"), F.date_sub(F.lit(_CUT).cast("date"), 1))).join(bars.join(F.broadcast(first), "date").select("symbol"), "symbol", "left_semi")
     new = B.fetched(old, bars, bars, _FROM, _TO, _NEW)

@@ -15,11 +15,13 @@ def with_vwap(bars: DataFrame) -> DataFrame:
     return bars.withColumn("vwap", F.round(F.try_divide("amount", "volume"), 8))
 
 
-def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """Weekly bars of suppliers' sales: a tick is a line's price per unit, kept to 8 decimals. Lines are dealt by symbol as they are:
-    a bar has about two, which are smaller than one partial bar, and neither bars nor panel are shuffled by symbol again."""
+    a bar has about two, which are smaller than one partial bar, and neither bars nor panel are shuffled by symbol again.
+    Who reads only the keys of bars has them undealt, since partial keys are smaller than lines."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    line = line.repartition("l_suppkey")
+    if dealt:
+        line = line.repartition("l_suppkey")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     tick = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 8)
     bars = line.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(

@@ -398,7 +398,7 @@ def checkpoint_merge(spark, sf_dir):
 
 @query(f"WITH {B.SQL}, e AS (SELECT max(date) AS last FROM bars) SELECT symbol, min(date)::VARCHAR AS listing_date, (CASE WHEN max(date) < any_value(last) THEN max(date) END)::VARCHAR AS delist_date FROM bars, e GROUP BY symbol")
 def listing_info(spark, sf_dir):
-    bars = B.weekly(spark, sf_dir)
+    bars = B.weekly(spark, sf_dir, dealt=False)
     return out(B.listing(bars, F.lit(B.weeks(spark, sf_dir).agg(F.max("date")).first()[0])), "symbol", "listing_date", "delist_date")
 
 
