@@ -1,19 +1,22 @@
-"""The planner's expressions over blocks: the histories of some symbols as matrices (symbols x dates) of one task.
+"""The planner's expressions over arrays: the histories of some symbols as matrices (symbols x dates), or a slice of consecutive
+dates, date by date over all symbols.
 
-A node is worth NaN where the planner's column is null. Phases alternate: even ones see histories, odd ones a date's cross-section;
-between them a row is a block of a date (some symbols, all columns that later phases read), so wide rows aren't
-shuffled once per stage. Sums run over a window in the same order as the planner's windows.
+A node is worth NaN where the planner's column is null. Cross-sections and short windows, of cross-sections too, are computed in
+slices from the fields of the slice and of the few dates before it; what looks further back is computed over whole histories.
+Sums run over a window in the same order as the planner's windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from ..functions.expr import SCALAR, SECTION, Expr
-from .planner import STEPS, nodes, recursive_mean
+from .planner import STEPS, nodes
 
 _BOOLEAN = ("lt", "le", "eq", "and", "known")
 
@@ -71,12 +74,30 @@ def stepped(x: np.ndarray) -> np.ndarray:
     return np.rint(x * STEPS) / STEPS
 
 
+def mean_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties by their mean; all values are known."""
+    order = np.argsort(x)
+    v = x[order]
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(x) else np.zeros(0, int)
+    ends, out = np.append(starts[1:], len(x)), np.empty(len(x))
+    out[order] = np.repeat((starts + 1 + ends) / 2.0, ends - starts)
+    return out
+
+
 def shares(x: np.ndarray) -> np.ndarray:
     """Ranks of known values from the smallest, ties by their mean, over their number."""
     known, out = ~np.isnan(x), np.full(x.shape, np.nan)
-    _, which, count = np.unique(x[known], return_inverse=True, return_counts=True)
-    upto = np.cumsum(count)
-    out[known] = ((upto - count + 1 + upto) / 2.0 / max(int(known.sum()), 1))[which]
+    out[known] = mean_ranks(x[known]) / max(int(known.sum()), 1)
+    return out
+
+
+def recursive_means(x: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The planner's recursive_mean() of each row."""
+    out = np.full(x.shape, np.nan)
+    if x.shape[1] >= n:
+        out[:, n:] = pd.DataFrame(x.T).ewm(alpha=m / n, adjust=False, ignore_na=True).mean().to_numpy().T[:, n:]
+        known = ~np.isnan(x[:, :n])
+        out[:, n - 1] = np.where(known, x[:, :n], 0.0).sum(1) / known.sum(1)
     return out
 
 
@@ -112,7 +133,8 @@ def least_most(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def value(op: str, params: tuple, a: list[np.ndarray], infinite: tuple, shape: tuple) -> np.ndarray:
+def value(op: str, params: tuple, a: list, infinite: tuple, shape: tuple, windows: Callable = windows) -> np.ndarray:
+    """One node. Arguments of series are what windows() takes: matrices, or the last values in a slice."""
     match op:
         case "const":
             return np.full(shape, np.nan if params[0] is None else params[0])
@@ -167,13 +189,10 @@ def value(op: str, params: tuple, a: list[np.ndarray], infinite: tuple, shape: t
             dev = np.sqrt(np.nansum((a[0] - mean) ** 2, 1, keepdims=True) / (count - 1))
             return np.where(dev > 0, np.minimum(np.maximum(a[0], mean - 10 * dev), mean + 10 * dev), a[0])
         case "sma":
-            out = np.full(shape, np.nan)
-            for i, x in enumerate(a[0]):
-                out[i] = recursive_mean(pd.Series(x), *params)
-            return out
+            return recursive_means(a[0], *params)
     n = params[0]
     if op == "count":
-        return sum(windows(a[0].astype(float), n))
+        return sum(windows(a[0], n), 0.0)
     x = [windows(np.where(np.isfinite(v), v, np.nan) if inf else v, n) for v, inf in zip(a, infinite, strict=True)]
     if op in ("corr", "beta"):
         both = [np.isnan(u + v) for u, v in zip(*x, strict=True)]
@@ -198,26 +217,106 @@ def value(op: str, params: tuple, a: list[np.ndarray], infinite: tuple, shape: t
     raise ValueError(op)
 
 
-def packed(columns: Sequence[np.ndarray], ranks: Sequence[bool]) -> bytes:
-    """A date's columns of some symbols; ranks as twice the rank and the number of ranked ones."""
-    out = []
-    for x, rank in zip(columns, ranks, strict=True):
-        out.append(np.ascontiguousarray(x, np.int32 if rank else np.float64).tobytes())
-    return b"".join(out)
+#: Windows of more rows than this are computed over whole histories.
+LONG = 16
+_CLEAN = ("sum", "std", "max", "min", "corr", "beta", "tsrank")
+_WINDOWS = ("lag", "count", *_CLEAN)
 
 
-def doubled(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Shares as twice the rank (0: unknown), and the number of known ones."""
-    k = int((~np.isnan(x)).sum())
-    return np.nan_to_num(np.rint(x * 2 * k)).astype(np.int32), k
+def reach(op: str, params: tuple) -> float:
+    """How many rows before its own a node reads of its arguments."""
+    if op in ("sma", "clip"):
+        return np.inf
+    return params[0] - (op != "lag") if op in _WINDOWS else 0
 
 
-def unpacked(data: bytes, n: int, ranks: Sequence[bool], known: Sequence[int]) -> list[np.ndarray]:
-    out, at, k = [], 0, iter(known)
-    for rank in ranks:
-        x = np.frombuffer(data, np.int32 if rank else np.float64, n, at)
-        at += x.nbytes
-        if rank:
-            x = np.where(x == 0, np.nan, x / 2.0 / max(next(k), 1))
-        out.append(x)
-    return out
+def frontier(roots: Iterable[Expr]) -> list[Expr]:
+    """What slices are computed from: fields, and what looks far back."""
+    out, seen = {}, set()
+
+    def visit(x: Expr) -> None:
+        if x in seen:
+            return
+        seen.add(x)
+        if x.op == "field" or reach(x.op, x.params) >= LONG:
+            if any(y.kind == SECTION for y in nodes([x])):
+                raise ValueError("a long window of cross-sections")
+            out[x] = None
+        else:
+            for a in x.args:
+                visit(a)
+
+    for x in roots:
+        visit(x)
+    return list(out)
+
+
+def sliced(outputs: Sequence[Expr], given: Sequence[Expr]) -> tuple[list[tuple], list[int], list[int], list[int]]:
+    """program() of a slice: infinite values leave a window as a step of its own. Besides, of each place, how many rows before the
+    slice it is needed at (-1: never), and how many rows back it is read."""
+    place, steps = {x: i for i, x in enumerate(given)}, []
+
+    def visit(x: Expr) -> int:
+        if x not in place:
+            args = tuple(visit(Expr("finite", (a,)) if x.op in _CLEAN and a.may_be_infinite else a) for a in x.args)
+            steps.append((x.op, x.params, args))
+            place[x] = len(given) + len(steps) - 1
+        return place[x]
+
+    places = [visit(x) for x in outputs]
+    lead, back = [-1] * (len(given) + len(steps)), [0] * (len(given) + len(steps))
+    for i in places:
+        lead[i] = 0
+    for k in reversed(range(len(steps))):
+        op, params, args = steps[k]
+        rows = reach(op, params)
+        for i in args:
+            lead[i], back[i] = max(lead[i], lead[len(given) + k] + rows), max(back[i], rows)
+    return steps, places, lead, back
+
+
+def rolled(plan: tuple, given: Callable[[int], list], first: int, start: int, end: int, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The outputs of a sliced() plan on the rows start, ..., end - 1, one after another; given(row) has the given arrays, None where
+    they aren't needed, and no row comes before `first`. Only what later steps and rows read is kept."""
+    steps, places, lead, back = plan
+    held = len(lead) - len(steps)
+    past = [deque(maxlen=b + 1) for b in back]
+    last = {i: k for k, (*_, args) in enumerate(steps) for i in args}
+    last |= dict.fromkeys(places, len(steps))
+    done: list[list[int]] = [[] for _ in range(len(steps) + 1)]
+    for i, k in last.items():
+        if not back[i]:
+            done[k].append(i)
+    blank = np.full(n, np.nan)
+    window = lambda a, size: [blank] * (size - len(a)) + list(a)[-size:]
+    with np.errstate(all="ignore"):
+        for row in range(max(first, start - max(lead)), end):
+            for i, x in enumerate(given(row)):
+                if row >= start - lead[i] and lead[i] >= 0:
+                    past[i].append(x)
+            for k, (op, params, args) in enumerate(steps):
+                if row >= start - lead[held + k]:
+                    past[held + k].append(value(op, params, [past[i] if op in _WINDOWS else past[i][-1] for i in args], (False,) * len(args), (n,), window))
+                for i in done[k]:
+                    past[i].clear()
+            if row >= start:
+                yield row, [past[i][-1] for i in places]
+            for i in done[-1]:
+                past[i].clear()
+
+
+def packed(columns: Sequence[np.ndarray]) -> bytes:
+    """Some columns of one length: which values are known, and these."""
+    known = [~np.isnan(x) for x in columns]
+    data = np.packbits(np.concatenate(known)).tobytes() + b"".join(x[k].tobytes() for x, k in zip(columns, known, strict=True))
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes, width: int, n: int) -> np.ndarray:
+    """The columns as rows of a matrix."""
+    raw = pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+    mask = -(-width * n // 8)
+    known = np.unpackbits(np.frombuffer(raw, np.uint8, mask), count=width * n).astype(bool)
+    out = np.full(width * n, np.nan)
+    out[known] = np.frombuffer(raw[mask:], np.float64)
+    return out.reshape(width, n)

@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlab import study_queries as Q
+from factorlab.functions.alphas import definitions
+from factorlab.functions.expr import CORR, COUNT, DELAY, DELTA, RANK, SMA, STD, SUM, TSRANK, field
 from factorlab.operators import evaluation as E
 from factorlab.operators import portfolio as P
 from factorlab.operators import screening as SC
 from factorlab.operators import statistics as S
+from factorlab.plans import blocks as BL
 from factorlab.sources import bars as B
 
 
@@ -178,6 +181,54 @@ def test_library_in_blocks_equals_the_windows(spark, monkeypatch):
     assert seen > 300
 
 
+def test_the_library_is_shuffled_once_and_as_fields(spark, monkeypatch):
+    """One table is written, and after the panel one shuffle moves fields and what looks far back, not a column a factor."""
+    plans, write = [], SC.Written
+    monkeypatch.setattr(SC, "Written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    rows = [(i, k, float(1 + (i * 7 + k * k) % 13)) for i in range(20) for k in range(40)]
+    panel = spark.createDataFrame(rows, "symbol long, k int, close double").withColumn("date", F.date_add(F.lit("2020-01-03").cast("date"), F.col("k"))).drop("k")
+    panel = panel.select("symbol", "date", *(F.col("close").alias(f) for f in B.FIELDS), F.lit(0.01).alias("fwd")).localCheckpoint()
+    said = SC.library_metrics(panel)
+    assert len(plans) == 1 and plans[0].count("Exchange") <= 2
+    assert said.count() == 191 * 40
+    assert len(BL.frontier(d.expr for d in definitions().values() if d.calendar == "panel")) <= 13
+
+
+def test_a_panel_with_gaps_is_refused(spark):
+    rows = spark.createDataFrame([(i, k) for i in range(12) for k in range(9) if (i, k) != (3, 4)], "symbol long, k int")
+    panel = rows.select("symbol", F.date_add(F.lit("2020-01-03").cast("date"), F.col("k")).alias("date"), *(F.lit(1.0).alias(f) for f in (*B.FIELDS, "fwd")))
+    with pytest.raises(Exception, match="a row for every symbol and date"):
+        SC.library_metrics(panel)
+
+
+def test_slices_equal_whole_histories():
+    """Windows of ranks of windows, before the first row too, from slices and from the whole matrices."""
+    a, b = field("a"), field("b")
+    roots = [CORR(RANK(a / b), RANK(DELTA(b, 3)), 4), TSRANK(RANK(SUM(a, 5)), 3), RANK(SMA(a, 3, 1)) * DELAY(b, 2), COUNT(a > DELAY(a, 1), 4), STD(a / b, 3), a - b]
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, (30, 41)).astype(float), rng.integers(0, 4, (30, 41)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    given, at = BL.frontier(roots), [a, b]
+    steps, places = BL.program(given, at)
+    held = [BL.run(steps, [x, y])[i] for i in places]
+    plan = BL.sliced(roots, given)
+    got = {}
+    for start in range(0, 41, 8):
+        for row, values in BL.rolled(plan, lambda k: [h[:, k] for h in held], 0, start, min(41, start + 8), 30):
+            got[row] = [v.copy() for v in values]
+    assert sorted(got) == list(range(41)) and max(plan[2]) < 16
+
+    def plain(e):
+        v = [plain(arg) for arg in e.args]
+        if e.op == "rank":
+            return np.stack([BL.shares(c) for c in v[0].T], 1)
+        return {a: x, b: y}[e] if e.op == "field" else BL.value(e.op, e.params, v, tuple(arg.may_be_infinite for arg in e.args), x.shape)
+
+    with np.errstate(all="ignore"):
+        for i, e in enumerate(roots):
+            np.testing.assert_array_equal(np.stack([got[k][i] for k in range(41)], 1), plain(e))
+
+
 def test_pure_alpha_equals_its_sql_whatever_the_order_of_sums(spark, tmp_path):
     source = "/root/testdata/sf0.01/lineitem.parquet"
     duckdb.connect().execute(f"COPY (SELECT * REPLACE (l_suppkey + 1000 * k AS l_suppkey, l_orderkey + 1000000 * k AS l_orderkey) FROM '{source}', range(6) t(k)) TO '{tmp_path}/lineitem.parquet'")
