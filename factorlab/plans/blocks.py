@@ -112,7 +112,11 @@ def moments(x: list[np.ndarray]) -> np.ndarray:
     mean = m2 = 0.0
     for k, v in enumerate(x, 1):
         d = v - mean
-        mean, m2 = mean + d / k, m2 + d * (d - d / k)
+        step = d / k
+        mean += step
+        np.subtract(d, step, out=step)
+        step *= d
+        m2 += step
     return m2 / len(x)
 
 
@@ -121,8 +125,13 @@ def comoments(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     mx = my = c = 0.0
     for k, (u, v) in enumerate(zip(x, y, strict=True), 1):
         d = u - mx
-        mx, my = mx + d / k, my + (v - my) / k
-        c = c + d * (v - my)
+        mx += d / k
+        step = v - my
+        step /= k
+        my += step
+        np.subtract(v, my, out=step)
+        step *= d
+        c += step
     return c
 
 

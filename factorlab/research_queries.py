@@ -233,8 +233,7 @@ u AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY date ORDER BY am D
 def placed_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The panel as a written table, with ret, fwd (next row), later (the five rows after the next), `place` (of a date's members)
     and `ever` (whether a symbol is a member on any date); and (symbol, date, place) of the members, a written table."""
-    bars = Written(B.weekly(spark, sf_dir))
-    panel = E.padded_returns(B.panel(bars.df))
+    panel = E.padded_returns(B.weekly_panel(spark, sf_dir))
     panel = U.traded_amounts(E.next_returns(E.horizon_returns(panel).withColumnRenamed("fwd", "later")), 20, 52)
     amounts = Written(panel)
     places = Written(U.liquid_places(amounts.df, TOP)).df  # TOP rows a date at most

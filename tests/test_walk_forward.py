@@ -113,6 +113,17 @@ def test_members_values_equal_the_planners(spark):
         assert {(r.date, r.place): tuple(r[f] for f in names) for r in got} == {k: tuple(v if v is None or abs(v) < float("inf") else None for v in x) for k, x in want.items()}
 
 
+def test_the_panel_is_written_once_and_factors_take_one_table(spark, monkeypatch):
+    """Bars aren't written and shuffled again before their panel; the values of all factors come from one shuffle of the panel."""
+    written, plans, write = [], [], Written
+    monkeypatch.setattr(RQ, "Written", lambda df: (written.append(df.columns), write(df))[1])
+    panel, _ = MQ.placed_panel(spark, "/root/testdata/sf0.001")
+    assert len(written) == 2 and written[1] == ["symbol", "date", "place"]
+    monkeypatch.setattr(SC, "Written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    SC.evaluated(panel, ["alpha001", "alpha014", "alpha055"])
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 3  # by symbol, by slice, and the few symbols with a place
+
+
 def test_members_are_those_of_the_universe(spark):
     panel, _ = MQ.placed_panel(spark, "/root/testdata/sf0.01")
     u = U.liquid(panel, RQ.TOP, 20, 52)
