@@ -316,10 +316,10 @@ o AS (SELECT symbol, unnest(list(date ORDER BY date)) AS date, unnest(list_reduc
 def pure_alpha(spark, sf_dir):
     """The compounded part of each symbol's excess return that its beta doesn't explain. Products reach 1e286, so that a last bit
     of the market's mean tells: it is the mean of returns in steps of 2^-30, whose sum is exact in any order, and factors
-    are multiplied date by date."""
+    are multiplied date by date. Without a beta (a single return) the result is NaN, as in SQL, where 0 / 0 is NaN and no null."""
     p = base(spark, sf_dir).where(F.col("ret").isNotNull())
     p = p.select("symbol", "date", (F.col("ret") - 0.03 / 252).alias("y"), (F.avg(F.rint(F.col("ret") * float(1 << 30)) / float(1 << 30)).over(E.day()) - 0.03 / 252).alias("x"))
-    x = p.join(S.capm(p, ("symbol",)).select("symbol", (F.rint(F.col("beta") * 1048576) / 1048576).alias("beta")), "symbol")
+    x = p.join(S.capm(p, ("symbol",)).select("symbol", F.coalesce(F.rint(F.col("beta") * 1048576) / 1048576, F.lit(float("nan"))).alias("beta")), "symbol")
     own = F.coalesce(F.col("y") - F.col("beta") * F.col("x"), F.lit(0.0))
     return out(x.withColumn("pure_alpha", F.product(1 + own).over(E.history().rowsBetween(Window.unboundedPreceding, 0))), "symbol", "date", "pure_alpha")
 

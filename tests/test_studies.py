@@ -239,3 +239,17 @@ def test_pure_alpha_equals_its_sql_whatever_the_order_of_sums(spark, tmp_path):
         got = f"SELECT * FROM '{tmp_path}/got/*.parquet'"
         assert c.execute(f"SELECT count(*) FROM ({got})").fetchall() == c.execute("SELECT count(*) FROM want").fetchall()
         assert c.execute(f"SELECT count(*) FROM (FROM want EXCEPT ALL {got})").fetchall() == [(0,)]
+
+
+def test_pure_alpha_of_a_single_return_is_the_sqls(spark, tmp_path):
+    """A symbol whose only bar comes late has one return and no beta."""
+    source = "/root/testdata/sf0.001/lineitem.parquet"
+    last = f"(SELECT max(l_shipdate) FROM '{source}')"
+    late = f"SELECT * REPLACE (90000 AS l_suppkey, {last} - INTERVAL 7 DAY AS l_shipdate) FROM (FROM '{source}' LIMIT 1)"
+    duckdb.connect().execute(f"COPY (FROM '{source}' UNION ALL {late}) TO '{tmp_path}/lineitem.parquet'")
+    Q.QUERIES["pure_alpha"](spark, str(tmp_path)).write.parquet(str(tmp_path / "got"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+        got, want = (c.execute(f"SELECT pure_alpha::VARCHAR FROM ({q}) WHERE symbol = 90000").fetchall() for q in (f"FROM '{tmp_path}/got/*.parquet'", Q.SQL["pure_alpha"]))
+        assert [r[0].lstrip("-") for r in got] == [r[0].lstrip("-") for r in want] == ["nan"]
+        assert c.execute(f"SELECT count(*) FROM (({Q.SQL['pure_alpha']}) EXCEPT ALL FROM '{tmp_path}/got/*.parquet')").fetchall() == [(0,)]
